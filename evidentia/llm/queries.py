@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, ngram_jaccard, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
 }
