@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_jaccard, token_files
+from . import line_dedup, mixing, ngram_jaccard, suffix_dedup, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 

@@ -40,3 +40,7 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of stages that nothing refers to any more."""
+        self.spark.sparkContext._jvm.System.gc()
