@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_jaccard, suffix_dedup, token_files
+from . import line_dedup, mixing, ngram_jaccard, rp_forest, suffix_dedup, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op5_embedding_forest": rp_forest.op5_embedding_forest,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_ngram_jaccard": ngram_jaccard.ORACLE,
+    "op5_embedding_forest": rp_forest.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
 }
