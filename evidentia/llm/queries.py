@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_jaccard, rp_forest, suffix_dedup, token_files
+from . import decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op5_embedding_forest": rp_forest.op5_embedding_forest,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op8_lattice_lm": lattice_lm.op8_lattice_lm,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
