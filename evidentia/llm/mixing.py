@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFr
     everyone = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.select("*", F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("capped"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_capped"), F.sum("w").over(everyone).alias("w_all"), (F.sum("source_size").over(everyone) * share).alias("budget"))
     level = (F.col("budget") - F.col("capped")) / (F.col("w_all") - F.col("w_capped"))
-    s = s.withColumn("level", F.when(level * F.col("w") <= F.col("cap"), level))
-    s = s.withColumn("level", F.min("level").over(everyone))
+    s = s.withColumn("first", F.when(level * F.col("w") <= F.col("cap"), F.struct(F.row_number().over(order).alias("at"), level.alias("level"))))
+    s = s.withColumn("level", F.min("first").over(everyone)["level"])
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
@@ -116,6 +116,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return out.select(F.col("id").alias(doc_id), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as the mix takes it, to the nearest whole document; all columns stay."""
+    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).alias("__times"))
+    # Rows that repeat an id, source and size share their number evenly.
+    taken = taken.groupBy("__id", "__source", "__size").agg(F.round(F.avg("__times")).cast("int").alias("__times")).filter("`__times` > 0")
+    sized = docs.withColumn("__words", word_count(F.col("text")))
+    joined = sized.join(taken, sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__source"]) & (sized["__words"] == taken["__size"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[sized[c] for c in docs.columns])
+
+
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -133,8 +143,9 @@ w AS (
 o AS (
   SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS capped,
          coalesce(sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS w_capped,
-         sum(w) OVER () AS w_all, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
-l AS (SELECT min((budget - capped) / (w_all - w_capped)) FILTER (WHERE (budget - capped) / (w_all - w_capped) * w <= cap) AS level FROM o),
+         sum(w) OVER () AS w_all, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+         row_number() OVER (ORDER BY cap / w, source ASC NULLS LAST) AS nth FROM w),
+l AS (SELECT arg_min((budget - capped) / (w_all - w_capped), nth) FILTER (WHERE (budget - capped) / (w_all - w_capped) * w <= cap) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM o, l),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
