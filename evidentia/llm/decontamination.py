@@ -22,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel
 from .toxicity import PUNCTUATION
@@ -83,67 +84,85 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = TILE_WORDS) -> list[tu
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_tiles, covered_words, item_words, coverage) of the pairs whose item is covered enough."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[Searcher]:
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     blocks = int((items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0) // BLOCK_WORDS) + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    schema = FOUND.format(docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString())
+    return [Searcher(items.filter(block == k).toPandas()) for k in range(blocks)]  # BLOCK_WORDS words each, or a little more
+
+
+class Searcher:
+    """The seeds of a block of test items; goes to the tasks."""
+
+    def __init__(self, items):
+        self.names = items.item_id.tolist()
+        w, at = word_ids(*kernel.as_bytes(pa.array(items.text.tolist(), pa.string())))
+        self.sequences = [w[a:b] for a, b in zip(at[:-1], at[1:])]
+        seeds = [kernel.ngram_hashes(s, min(SEED_WORDS, len(s))) if len(s) else s for s in self.sequences]
+        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]).astype(np.int64)
+        seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.owner = seed[order], owner[order]
+        self.lengths = sorted({min(SEED_WORDS, len(s)) for s in self.sequences if len(s)})
+
+    def found(self, column: pa.Array, coverage: float):
+        """(row, item number, tiles) of the texts that cover an item."""
+        data, offs = kernel.as_bytes(column)
+        for i, j in kernel.slices(offs) if len(self.seed) else ():
+            w, at = word_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            pairs = set()
+            for n in self.lengths:
+                h = kernel.ngram_hashes(w, n)
+                lo = np.minimum(np.searchsorted(self.seed, h), len(self.seed) - 1)
+                hit = np.flatnonzero(self.seed[lo] == h)
+                doc = np.searchsorted(at, hit, "right") - 1
+                whole = hit + n <= at[doc + 1]  # not across two texts
+                for d, a, b in set(zip(doc[whole].tolist(), lo[hit][whole].tolist(), np.searchsorted(self.seed, h[hit][whole], "right").tolist())):
+                    pairs.update((d, k) for k in self.owner[a:b].tolist())
+            for d, k in sorted(pairs):
+                item = self.sequences[k]
+                tiled = tiles(w[at[d] : at[d + 1]], item, min(TILE_WORDS, len(item)))
+                if sum(n for _, _, n in tiled) >= coverage * len(item):
+                    yield i + d, k, tiled
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_tiles, covered_words, item_words, coverage) of the pairs whose item is covered enough."""
+    item_type = benchmark.schema[item_id].dataType
+    schema = FOUND.format(docs.schema[doc_id].dataType.simpleString(), item_type.simpleString())
+    item_type = to_arrow_type(item_type)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return reduce(DataFrame.unionAll, [_search(rows, items.filter(block == k), coverage, schema) for k in range(blocks)])
-
-
-def _search(rows: DataFrame, items: DataFrame, coverage: float, schema: str) -> DataFrame:
-    part = items.toPandas()  # a block: BLOCK_WORDS words or a little more
-    names = part.item_id.tolist()
-    data, offs = kernel.as_bytes(pa.array(part.text.tolist(), pa.string()))
-    w, at = word_ids(data, offs)
-    sequences = [w[a:b] for a, b in zip(at[:-1], at[1:])]
-    seeds = [kernel.ngram_hashes(s, min(SEED_WORDS, len(s))) if len(s) else s for s in sequences]
-    owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]).astype(np.int64)
-    seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-    order = np.argsort(seed, kind="stable")
-    seed, owner = seed[order], owner[order]
-    short = sorted({len(s) for s in sequences if 0 < len(s) < SEED_WORDS})
-    item_type = items.schema["item_id"].dataType
-
-    def search(batches):
-        for batch in batches:
-            data, offs = kernel.as_bytes(batch.column("text"))
-            ids, out = batch.column("doc_id"), []
-            for i, j in kernel.slices(offs):
-                w, at = word_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                pairs = set()
-                for n in [*short, SEED_WORDS] if len(seed) else []:
-                    h = kernel.ngram_hashes(w, n)
-                    lo = np.searchsorted(seed, h)
-                    hit = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == h)
-                    doc = np.searchsorted(at, hit, "right") - 1
-                    whole = hit + n <= at[doc + 1]
-                    for d, a, b in set(zip(doc[whole].tolist(), lo[hit][whole].tolist(), np.searchsorted(seed, h[hit][whole], "right").tolist())):
-                        pairs.update((d, k) for k in owner[a:b].tolist())
-                for d, k in sorted(pairs):
-                    item = sequences[k]
-                    found = tiles(w[at[d] : at[d + 1]], item, min(TILE_WORDS, len(item)))
-                    covered = sum(n for _, _, n in found)
-                    if covered >= coverage * len(item):
-                        out.append((i + d, names[k], len(found), covered, len(item), covered / len(item)))
-            c = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), pa.array(c[1], _arrow(item_type)), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.float64())], ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
-
-    return rows.mapInArrow(search, schema)
-
-
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that cover no test item; all columns stay. A null id can't be told apart, so those rows go if one of them is found."""
-    found = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+
+    def search(searcher):
+        def work(batches):
+            for batch in batches:
+                out = []
+                for row, k, tiled in searcher.found(batch.column("text"), coverage):
+                    covered, words = sum(n for _, _, n in tiled), len(searcher.sequences[k])
+                    out.append((row, searcher.names[k], len(tiled), covered, words, covered / words))
+                c = list(zip(*out)) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(c[0], pa.int64())), pa.array(c[1], item_type), *(pa.array(x, pa.int32()) for x in c[2:5]), pa.array(c[5], pa.float64())], ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
+
+        return work
+
+    return reduce(DataFrame.unionAll, [rows.mapInArrow(search(s), schema) for s in _blocks(benchmark, item_id, item_text)])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
+    """The rows that cover no test item, with all their columns; nothing is shuffled."""
+
+    def drop(searcher):
+        def work(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _, _ in searcher.found(batch.column(text), coverage)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return work
+
+    for searcher in _blocks(benchmark, "item_id", "text"):
+        docs = docs.mapInArrow(drop(searcher), docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

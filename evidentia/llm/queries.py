@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
 from . import decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, suffix_dedup, token_files, toxicity
+from .shipping import ship
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -17,6 +22,17 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
+
+def _with_package(query: Callable) -> Callable:
+    def run(spark, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
+
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_ngram_jaccard": ngram_jaccard.ORACLE,

@@ -38,7 +38,7 @@ from .workspace import Workspace
 
 U = np.uint64
 LENGTH, GRAM = 50, 24
-SLICE = 8_000_000
+SLICE = 1_500_000
 BUCKET_BYTES = 16 << 20  # text per bucket of the index
 BLOB = "bucket int, old boolean, ids binary, ths binary, counts binary, h binary, ctx binary, pos binary"
 FULL, PARTIAL, WINDOW = 0, 1, 2

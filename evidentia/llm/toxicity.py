@@ -128,32 +128,57 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return sample.repartition(1).sortWithinPartitions("order", "y", "places").mapInArrow(learn, "place long, weight double")
 
 
-def score(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] = []) -> DataFrame:
-    """Per row: id, the columns to keep, score, predicted."""
-    fitted = model.collect()  # at most PLACES + 1 rows
+def _scorer(model: DataFrame):
+    """A function from a text column to scores, for use inside tasks."""
     weights = np.zeros(PLACES + 1, np.float32)
-    for r in fitted:
+    for r in model.toLocalIterator():  # at most PLACES + 1 rows
         weights[r.place] = r.weight
     at = np.flatnonzero(weights)
-    sparse = (at.astype(np.int32), weights[at])
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [doc_id, *keep])
+    places, values = at.astype(np.int32), weights[at]
 
-    def work(batches):
+    def of_texts():
         w = np.zeros(PLACES + 1, np.float32)
-        w[sparse[0]] = sparse[1]
-        for batch in batches:
-            data, offs = kernel.as_bytes(batch.column("__text"))
-            out = np.zeros(batch.num_rows)
+        w[places] = values
+
+        def scores(column: pa.Array) -> np.ndarray:
+            data, offs = kernel.as_bytes(column)
+            out = np.zeros(len(offs) - 1)
             for i, j in kernel.slices(offs):
                 doc, place = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 used = w[place] != 0
                 doc, place = distinct(doc[used], place[used])
                 out[i:j] = np.bincount(doc, w[place].astype(np.float64), j - i) + w[PLACES]
-            p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [doc_id, *keep]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [doc_id, *keep, "score", "predicted"])
+            return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+        return scores
+
+    return of_texts
+
+
+def score(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, score, predicted."""
+    of_texts = _scorer(model)
+
+    def work(batches):
+        scores = of_texts()
+        for batch in batches:
+            p = scores(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [doc_id, "score", "predicted"])
+
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(work, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that score below 0.5, with all their columns; nothing is shuffled."""
+    of_texts = _scorer(model)
+
+    def work(batches):
+        scores = of_texts()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(text)) < 0.5))
 
-    rows = docs.select(doc_id, *keep, F.col(text).alias("__text"))
-    return rows.mapInArrow(work, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
