@@ -16,27 +16,32 @@ from evidentia.llm.workspace import Workspace
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled rows outside the held-out fold."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(crc_fold() != 0)
     return toxicity.drop_toxic(docs, toxicity.train(docs.select("doc_id", "text"), labels))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest id stays."""
+    ship(spark)
     return ngram_jaccard.one_per_component(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover a test item go."""
+    ship(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and per document what they hold."""
+    ship(spark)
     path = Workspace(spark, "tokens").path("orc")
     token_files.write_token_files(docs, path, token_files.vocabulary_path("byte_bpe_50k.json"))
     return token_files.token_digests(spark, path)
@@ -54,7 +59,6 @@ ORACLE_SQL = None  # a fitted classifier and a tokenizer are not SQL; tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

@@ -1 +1,4 @@
-"""Spark-native building blocks."""
+"""Registered queries, by area."""
+
+from . import finance, ingestion, kpis, mutations, relational, retrieval, rules, streams, texts, usage  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
