@@ -11,8 +11,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to all executors once per application, as --py-files would."""
+    """Send the package to all executors once per application, as --py-files would, and bound Arrow batches.
+
+    Ten thousand rows, the default, can be any number of bytes where rows hold
+    whole texts; a bound in bytes keeps the workers' memory flat.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

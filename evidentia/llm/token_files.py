@@ -16,6 +16,7 @@ stay, ordered by their text; null ids come first; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -27,7 +28,7 @@ from . import kernel
 from .workspace import Workspace
 
 END_ID = 2
-CACHE_CHUNKS = 2_000_000  # distinct chunks that a task remembers; beyond it starts anew
+CACHE_CHUNKS = 1_000_000  # distinct chunks that a task remembers; beyond it starts anew
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 # White space beyond ASCII's six, which a pre-tokenizer may join with its neighbours.
@@ -38,6 +39,7 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk with a bounded memory of chunks."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,7 +58,8 @@ class ChunkEncoder:
         """Encode chunks and remember them; the places they get."""
         # Chunks that begin with white space and end without it can stand in a row: they don't touch each other.
         joined = [k for k, x in enumerate(texts) if kernel.SPACE[x[0]] and not kernel.SPACE[x[-1]]]
-        new: list = [None] * len(texts)
+        alone = sorted(set(range(len(texts))).difference(joined))
+        order, flats, lengths = [], [], []
         groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join([texts[k] for k in g]).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, np.int32)
@@ -64,20 +67,24 @@ class ChunkEncoder:
             ends = np.cumsum([len(texts[k]) for k in group])
             cut = np.searchsorted(upto, ends)
             if np.array_equal(upto[cut], ends):
-                for k, x in zip(group, np.split(ids, cut[:-1])):
-                    new[k] = x
-        alone = [k for k, x in enumerate(new) if x is None]
+                order += group
+                flats.append(ids)
+                lengths.append(np.diff(cut, prepend=0))
+            else:
+                alone += group
         for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k].decode() for k in alone], add_special_tokens=False)):
-            new[k] = np.array(e.ids, np.int32)
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        flat, n = np.concatenate(new), len(self.starts)
+            order.append(k)
+            flats.append(np.array(e.ids, np.int32))
+            lengths.append(np.array([len(e.ids)]))
+        flat, length, n = np.concatenate(flats), np.concatenate(lengths), len(self.starts)
         while self.size + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.size : self.size + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.size + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        self.starts = np.concatenate([self.starts, self.size + np.cumsum(length) - length])
+        self.lengths = np.concatenate([self.lengths, length])
         self.size += len(flat)
-        places = np.arange(n, n + len(new))
+        places = np.empty(len(texts), np.int64)
+        places[order] = np.arange(n, n + len(texts))
         at = np.searchsorted(self.known, hashes)
         self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, places)
         return places
@@ -115,7 +122,7 @@ class ChunkEncoder:
     def encode_texts(self, column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         data, offs = kernel.as_bytes(column)
-        for i, j in kernel.slices(offs):
+        for i, j in kernel.slices(offs, 1_000_000):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             ids, to = self.encode(part, at)
             odd = {}
@@ -128,6 +135,16 @@ class ChunkEncoder:
         return out
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker: its chunks stay known."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode every text and write the ORC files."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
@@ -136,10 +153,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "text")
 
     def encode(batches):
-        encoder, at = ChunkEncoder(vocabulary), 0
+        encoder, at = encoder_of(vocabulary), 0
         for batch in batches:
             _, offs = kernel.as_bytes(batch.column("text"))
-            for i, j in kernel.slices(offs, 4 * kernel.SLICE_BYTES):
+            for i, j in kernel.slices(offs):
                 found = encoder.encode_texts(batch.column("text").slice(i, j - i))
                 lengths = np.fromiter((len(x) + 1 for x in found), np.int64, len(found))
                 ids = np.concatenate([y for x in found for y in (x, np.array([end_id], np.int32))])
