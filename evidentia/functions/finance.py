@@ -40,55 +40,64 @@ def normalize_value(raw: Column, context_unit: Column | None = None) -> Column:
     Never fails: what can't be read is NaN, 'unknown', confidence 0. The value is
     unsigned; the sign is in is_negative.
     """
-    t = strip(F.coalesce(raw, F.lit("")))
-    readable = t.rlike(r"\d")
+    context = F.coalesce(_factor(CONTEXT_UNITS, context_unit), F.lit(1.0)) if context_unit is not None else F.lit(1.0)
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda t: let(_without_currency(t), lambda c: let(_without_sign(c["rest"]), lambda b: _typed(t, c["currency"], b["body"], b["negative"], context))))
+
+
+def let(x: Column, use) -> Column:
+    """use(x) with x evaluated once: nested expressions would otherwise repeat it wherever it occurs."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _without_currency(t: Column) -> Column:
     symbol, rest = F.lit(None).cast("string"), t
     for sign, code in reversed(CURRENCIES):
         symbol = F.when(F.contains(t, F.lit(sign)), F.lit(code)).otherwise(symbol)
         rest = F.when(F.contains(t, F.lit(sign)), F.replace(t, F.lit(sign), F.lit(""))).otherwise(rest)
     word = F.regexp_extract(t, CURRENCY_WORD, 1)
-    currency = F.coalesce(symbol, F.when(word != "", F.upper(word)))
-    rest = F.when(symbol.isNull() & (word != ""), F.concat(F.substring_index(t, word, 1), F.substring(t, F.instr(t, word) + F.char_length(word), F.char_length(t)))).otherwise(rest)
-    rest = strip(rest)
-    inner, tail = F.regexp_extract(rest, r"^\((.*)\)(%?)$", 1), F.regexp_extract(rest, r"^\((.*)\)(%?)$", 2)
-    in_parens, dash = rest.rlike(r"^\((.*)\)(%?)$"), rest.rlike("^[-−–]")
-    negative = in_parens | dash
-    body = F.when(in_parens, strip(F.concat(strip(inner), tail))).when(dash, strip(F.substring(rest, F.lit(2), F.char_length(rest)))).otherwise(rest)
+    cut = F.concat(F.call_function("substring_index", t, word, F.lit(1)), F.substring(t, F.call_function("instr", t, word) + F.char_length(word), F.char_length(t)))
+    rest = F.when(symbol.isNull() & (word != ""), cut).otherwise(rest)
+    return F.struct(F.coalesce(symbol, F.when(word != "", F.upper(word))).alias("currency"), strip(rest).alias("rest"))
 
+
+def _without_sign(rest: Column) -> Column:
+    parens = r"^\((.*)\)(%?)$"
+    in_parens, dash = rest.rlike(parens), rest.rlike("^[-−–]")
+    inner = strip(F.concat(strip(F.regexp_extract(rest, parens, 1)), F.regexp_extract(rest, parens, 2)))
+    body = F.when(in_parens, inner).when(dash, strip(F.substring(rest, F.lit(2), F.char_length(rest)))).otherwise(rest)
+    return F.struct(body.alias("body"), (in_parens | dash).alias("negative"))
+
+
+def _typed(t: Column, currency: Column, body: Column, negative: Column, context: Column) -> Column:
     def scaled(text: Column, table: dict[str, float], bare: Column) -> Column:
-        text = strip(text)
-        suffix = F.regexp_extract(text, NUMBER, 2)
-        return F.when(text.rlike(NUMBER), number(F.regexp_extract(text, NUMBER, 1)) * F.when(suffix == "", bare).otherwise(_factor(table, suffix)))
+        def read(x):
+            suffix = F.regexp_extract(x, NUMBER, 2)
+            return F.when(x.rlike(NUMBER), number(F.regexp_extract(x, NUMBER, 1)) * F.when(suffix == "", bare).otherwise(_factor(table, suffix)))
+
+        return let(strip(text), read)
 
-    context = F.coalesce(_factor(CONTEXT_UNITS, context_unit), F.lit(1.0)) if context_unit is not None else F.lit(1.0)
-    percent = number(strip(F.regexp_replace(body, r"(?i)%|percent|pct", "")))
-    shares = scaled(F.regexp_replace(body, SHARES, ""), TO_COUNT, F.lit(1.0))
-    money = scaled(body, TO_MILLIONS, context)
-    ratio = number(F.regexp_extract(body, RATIO, 1))
     none = F.lit(None).cast("string")
 
     def value(x: Column, unit, code, confidence: float, failed_code=none) -> Column:
-        ok = x.isNotNull()
-        return F.struct(
-            F.coalesce(x, F.lit(float("nan"))).alias("numeric_value"), F.when(ok, unit).otherwise("unknown").alias("unit"),
-            F.when(ok, code).otherwise(failed_code).alias("currency"), negative.alias("is_negative"), F.when(ok, confidence).otherwise(0.0).alias("confidence"),
-        )
+        return let(x, lambda v: F.struct(
+            F.coalesce(v, F.lit(float("nan"))).alias("numeric_value"), F.when(v.isNotNull(), unit).otherwise("unknown").alias("unit"),
+            F.when(v.isNotNull(), code).otherwise(failed_code).alias("currency"), negative.alias("is_negative"), F.when(v.isNotNull(), confidence).otherwise(0.0).alias("confidence"),
+        ))
 
     unread = F.struct(F.lit(float("nan")).alias("numeric_value"), F.lit("unknown").alias("unit"), none.alias("currency"), F.lit(False).alias("is_negative"), F.lit(0.0).alias("confidence"))
     code = F.coalesce(currency, F.lit("USD"))
     return (
-        F.when(~readable, unread)
-        .when(body.rlike(PERCENT), value(percent, F.lit("percentage"), none, 0.9))
-        .when(body.rlike(SHARES), value(shares, F.lit("count"), none, 0.9))
-        .when(body.rlike(RATIO), value(ratio, F.lit("ratio"), none, 0.85))
-        .otherwise(value(money, F.concat(code, F.lit("_millions")), code, 0.9, currency))
+        F.when(~t.rlike(r"\d"), unread)
+        .when(body.rlike(PERCENT), value(number(strip(F.regexp_replace(body, r"(?i)%|percent|pct", ""))), F.lit("percentage"), none, 0.9))
+        .when(body.rlike(SHARES), value(scaled(F.regexp_replace(body, SHARES, ""), TO_COUNT, F.lit(1.0)), F.lit("count"), none, 0.9))
+        .when(body.rlike(RATIO), value(number(F.regexp_extract(body, RATIO, 1)), F.lit("ratio"), none, 0.85))
+        .otherwise(value(scaled(body, TO_MILLIONS, context), F.concat(code, F.lit("_millions")), code, 0.9, currency))
     )
 
 
 def signed(value: Column) -> Column:
     """The signed number; null where nothing was read."""
-    v = F.when(value["confidence"] > 0, value["numeric_value"])
-    return F.when(value["is_negative"], -v).otherwise(v)
+    return let(value, lambda v: F.when(v["confidence"] > 0, F.when(v["is_negative"], -v["numeric_value"]).otherwise(v["numeric_value"])))
 
 
 def percent_change(now: Column, before: Column) -> Column:

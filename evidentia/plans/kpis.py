@@ -1 +1,117 @@
-"""Registered later."""
+"""KPI series: latest, changes, restatements, evidence and report order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ..functions.period import sort_key
+from ..operators.frames import change, first_per, upsert_series
+from ..sources.views import Tables
+from .registry import query
+
+PCT = "CASE WHEN p <> 0 THEN (value - p) / abs(p) * 100 END"
+
+
+@query("kpi_period_change", f"SELECT coverage_id, kpi_name, period, value, p AS prior_value, {PCT} AS change_pct FROM (SELECT *, lag(value) OVER (PARTITION BY coverage_id, kpi_name, period_type ORDER BY year, quarter) AS p FROM v_series)")
+def kpi_period_change(spark, d):
+    return change(Tables(spark, d).series(), ["coverage_id", "kpi_name", "period_type"], [F.col("year"), F.col("quarter")]).select("coverage_id", "kpi_name", "period", "value", "prior_value", "change_pct")
+
+
+@query("kpi_true_yoy", f"WITH s AS (SELECT a.*, b.value AS p FROM v_series a LEFT JOIN v_series b ON a.coverage_id = b.coverage_id AND a.kpi_name = b.kpi_name AND a.period_type = b.period_type AND a.quarter = b.quarter AND a.year = b.year + 1) SELECT coverage_id, kpi_name, period, {PCT} AS yoy_pct FROM s")
+def kpi_true_yoy(spark, d):
+    """The same quarter a year before: a RANGE of exactly one year back in the window, no self join."""
+    from ..functions.finance import percent_change
+
+    w = Window.partitionBy("coverage_id", "kpi_name", "period_type", "quarter").orderBy("year").rangeBetween(-1, -1)
+    s = Tables(spark, d).series().withColumn("before", F.first("value").over(w))
+    return s.select("coverage_id", "kpi_name", "period", percent_change(F.col("value"), F.col("before")).alias("yoy_pct"))
+
+
+@query("kpi_latest_two_annual_yoy", f"WITH r AS (SELECT *, lag(value) OVER (PARTITION BY coverage_id, kpi_name ORDER BY year) AS p, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY year DESC) AS rn FROM v_series WHERE period_type = 'annual') SELECT coverage_id, kpi_name, year, {PCT} AS yoy_pct FROM r WHERE rn = 1 AND p IS NOT NULL")
+def kpi_latest_two_annual_yoy(spark, d):
+    a = change(Tables(spark, d).series().filter("period_type = 'annual'"), ["coverage_id", "kpi_name"], [F.col("year")])
+    return first_per(a, ["coverage_id", "kpi_name"], F.desc("year")).filter("prior_value is not null").select("coverage_id", "kpi_name", "year", F.col("change_pct").alias("yoy_pct"))
+
+
+@query("kpi_latest_per_name", "SELECT coverage_id, kpi_name, arg_max(value, (extracted_at, obs)) AS value FROM v_kpis GROUP BY 1, 2")
+def kpi_latest_per_name(spark, d):
+    return Tables(spark, d).kpis().groupBy("coverage_id", "kpi_name").agg(F.max_by("value", F.struct("extracted_at", "obs")).alias("value"))
+
+
+@query("kpi_last6_chrono", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY extracted_at DESC, obs DESC) AS rn FROM v_kpis) SELECT coverage_id, kpi_name, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY extracted_at, obs) AS cents FROM r WHERE rn <= 6 GROUP BY 1, 2")
+def kpi_last6_chrono(spark, d):
+    last = first_per(Tables(spark, d).kpis(), ["coverage_id", "kpi_name"], F.desc("extracted_at"), F.desc("obs"), n=6)
+    values = F.array_sort(F.collect_list(F.struct("extracted_at", "obs", "value")))
+    return last.groupBy("coverage_id", "kpi_name").agg(F.array_join(F.transform(values, lambda x: F.round(x["value"] * 100).cast("long").cast("string")), ",").alias("cents"))
+
+
+@query("kpi_narrative_divergence", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY extracted_at DESC, obs DESC) AS rn FROM v_kpis),
+    f AS (SELECT coverage_id, kpi_name, count(*) AS n, arg_min(value, (extracted_at, obs)) AS first_value, arg_max(value, (extracted_at, obs)) AS last_value FROM r WHERE rn <= 6 GROUP BY 1, 2)
+    SELECT coverage_id, kpi_name, first_value, last_value, n >= 2 AND last_value < first_value AND coverage_id % 2 = 0 AS diverges FROM f""")
+def kpi_narrative_divergence(spark, d):
+    at = F.struct("extracted_at", "obs")
+    last = first_per(Tables(spark, d).kpis(), ["coverage_id", "kpi_name"], F.desc("extracted_at"), F.desc("obs"), n=6)
+    f = last.groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n"), F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
+    positive = F.col("coverage_id") % 2 == 0
+    return f.select("coverage_id", "kpi_name", "first_value", "last_value", ((F.col("n") >= 2) & (F.col("last_value") < F.col("first_value")) & positive).alias("diverges"))
+
+
+@query("kpi_restatements", """WITH r AS (SELECT *, lag(value) OVER (PARTITION BY coverage_id, kpi_name, year, quarter ORDER BY extracted_at, obs) AS p FROM v_kpis)
+    SELECT coverage_id, kpi_name, year, quarter, obs, value, p IS NOT NULL AS is_restated FROM r WHERE p IS NULL OR abs(value - p) >= 0.000001""")
+def kpi_restatements(spark, d):
+    out = upsert_series(Tables(spark, d).kpis(), ["coverage_id", "kpi_name", "year", "quarter"], [F.col("extracted_at"), F.col("obs")])
+    return out.select("coverage_id", "kpi_name", "year", "quarter", "obs", "value", "is_restated")
+
+
+@query("kpi_groups_nested")
+def kpi_groups_nested(spark, d):
+    """Per coverage and KPI, its points in order of year and quarter."""
+    s = Tables(spark, d).series()
+    points = F.array_sort(F.collect_list(F.struct("year", "quarter", "period", "value")))
+    return s.groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n"), points.alias("points"))
+
+
+@query("kpi_points_count", "SELECT coverage_id, kpi_name, count(*) AS n, min(value) AS low, max(value) AS high FROM v_series GROUP BY 1, 2")
+def kpi_points_count(spark, d):
+    return Tables(spark, d).series().groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("sort_period_key", "SELECT coverage_id, kpi_name, period, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY year, quarter, period) AS pos FROM v_series")
+def sort_period_key(spark, d):
+    key = sort_key(F.col("period"))
+    return Tables(spark, d).series().select("coverage_id", "kpi_name", "period", F.row_number().over(Window.partitionBy("coverage_id", "kpi_name").orderBy(key["year"], key["quarter"], "period")).alias("pos"))
+
+
+@query("sort_period_lexical", "SELECT coverage_id, kpi_name, period, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY period) AS pos FROM v_series")
+def sort_period_lexical(spark, d):
+    return Tables(spark, d).series().select("coverage_id", "kpi_name", "period", F.row_number().over(Window.partitionBy("coverage_id", "kpi_name").orderBy("period")).alias("pos"))
+
+
+@query("output_latest_per_type", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY coverage_id, filing_type ORDER BY filed_date DESC, document_id DESC) AS rn FROM v_filings WHERE ingest_status = 'indexed') SELECT coverage_id, filing_type, document_id FROM r WHERE rn = 1")
+def output_latest_per_type(spark, d):
+    f = Tables(spark, d).filings().filter("ingest_status = 'indexed'")
+    return first_per(f, ["coverage_id", "filing_type"], F.desc("filed_date"), F.desc("document_id")).select("coverage_id", "filing_type", "document_id")
+
+
+@query("evidence_first_occurrence", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) SELECT l_partkey AS chunk_id, l_linenumber AS query_no, l_orderkey AS hit FROM r WHERE rn = 1")
+def evidence_first_occurrence(spark, d):
+    hits = Tables(spark, d).raw("lineitem").select("l_partkey", "l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice")
+    return first_per(hits, ["l_partkey"], F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_extendedprice")).select(F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").alias("query_no"), F.col("l_orderkey").alias("hit"))
+
+
+@query("footnote_numbering", "WITH f AS (SELECT coverage_id, file_name, min(document_id) AS pos FROM (SELECT coverage_id, filing_type || '/' || period AS file_name, document_id FROM v_filings) GROUP BY 1, 2) SELECT coverage_id, file_name AS citation, dense_rank() OVER (PARTITION BY coverage_id ORDER BY pos) AS footnote FROM f")
+def footnote_numbering(spark, d):
+    f = Tables(spark, d).filings().select("coverage_id", F.concat_ws("/", "filing_type", "period").alias("citation"), "document_id")
+    f = f.groupBy("coverage_id", "citation").agg(F.min("document_id").alias("pos"))
+    return f.select("coverage_id", "citation", F.dense_rank().over(Window.partitionBy("coverage_id").orderBy("pos")).alias("footnote"))
+
+
+@query("inbox_newest_200", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS rn FROM v_audit) SELECT tenant_id, id FROM r WHERE rn <= 200")
+def inbox_newest_200(spark, d):
+    return first_per(Tables(spark, d).audit(), ["tenant_id"], F.desc("created_at"), F.desc("id"), n=200).select("tenant_id", "id")
+
+
+@query("excuse_phrase_frequency", "SELECT kpi_name, count(*) AS n, count(DISTINCT year * 10 + quarter) AS n_periods FROM v_kpis WHERE value < 5000 GROUP BY 1")
+def excuse_phrase_frequency(spark, d):
+    k = Tables(spark, d).kpis().filter("value < 5000")
+    return k.groupBy("kpi_name").agg(F.count("*").alias("n"), F.count_distinct(F.col("year") * 10 + F.col("quarter")).alias("n_periods"))

@@ -1 +1,151 @@
-"""Registered later."""
+"""Dense, sparse and hybrid search; quotes against the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.retrieval import DENSE_THRESHOLD, SPARSE_THRESHOLD, cosine, dense_search, fuse, hashed, postings, sparse_search, top_k, with_parents
+from ..sources.views import Tables
+from .registry import query
+
+STOP = "('a','an','the','and','or','but','if','while','of','at','by','for','with','about','against','between','into','through','during','before','after','above','below','to','from','up','down','in','out','on','off','over','under','again','further','then','once','here','there','all','any','both','each','few','more','most','other','some','such','no','nor','not','only','own','same','so','than','too','very','s','t','can','will','just','don','should','now','is','are','was','were','be','been','being','have','has','had','do','does','did','doing','this','that','these','those','i','you','he','she','it','we','they','what','which','who','whom','as')"
+TOKENS = f"tok AS (SELECT document_id AS chunk_id, t AS token, count(*) AS f FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM v_corpus) WHERE t NOT IN {STOP} GROUP BY 1, 2), idx AS (SELECT chunk_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS weight FROM tok)"
+QTOK = f"qt AS (SELECT item_id AS query_id, t AS token, count(*) AS f FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE t NOT IN {STOP} GROUP BY 1, 2), qidx AS (SELECT query_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS qw FROM qt)"
+SPARSE = "sp AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(weight * qw AS DECIMAL(38,12))) AS DOUBLE), 6) AS score FROM idx JOIN qidx USING (token) GROUP BY 1, 2), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 20)"
+DENSE = "dn AS (SELECT q.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(q.vector, v.vector), 9) AS score FROM v_vectors v, v_vectors q WHERE q.chunk_id % 20 = 0), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 20)"
+
+
+def _dense(t: Tables, k: int = 20, same: list[str] = []):
+    v = t.vectors()
+    q = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), *same)
+    return dense_search(q, v, k, same)
+
+
+def _sparse_parts(t: Tables):
+    index = postings(t.corpus().withColumnRenamed("document_id", "chunk_id"), "chunk_id", "content")
+    return postings(t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text"), index
+
+
+@query("dense_topk", f"WITH {DENSE} SELECT query_id, chunk_id, rank FROM dense")
+def dense_topk(spark, d):
+    return _dense(Tables(spark, d)).select("query_id", "chunk_id", "rank")
+
+
+@query("industry_dense_search", "WITH x AS (SELECT q.chunk_id AS query_id, v.chunk_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 9) DESC, v.chunk_id) AS rank FROM v_vectors v JOIN v_vectors q ON q.industry_id = v.industry_id WHERE q.chunk_id % 20 = 0) SELECT query_id, chunk_id, rank FROM x WHERE rank <= 8")
+def industry_dense_search(spark, d):
+    return _dense(Tables(spark, d), 8, ["industry_id"]).select("query_id", "chunk_id", "rank")
+
+
+@query("tokenize_bm25", f"SELECT document_id, count(*) FILTER (WHERE t NOT IN {STOP}) AS n_tokens FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM v_corpus) GROUP BY 1")
+def tokenize_bm25(spark, d):
+    from ..functions.text import index_tokens
+
+    return Tables(spark, d).corpus().select("document_id", F.size(index_tokens(F.col("content"))).cast("long").alias("n_tokens"))
+
+
+@query("sparse_tf_tokens", f"WITH {TOKENS} SELECT token, count(*) AS df, round(CAST(sum(CAST(weight AS DECIMAL(38,12))) AS DOUBLE), 6) AS weight FROM idx GROUP BY 1")
+def sparse_tf_tokens(spark, d):
+    _, index = _sparse_parts(Tables(spark, d))
+    return index.groupBy("token").agg(F.count("*").alias("df"), F.round(F.sum(F.col("weight").cast("decimal(38,12)")).cast("double"), 6).alias("weight"))
+
+
+@query("sparse_tf_hashed")
+def sparse_tf_hashed(spark, d):
+    _, index = _sparse_parts(Tables(spark, d))
+    return hashed(index, "chunk_id").groupBy("bucket").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("sparse_topk", f"WITH {TOKENS}, {QTOK}, {SPARSE} SELECT query_id, chunk_id, rank FROM sparse")
+def sparse_topk(spark, d):
+    return sparse_search(*_sparse_parts(Tables(spark, d)), 20).select("query_id", "chunk_id", "rank")
+
+
+FUSED = "f AS (SELECT query_id, chunk_id, round(coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (WHERE list = 0), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (WHERE list = 1), 0), 9) AS score FROM (SELECT query_id, chunk_id, rank, 0 AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sparse) GROUP BY 1, 2)"
+
+
+@query("rrf_fusion", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE}, {FUSED} SELECT query_id, chunk_id, score FROM f")
+def rrf_fusion(spark, d):
+    t = Tables(spark, d)
+    return fuse([_dense(t), sparse_search(*_sparse_parts(t), 20)]).select("query_id", "chunk_id", "score")
+
+
+@query("join_fusion_full_outer", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, b.rank AS sparse_rank FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id")
+def join_fusion_full_outer(spark, d):
+    t = Tables(spark, d)
+    a = _dense(t).select("query_id", "chunk_id", F.col("rank").alias("dense_rank"))
+    b = sparse_search(*_sparse_parts(t), 20).select("query_id", "chunk_id", F.col("rank").alias("sparse_rank"))
+    return a.join(b, ["query_id", "chunk_id"], "full")
+
+
+@query("hybrid_search", f"""WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE}, {FUSED},
+    r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM f),
+    p AS (SELECT r.query_id, r.chunk_id, c.n_chars FROM r LEFT JOIN v_corpus c ON c.document_id = r.chunk_id WHERE rn <= 20),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, chunk_id) AS rank FROM p)
+    SELECT query_id, chunk_id, n_chars, rank FROM k WHERE rank <= 8""")
+def hybrid_search(spark, d):
+    """Dense and sparse lists, fusion, top 20, parents, and a reranker column (here the parent's length), top 8."""
+    t = Tables(spark, d)
+    best = top_k(fuse([_dense(t), sparse_search(*_sparse_parts(t), 20)]), "query_id", "score", "chunk_id", 20).drop("rank")
+    parents = t.corpus().select(F.col("document_id").alias("chunk_id"), "n_chars")
+    return top_k(with_parents(best, parents, "chunk_id").withColumn("n_chars", F.col("n_chars")), "query_id", "n_chars", "chunk_id", 8).select("query_id", "chunk_id", "n_chars", "rank")
+
+
+@query("join_parent_hydration", "SELECT v.chunk_id, c.n_chars AS parent_chars FROM v_vectors v LEFT JOIN v_corpus c ON c.document_id = v.chunk_id")
+def join_parent_hydration(spark, d):
+    t = Tables(spark, d)
+    return with_parents(t.vectors().select("chunk_id"), t.corpus().select(F.col("document_id").alias("chunk_id"), F.col("n_chars").alias("parent_chars")), "chunk_id")
+
+
+@query("rrf_rank", "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings")
+def rrf_rank(spark, d):
+    v = Tables(spark, d).raw("embeddings").select("label", "vec_id")
+    return top_k(v.withColumn("score", F.col("vec_id")), "label", "score", "vec_id", 1 << 30).select("label", "vec_id", "rank")
+
+
+@query("quote_sparse", f"WITH {TOKENS}, {QTOK}, {SPARSE} SELECT b.item_id AS quote_id, coalesce(s.score >= 0.5, false) AS found FROM benchmark b LEFT JOIN sparse s ON s.query_id = b.item_id AND s.rank = 1")
+def quote_sparse(spark, d):
+    """Stage one as the reference has it: the best sparse hit from 0.5 on, so one shared word is enough."""
+    t = Tables(spark, d)
+    best = sparse_search(*_sparse_parts(t), 1).select(F.col("query_id").alias("quote_id"), "score")
+    return t.raw("benchmark").select(F.col("item_id").alias("quote_id")).join(best, "quote_id", "left").select("quote_id", F.coalesce(F.col("score") >= SPARSE_THRESHOLD, F.lit(False)).alias("found"))
+
+
+@query("quote_verbatim", "SELECT b.item_id AS quote_id, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+def quote_verbatim(spark, d):
+    """Documents that hold a quote verbatim: candidates by the quote's first words' hash, then contains()."""
+    t = Tables(spark, d)
+    lead = 4
+    q = t.raw("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    q = q.withColumn("seed", F.xxhash64(F.array_join(F.slice(F.split(F.regexp_replace("quote", r"^\s+", ""), r"\s+"), 1, lead), " ")))
+    words = F.split(F.col("text"), r"\s+")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - lead + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, lead), " "))))
+    seeds = t.raw("documents").select("doc_id", F.explode(grams).alias("seed")).join(q.select("seed", "quote_id"), "seed").select("doc_id", "quote_id").distinct()
+    found = seeds.join(q.select("quote_id", "quote"), "quote_id").join(t.raw("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "quote"))
+    counts = found.groupBy("quote_id").agg(F.count("*").alias("n"))
+    return q.select("quote_id").join(counts, "quote_id", "left").select("quote_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
+
+
+@query("quote_semantic", "SELECT q.chunk_id AS quote_id, max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92 AS paraphrase FROM v_vectors q, v_vectors v WHERE q.chunk_id % 20 = 0 AND v.chunk_id <> q.chunk_id GROUP BY 1")
+def quote_semantic(spark, d):
+    best = _dense(Tables(spark, d), 2).filter("query_id <> chunk_id").groupBy(F.col("query_id").alias("quote_id")).agg(F.max("score").alias("score"))
+    return best.select("quote_id", (F.col("score") >= DENSE_THRESHOLD).alias("paraphrase"))
+
+
+@query("hallucination_cascade", f"""WITH {TOKENS}, {QTOK}, {SPARSE}, e AS (SELECT query_id FROM sparse WHERE rank = 1 AND score >= 60),
+    p AS (SELECT q.chunk_id FROM v_vectors q, v_vectors v WHERE q.chunk_id < 40 AND v.chunk_id <> q.chunk_id GROUP BY 1 HAVING max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92)
+    SELECT item_id AS quote_id, CASE WHEN item_id IN (SELECT query_id FROM e) THEN 'exact' WHEN item_id IN (SELECT chunk_id FROM p) THEN 'paraphrase' ELSE 'hallucinated' END AS status FROM benchmark""")
+def hallucination_cascade(spark, d):
+    """Stage two sees only what stage one missed; what both miss is hallucinated."""
+    t = Tables(spark, d)
+    quotes = t.raw("benchmark").select(F.col("item_id").alias("quote_id"))
+    exact = sparse_search(*_sparse_parts(t), 1).filter("score >= 60").select(F.col("query_id").alias("quote_id"))
+    missed = quotes.join(exact, "quote_id", "left_anti")
+    v = t.vectors()
+    q = v.join(missed.select(F.col("quote_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    near = dense_search(q, v, 2).filter(f"query_id <> chunk_id and score >= {DENSE_THRESHOLD}").select(F.col("query_id").alias("quote_id")).distinct()
+    return quotes.join(exact.withColumn("e", F.lit(True)), "quote_id", "left").join(near.withColumn("p", F.lit(True)), "quote_id", "left").select("quote_id", F.when(F.col("e"), "exact").when(F.col("p"), "paraphrase").otherwise("hallucinated").alias("status"))
+
+
+@query("vector_norms", "SELECT chunk_id, round(list_cosine_similarity(vector, vector), 6) AS self_similarity FROM v_vectors")
+def vector_norms(spark, d):
+    return Tables(spark, d).vectors().select("chunk_id", F.round(cosine(F.col("vector"), F.col("vector")), 6).alias("self_similarity"))
