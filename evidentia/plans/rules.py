@@ -1 +1,80 @@
-"""Registered later."""
+"""Evaluation rules, gates, workflow routing and prerequisites."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.citation import coverage
+from ..functions.text import word_count
+from ..sources.views import Tables
+from .registry import query
+from .texts import CLAIMS, cover
+
+CASES = f"""SELECT output_id, content, content LIKE '### Q1:%' AS starts, contains(content, '### Q2: ') AND contains(content, '### Q5: ') AS answers,
+    contains(lower(content), 'not found') AS not_found, NOT contains(lower(content), 'guaranteed') AS clean, {cover(CLAIMS)} AS coverage,
+    len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS words FROM v_answers"""
+
+
+def _cases(spark, d):
+    t = F.col("content")
+    return Tables(spark, d).answers().select(
+        "output_id", t.startswith("### Q1:").alias("starts"), (t.contains("### Q2: ") & t.contains("### Q5: ")).alias("answers"), F.lower(t).contains("not found").alias("not_found"),
+        (~F.lower(t).contains("guaranteed")).alias("clean"), coverage(t).alias("coverage"), word_count(t).cast("long").alias("words"),
+    )
+
+
+@query("eval_rules", f"SELECT output_id, starts, answers, not_found, clean, coverage, words FROM ({CASES})")
+def eval_rules(spark, d):
+    return _cases(spark, d)
+
+
+@query("eval_report_aggregate", f"SELECT count(*) AS n, avg(CASE WHEN starts AND answers AND words <= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pass_rate, round(avg(coverage), 9) AS avg_coverage FROM ({CASES})")
+def eval_report_aggregate(spark, d):
+    passed = F.col("starts") & F.col("answers") & (F.col("words") <= 60)
+    return _cases(spark, d).agg(F.count("*").alias("n"), F.avg(F.when(passed, 1.0).otherwise(0.0)).alias("pass_rate"), F.round(F.avg("coverage"), 9).alias("avg_coverage"))
+
+
+@query("hallucination_rate", "SELECT source, coalesce(sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 0), 0.0::DOUBLE) AS rate FROM documents GROUP BY 1")
+def hallucination_rate(spark, d):
+    bad, all_ = F.count_if(F.col("doc_id") % 7 == 0), F.count_if(F.col("doc_id") % 2 == 0)
+    return Tables(spark, d).raw("documents").groupBy("source").agg(F.coalesce(F.try_divide(bad.cast("double"), all_), F.lit(0.0)).alias("rate"))
+
+
+@query("eval_gate", f"SELECT avg(coverage) >= 0.95 AS coverage_ok, avg(CASE WHEN starts AND answers THEN 1.0 ELSE 0.0 END) >= 1.0 AS pass_ok FROM ({CASES})")
+def eval_gate(spark, d):
+    return _cases(spark, d).agg((F.avg("coverage") >= 0.95).alias("coverage_ok"), (F.avg(F.when(F.col("starts") & F.col("answers"), 1.0).otherwise(0.0)) >= 1.0).alias("pass_ok"))
+
+
+ROUTE = "CASE WHEN NOT primer THEN 'build_primer' WHEN n_filings < 3 THEN 'ask_for_filings' WHEN status = 'setup' THEN 'bull_case' WHEN status = 'active' THEN 'quarterly_update' ELSE 'done' END"
+READY = """SELECT c.coverage_id, c.status, coalesce(i.primer_content IS NOT NULL, false) AS primer, coalesce(f.n, 0) AS n_filings, coalesce(f.y, 0) AS n_years
+    FROM v_coverages c LEFT JOIN v_industries i ON i.industry_id = c.industry_id LEFT JOIN (SELECT coverage_id, count(*) AS n, count(DISTINCT period) AS y FROM v_filings GROUP BY 1) f ON f.coverage_id = c.coverage_id"""
+
+
+def _ready(spark, d):
+    t = Tables(spark, d)
+    f = t.filings().groupBy("coverage_id").agg(F.count("*").alias("n"), F.count_distinct("period").alias("y"))
+    i = t.industries().select("industry_id", F.col("primer_content").isNotNull().alias("primer"))
+    j = t.coverages().join(i, "industry_id", "left").join(f, "coverage_id", "left")
+    return j.select("coverage_id", "status", F.coalesce("primer", F.lit(False)).alias("primer"), F.coalesce("n", F.lit(0)).alias("n_filings"), F.coalesce("y", F.lit(0)).alias("n_years"))
+
+
+@query("prerequisites", f"SELECT coverage_id, primer, n_filings, n_years, primer AND n_years >= 3 AS ready FROM ({READY})")
+def prerequisites(spark, d):
+    return _ready(spark, d).select("coverage_id", "primer", "n_filings", "n_years", (F.col("primer") & (F.col("n_years") >= 3)).alias("ready"))
+
+
+@query("workflow_route", f"SELECT coverage_id, {ROUTE} AS next_step FROM ({READY})")
+def workflow_route(spark, d):
+    route = F.when(~F.col("primer"), "build_primer").when(F.col("n_filings") < 3, "ask_for_filings").when(F.col("status") == "setup", "bull_case").when(F.col("status") == "active", "quarterly_update").otherwise("done")
+    return _ready(spark, d).select("coverage_id", route.alias("next_step"))
+
+
+@query("quality_gate", "SELECT doc_id, CASE WHEN least(n_chars / 2000.0, 1.0) < 0.5 THEN 'review_needed' ELSE 'indexed' END AS ingest_status FROM documents")
+def quality_gate(spark, d):
+    return Tables(spark, d).raw("documents").select("doc_id", F.when(F.least(F.col("n_chars") / 2000.0, F.lit(1.0)) < 0.5, "review_needed").otherwise("indexed").alias("ingest_status"))
+
+
+@query("retry_decision", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'complete' WHEN event_id % 4 < 3 THEN 'retry' ELSE 'failed' END AS outcome FROM events")
+def retry_decision(spark, d):
+    tries = F.col("event_id") % 4
+    return Tables(spark, d).raw("events").select("event_id", F.when(F.col("event_type") != "error", "complete").when(tries < 3, "retry").otherwise("failed").alias("outcome"))
