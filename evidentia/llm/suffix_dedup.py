@@ -40,7 +40,9 @@ U = np.uint64
 LENGTH, GRAM = 50, 24
 SLICE = 1_500_000
 BUCKET_BYTES = 16 << 20  # text per bucket of the index
-BLOB = "bucket int, old boolean, ids binary, ths binary, counts binary, h binary, ctx binary, pos binary"
+BLOB = "bucket int, old boolean, ids binary, uids binary, counts binary, h binary, ctx binary, pos binary"
+CONTEXTS = "bucket int, ids binary, uids binary, counts binary, pos binary, sizes binary, bytes binary"
+MARKS = "uid long, mark long"
 FULL, PARTIAL, WINDOW = 0, 1, 2
 
 
@@ -85,7 +87,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return doc, p - offs[doc], grams[p], ctx
 
 
-def _blobs(bits: int, bucket_hash, ids, ths, doc, h, ctx, pos, old: bool = False):
+def _blobs(bits: int, bucket_hash, ids, uids, doc, h, ctx, pos, old: bool = False):
     """Rows of BLOB: entries of one bucket, the documents as a run-length list."""
     bucket = (bucket_hash >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(bucket_hash), np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -96,10 +98,10 @@ def _blobs(bits: int, bucket_hash, ids, ths, doc, h, ctx, pos, old: bool = False
         d = doc[o]
         runs = key_changes(d)
         first = d[runs[:-1]]
-        rows.append((int(bucket[o[0]]), old, ids[first].tobytes(), ths[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), h[o].tobytes(), ctx[o].tobytes(), pos[o].astype(np.uint32).tobytes()))
+        rows.append((int(bucket[o[0]]), old, ids[first].tobytes(), uids[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), h[o].tobytes(), ctx[o].tobytes(), pos[o].astype(np.uint32).tobytes()))
     if rows:
         c = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in c[2:])], ["bucket", "old", "ids", "ths", "counts", "h", "ctx", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in c[2:])], ["bucket", "old", "ids", "uids", "counts", "h", "ctx", "pos"])
 
 
 def _unblob(table: pa.Table, i: int, j: int):
@@ -107,11 +109,12 @@ def _unblob(table: pa.Table, i: int, j: int):
     col = lambda name, kind: np.frombuffer(b"".join(table.column(name).slice(i, j - i).to_pylist()), kind)
     counts = col("counts", np.uint32)
     per_blob = np.array([len(x) // 4 for x in table.column("pos").slice(i, j - i).to_pylist()])
-    return np.repeat(col("ids", np.int64), counts), np.repeat(col("ths", np.int64), counts), col("h", np.uint32), col("ctx", np.uint64), col("pos", np.uint32), np.repeat(table.column("old").to_numpy(zero_copy_only=False)[i:j], per_blob)
+    return np.repeat(col("ids", np.int64), counts), np.repeat(col("uids", np.int64), counts), col("h", np.uint32), col("ctx", np.uint64), col("pos", np.uint32), np.repeat(table.column("old").to_numpy(zero_copy_only=False)[i:j], per_blob)
 
 
-def _found(ids, ths, pos, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(pos.astype(np.int64) * 4 + kind)], ["id", "th", "mark"])
+def _found(uids, pos, n, kind) -> pa.RecordBatch:
+    """Marks: from a place on, n places, of a kind."""
+    return pa.RecordBatch.from_arrays([pa.array(uids), pa.array((pos.astype(np.int64) * 256 + n) * 4 + kind)], ["uid", "mark"])
 
 
 def _starts(*cols) -> np.ndarray:
@@ -126,9 +129,9 @@ def _scan(table: pa.Table):
     """Merge one bucket's new entries with the old runs; yields marks of the texts."""
     at = key_changes(table.column("bucket").to_numpy())
     for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        ids, ths, h, ctx, pos, old = _unblob(table, i, j)
+        ids, uids, h, ctx, pos, old = _unblob(table, i, j)
         order = np.lexsort((ids, ctx, h))
-        ids, ths, h, ctx, pos, old = (x[order] for x in (ids, ths, h, ctx, pos, old))
+        ids, uids, h, ctx, pos, old = (x[order] for x in (ids, uids, h, ctx, pos, old))
         new_h, new_c = _starts(h), _starts(h, ctx)
         group, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
         first = ids[new_c][context]  # the smallest document with this context
@@ -141,7 +144,7 @@ def _scan(table: pa.Table):
         lead &= ~lone[group] if len(ids) else lead
         for mask, kind in ((full, FULL), (lead, PARTIAL)):
             if mask.any():
-                yield _found(ids[mask], ths[mask], pos[mask], kind)
+                yield _found(uids[mask], pos[mask], 1, kind)
 
 
 def _merge(bits: int):
@@ -151,30 +154,48 @@ def _merge(bits: int):
         buckets = table.column("bucket").to_numpy()
         at = key_changes(buckets)
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            ids, ths, h, ctx, pos, _ = _unblob(table, i, j)
+            ids, uids, h, ctx, pos, _ = _unblob(table, i, j)
             order = np.lexsort((ids, ctx, h))
-            ids, ths, h, ctx, pos = (x[order] for x in (ids, ths, h, ctx, pos))
+            ids, uids, h, ctx, pos = (x[order] for x in (ids, uids, h, ctx, pos))
             new_c = _starts(h, ctx)
             keep = np.flatnonzero(ids == ids[new_c][np.cumsum(new_c) - 1])
             keep = keep[np.argsort(ids[keep], kind="stable")]  # by document, for the run-length list
-            new_doc = _starts(ids[keep], ths[keep])
-            for batch in _blobs(0, h[keep].astype(np.uint64), ids[keep][new_doc], ths[keep][new_doc], np.cumsum(new_doc) - 1, h[keep], ctx[keep], pos[keep], True):
+            new_doc = _starts(ids[keep], uids[keep])
+            for batch in _blobs(0, h[keep].astype(np.uint64), ids[keep][new_doc], uids[keep][new_doc], np.cumsum(new_doc) - 1, h[keep], ctx[keep], pos[keep], True):
                 yield batch.set_column(0, "bucket", pa.array(np.full(batch.num_rows, buckets[i], np.int32)))
 
     return work
 
 
-def _first_of_windows(table: pa.Table):
-    """Strings of a bucket: those whose smallest document is another one."""
-    at = key_changes(table.column("bucket").to_numpy())
-    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        ids, ths, _, ctx, pos, _ = _unblob(table, i, j)
-        order = np.lexsort((ids, ctx))
-        ids, ths, ctx, pos = (x[order] for x in (ids, ths, ctx, pos))
-        new = _starts(ctx)
-        later = ids > ids[new][np.cumsum(new) - 1]
-        if later.any():
-            yield _found(ids[later], ths[later], pos[later], WINDOW)
+def _first_of_strings(length: int):
+    """Contexts of a bucket: the strings in them whose smallest document is another one, as runs of starts."""
+
+    def work(table: pa.Table):
+        at = key_changes(table.column("bucket").to_numpy())
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            part = table.slice(i, j - i)
+            col = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)  # noqa: E731, B023
+            counts, sizes, pos = col("counts", np.uint32), col("sizes", np.uint8).astype(np.int64), col("pos", np.uint32).astype(np.int64)
+            ids, uids = np.repeat(col("ids", np.int64), counts), np.repeat(col("uids", np.int64), counts)
+            data = col("bytes", np.uint8)
+            begin = np.cumsum(sizes) - sizes
+            n = sizes - length + 1  # strings in each context
+            which = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            h = _spans(_prefix(data), begin[which] + nth, begin[which] + nth + length)
+            order = np.lexsort((ids[which], h))
+            new = _starts(h[order])
+            later = np.zeros(len(which), bool)
+            own = ids[which[order]]
+            later[order] = own > own[new][np.cumsum(new) - 1]
+            edge = later & ~np.concatenate([[False], later[:-1] & (which[1:] == which[:-1])])
+            first = np.flatnonzero(edge)
+            if len(first):
+                run = np.add.reduceat(later.astype(np.int64), first)
+                run = np.minimum(run, np.diff(np.append(first, len(later))))
+                yield _found(uids[which[first]], pos[which[first]] + nth[first], run, WINDOW)
+
+    return work
 
 
 class SuffixIndexFamily:
@@ -184,6 +205,7 @@ class SuffixIndexFamily:
         self.space, self.bits, self.length, self.gram, self.fanout = space, bits, length, gram, fanout
         self.levels: list[list[DataFrame]] = []
         self.batches = 0
+        self.names: list[str] = []
 
     def _entries(self, texts: DataFrame) -> DataFrame:
         bits, length, gram = self.bits, self.length, self.gram
@@ -191,29 +213,35 @@ class SuffixIndexFamily:
         def work(batches):
             for batch in batches:
                 data, offs = kernel.as_bytes(batch.column("text"))
-                ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+                ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
                 for i, j in kernel.slices(offs, SLICE):
                     doc, pos, h, ctx = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
-                    yield from _blobs(bits, h, ids[i:j], ths[i:j], doc, (h >> U(8)).astype(np.uint32), ctx, pos)
+                    yield from _blobs(bits, h, ids[i:j], uids[i:j], doc, (h >> U(8)).astype(np.uint32), ctx, pos)
 
-        return texts.select("id", "th", "text").mapInArrow(work, BLOB)
+        return texts.select("id", "uid", "text").mapInArrow(work, BLOB)
 
     def add(self, texts: DataFrame, more: bool) -> DataFrame:
         """more: further batches follow, so the batch's own run is kept and levels merge."""
         k, self.batches = self.batches, self.batches + 1
         new = self._entries(texts)
         old = [run for level in self.levels for run in level]
-        marks = self.space.save(by_sorted_key(reduce(DataFrame.unionAll, [new, *old]), "bucket", [], _scan, "id long, th long, mark long", 1 << self.bits), f"marks-{k}")
+        marks = self.space.save(by_sorted_key(reduce(DataFrame.unionAll, [new, *old]), "bucket", [], _scan, MARKS, 1 << self.bits), f"marks-{k}")
         if more:
+            self.space.release()
             self._put(new, 0, f"{k}")
-        self.space.release()
         return marks
 
+    def drop(self) -> None:
+        """Free the runs' files, when no more batches come."""
+        for name in self.names:
+            self.space.drop(name)
+
     def _put(self, run: DataFrame, level: int, name: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         merged = by_sorted_key(reduce(DataFrame.unionAll, [run, *self.levels[level]]) if len(self.levels[level]) + 1 >= self.fanout else run, "bucket", [], _merge(self.bits), BLOB, 1 << self.bits)
         saved = self.space.save(merged, f"level{level}-{name}")
+        self.names.append(f"level{level}-{name}")
         if len(self.levels[level]) + 1 >= self.fanout:
             self.levels[level] = []
             while len(self.levels) <= level + 1:
@@ -230,55 +258,71 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     spark = docs.sparkSession
     space = Workspace(spark, "passages")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("th2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"), body.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
-    # Dealt and sorted by id once; later joins on the id move only the small side.
+    # Dealt and sorted by row number once; later joins on it move only the small side.
     parts = max(4, int(size // (8 << 20)))
     table = f"passages_{space.root.rpartition('-')[2]}"
-    rows.repartition(parts, "id").sortWithinPartitions("id").write.bucketBy(parts, "id").sortBy("id").option("path", space.path("texts")).format("parquet").option("compression", "zstd").saveAsTable(table)
+    rows.repartition(parts, "uid").sortWithinPartitions("uid").write.bucketBy(parts, "uid").sortBy("uid").option("path", space.path("texts")).format("parquet").option("compression", "zstd").saveAsTable(table)
     texts = spark.table(table)
     space.release()
 
     # A whole copy of a text with a smaller id goes whole, and need not be indexed.
-    same = space.save(texts.filter(F.col("id").isNotNull()).groupBy("th", "th2").agg(F.min("id").alias("first")), "same")
-    heads = space.save(same.select(F.col("first").alias("id"), "th", "th2", F.lit(True).alias("head")), "heads")
-    indexed = texts.filter(F.octet_length("text") >= length).join(heads, ["id", "th", "th2"], "left_semi").select("id", "th", "text")
+    brief = texts.filter(F.col("id").isNotNull()).select("uid", "id", "h1", "h2")
+    same = space.save(brief.groupBy("h1", "h2").agg(F.min("id").alias("first")), "same")
+    known = space.save(brief.join(same, ["h1", "h2"]).select("uid", (F.col("id") == F.col("first")).alias("head")), "known")
+    indexed = texts.filter(F.octet_length("text") >= length).join(known.filter("head"), "uid", "left_semi").select("uid", "id", "text")
     family = SuffixIndexFamily(space, bits, length, gram)
     parts_of = id_batches(indexed, batches, "id")
-    marks = [family.add(batch, k + 1 < len(parts_of)) for k, batch in enumerate(parts_of)]
+    marks = []
+    for k, batch in enumerate(parts_of):
+        marks.append(family.add(batch, k + 1 < len(parts_of)))
+        space.release()
+    family.drop()
     marks = reduce(DataFrame.unionAll, marks)
+    gathered = marks.filter((F.col("mark") % 4) == PARTIAL).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
 
-    gathered = marks.filter((F.col("mark") % 4) == PARTIAL).groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
-
-    def windows(batches):
+    def contexts(batches):
+        reach = length - gram
         for batch in batches:
             data, offs = kernel.as_bytes(batch.column("text"))
-            ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
-            lists = batch.column("marks")
-            values, at = lists.values.to_numpy() // 4, lists.offsets.to_numpy()
-            for i, j in kernel.slices(offs, SLICE):
-                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                count = np.zeros(len(part) + 1, np.int64)
-                for k in range(i, j):  # a string starts where an anchor lies within it
-                    p = values[at[k] : at[k + 1]]
-                    last = o[k - i + 1] - o[k - i] - length
-                    np.add.at(count, o[k - i] + np.maximum(p - (length - gram), 0), 1)
-                    np.add.at(count, o[k - i] + np.minimum(p, last) + 1, -1)
-                s = np.flatnonzero(np.cumsum(count[:-1]) > 0)
-                h = _spans(_prefix(part), s, s + length)
-                doc = np.searchsorted(o, s, "right") - 1
-                yield from _blobs(bits, h, ids[i:j], ths[i:j], doc, np.zeros(len(h), np.uint32), h, s - o[doc])
-
-    strings = texts.join(gathered, ["id", "th"]).select("id", "th", "text", "marks").mapInArrow(windows, BLOB)
-    later = space.save(by_sorted_key(strings, "bucket", [], _first_of_windows, "id long, th long, mark long", 1 << bits), "later")
+            ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
+            values, at = batch.column("marks").values.to_numpy() // 1024, batch.column("marks").offsets.to_numpy()
+            doc = np.repeat(np.arange(len(ids)), np.diff(at))
+            p = np.concatenate([np.sort(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())] or [np.zeros(0, np.int64)])
+            keep = np.ones(len(p), bool)
+            keep[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])  # a text may be marked by several batches
+            p, doc = p[keep], doc[keep]
+            left = np.minimum(p, reach)
+            right = np.minimum(offs[doc + 1] - offs[doc] - p, length)
+            begin, sizes = offs[doc] + p - left, left + right
+            gram_bytes = data[(offs[doc] + p)[:, None] + np.arange(gram)] if len(p) else np.zeros((0, gram), np.uint8)
+            h = kernel.mix((kernel._BYTE[gram_bytes] * kernel.powers(kernel._BASE, gram)).sum(axis=1, dtype=np.uint64))
+            bucket = (h >> U(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts, rows = key_changes(bucket[order]), []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                o = order[a:b]
+                runs = key_changes(doc[o])
+                first, n = doc[o][runs[:-1]], sizes[o]
+                stop = np.cumsum(n)
+                raw = data[np.arange(int(stop[-1])) - np.repeat(stop - n - begin[o], n)]
+                rows.append((int(bucket[o[0]]), ids[first].tobytes(), uids[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), (p[o] - left[o]).astype(np.uint32).tobytes(), n.astype(np.uint8).tobytes(), raw.tobytes()))
+            if rows:
+                c = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", "ids", "uids", "counts", "pos", "sizes", "bytes"])
+
+    strings = texts.join(gathered, "uid").select("uid", "id", "text", "marks").mapInArrow(contexts, CONTEXTS)
+    later = space.save(by_sorted_key(strings, "bucket", [], _first_of_strings(length), MARKS, 1 << bits), "later")
     space.release()
 
-    gone = marks.filter((F.col("mark") % 4) == FULL).unionByName(later).groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
-    copies = texts.select("id", "th", "th2").join(same, ["th", "th2"]).filter("id > first").select("id", "th", F.lit(True).alias("copy")).distinct()
-    gone = gone.join(copies, ["id", "th"], "full")
+    gone = marks.filter((F.col("mark") % 4) == FULL).unionByName(later).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
+    gone = gone.join(known.filter("not head").select("uid", F.lit(True).alias("copy")), "uid", "full")
 
     def remove(batches):
+        reach = length - gram
         for batch in batches:
             out = []
             lists, copy = batch.column("marks"), batch.column("copy")
@@ -294,16 +338,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
                     out.append((n, 0, 0, raw))
                     continue
                 m = values[at[k] : at[k + 1]]
-                p, kind = m // 4, m % 4
-                a = np.where(kind == FULL, np.maximum(p - (length - gram), 0), p)
-                edge = np.bincount(a, minlength=n + 1) - np.bincount(np.minimum(p + length, n), minlength=n + 1)
-                cover = np.cumsum(edge[:n]) > 0
+                p, kind = m // 1024, m % 4
+                a = np.where(kind == FULL, np.maximum(p - reach, 0), p)
+                b = np.minimum(np.where(kind == FULL, p + length, p + m // 4 % 256 - 1 + length), n)
+                cover = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
                 spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
                 out.append((n, int(cover.sum()), spans, np.frombuffer(raw, np.uint8)[~cover].tobytes()))
             c = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], [doc_id, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.select("id", "th", "text").join(gone, ["id", "th"], "left").select("id", "text", "marks", "copy").mapInArrow(remove, f"{doc_id} long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(gone, "uid", "left").select("id", "text", "marks", "copy").mapInArrow(remove, f"{doc_id} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

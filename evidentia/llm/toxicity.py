@@ -133,6 +133,8 @@ def _scorer(model: DataFrame):
     weights = np.zeros(PLACES + 1, np.float32)
     for r in model.toLocalIterator():  # at most PLACES + 1 rows
         weights[r.place] = r.weight
+    if not weights.any():
+        weights[PLACES] = -35.0  # nothing to learn from: no text is toxic
     at = np.flatnonzero(weights)
     places, values = at.astype(np.int32), weights[at]
 

@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version, and on odd, repeated and missing rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import decontamination, kernel, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, signature_tree, suffix_dedup, token_files, toxicity
+from evidentia.llm.components import connected_components
+from evidentia.llm.shipping import ship
+from evidentia.llm.workspace import Workspace
+
+from .conftest import ODD
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+def words(t):
+    return WORD.findall((t or "").translate(UP))
+
+
+def noisy(n, seed=1, vocab=300):
+    """Random documents, near copies of them, shared lines and passages."""
+    r = random.Random(seed)
+    pool = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(vocab)]
+    line = " ".join(r.choice(pool) for _ in range(12))
+    docs = []
+    for i in range(n):
+        if docs and r.random() < 0.3:
+            w = docs[r.randrange(len(docs))][1].split(" ")
+            for _ in range(r.choice([0, 0, 1, 3, 12])):
+                w[r.randrange(len(w))] = r.choice(pool)
+            t = " ".join(w)
+        else:
+            t = " ".join(r.choice(pool) for _ in range(r.randint(1, 120)))
+        if r.random() < 0.3:
+            t += "\n" + line + "\n" + r.choice(pool)
+        docs.append((i, t))
+    return docs
+
+
+def brute_components(ids, links):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_kernel_words():
+    data, offs = kernel.as_bytes(pa.array([t for _, t, _ in ODD]))
+    h, at = kernel.word_hashes(data, offs)
+    for k, (_, t, _) in enumerate(ODD):
+        assert at[k + 1] - at[k] == len(words(t))
+    flat = [w for _, t, _ in ODD for w in words(t)]
+    assert len(set(flat)) == len(set(h.tolist())) and len({(a, b) for a, b in zip(flat, h.tolist())}) == len(set(flat))
+
+
+# 1
+
+
+def test_tiles_find_reordered_passages():
+    item = np.arange(100, 140).astype(np.uint64)
+    doc = np.concatenate([np.arange(5), item[20:40], np.arange(7), item[:20], np.arange(9)]).astype(np.uint64)
+    found = decontamination.tiles(doc, item)
+    assert sum(n for _, _, n in found) == 40
+    for p, q, n in found:
+        assert doc[p : p + n].tolist() == item[q : q + n].tolist()
+
+
+def test_tiles_never_overlap_and_match_naive_greedy():
+    r = random.Random(3)
+    for _ in range(60):
+        a, b = [r.randrange(6) for _ in range(r.randrange(1, 40))], [r.randrange(6) for _ in range(r.randrange(1, 25))]
+        got = decontamination.tiles(np.array(a, np.uint64), np.array(b, np.uint64))
+        da, db = [i for p, _, n in got for i in range(p, p + n)], [i for _, q, n in got for i in range(q, q + n)]
+        assert len(da) == len(set(da)) and len(db) == len(set(db))
+        ma, mb = set(da), set(db)  # nothing of the least length is left
+        for p in range(len(a) - 2):
+            for q in range(len(b) - 2):
+                assert not (a[p : p + 3] == b[q : q + 3] and not ma & set(range(p, p + 3)) and not mb & set(range(q, q + 3)))
+
+
+def test_decontamination(spark, odd, none):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (4, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item.upper()}, after"), (2, "zeta eta theta iota kappa and alpha beta gamma delta epsilon."), (3, "alpha beta gamma delta epsilon only half"), (4, None), (5, "Two words!"), (None, item)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.covered_words) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 10), (2, 1, 10), (5, 4, 2), (None, 1, 10)}
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {3, 4}
+    assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
+    assert decontamination.drop_contaminated(odd, bench).count() == len(ODD) and decontamination.drop_contaminated(none, bench).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 15)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(6)]
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(6)}
+
+
+# 2
+
+
+def brute_lines(docs, least):
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda x: x.strip(strip).translate(UP)
+    c = Counter(k for _, t in docs for k in {key(x) for x in (t or "").split("\n")} if k)
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if c[key(x)] < least]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (4, 3)])
+def test_line_dedup(spark, odd, batches, fanout):
+    for docs, df in ((noisy(120), None), ([(i, t) for i, t, _ in ODD], odd)):
+        df = df if df is not None else spark.createDataFrame(docs, "doc_id long, text string")
+        got = line_dedup.line_dedup(df, min_docs=2, batches=batches, fanout=fanout).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=str) == brute_lines(docs, 2)
+
+
+def test_line_dedup_of_nothing(none):
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+# 3
+
+
+def test_token_files_round_trip(spark, odd, none):
+    path = Workspace(spark, "t").path("orc")
+    token_files.write_token_files(odd, path, token_files.vocabulary_path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.vocabulary_path("byte_bpe_50k.json"))
+    want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, _ in ODD)
+    got = token_files.read_token_files(spark, path).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += len(r.ids)
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+    crc = Counter((r.doc_id, r.ids_crc32) for r in token_files.token_digests(spark, path).collect())
+    assert crc == Counter((i, zlib.crc32(np.array(x, "<u4").tobytes())) for (i, x), n in want.items() for _ in range(n))
+    empty = Workspace(spark, "t").path("orc")
+    token_files.write_token_files(none, empty, token_files.vocabulary_path("byte_bpe_50k.json"))
+    assert token_files.token_digests(spark, empty).count() == 0
+
+
+def test_chunk_encoder_equals_tokenizer():
+    e = token_files.ChunkEncoder(token_files.vocabulary_path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "The", "'s", " ", "  ", "\n", "\t", "12", "é", " ", " ", "!", "\x1c", "日本"]) for _ in range(r.randrange(60))) for _ in range(400)]
+    got = e.encode_texts(pa.array([*texts, None]))
+    for t, ids in zip([*texts, ""], got):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+# 4
+
+
+def brute_jaccard(docs, n, percent):
+    sets = []
+    for i, t in docs:
+        w = words(t)
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())))
+    links = [(a, b) for x, (a, s) in enumerate(sets) for b, u in sets[:x] if a is not None and b is not None and s and u and 100 * len(s & u) >= percent * len(s | u)]
+    comp = brute_components({i for i, _ in sets if i is not None}, links)
+    return sorted(((i, len(s), comp.get(i)) for i, s in sets), key=str)
+
+
+@pytest.mark.parametrize("n,percent,small,block", [(4, 85, 8, 2048), (2, 60, 2, 4), (5, 80, 3, 2)])
+def test_jaccard(spark, odd, monkeypatch, n, percent, small, block):
+    monkeypatch.setattr(ngram_jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(ngram_jaccard, "GROUP_BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "OFTEN", 8)
+    for docs, df in ((noisy(150), None), ([(i, t) for i, t, _ in ODD], odd)):
+        df = df if df is not None else spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = ngram_jaccard.jaccard_components(df, n, percent).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_jaccard(docs, n, percent)
+
+
+def test_jaccard_keeps_one_of_each_group(spark, odd, none):
+    kept = [r.doc_id for r in ngram_jaccard.one_per_component(odd).collect()]
+    assert 2 not in kept and {1, 3, 4, 5, 6, 8, 9, 10, 11} <= set(kept) and kept.count(None) == 2
+    assert ngram_jaccard.one_per_component(none).count() == 0
+
+
+def test_signature_forest_is_exact():
+    r = random.Random(2)
+    base = [np.unique(np.array([r.getrandbits(64) for _ in range(40)], np.uint64)) for _ in range(8)]
+    sets = [np.unique(np.concatenate([b[r.randrange(6) :], np.array([r.getrandbits(64) for _ in range(r.randrange(5))], np.uint64)])) for b in base for _ in range(30)]
+    sim = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+    got = signature_tree.forest([signature_tree.bitmap(s).tobytes() for s in sets], np.array([len(s) for s in sets]), 85, sim)
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if sim(i, j)]
+    assert brute_components(range(len(sets)), got) == brute_components(range(len(sets)), every)
+
+
+def test_components_of_a_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r.id: r.root for r in connected_components(e, Workspace(spark, "cc"), "c").collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+# 5
+
+
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "LEAF_BLOCK", 50)
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        v = r.standard_normal(16) if i % 4 or not rows else np.array(rows[r.integers(len(rows))][1]) + r.standard_normal(16) * 0.12
+        rows.append((i, [float(np.float32(x)) for x in v], int(i % 3)))
+    rows += [(400 + i, rows[0][1], rows[0][2]) for i in range(20)]
+    odd = [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None] * 16, 1), (504, rows[0][1], None), (505, [1.0, 2.0], 1), (506, [], 1), (507, [2.0, 4.0], 1)]
+    df = spark.createDataFrame([(*x, "n") for x in rows + odd], "vec_id long, embedding array<float>, label int, id string").repartition(3)
+    m = np.array([x[1] for x in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    lab = np.array([x[2] for x in rows])
+    a, b = np.nonzero((m @ m.T >= 0.93) & (lab[:, None] == lab[None]))
+    links = {(rows[x][0], rows[y][0]) for x, y in zip(a, b) if x != y} | {(505, 507), (507, 505)}
+    comp = brute_components([x[0] for x in rows + odd], links)
+    n = Counter(x for x, _ in links)
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(df, leaf=16, trees=8).collect()}
+    assert len(got) == len(rows) + len(odd)
+    found, there = sum(r.n_links for r in got.values()), len(links)
+    assert all(r.n_links <= n[i] for i, r in got.items()) and found >= 0.98 * there
+    if found == there:
+        assert all(r.component_id == comp[i] and r.kept == (i == comp[i]) for i, r in got.items())
+    exact = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_duplicates(df, leaf=10_000).collect()}
+    assert exact == {i: (n[i], comp[i]) for i in comp}
+    assert rp_forest.near_duplicates(df.limit(0)).count() == 0
+
+
+# 6
+
+
+def test_mix(spark, odd, none):
+    docs = [(i, t, ["a", "b", "c", None][i % 4] if i % 3 else "a") for i, t in noisy(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=str)
+    size = Counter()
+    for i, t, s in docs:
+        size[s] += len(words(t))
+    weight = dict(zip(sorted(size, key=lambda s: (s is None, s or "")), (3, 1, 2, 3)))
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(size)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        if not full:
+            target.update({s: level * weight[s] for s in open_})
+            break
+        target.update({s: 2.0 * size[s] for s in full})
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(odd).collect()) > 0
+
+
+# 7
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def test_pseudonyms(spark, odd, none):
+    text = "Call +1 (988) 555-2485 or mail a.b99@mail8.example.com; card 4041894974608795, bad 4041894974608796, at 42.144.35.254 on 2024-02-29, no 999.1.1.1, 2024-13-45, 123-45-6789."
+    df = spark.createDataFrame([(1, text), (2, text), (3, "nothing here 12"), (4, None), (5, "4041894974608795")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    t = got[1].text
+    for gone in ("988) 555-2485", "a.b99@", "4041894974608795", "42.144.35.254", "2024-02-29", "123-45-6789"):
+        assert gone not in t
+    for stays in ("4041894974608796", "999.1.1.1", "2024-13-45", "@mail8.example.com"):
+        assert stays in t
+    card = re.search(r"card (\d{16}),", t)[1]
+    assert luhn(card) and got[5].text == card and got[2].text == t and len(t) >= len(text) - 6
+    assert re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", t) and all(int(o) < 256 for o in re.search(r"at (\S+) on", t)[1].split("."))
+    assert got[3].text == "nothing here 12" and got[4].text is None and got[1].n_values == 6 and got[3].n_values == 0
+    other = {r.doc_id: r.text for r in pii.pseudonymize(df, "other").collect()}
+    assert other[1] != t
+    assert Counter((r.doc_id, r.text) for r in pii.pseudonymize(odd).collect()) == Counter((i, x) for i, x, _ in ODD) and pii.pseudonymize(none).count() == 0
+
+
+def test_permutation_is_one(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
+    assert df.select(pii.permute_string(F.col("s"), 10, F.lit("t"), "k").alias("p")).distinct().count() == 1000
+    days = spark.range(pii.DATE_A * pii.DATE_B).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("s")).filter("crc32(s) % 8 = 0")
+    assert days.select(pii.pseudonym(F.col("s"), "k").alias("p")).distinct().count() == days.count()
+
+
+# 8
+
+
+def test_lattice_is_the_sum_over_segmentations():
+    pieces = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"bc", b" abc"]
+    p = np.array([0.1, 0.1, 0.1, 0.1, 0.2, 0.15, 0.15, 0.1])
+    lattice = lattice_lm.Lattice(pieces, p)
+    prob = dict(zip(pieces, p))
+
+    def total(w):
+        return 1.0 if not w else sum(prob[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in prob)
+
+    for w in (b" abc", b" a", b" cab", b" abcab"):
+        m = np.frombuffer(w, np.uint8)[None]
+        assert lattice.forward(m)[len(w), 0] == pytest.approx(math.log(total(w)))
+        used = lattice.expected(m, np.ones(1))
+        assert sum(u * len(x) for u, x in zip(used, pieces)) == pytest.approx(len(w))
+
+
+def test_scores(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "FREQUENT", 40)
+    for docs, df in ((noisy(80), None), ([(i, t) for i, t, _ in ODD], odd)):
+        df = df if df is not None else spark.createDataFrame(docs, "doc_id long, text string")
+        held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+        tokens = [[*words(t), None] for _, t in docs]
+        c = Counter(x for (i, _), ts in zip(docs, tokens) if not held(i) for x in ts)
+        n, v = sum(c.values()), len(c)
+        want = Counter((i, held(i), len(ts), sum(c[x] > 0 for x in ts), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in ts), 6)) for (i, _), ts in zip(docs, tokens))
+        import public_tokenizers
+
+        got = lattice_lm.lm_scores(df, lattice_lm.crc_fold() == 1, public_tokenizers.path("piece_bpe_32k.model"), em_rounds=1).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lattice_lm.lm_scores(none, lattice_lm.crc_fold() == 1, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+# 9
+
+
+def test_toxicity_on_held_out_rows(spark, odd, none):
+    r = random.Random(6)
+    pool = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(900):
+        w = [r.choice(pool) for _ in range(30)]
+        if i % 5 == 0:
+            w[3], w[9] = r.choice(["vile", "nasty,"]), "Awful."
+        docs.append((i, " ".join(w), int(i % 5 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").filter("doc_id < 700"))
+    got = {x.doc_id: x for x in toxicity.score(df, model).collect()}
+    held = [(got[i].predicted, y) for i, _, y in docs if i >= 700]
+    assert sum(p == y for p, y in held) / len(held) >= 0.97 and all(0 <= x.score <= 1 for x in got.values())
+    assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, model).count() == 0
+    assert toxicity.drop_toxic(df, model).count() == sum(x.predicted == 0 for x in got.values())
+    nothing = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic").limit(0))
+    assert {x.predicted for x in toxicity.score(odd, nothing).collect()} == {0}
+
+
+# 10
+
+
+def brute_passages(docs, length):
+    first = {}
+    for i, t in docs:
+        b = (t or "").encode()
+        for s in range(len(b) - length + 1) if i is not None else ():
+            w = b[s : s + length]
+            first[w] = min(first.get(w, i), i)
+    out = []
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1) if i is not None else ():
+            if first[b[s : s + length]] < i:
+                gone[s : s + length] = b"\1" * length
+        spans = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches,length,gram", [(1, 50, 24), (3, 50, 24), (6, 20, 8)])
+def test_repeated_passages(spark, odd, batches, length, gram):
+    for docs, df in ((noisy(80), None), ([(i, t) for i, t, _ in ODD], odd)):
+        df = df if df is not None else spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = suffix_dedup.repeated_passages(df, length, gram, batches).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_passages(docs, length)
+
+
+def test_repeated_passages_of_nothing(none):
+    assert suffix_dedup.repeated_passages(none).count() == 0
