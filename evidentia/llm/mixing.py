@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = doc.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.count("*").over(inside))
     placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")), "left")
-    placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")), "left")  # a row per source
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")  # a row per source: Spark broadcasts it by its size
     placed = space.save(placed.select("id", "source", "bucket", "nth", "size", "source_size", "target", "place", "n_slots", "block", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "placed")
 
     # A document lies once in every pass over its source; the blocks it overlaps there meet their slots.
