@@ -38,10 +38,10 @@ from .workspace import Workspace
 
 U = np.uint64
 LENGTH, GRAM = 50, 24
-SLICE = 1_500_000
+SLICE = 400_000  # bytes of text at a time: a task holds about a dozen 64-bit arrays of this length
 BUCKET_BYTES = 16 << 20  # text per bucket of the index
 BLOB = "bucket int, old boolean, ids binary, uids binary, counts binary, h binary, ctx binary, pos binary"
-CONTEXTS = "bucket int, ids binary, uids binary, counts binary, pos binary, sizes binary, bytes binary"
+STRINGS = BLOB + ", own_uids binary, own_marks binary"
 MARKS = "uid long, mark long"
 FULL, PARTIAL, WINDOW = 0, 1, 2
 
@@ -72,7 +72,6 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     if n < length:
         return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
     run = _prefix(data)
-    at = np.arange(n - gram + 1)
     grams = kernel.mix((run[gram:] - run[:-gram]) * kernel.powers(kernel._UNBASE, n - gram + 1)) | U(1)
     low = _slide(grams, w, np.minimum)  # of the string that starts here
     for end in offs[1:-1]:  # strings that reach into the next text
@@ -80,7 +79,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     padded = np.zeros(len(grams) + w - 1, np.uint64)
     padded[w - 1 : w - 1 + len(low)] = low
     p = np.flatnonzero(_slide(padded, w, np.maximum) == grams)
-    doc = np.searchsorted(offs, at[p], "right") - 1
+    doc = np.searchsorted(offs, p, "right") - 1
     left = np.minimum(p - offs[doc], w - 1)
     right = np.minimum(offs[doc + 1] - p, length)
     ctx = kernel.mix(_spans(run, p - left, p + right) + left.astype(np.uint64))
@@ -167,35 +166,42 @@ def _merge(bits: int):
     return work
 
 
-def _first_of_strings(length: int):
-    """Contexts of a bucket: the strings in them whose smallest document is another one, as runs of starts."""
-
-    def work(table: pa.Table):
-        at = key_changes(table.column("bucket").to_numpy())
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            part = table.slice(i, j - i)
-            col = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)  # noqa: E731, B023
-            counts, sizes, pos = col("counts", np.uint32), col("sizes", np.uint8).astype(np.int64), col("pos", np.uint32).astype(np.int64)
-            ids, uids = np.repeat(col("ids", np.int64), counts), np.repeat(col("uids", np.int64), counts)
-            data = col("bytes", np.uint8)
-            begin = np.cumsum(sizes) - sizes
-            n = sizes - length + 1  # strings in each context
-            which = np.repeat(np.arange(len(n)), n)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            h = _spans(_prefix(data), begin[which] + nth, begin[which] + nth + length)
-            order = np.lexsort((ids[which], h))
-            new = _starts(h[order])
-            later = np.zeros(len(which), bool)
-            own = ids[which[order]]
-            later[order] = own > own[new][np.cumsum(new) - 1]
-            edge = later & ~np.concatenate([[False], later[:-1] & (which[1:] == which[:-1])])
-            first = np.flatnonzero(edge)
-            if len(first):
-                run = np.add.reduceat(later.astype(np.int64), first)
-                run = np.minimum(run, np.diff(np.append(first, len(later))))
-                yield _found(uids[which[first]], pos[which[first]] + nth[first], run, WINDOW)
-
-    return work
+def _runs(uids, pos, later):
+    """(uids, marks) of the strings that go, neighbouring starts of a text in one mark."""
+    order = np.lexsort((pos, uids))
+    uids, pos = uids[order][later[order]], pos[order][later[order]].astype(np.int64)
+    step = np.ones(len(pos), bool)
+    step[1:] = (uids[1:] != uids[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(step)
+    at = np.arange(len(pos)) - np.repeat(first, np.diff(np.append(first, len(pos))))
+    first = np.flatnonzero(at % 200 == 0)  # a mark counts up to 255 places
+    n = np.diff(np.append(first, len(pos)))
+    return uids[first], (pos[first] * 256 + n) * 4 + WINDOW
+
+
+def _later(h, ids):
+    """Which strings also start in a document with a smaller id; which is the first of its kind."""
+    order = np.lexsort((ids, h))
+    new = _starts(h[order])
+    own = ids[order]
+    later, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later[order] = own > own[new][np.cumsum(new) - 1]
+    lead[order] = ~later[order]
+    return later, lead
+
+
+def _first_of_strings(table: pa.Table):
+    """Strings of a bucket, one per task that had them and document: those whose smallest document is another one."""
+    at = key_changes(table.column("bucket").to_numpy())
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        ids, uids, _, h, pos, _ = _unblob(table, i, j)
+        later, _ = _later(h, ids)
+        found, marks = _runs(uids, pos, later)
+        for col in ("own_uids", "own_marks"):
+            raw = np.frombuffer(b"".join(x for x in table.column(col).slice(i, j - i).to_pylist() if x), np.int64)
+            found, marks = (np.concatenate([found, raw]), marks) if col == "own_uids" else (found, np.concatenate([marks, raw]))
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(marks)], ["uid", "mark"])
 
 
 class SuffixIndexFamily:
@@ -217,6 +223,7 @@ class SuffixIndexFamily:
                 for i, j in kernel.slices(offs, SLICE):
                     doc, pos, h, ctx = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
                     yield from _blobs(bits, h, ids[i:j], uids[i:j], doc, (h >> U(8)).astype(np.uint32), ctx, pos)
+            kernel.trim()
 
         return texts.select("id", "uid", "text").mapInArrow(work, BLOB)
 
@@ -284,38 +291,39 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     marks = reduce(DataFrame.unionAll, marks)
     gathered = marks.filter((F.col("mark") % 4) == PARTIAL).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
 
-    def contexts(batches):
+    def strings_of(batches):
+        """Hashes of the strings through marked anchors. What a batch settles itself goes along as marks; of equal
+        strings only the smallest document's goes on, so a string of a third of all texts is one entry per batch."""
         reach = length - gram
         for batch in batches:
             data, offs = kernel.as_bytes(batch.column("text"))
             ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
             values, at = batch.column("marks").values.to_numpy() // 1024, batch.column("marks").offsets.to_numpy()
-            doc = np.repeat(np.arange(len(ids)), np.diff(at))
-            p = np.concatenate([np.sort(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())] or [np.zeros(0, np.int64)])
-            keep = np.ones(len(p), bool)
-            keep[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])  # a text may be marked by several batches
-            p, doc = p[keep], doc[keep]
-            left = np.minimum(p, reach)
-            right = np.minimum(offs[doc + 1] - offs[doc] - p, length)
-            begin, sizes = offs[doc] + p - left, left + right
-            gram_bytes = data[(offs[doc] + p)[:, None] + np.arange(gram)] if len(p) else np.zeros((0, gram), np.uint8)
-            h = kernel.mix((kernel._BYTE[gram_bytes] * kernel.powers(kernel._BASE, gram)).sum(axis=1, dtype=np.uint64))
-            bucket = (h >> U(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts, rows = key_changes(bucket[order]), []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                o = order[a:b]
-                runs = key_changes(doc[o])
-                first, n = doc[o][runs[:-1]], sizes[o]
-                stop = np.cumsum(n)
-                raw = data[np.arange(int(stop[-1])) - np.repeat(stop - n - begin[o], n)]
-                rows.append((int(bucket[o[0]]), ids[first].tobytes(), uids[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), (p[o] - left[o]).astype(np.uint32).tobytes(), n.astype(np.uint8).tobytes(), raw.tobytes()))
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["bucket", "ids", "uids", "counts", "pos", "sizes", "bytes"])
-
-    strings = texts.join(gathered, "uid").select("uid", "id", "text", "marks").mapInArrow(contexts, CONTEXTS)
-    later = space.save(by_sorted_key(strings, "bucket", [], _first_of_strings(length), MARKS, 1 << bits), "later")
+            docs_, starts_, hashes_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, j in kernel.slices(offs, SLICE):
+                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
+                p = values[at[i] : at[j]]
+                base, size = o[doc - i], o[doc - i + 1] - o[doc - i]
+                edge = np.bincount(base + np.maximum(p - reach, 0), minlength=len(part) + 2) - np.bincount(base + np.minimum(p, size - length) + 1, minlength=len(part) + 2)
+                s = np.flatnonzero(np.cumsum(edge[: len(part)]) > 0)
+                hashes_.append(_spans(_prefix(part), s, s + length))
+                d = np.searchsorted(o, s, "right") - 1
+                docs_.append(d + i)
+                starts_.append(s - o[d])
+            doc, pos, h = np.concatenate(docs_), np.concatenate(starts_), np.concatenate(hashes_)
+            later, lead = _later(h, ids[doc]) if len(h) else (np.zeros(0, bool), np.zeros(0, bool))
+            own_uids, own_marks = _runs(uids[doc], pos, later)
+            first = True
+            for out in _blobs(bits, h[lead], ids, uids, doc[lead], np.zeros(int(lead.sum()), np.uint32), h[lead], pos[lead]):
+                empty = [b""] * (out.num_rows - 1)
+                own = [own_uids.tobytes(), own_marks.tobytes()] if first else [b"", b""]
+                first = False
+                yield out.append_column("own_uids", pa.array([own[0], *empty], pa.binary())).append_column("own_marks", pa.array([own[1], *empty], pa.binary()))
+        kernel.trim()
+
+    strings = texts.join(gathered, "uid").select("uid", "id", "text", "marks").mapInArrow(strings_of, STRINGS)
+    later = space.save(by_sorted_key(strings, "bucket", [], _first_of_strings, MARKS, 1 << bits), "later")
     space.release()
 
     gone = marks.filter((F.col("mark") % 4) == FULL).unionByName(later).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
