@@ -7,6 +7,8 @@ values, so hashes of all words of a batch come from one running sum.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -35,6 +37,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def trim() -> None:
+    """Give freed memory back: workers live on from stage to stage, and would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the splitmix64 finaliser)."""
     h = h ^ (h >> U(30))

@@ -34,7 +34,7 @@ from .workspace import Workspace
 
 U = np.uint64
 BLOOM_BITS = 1 << 22  # the filter of frequent shingles: 512 KB, whatever the input
-OFTEN_IN_SLICE, OFTEN = 8, 32  # frequent: this often in 2 MB of text, and in all such slices together
+OFTEN_IN_SLICE, OFTEN = 6, 32  # frequent: this often in 1 MB of text, and in all such slices together
 SMALL_GROUP = 8
 GROUP_BLOCK = 2048  # larger groups and components are worked off as pairs of such blocks
 BLOCK_BYTES = 32 << 20
@@ -48,6 +48,7 @@ def _sets(batches, text: str, n: int):
         for i, j in kernel.slices(offs):
             w, at = kernel.word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield batch, i, list(kernel.shingle_sets(w, at, n))
+    kernel.trim()
 
 
 def _bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .kernel import trim
+
 
 def key_changes(keys: np.ndarray) -> np.ndarray:
     """Places where a new key begins, then the number of rows."""
@@ -46,5 +48,6 @@ def by_sorted_key(df: DataFrame, key: str, order: list[str], work: Callable[[pa.
     def run(batches):
         for table in whole_keys(batches, key):
             yield from work(table)
+        trim()
 
     return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from . import kernel
 from .workspace import Workspace
 
 END_ID = 2
-CACHE_CHUNKS = 1_000_000  # distinct chunks that a task remembers; beyond it starts anew
+CACHE_CHUNKS = 600_000  # distinct chunks that a task remembers; beyond it starts anew
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 # White space beyond ASCII's six, which a pre-tokenizer may join with its neighbours.
@@ -122,7 +122,7 @@ class ChunkEncoder:
     def encode_texts(self, column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         data, offs = kernel.as_bytes(column)
-        for i, j in kernel.slices(offs, 1_000_000):
+        for i, j in kernel.slices(offs, 500_000):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             ids, to = self.encode(part, at)
             odd = {}
@@ -153,6 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "text")
 
     def encode(batches):
+        kernel.trim()
         encoder, at = encoder_of(vocabulary), 0
         for batch in batches:
             _, offs = kernel.as_bytes(batch.column("text"))

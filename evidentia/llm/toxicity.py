@@ -115,12 +115,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             flat, at = batch.column("places").values.to_numpy(), batch.column("places").offsets.to_numpy()
             for k, y in enumerate(batch.column("y").to_pylist()):
-                rows.append((np.append(flat[at[k] : at[k + 1]], PLACES), y))
+                rows.append((np.append(flat[at[k] : at[k + 1]], np.int32(PLACES)), y))
         seen = {y for _, y in rows}
         if len(seen) < 2:
             at, w = np.array([PLACES]), np.array([35.0 if seen == {1} else -35.0])
         else:
             at, w = fit(rows)
+        del rows
+        kernel.trim()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["place", "weight"])
 
     # One task fits: its input is the bounded sample.
@@ -179,6 +181,7 @@ def drop_toxic(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFra
         scores = of_texts()
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(text)) < 0.5))
+        kernel.trim()
 
     return docs.mapInArrow(work, docs.schema)
 
