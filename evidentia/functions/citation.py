@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .finance import let
 from .text import sentences
 
 # The citation form, looser attempts at it, and the phrases that the checks look for.
@@ -14,6 +15,7 @@ SPECULATION = r"(?i)\b(?:will\s+(?:grow|increase|decrease|improve|expand|reach)|
 INFERENCE = r"(?i)\b(?:appears?\s+to|seems?\s+to|likely|probably|presumably|suggests?\s+that|implies?\s+that)\b"
 CLAIM_VERBS = ("is", "are", "was", "were", "has", "have", "had")
 APPROVED_FROM, PARTIAL_FROM = 0.95, 0.80
+ALL = (1 << 31) - 1  # for counts: every hit, not only those that a retry prompt shows
 
 
 def citations(text: Column) -> Column:
@@ -46,8 +48,7 @@ def coverage(text: Column, verbs: bool = True) -> Column:
 
 def unsourced_numbers(text: Column, most: int = 5) -> Column:
     """Numbers with units in sentences where neither the sentence nor the next one cites."""
-    s = sentences(text)
-    near = F.transform(s, lambda x, i: F.struct(x.alias("own"), F.concat_ws(" ", x, F.get(s, i + 1)).alias("both")))
+    near = let(sentences(text), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("own"), F.concat_ws(" ", x, F.get(s, i + 1)).alias("both"))))  # split once a text
     found = F.transform(F.filter(near, lambda x: ~x["both"].rlike(CITATION)), lambda x: F.regexp_extract_all(x["own"], F.lit(NUMBER), F.lit(0)))
     return F.slice(F.flatten(found), 1, most)
 
@@ -58,12 +59,12 @@ def flagged_sentences(text: Column, pattern: str, unless: str, most: int = 3, wi
     return F.slice(F.transform(hit, lambda s: F.left(s, F.lit(width))), 1, most)
 
 
-def speculation(text: Column) -> Column:
-    return flagged_sentences(text, SPECULATION, CITATION)
+def speculation(text: Column, most: int = 3) -> Column:
+    return flagged_sentences(text, SPECULATION, CITATION, most)
 
 
-def unlabelled_inference(text: Column) -> Column:
-    return flagged_sentences(text, INFERENCE, r"(?i)\(inferred from")
+def unlabelled_inference(text: Column, most: int = 3) -> Column:
+    return flagged_sentences(text, INFERENCE, r"(?i)\(inferred from", most)
 
 
 def verdict(passed: Column, cover: Column) -> Column:

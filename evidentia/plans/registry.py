@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from ..sources.views import with_views
 
@@ -10,13 +11,18 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) function; names of views in ``sql`` are expanded."""
+def query(name: str, sql: str | None = None, whole: Callable | None = None):
+    """Register a (spark, sf_dir) function; names of views in ``sql`` are expanded.
+
+    ``whole`` gives the answers of ``name``_whole: the same query over answers made from all of each text, without a twin.
+    """
 
     def put(f: Callable) -> Callable:
         QUERIES[name] = f
         if sql:
             ORACLES[name] = with_views(sql)
+        if whole:
+            QUERIES[f"{name}_whole"] = partial(f, answers=whole)
         return f
 
     return put

@@ -15,23 +15,23 @@ CASES = f"""SELECT output_id, content, content LIKE '### Q1:%' AS starts, contai
     len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS words FROM v_answers"""
 
 
-def _cases(spark, d):
+def _cases(spark, d, answers):
     t = F.col("content")
-    return Tables(spark, d).answers().select(
+    return answers(Tables(spark, d)).select(
         "output_id", t.startswith("### Q1:").alias("starts"), (t.contains("### Q2: ") & t.contains("### Q5: ")).alias("answers"), F.lower(t).contains("not found").alias("not_found"),
         (~F.lower(t).contains("guaranteed")).alias("clean"), coverage(t).alias("coverage"), word_count(t).cast("long").alias("words"),
     )
 
 
-@query("eval_rules", f"SELECT output_id, starts, answers, not_found, clean, coverage, words FROM ({CASES})")
-def eval_rules(spark, d):
-    return _cases(spark, d)
+@query("eval_rules", f"SELECT output_id, starts, answers, not_found, clean, coverage, words FROM ({CASES})", whole=Tables.whole_answers)
+def eval_rules(spark, d, answers=Tables.answers):
+    return _cases(spark, d, answers)
 
 
-@query("eval_report_aggregate", f"SELECT count(*) AS n, avg(CASE WHEN starts AND answers AND words <= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pass_rate, round(avg(coverage), 9) AS avg_coverage FROM ({CASES})")
-def eval_report_aggregate(spark, d):
+@query("eval_report_aggregate", f"SELECT count(*) AS n, avg(CASE WHEN starts AND answers AND words <= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pass_rate, round(avg(coverage), 9) AS avg_coverage FROM ({CASES})", whole=Tables.whole_answers)
+def eval_report_aggregate(spark, d, answers=Tables.answers):
     passed = F.col("starts") & F.col("answers") & (F.col("words") <= 60)
-    return _cases(spark, d).agg(F.count("*").alias("n"), F.avg(F.when(passed, 1.0).otherwise(0.0)).alias("pass_rate"), F.round(F.avg("coverage"), 9).alias("avg_coverage"))
+    return _cases(spark, d, answers).agg(F.count("*").alias("n"), F.avg(F.when(passed, 1.0).otherwise(0.0)).alias("pass_rate"), F.round(F.avg("coverage"), 9).alias("avg_coverage"))
 
 
 @query("hallucination_rate", "SELECT source, coalesce(sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 0), 0.0::DOUBLE) AS rate FROM documents GROUP BY 1")
@@ -40,9 +40,9 @@ def hallucination_rate(spark, d):
     return Tables(spark, d).raw("documents").groupBy("source").agg(F.coalesce(F.try_divide(bad.cast("double"), all_), F.lit(0.0)).alias("rate"))
 
 
-@query("eval_gate", f"SELECT avg(coverage) >= 0.95 AS coverage_ok, avg(CASE WHEN starts AND answers THEN 1.0 ELSE 0.0 END) >= 1.0 AS pass_ok FROM ({CASES})")
-def eval_gate(spark, d):
-    return _cases(spark, d).agg((F.avg("coverage") >= 0.95).alias("coverage_ok"), (F.avg(F.when(F.col("starts") & F.col("answers"), 1.0).otherwise(0.0)) >= 1.0).alias("pass_ok"))
+@query("eval_gate", f"SELECT avg(coverage) >= 0.95 AS coverage_ok, avg(CASE WHEN starts AND answers THEN 1.0 ELSE 0.0 END) >= 1.0 AS pass_ok FROM ({CASES})", whole=Tables.whole_answers)
+def eval_gate(spark, d, answers=Tables.answers):
+    return _cases(spark, d, answers).agg((F.avg("coverage") >= 0.95).alias("coverage_ok"), (F.avg(F.when(F.col("starts") & F.col("answers"), 1.0).otherwise(0.0)) >= 1.0).alias("pass_ok"))
 
 
 ROUTE = "CASE WHEN NOT primer THEN 'build_primer' WHEN n_filings < 3 THEN 'ask_for_filings' WHEN status = 'setup' THEN 'bull_case' WHEN status = 'active' THEN 'quarterly_update' ELSE 'done' END"

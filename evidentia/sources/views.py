@@ -82,6 +82,21 @@ class Tables:
         body = F.concat(F.lit("### Q1: Business\n"), one, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), cite, spec, F.lit("\n\n### Q5: Type\n"), F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents."))
         return d.select(F.col("doc_id").alias("output_id"), F.col("source").alias("coverage_id"), body.alias("content"))
 
+    def whole_answers(self) -> DataFrame:
+        """As answers(), but from all of each text: a paragraph per sentence or line, and on even ids every second one cites itself in full."""
+        d = self.raw("documents")
+        parts = F.transform(F.split(F.replace("text", F.lit('"'), F.lit(" ")), r"\n|(?<=[.!?])\s+", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+        d = d.withColumn("parts", F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>")))
+        even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+        cite = lambda p: F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit(", "), F.coalesce("source", F.lit("unknown")), F.lit(']: "'), p, F.lit('"'))
+        paragraphs = F.array_join(F.transform("parts", lambda p, i: F.when(even & (i % 2 == 0), F.concat(p, cite(p))).otherwise(p)), "\n\n")
+        number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Revenue increased to "), F.coalesce(F.col("n_chars"), F.lit(0)).cast("string"), F.lit(" million.")))
+        last = F.when(even & (F.size("parts") > 0), cite(F.get("parts", F.size("parts") - 1))).otherwise("")
+        spec = F.when(F.col("doc_id") % 5 == 0, F.lit(" We expect growth to continue. This suggests strength.")).otherwise("")
+        kind = F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents.")
+        body = F.concat(F.lit("### Q1: Business\n"), paragraphs, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), last, spec, F.lit("\n\n### Q5: Type\n"), kind)
+        return d.select(F.col("doc_id").alias("output_id"), F.col("source").alias("coverage_id"), body.alias("content"))
+
 
 VIEWS = {
     "v_tenants": "SELECT r_regionkey AS tenant_id, r_name AS tenant_name, CAST(1000 * (r_regionkey + 1) AS DOUBLE) AS alert_threshold FROM region",
