@@ -122,11 +122,18 @@ def _groups(table: pa.Table, percent: int):
         rows = np.arange(at[k], at[k + 1])
         rows = rows[np.lexsort((doc[rows], size[rows]))]
         blocks = [rows[i : i + GROUP_BLOCK] for i in range(0, len(rows), GROUP_BLOCK)] if len(rows) > 2 * GROUP_BLOCK else [rows]
+        covered = np.zeros(len(blocks), bool)
         for i, x in enumerate(blocks):
-            for y in blocks[i:] if len(blocks) == 1 else blocks[i + 1 :]:
-                if 100 * size[x[-1]] < percent * size[y[0]]:
+            met = []
+            for j in range(i + 1, len(blocks)):
+                if 100 * size[x[-1]] < percent * size[blocks[j][0]]:
                     break  # sorted by size: no later block is near enough
-                m = np.sort(doc[x]) if y is x else np.sort(np.concatenate([doc[x], doc[y]]))
+                met.append(np.concatenate([x, blocks[j]]))
+                covered[[i, j]] = True
+            if not covered[i]:
+                met.append(x)  # no neighbour is near enough: its own pairs are compared nowhere else
+            for part in met:
+                m = np.sort(doc[part])
                 gid = int(kernel.mix(kernel.mix(m.view(np.uint64)) + np.arange(len(m)).astype(np.uint64)).sum()) >> 1
                 if gid not in seen:  # near copies share many shingles, and so form one group many times
                     seen.add(gid)

@@ -204,6 +204,21 @@ def test_jaccard(spark, odd, monkeypatch, n, percent, small, block):
         assert sorted((tuple(r) for r in got), key=str) == brute_jaccard(docs, n, percent)
 
 
+@pytest.mark.parametrize("sizes", [[10] * 4 + [100] * 6, [10] * 8 + [100] * 4, [10] * 4 + [100] * 4 + [1000] * 4, [10] * 12, [10] * 3 + [100] * 9, [10] * 9])
+def test_blocks_of_large_groups_cover_all_near_sizes(monkeypatch, sizes):
+    monkeypatch.setattr(ngram_jaccard, "GROUP_BLOCK", 4)
+    n = len(sizes)
+    groups = {}
+    for batch in ngram_jaccard._groups(pa.table({"key": np.zeros(n, np.int64), "id": np.arange(n), "n": np.array(sizes, np.int32)}), 85):
+        for r in batch.to_pylist():
+            groups.setdefault(r["gid"], set()).add(r["a"])
+    assert all(len(m) <= 9 for m in groups.values())
+    for a in range(n):
+        for b in range(a):
+            if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]):
+                assert any({a, b} <= m for m in groups.values())
+
+
 def test_jaccard_keeps_one_of_each_group(spark, odd, none):
     kept = [r.doc_id for r in ngram_jaccard.one_per_component(odd).collect()]
     assert 2 not in kept and {1, 3, 4, 5, 6, 8, 9, 10, 11} <= set(kept) and kept.count(None) == 2
