@@ -29,7 +29,9 @@ from .workspace import Workspace
 U = np.uint64
 FREQUENT = 1 << 18
 EM_ROUNDS = 4
-LONGEST_PIECE, EM_LONGEST = 16, 48  # bytes; longer words are scored, but not used to adapt the pieces
+LONGEST_PIECE = 16  # bytes
+CELLS = 1 << 20  # bytes of words that go through the lattice at once
+KEPT_LONGEST = 256  # the edges of longer words are made twice instead of kept
 SLICE = 4_000_000
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -68,14 +70,11 @@ class Lattice:
         order = np.argsort(np.array(hashes, np.uint64))
         self.hashes, self.ids = np.array(hashes, np.uint64)[order], order
         self.logp = np.log(np.maximum(p, 1e-300))
-        self.starts = np.array([x[:1] == b" " for x in pieces])
-        # Share of pieces that begin a word; the lattice is a distribution over words when divided by it.
-        self.norm = np.log(p[self.starts].sum())
 
-    def edges(self, m: np.ndarray):
-        """(from, to, which words, piece numbers) for words of one length, as rows of bytes."""
+    def edges(self, m: np.ndarray, last_first: bool = False):
+        """(from, to, which words, piece numbers) for words of one length, as rows of bytes; by rising or falling start."""
         n, length = m.shape
-        for i in range(length):
+        for i in reversed(range(length)) if last_first else range(length):
             h = np.zeros(n, np.uint64)
             for j in range(i, min(length, i + LONGEST_PIECE)):
                 h = _extend(h, m[:, j])
@@ -96,16 +95,16 @@ class Lattice:
 
     def expected(self, m: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece."""
-        kept: list = []
+        kept: list | None = [] if m.shape[1] <= KEPT_LONGEST else None
         alpha = self.forward(m, kept)
         length, n = m.shape[1], len(m)
         beta = np.full((length + 1, n), -np.inf)
         beta[length] = 0.0
         out = np.zeros(len(self.logp))
-        for i, j, rows, ids in reversed(kept):  # by falling start: what follows j is complete
-            beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + self.logp[ids])
-        for i, j, rows, ids in kept:
-            out += np.bincount(ids, weight[rows] * np.exp(alpha[i, rows] + self.logp[ids] + beta[j, rows] - alpha[length, rows]), len(out))
+        for i, j, rows, ids in reversed(kept) if kept is not None else self.edges(m, last_first=True):  # by falling start: what follows j is complete
+            after = beta[j, rows] + self.logp[ids]
+            beta[i, rows] = np.logaddexp(beta[i, rows], after)
+            np.add.at(out, ids, weight[rows] * np.exp(alpha[i, rows] + after - alpha[length, rows]))
         return out
 
 
@@ -117,8 +116,9 @@ def _by_length(column: pa.Array):
     length = np.diff(offs)
     for n in np.unique(length):
         rows = np.flatnonzero(length == n)
-        for k in range(0, len(rows), 20_000):
-            part = rows[k : k + 20_000]
+        step = max(1, min(20_000, CELLS // (int(n) + 1)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
             yield part, np.concatenate([np.full((len(part), 1), 32, np.uint8), raw[offs[part][:, None] + np.arange(n)]], axis=1)
 
 
@@ -176,14 +176,14 @@ def lm_scores(docs: DataFrame, held_out, vocabulary: str, doc_id: str = "doc_id"
             used = np.flatnonzero(out > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], ["piece", "uses"])
 
-        learnt = types.filter((F.col("c") > 0) & (F.octet_length("word") < EM_LONGEST)).select("word").mapInArrow(expect, "piece long, uses double")
+        learnt = types.filter("c > 0").select("word").mapInArrow(expect, "piece long, uses double")
         uses = np.full(len(pieces), 0.01)
         for row in learnt.groupBy("piece").agg(F.sum("uses").alias("uses")).toLocalIterator():  # a row per piece of the vocabulary at most
             uses[row.piece] += round(row.uses, 6)
         p = uses / uses.sum()
     lattice = Lattice(pieces, p)
     unseen = min(max((total.once or 0) / n, 1e-6), 0.5) if n else 1.0  # the weight of the piece route
-    by_pieces = np.log(unseen) + np.log1p(-min(p_end, 1 - 1e-12)) - lattice.norm
+    by_pieces = np.log(unseen) + np.log1p(-min(p_end, 1 - 1e-12))  # sums to 1 over all words as it is: a word ends where the next piece begins with a space
 
     def score(batches):
         for batch in batches:

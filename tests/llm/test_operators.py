@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd, repeated and missing rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -354,6 +355,36 @@ def test_lattice_is_the_sum_over_segmentations():
         assert sum(u * len(x) for u, x in zip(used, pieces)) == pytest.approx(len(w))
 
 
+def test_word_probabilities_sum_to_one_at_most(spark, tmp_path, monkeypatch):
+    pieces = [b" ", b" a", b" b", b"a", b"b", b"ab"]
+    monkeypatch.setattr(lattice_lm, "vocabulary_pieces", lambda path: (pieces, np.array([0.05, 0.3, 0.25, 0.15, 0.15, 0.1])))
+    every = ["".join(w) for n in range(1, 8) for w in itertools.product("ab", repeat=n)]
+    train = [(-1 - i, w) for i, w in enumerate(["ab b aab bba abab"])]
+    df = spark.createDataFrame(train + list(enumerate(every)), "doc_id long, text string")
+    got = lattice_lm.lm_scores(df, F.col("doc_id") >= 0, "", em_rounds=0)
+    end = spark.createDataFrame([(0, "")] + train, "doc_id long, text string")
+    p_end = 10 ** lattice_lm.lm_scores(end, F.col("doc_id") >= 0, "", em_rounds=0).filter("doc_id = 0").first().score
+    assert 0.9 < sum(10**r.score / p_end for r in got.filter("held_out").collect()) + p_end <= 1 + 1e-6
+
+
+def test_long_words_adapt_the_pieces(spark, monkeypatch):
+    pieces = [b" ", *(bytes([b]) for b in range(97, 123)), b"xyz"]
+    monkeypatch.setattr(lattice_lm, "vocabulary_pieces", lambda path: (pieces, np.full(len(pieces), 1 / len(pieces))))
+    df = spark.createDataFrame([(0, "xyz"), (1, "xyz" * 30), (2, "xyz" * 300)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice_lm.lm_scores(df, F.col("doc_id") == 0, "").collect()}
+    plain = {r.doc_id: r.score for r in lattice_lm.lm_scores(df, F.col("doc_id") == 0, "", em_rounds=0).collect()}
+    assert got[0] > plain[0] + 0.5
+
+
+def test_expectations_of_long_words_are_the_same_unkept(monkeypatch):
+    pieces = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"bc"]
+    lattice = lattice_lm.Lattice(pieces, np.full(7, 1 / 7))
+    m = np.frombuffer(b" " + b"abcab" * 8, np.uint8)[None].repeat(2, axis=0)
+    kept = lattice.expected(m, np.ones(2))
+    monkeypatch.setattr(lattice_lm, "KEPT_LONGEST", 3)
+    assert lattice.expected(m, np.ones(2)) == pytest.approx(kept)
+
+
 def test_scores(spark, odd, none, monkeypatch):
     monkeypatch.setattr(lattice_lm, "FREQUENT", 40)
     for docs, df in ((noisy(80), None), ([(i, t) for i, t, _ in ODD], odd)):
