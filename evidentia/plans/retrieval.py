@@ -112,16 +112,23 @@ def quote_sparse(spark, d):
 
 @query("quote_verbatim", "SELECT b.item_id AS quote_id, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def quote_verbatim(spark, d):
-    """Documents that hold a quote verbatim: candidates by the quote's first words' hash, then contains()."""
+    """Documents that hold a quote verbatim: candidates by the hash of whole inner words, then contains().
+
+    The first and last word of a quote may be parts of a document's words, the ones between can't. Quotes with fewer than
+    four words between are a query set that meets all documents.
+    """
     t = Tables(spark, d)
     lead = 4
     q = t.raw("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    q = q.withColumn("seed", F.xxhash64(F.array_join(F.slice(F.split(F.regexp_replace("quote", r"^\s+", ""), r"\s+"), 1, lead), " ")))
-    words = F.split(F.col("text"), r"\s+")
+    parts = F.split("quote", r"\s+", -1)
+    q = q.withColumn("short", F.size(parts) < lead + 2)
+    seeded = q.filter(~F.col("short")).withColumn("seed", F.xxhash64(F.array_join(F.slice(parts, 2, lead), " ")))
+    words = F.split(F.col("text"), r"\s+", -1)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - lead + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, lead), " "))))
-    seeds = t.raw("documents").select("doc_id", F.explode(grams).alias("seed")).join(q.select("seed", "quote_id"), "seed").select("doc_id", "quote_id").distinct()
-    found = seeds.join(q.select("quote_id", "quote"), "quote_id").join(t.raw("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "quote"))
-    counts = found.groupBy("quote_id").agg(F.count("*").alias("n"))
+    seeds = t.raw("documents").select("doc_id", F.explode(grams).alias("seed")).join(seeded.select("seed", "quote_id"), "seed").select("doc_id", "quote_id").distinct()
+    found = seeds.join(seeded.select("quote_id", "quote"), "quote_id").join(t.raw("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "quote")).select("quote_id")
+    everywhere = t.raw("documents").select("text").join(q.filter("short").select("quote_id", "quote"), F.contains("text", "quote")).select("quote_id")
+    counts = found.unionAll(everywhere).groupBy("quote_id").agg(F.count("*").alias("n"))
     return q.select("quote_id").join(counts, "quote_id", "left").select("quote_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
 
 
