@@ -2,19 +2,26 @@
 
 A passage counts as repeated when ``length`` bytes of it also start in a document
 with a smaller id. Full suffix arrays would hold every byte; ours hold the
-suffixes at anchors, chosen so that every ``length``-byte string contains one: an
-anchor is the smallest k-gram hash among the k-grams of such a string. A run
-of the index is the sorted array of (anchor, context, document, place), where the
-context is the widest text around the anchor that strings through it can cover.
-
-Batches come in ascending id order. Each is sorted and merge-scanned, bucket by
-bucket of the anchor's hash, with the runs already there, and adds its own run;
-runs of one level merge into one of the next, so B batches leave O(log B) runs
-and each entry is rewritten O(log B) times. The scan has two outcomes: where the
-whole context occurs in a smaller id, all of it goes. Where only the anchor does,
-the strings through the anchor are hashed and their smallest document decides; a
-context's first document speaks for the others, so this stays linear in the
-group, however many documents share an anchor.
+suffixes at anchors: the owner of a ``length``-byte string is its first k-gram
+with the smallest hash, so equal strings have equal owners at equal places, and
+every string of a text has one. An entry of the index is an anchor's context:
+the bytes after it, then the bytes before it in reverse, as far as the strings
+that the anchor owns reach. A run is a suffix array: contexts in byte order, each once,
+cut into buckets by the hash of the anchor's k-gram.
+
+Batches come in ascending id order. A batch's contexts meet the buckets of the
+runs that are there in a sort-merge join of bucketed tables, and both are merged
+by suffix sorting from the first bytes on. All documents of older runs have smaller
+ids, so runs need no ids. A context that has a smaller document loses all its strings;
+where contexts share only the k-gram, their strings are grouped one offset at a time,
+and what a hash calls equal is compared byte by byte. The batch's new contexts
+become a run of level 0; two runs of a level merge into one of the next, so B
+batches leave O(log B) runs and rewrite an entry O(log B) times.
+
+Hot passages: a task keeps one entry of a context for its documents and settles
+the others itself, so a passage of a third of all documents is a few entries per
+task, and one per run. Long texts go through in pieces of ``SLICE`` bytes;
+runs of one character or of a short period are one entry with a step and a count.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose
 nothing; rows that repeat an id don't remove each other (equal ids are not
@@ -24,7 +31,7 @@ empty table gives an empty table. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -32,18 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernel
-from .line_dedup import id_batches
-from .runs import by_sorted_key, key_changes
 from .workspace import Workspace
 
 U = np.uint64
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 SLICE = 400_000  # bytes of text at a time: a task holds about a dozen 64-bit arrays of this length
-BUCKET_BYTES = 16 << 20  # text per bucket of the index
-BLOB = "bucket int, old boolean, ids binary, uids binary, counts binary, h binary, ctx binary, pos binary"
-STRINGS = BLOB + ", own_uids binary, own_marks binary"
-MARKS = "uid long, mark long"
-FULL, PARTIAL, WINDOW = 0, 1, 2
+FLUSH = 150_000  # entries that a task gathers before it deals them out
+BUCKET_BYTES = 4 << 20  # text per bucket of the index
+BATCHES, BATCH_BYTES = 4, 1 << 40  # at least so many batches; more of them when the texts are larger
+OLD = np.iinfo(np.int64).min  # stands for the ids of older runs
+PLACE = (1 << 24) - 1
+FIELDS = (("id", np.int64), ("uid", np.int64), ("pos", np.int64), ("step", np.int32), ("rep", np.int32))
+MARK_FIELDS = (("uid", np.int64), ("pos", np.int64), ("mask", np.int64), ("step", np.int32), ("rep", np.int32))
+MARKS = "uid long, pos long, mask long, step int, rep int"
 
 
 def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -55,307 +63,396 @@ def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(out[: len(x) - n + 1], out[n - have : n - have + len(x) - n + 1]) if have < n else out
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(kernel._BYTE[data] * kernel.powers(kernel._BASE, len(data)), out=run[1:])
-    return run
+def _widths(length: int, gram: int) -> tuple[int, int]:
+    """Bytes of a context's right and left half: whole words, the last byte holds how many bytes count."""
+    return -(-(length + 1) // 8) * 8, -(-(length - gram + 1) // 8) * 8
 
 
-def _spans(run: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = (run[b] - run[a]) * kernel.powers(kernel._UNBASE, len(run))[a]
-    return kernel.mix(h + (b - a).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+def _pieces(offs: np.ndarray, length: int):
+    """Groups of (row, from, to) of about SLICE bytes; each string starts in one piece."""
+    group, size = [], 0
+    for row, n in enumerate(np.diff(offs).tolist()):
+        for a in range(0, n - length + 1, SLICE):
+            b = min(a + SLICE + length - 1, n)
+            group.append((row, a, b))
+            size += b - a
+            if size >= SLICE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """(text number, place in the text, gram hash, context hash) of all anchors of the texts."""
+    """(text number, place, k-gram hash, context) of the owners of all strings of the texts."""
+    right, left = _widths(length, gram)
     n, w = len(data), length - gram + 1
-    if n < length:
-        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
-    run = _prefix(data)
-    grams = kernel.mix((run[gram:] - run[:-gram]) * kernel.powers(kernel._UNBASE, n - gram + 1)) | U(1)
-    low = _slide(grams, w, np.minimum)  # of the string that starts here
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(kernel._BYTE[data] * kernel.powers(kernel._BASE, n), out=run[1:])
+    grams = kernel.mix((run[gram:] - run[:-gram]) * kernel.powers(kernel._UNBASE, n - gram + 1))
+    low = _slide((grams & ~U(PLACE)) | np.arange(len(grams), dtype=np.uint64), w, np.minimum)
+    inside = np.ones(len(low), bool)
     for end in offs[1:-1]:  # strings that reach into the next text
-        low[max(0, end - length + 1) : end] = 0
-    padded = np.zeros(len(grams) + w - 1, np.uint64)
-    padded[w - 1 : w - 1 + len(low)] = low
-    p = np.flatnonzero(_slide(padded, w, np.maximum) == grams)
-    doc = np.searchsorted(offs, p, "right") - 1
-    left = np.minimum(p - offs[doc], w - 1)
-    right = np.minimum(offs[doc + 1] - p, length)
-    ctx = kernel.mix(_spans(run, p - left, p + right) + left.astype(np.uint64))
-    return doc, p - offs[doc], grams[p], ctx
-
-
-def _blobs(bits: int, bucket_hash, ids, uids, doc, h, ctx, pos, old: bool = False):
-    """Rows of BLOB: entries of one bucket, the documents as a run-length list."""
-    bucket = (bucket_hash >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(bucket_hash), np.int64)
-    order = np.argsort(bucket, kind="stable")
-    at = key_changes(bucket[order])
-    rows = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        o = order[a:b]
-        d = doc[o]
-        runs = key_changes(d)
-        first = d[runs[:-1]]
-        rows.append((int(bucket[o[0]]), old, ids[first].tobytes(), uids[first].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), h[o].tobytes(), ctx[o].tobytes(), pos[o].astype(np.uint32).tobytes()))
-    if rows:
-        c = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in c[2:])], ["bucket", "old", "ids", "uids", "counts", "h", "ctx", "pos"])
-
-
-def _unblob(table: pa.Table, i: int, j: int):
-    """Flat columns of blobs i .. j-1."""
-    col = lambda name, kind: np.frombuffer(b"".join(table.column(name).slice(i, j - i).to_pylist()), kind)
-    counts = col("counts", np.uint32)
-    per_blob = np.array([len(x) // 4 for x in table.column("pos").slice(i, j - i).to_pylist()])
-    return np.repeat(col("ids", np.int64), counts), np.repeat(col("uids", np.int64), counts), col("h", np.uint32), col("ctx", np.uint64), col("pos", np.uint32), np.repeat(table.column("old").to_numpy(zero_copy_only=False)[i:j], per_blob)
-
-
-def _found(uids, pos, n, kind) -> pa.RecordBatch:
-    """Marks: from a place on, n places, of a kind."""
-    return pa.RecordBatch.from_arrays([pa.array(uids), pa.array((pos.astype(np.int64) * 256 + n) * 4 + kind)], ["uid", "mark"])
-
-
-def _starts(*cols) -> np.ndarray:
-    """Whether a row of sorted columns begins a new group."""
-    new = np.ones(len(cols[0]), bool)
-    if len(new):
-        new[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in cols))
-    return new
-
-
-def _scan(table: pa.Table):
-    """Merge one bucket's new entries with the old runs; yields marks of the texts."""
-    at = key_changes(table.column("bucket").to_numpy())
-    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        ids, uids, h, ctx, pos, old = _unblob(table, i, j)
-        order = np.lexsort((ids, ctx, h))
-        ids, uids, h, ctx, pos, old = (x[order] for x in (ids, uids, h, ctx, pos, old))
-        new_h, new_c = _starts(h), _starts(h, ctx)
-        group, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        first = ids[new_c][context]  # the smallest document with this context
-        full = (ids > first) & ~old
-        several = (np.bincount(group[new_c], minlength=int(group[-1]) + 1) > 1)[group] if len(group) else np.zeros(0, bool)
-        fresh = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        fresh[group[~old & ~full]] = True  # old contexts speak only where the batch has a context of its own
-        lead = several & (ids == first) & fresh[group] if len(group) else several
-        lone = np.minimum.reduceat(ids, np.flatnonzero(new_h)) == np.maximum.reduceat(ids, np.flatnonzero(new_h)) if len(ids) else np.zeros(0, bool)
-        lead &= ~lone[group] if len(ids) else lead
-        for mask, kind in ((full, FULL), (lead, PARTIAL)):
-            if mask.any():
-                yield _found(uids[mask], pos[mask], 1, kind)
-
-
-def _merge(bits: int):
-    """Several runs' blobs of a bucket to one sorted blob; a context keeps its first document."""
-
-    def work(table: pa.Table):
-        buckets = table.column("bucket").to_numpy()
-        at = key_changes(buckets)
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            ids, uids, h, ctx, pos, _ = _unblob(table, i, j)
-            order = np.lexsort((ids, ctx, h))
-            ids, uids, h, ctx, pos = (x[order] for x in (ids, uids, h, ctx, pos))
-            new_c = _starts(h, ctx)
-            keep = np.flatnonzero(ids == ids[new_c][np.cumsum(new_c) - 1])
-            keep = keep[np.argsort(ids[keep], kind="stable")]  # by document, for the run-length list
-            new_doc = _starts(ids[keep], uids[keep])
-            for batch in _blobs(0, h[keep].astype(np.uint64), ids[keep][new_doc], uids[keep][new_doc], np.cumsum(new_doc) - 1, h[keep], ctx[keep], pos[keep], True):
-                yield batch.set_column(0, "bucket", pa.array(np.full(batch.num_rows, buckets[i], np.int32)))
-
-    return work
-
-
-def _runs(uids, pos, later):
-    """(uids, marks) of the strings that go, neighbouring starts of a text in one mark."""
-    order = np.lexsort((pos, uids))
-    uids, pos = uids[order][later[order]], pos[order][later[order]].astype(np.int64)
-    step = np.ones(len(pos), bool)
-    step[1:] = (uids[1:] != uids[:-1]) | (pos[1:] != pos[:-1] + 1)
-    first = np.flatnonzero(step)
-    at = np.arange(len(pos)) - np.repeat(first, np.diff(np.append(first, len(pos))))
-    first = np.flatnonzero(at % 200 == 0)  # a mark counts up to 255 places
-    n = np.diff(np.append(first, len(pos)))
-    return uids[first], (pos[first] * 256 + n) * 4 + WINDOW
-
-
-def _later(h, ids):
-    """Which strings also start in a document with a smaller id; which is the first of its kind."""
+        inside[max(0, end - length + 1) : end] = False
+    start = np.flatnonzero(inside)
+    own = (low[start] & U(PLACE)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    p, a, b = own[first], start[first], start[np.append(first[1:], len(start)) - 1]
+    before, after = p - a, b + length - p
+    ctx = np.zeros((len(p), right + left), np.uint8)
+    k = np.arange(length)
+    ctx[:, :length] = np.where(k < after[:, None], data[np.minimum(p[:, None] + k, n - 1)], 0)
+    ctx[:, right - 1] = after
+    k = np.arange(w - 1)
+    ctx[:, right : right + w - 1] = np.where(k < before[:, None], data[np.maximum(p[:, None] - 1 - k, 0)], 0)
+    ctx[:, -1] = before
+    return np.searchsorted(offs, p, "right") - 1, p, grams[p], ctx
+
+
+def _column(ctx: np.ndarray, c: int) -> np.ndarray:
+    """Bytes 8c .. 8c+7 of the contexts as numbers in byte order."""
+    return ctx[:, 8 * c : 8 * c + 8].copy().view(">u8").ravel().astype(np.uint64)
+
+
+def _hash(ctx: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(ctx), np.uint64)
+    for c in range(ctx.shape[1] // 8):
+        h = kernel.mix(h * U(0x9FB21C651E98DF25) + _column(ctx, c) + U(c))
+    return h
+
+
+def _owned(ctx: np.ndarray, length: int, right: int) -> np.ndarray:
+    """Bit j: the string that starts j bytes before the anchor belongs to it."""
+    least, most = length - ctx[:, right - 1].astype(np.int64), ctx[:, -1].astype(np.int64)
+    return (np.int64(1) << (most + 1)) - (np.int64(1) << least)
+
+
+def suffix_order(ctx: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bytes, where a new k-gram begins, where a new context begins): sorted by eight bytes, ties by the next."""
+    first = _column(ctx, 0)
+    order = np.argsort(first, kind="stable")
+    new = np.ones(len(ctx), bool)
+    new[1:] = first[order[1:]] != first[order[:-1]]
+    new_gram = new.copy() if gram == 8 else None
+    for c in range(1, ctx.shape[1] // 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]  # the head of a group of ties
+        at = np.flatnonzero(tied)
+        if len(at):
+            group = np.cumsum(new[at])
+            key = _column(ctx[order[at]], c)
+            o = np.lexsort((key, group))
+            order[at] = order[at][o]
+            key = key[o]
+            new[at[1:]] |= (key[1:] != key[:-1]) & ~new[at[1:]]
+        if 8 * (c + 1) == gram:
+            new_gram = new.copy()
+    return order, new_gram, new
+
+
+def _pack(fields, columns: dict, ctx: np.ndarray | None = None) -> bytes:
+    raw = b"".join(np.ascontiguousarray(columns[name], kind).tobytes() for name, kind in fields) + (ctx.tobytes() if ctx is not None else b"")
+    n = len(columns[fields[0][0]])
+    return np.array([n, len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(fields, blobs: list, width: int = 0) -> tuple[dict, np.ndarray]:
+    """Columns (and contexts) of all blobs, end to end."""
+    columns, contexts = {name: [np.zeros(0, kind)] for name, kind in fields}, [np.zeros((0, width), np.uint8)]
+    for blob in blobs:
+        n, size = np.frombuffer(blob, np.int64, 2).tolist()
+        raw, at = pa.decompress(blob[16:], size, "zstd", asbytes=True), 0
+        for name, kind in fields:
+            columns[name].append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        if width:
+            contexts.append(np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width))
+    return {name: np.concatenate(parts) for name, parts in columns.items()}, np.concatenate(contexts)
+
+
+RUN_FIELDS = (("n", np.int64),)
+
+
+def _pack_run(ctx: np.ndarray) -> bytes:
+    return _pack(RUN_FIELDS, {"n": np.array([len(ctx)])}, ctx)
+
+
+def _unpack_run(blob: bytes, width: int) -> np.ndarray:
+    _, size = np.frombuffer(blob, np.int64, 2).tolist()
+    return np.frombuffer(pa.decompress(blob[16:], size, "zstd", asbytes=True), np.uint8)[8:].reshape(-1, width)
+
+
+def _entries_of(data, offs, rows, group, length, gram):
+    """Entries of a group of pieces, neighbours with equal contexts at equal steps as one."""
+    part = np.concatenate([data[offs[r] + a : offs[r] + b] for r, a, b in group])
+    cut = np.concatenate([[0], np.cumsum([b - a for _, a, b in group])])
+    seg, p, h, ctx = anchors(part, cut, length, gram)
+    pos = p - cut[seg] + np.array([a for _, a, _ in group])[seg]
+    row = np.array([r for r, _, _ in group])[seg]
+    same, step = np.zeros(len(p), bool), np.zeros(len(p), np.int64)
+    same[1:] = (seg[1:] == seg[:-1]) & (ctx[1:] == ctx[:-1]).all(axis=1)
+    step[1:] = pos[1:] - pos[:-1]
+    go_on = same.copy()
+    go_on[1:] &= ~same[:-1] | (step[1:] == step[:-1])
+    head = np.flatnonzero(~go_on)
+    rep = np.diff(np.append(head, len(p)))
+    second = np.minimum(head + 1, max(len(p) - 1, 0))
+    return rows[row[head]], pos[head], np.where(rep > 1, step[second], 0), rep, h[head], ctx[head]
+
+
+def _settle(ids, ctx):
+    """Which entries have an entry of a smaller id with the same context."""
+    h = _hash(ctx)
     order = np.lexsort((ids, h))
-    new = _starts(h[order])
-    own = ids[order]
-    later, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    later[order] = own > own[new][np.cumsum(new) - 1]
-    lead[order] = ~later[order]
-    return later, lead
-
-
-def _first_of_strings(table: pa.Table):
-    """Strings of a bucket, one per task that had them and document: those whose smallest document is another one."""
-    at = key_changes(table.column("bucket").to_numpy())
-    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        ids, uids, _, h, pos, _ = _unblob(table, i, j)
-        later, _ = _later(h, ids)
-        found, marks = _runs(uids, pos, later)
-        for col in ("own_uids", "own_marks"):
-            raw = np.frombuffer(b"".join(x for x in table.column(col).slice(i, j - i).to_pylist() if x), np.int64)
-            found, marks = (np.concatenate([found, raw]), marks) if col == "own_uids" else (found, np.concatenate([marks, raw]))
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(marks)], ["uid", "mark"])
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    lead = order[new][np.cumsum(new) - 1]
+    gone = ids[order] > ids[lead]
+    at = np.flatnonzero(gone)
+    gone[at] = (ctx[order[at]] == ctx[lead[at]]).all(axis=1)
+    out = np.zeros(len(h), bool)
+    out[order] = gone
+    return out
+
+
+def _smaller(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, whether a row of its key has a smaller id, and a row with the smallest."""
+    order = np.lexsort((ids, key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    lead = order[new][np.cumsum(new) - 1]
+    gone, who = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    gone[order], who[order] = ids[order] > ids[lead], lead
+    return gone, who
+
+
+def repeated_strings(ctx: np.ndarray, group: np.ndarray, ids: np.ndarray, length: int, right: int) -> np.ndarray:
+    """Per distinct context, bit j where its string at offset j also is in a context of its group with a smaller id."""
+    out, owned = np.zeros(len(ctx), np.int64), _owned(ctx, length, right)
+    salt = kernel.mix(group.astype(np.uint64))
+    top = U(pow(kernel._BASE, length - 1, 2**64))
+    h = np.zeros(len(ctx), np.uint64)
+    for i in range(length):
+        h += kernel._BYTE[ctx[:, i]] * U(pow(kernel._BASE, i, 2**64))
+    for j in range(int(ctx[:, -1].max(initial=0)) + 1):
+        if j:
+            h = (h - kernel._BYTE[ctx[:, length - j]] * top) * U(kernel._BASE) + kernel._BYTE[ctx[:, right + j - 1]]
+        at = np.flatnonzero(owned >> j & 1)
+        if len(at) < 2:
+            continue
+        gone, who = _smaller(kernel.mix(h[at]) ^ salt[at], ids[at])
+        x, y = at[gone], at[who[gone]]
+        equal = (ctx[x, : length - j] == ctx[y, : length - j]).all(axis=1) & (ctx[x, right : right + j] == ctx[y, right : right + j]).all(axis=1) & (group[x] == group[y])
+        if not equal.all():  # different strings under one hash: number the strings by their bytes instead
+            text = np.concatenate([ctx[at, : length - j], ctx[at, right : right + j]], axis=1)
+            _, number = np.unique(np.concatenate([text, group[at].astype(np.int64)[:, None].view(np.uint8)], axis=1), axis=0, return_inverse=True)
+            gone, who = _smaller(number.ravel(), ids[at])
+            x = at[gone]
+        out[x] |= np.int64(1) << j
+    return out
+
+
+def merge_scan(old: list[np.ndarray], new: dict, ctx: np.ndarray, length: int, gram: int):
+    """One bucket: (marks of the new entries, the new contexts as a sorted run)."""
+    right, _ = _widths(length, gram)
+    every = np.concatenate([*old, ctx])
+    ids = np.concatenate([np.full(len(every) - len(ctx), OLD), new["id"]])
+    order, new_gram, new_ctx = suffix_order(every, gram)
+    sid, gram_no, ctx_no = ids[order], np.cumsum(new_gram) - 1, np.cumsum(new_ctx) - 1
+    heads = np.flatnonzero(new_ctx)
+    least = np.minimum.reduceat(sid, heads)
+    in_gram = gram_no[heads]
+    gram_least = np.minimum.reduceat(least, np.flatnonzero(np.append(True, in_gram[1:] != in_gram[:-1])))
+    # Groups in which a context has a smaller document elsewhere: their contexts' strings decide.
+    wanting = (least != OLD) & (least > gram_least[in_gram])
+    some = np.bincount(in_gram[wanting], minlength=len(gram_least)) > 0
+    take = np.flatnonzero(some[in_gram])
+    mask = np.zeros(len(heads), np.int64)
+    mask[take] = repeated_strings(every[order[heads[take]]], in_gram[take], least[take], length, right)
+    first = least[ctx_no]
+    fresh = np.flatnonzero(sid != OLD)
+    bits = np.where(sid[fresh] > first[fresh], _owned(every[order[fresh]], length, right), mask[ctx_no[fresh]])
+    hit = bits != 0
+    who = order[fresh[hit]] - (len(every) - len(ctx))
+    marks = {"uid": new["uid"][who], "pos": new["pos"][who], "mask": bits[hit], "step": new["step"][who], "rep": new["rep"][who]}
+    return marks, every[order[heads[least != OLD]]]
 
 
 class SuffixIndexFamily:
     """add() takes in a batch with larger ids than all before and returns its marks."""
 
-    def __init__(self, space: Workspace, bits: int, length: int = LENGTH, gram: int = GRAM, fanout: int = 2):
-        self.space, self.bits, self.length, self.gram, self.fanout = space, bits, length, gram, fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, space: Workspace, buckets: int, length: int = LENGTH, gram: int = GRAM):
+        if gram % 8 or not 8 <= gram <= length <= 255 or length - gram > 60:
+            raise ValueError("gram: a multiple of 8, at most 60 bytes under length; length: at most 255")
+        self.space, self.buckets, self.length, self.gram = space, buckets, length, gram
+        self.levels: list[tuple[str, DataFrame, str] | None] = []  # (table, run, folder) per level, or none
         self.batches = 0
-        self.names: list[str] = []
 
     def _entries(self, texts: DataFrame) -> DataFrame:
-        bits, length, gram = self.bits, self.length, self.gram
+        buckets, length, gram = self.buckets, self.length, self.gram
+        right, _ = _widths(length, gram)
+
+        def flush(parts):
+            ids, uids, pos, step, rep, h, ctx = (np.concatenate(x) for x in zip(*parts))
+            gone = _settle(ids, ctx)
+            marks = _pack(MARK_FIELDS, {"uid": uids[gone], "pos": pos[gone], "mask": _owned(ctx[gone], length, right), "step": step[gone], "rep": rep[gone]})
+            bucket = (kernel.mix(h + U(1)) % U(buckets)).astype(np.int32)  # owners have small hashes: mixed once more
+            stay = np.flatnonzero(~gone)
+            stay = stay[np.argsort(bucket[stay], kind="stable")]
+            edge = np.flatnonzero(np.append(True, bucket[stay][1:] != bucket[stay][:-1])) if len(stay) else np.zeros(0, np.int64)
+            blobs = []
+            for x in np.split(stay, edge[1:]):
+                blobs.append(_pack(FIELDS, {"id": ids[x], "uid": uids[x], "pos": pos[x], "step": step[x], "rep": rep[x]}, ctx[x]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[stay[edge]], pa.int32()), pa.array(blobs, pa.binary()), pa.array([marks] + [None] * (len(blobs) - 1), pa.binary())], ["bucket", "entries", "marks"])
 
         def work(batches):
+            parts, size = [], 0
             for batch in batches:
                 data, offs = kernel.as_bytes(batch.column("text"))
                 ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
-                for i, j in kernel.slices(offs, SLICE):
-                    doc, pos, h, ctx = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
-                    yield from _blobs(bits, h, ids[i:j], uids[i:j], doc, (h >> U(8)).astype(np.uint32), ctx, pos)
+                for group in _pieces(offs, length):
+                    row, pos, step, rep, h, ctx = _entries_of(data, offs, np.arange(batch.num_rows), group, length, gram)
+                    parts.append((ids[row], uids[row], pos, step.astype(np.int32), rep.astype(np.int32), h, ctx))
+                    size += len(row)
+                    if size >= FLUSH:
+                        yield flush(parts)
+                        parts, size = [], 0
+            if parts:
+                yield flush(parts)
             kernel.trim()
 
-        return texts.select("id", "uid", "text").mapInArrow(work, BLOB)
+        return texts.select("id", "uid", "text").mapInArrow(work, "bucket int, entries binary, marks binary")
+
+    def _save_run(self, df: DataFrame, name: str) -> tuple[str, DataFrame, str]:
+        """A table bucketed by the index's buckets: joins of runs move nothing."""
+        spark = self.space.spark
+        table = f"suffix_runs_{uuid.uuid4().hex}"
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(parts, "bucket").sortBy("bucket").option("path", self.space.path(name)).option("compression", "none").saveAsTable(table)
+        return table, spark.table(table), name
+
+    def _drop_run(self, run: tuple[str, DataFrame, str]) -> None:
+        self.space.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
+        self.space.drop(run[2])
 
     def add(self, texts: DataFrame, more: bool) -> DataFrame:
-        """more: further batches follow, so the batch's own run is kept and levels merge."""
+        """more: further batches follow, so the batch's own contexts become a run and equal levels merge."""
         k, self.batches = self.batches, self.batches + 1
-        new = self._entries(texts)
-        old = [run for level in self.levels for run in level]
-        marks = self.space.save(by_sorted_key(reduce(DataFrame.unionAll, [new, *old]), "bucket", [], _scan, MARKS, 1 << self.bits), f"marks-{k}")
-        if more:
-            self.space.release()
-            self._put(new, 0, f"{k}")
-        return marks
+        length, gram, width = self.length, self.gram, sum(_widths(self.length, self.gram))
+        dealt = self._entries(texts).groupBy("bucket").agg(F.collect_list("entries").alias("entries"), F.collect_list("marks").alias("marks"))
+        runs = [run for run in self.levels if run]
+        n_old = len(runs)
+        for i, (_, run, _) in enumerate(runs):
+            dealt = dealt.join(run.select("bucket", F.col("run").alias(f"old{i}")), "bucket", "left")
+
+        def scan(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    new, ctx = _unpack(FIELDS, r["entries"], width)
+                    old = [_unpack_run(r[f"old{i}"], width) for i in range(n_old) if r[f"old{i}"] is not None]
+                    found, run = merge_scan(old, new, ctx, length, gram)
+                    settled, _ = _unpack(MARK_FIELDS, r["marks"])
+                    marks = _pack(MARK_FIELDS, {name: np.concatenate([found[name], settled[name]]) for name, _ in MARK_FIELDS})
+                    yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([_pack_run(run) if more else None], pa.binary()), pa.array([marks], pa.binary())], ["bucket", "run", "marks"])
+            kernel.trim()
 
-    def drop(self) -> None:
-        """Free the runs' files, when no more batches come."""
-        for name in self.names:
-            self.space.drop(name)
+        def unpack(batches):
+            for batch in batches:
+                for blob in batch.column("marks").to_pylist():
+                    marks, _ = _unpack(MARK_FIELDS, [blob])
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[name]) for name, _ in MARK_FIELDS], [name for name, _ in MARK_FIELDS])
+
+        scanned = dealt.mapInArrow(scan, "bucket int, run binary, marks binary")
+        if not more:
+            return self.space.save(scanned.select("marks").mapInArrow(unpack, MARKS), f"marks-{k}")
+        run = self._save_run(scanned, f"batch-{k}")
+        marks = self.space.save(run[1].select("marks").mapInArrow(unpack, MARKS), f"marks-{k}")
+        self.space.release()
+        self._put(run)
+        return marks
 
-    def _put(self, run: DataFrame, level: int, name: str) -> None:
+    def _put(self, run: tuple[str, DataFrame, str], level: int = 0) -> None:
+        """Like carrying in binary counting: two runs of a level become one of the next."""
         while len(self.levels) <= level:
-            self.levels.append([])
-        merged = by_sorted_key(reduce(DataFrame.unionAll, [run, *self.levels[level]]) if len(self.levels[level]) + 1 >= self.fanout else run, "bucket", [], _merge(self.bits), BLOB, 1 << self.bits)
-        saved = self.space.save(merged, f"level{level}-{name}")
-        self.names.append(f"level{level}-{name}")
-        if len(self.levels[level]) + 1 >= self.fanout:
-            self.levels[level] = []
-            while len(self.levels) <= level + 1:
-                self.levels.append([])
-            if len(self.levels[level + 1]) + 1 >= self.fanout:
-                self._put(saved, level + 1, name)
-            else:
-                self.levels[level + 1].append(saved)
-        else:
-            self.levels[level].append(saved)
-
-
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            self.levels.append(None)
+        if self.levels[level] is None:
+            self.levels[level] = run
+            return
+        other, self.levels[level] = self.levels[level], None
+        width, gram = sum(_widths(self.length, self.gram)), self.gram
+
+        def merge(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    both = [_unpack_run(x, width) for x in (r["run"], r["other"]) if x is not None]
+                    ctx = np.concatenate(both)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([_pack_run(ctx[suffix_order(ctx, gram)[0]])], pa.binary())], ["bucket", "run"])
+            kernel.trim()
+
+        joined = run[1].select("bucket", "run").join(other[1].select("bucket", F.col("run").alias("other")), "bucket", "full")
+        merged = self._save_run(joined.mapInArrow(merge, "bucket int, run binary"), f"level{level + 1}-{self.batches}")
+        self._drop_run(run)
+        self._drop_run(other)
+        self._put(merged, level + 1)
+
+    def close(self) -> None:
+        """Free the runs' tables and files, when no more batches come."""
+        for run in self.levels:
+            if run:
+                self._drop_run(run)
+        self.levels = []
+
+
+def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that strings of ``length`` bytes at these places cover."""
+    starts = np.unique(starts)
+    gap = np.flatnonzero(starts[1:] > starts[:-1] + length)
+    return starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + length
+
+
+def _starts(pos, mask, step, rep) -> np.ndarray:
+    """Where the strings of marks start."""
+    if (rep > 1).any():
+        at = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)
+        pos, mask = np.repeat(pos, rep) + at * np.repeat(step.astype(np.int64), rep), np.repeat(mask, rep)
+    return np.concatenate([pos[mask >> j & 1 == 1] - j for j in range(int(mask.max()).bit_length())])
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "passages")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"), body.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
-    # Dealt and sorted by row number once; later joins on it move only the small side.
-    parts = max(4, int(size // (8 << 20)))
-    table = f"passages_{space.root.rpartition('-')[2]}"
-    rows.repartition(parts, "uid").sortWithinPartitions("uid").write.bucketBy(parts, "uid").sortBy("uid").option("path", space.path("texts")).format("parquet").option("compression", "zstd").saveAsTable(table)
-    texts = spark.table(table)
-    space.release()
-
-    # A whole copy of a text with a smaller id goes whole, and need not be indexed.
-    brief = texts.filter(F.col("id").isNotNull()).select("uid", "id", "h1", "h2")
-    same = space.save(brief.groupBy("h1", "h2").agg(F.min("id").alias("first")), "same")
-    known = space.save(brief.join(same, ["h1", "h2"]).select("uid", (F.col("id") == F.col("first")).alias("head")), "known")
-    indexed = texts.filter(F.octet_length("text") >= length).join(known.filter("head"), "uid", "left_semi").select("uid", "id", "text")
-    family = SuffixIndexFamily(space, bits, length, gram)
-    parts_of = id_batches(indexed, batches, "id")
+    space = Workspace(docs.sparkSession, "passages")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = space.save(rows, "texts", compression="zstd")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    indexed = texts.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+    n = batches or max(BATCHES, -(-size // BATCH_BYTES))
+    edges = sorted(set(indexed.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    key = F.col("id")
+    parts = [indexed.filter(c) for c in ([key < edges[0], *((key >= a) & (key < b) for a, b in zip(edges, edges[1:])), key >= edges[-1]] if edges else [F.lit(True)])]
+    family = SuffixIndexFamily(space, max(8, -(-size // BUCKET_BYTES)), length, gram)
     marks = []
-    for k, batch in enumerate(parts_of):
-        marks.append(family.add(batch, k + 1 < len(parts_of)))
+    for k, batch in enumerate(parts):
+        marks.append(family.add(batch, k + 1 < len(parts)))
         space.release()
-    family.drop()
-    marks = reduce(DataFrame.unionAll, marks)
-    gathered = marks.filter((F.col("mark") % 4) == PARTIAL).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
-
-    def strings_of(batches):
-        """Hashes of the strings through marked anchors. What a batch settles itself goes along as marks; of equal
-        strings only the smallest document's goes on, so a string of a third of all texts is one entry per batch."""
-        reach = length - gram
-        for batch in batches:
-            data, offs = kernel.as_bytes(batch.column("text"))
-            ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
-            values, at = batch.column("marks").values.to_numpy() // 1024, batch.column("marks").offsets.to_numpy()
-            docs_, starts_, hashes_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for i, j in kernel.slices(offs, SLICE):
-                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
-                p = values[at[i] : at[j]]
-                base, size = o[doc - i], o[doc - i + 1] - o[doc - i]
-                edge = np.bincount(base + np.maximum(p - reach, 0), minlength=len(part) + 2) - np.bincount(base + np.minimum(p, size - length) + 1, minlength=len(part) + 2)
-                s = np.flatnonzero(np.cumsum(edge[: len(part)]) > 0)
-                hashes_.append(_spans(_prefix(part), s, s + length))
-                d = np.searchsorted(o, s, "right") - 1
-                docs_.append(d + i)
-                starts_.append(s - o[d])
-            doc, pos, h = np.concatenate(docs_), np.concatenate(starts_), np.concatenate(hashes_)
-            later, lead = _later(h, ids[doc]) if len(h) else (np.zeros(0, bool), np.zeros(0, bool))
-            own_uids, own_marks = _runs(uids[doc], pos, later)
-            first = True
-            for out in _blobs(bits, h[lead], ids, uids, doc[lead], np.zeros(int(lead.sum()), np.uint32), h[lead], pos[lead]):
-                empty = [b""] * (out.num_rows - 1)
-                own = [own_uids.tobytes(), own_marks.tobytes()] if first else [b"", b""]
-                first = False
-                yield out.append_column("own_uids", pa.array([own[0], *empty], pa.binary())).append_column("own_marks", pa.array([own[1], *empty], pa.binary()))
-        kernel.trim()
-
-    strings = texts.join(gathered, "uid").select("uid", "id", "text", "marks").mapInArrow(strings_of, STRINGS)
-    later = space.save(by_sorted_key(strings, "bucket", [], _first_of_strings, MARKS, 1 << bits), "later")
-    space.release()
-
-    gone = marks.filter((F.col("mark") % 4) == FULL).unionByName(later).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
-    gone = gone.join(known.filter("not head").select("uid", F.lit(True).alias("copy")), "uid", "full")
+    family.close()
+    gone = reduce(DataFrame.unionAll, marks).groupBy("uid").agg(*(F.collect_list(name).alias(name) for name, _ in MARK_FIELDS[1:]))
 
     def remove(batches):
-        reach = length - gram
         for batch in batches:
+            valid = batch.column("pos").is_valid().to_numpy(zero_copy_only=False)
             out = []
-            lists, copy = batch.column("marks"), batch.column("copy")
-            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            valid = lists.is_valid().to_numpy(zero_copy_only=False)
             for k, raw in enumerate(batch.column("text")):
                 raw = raw.as_py().encode()
-                n = len(raw)
-                if copy[k].as_py() and n >= length:
-                    out.append((n, n, 1, b""))
-                    continue
-                if not valid[k] or at[k] == at[k + 1]:
-                    out.append((n, 0, 0, raw))
+                if not valid[k]:
+                    out.append((len(raw), 0, 0, raw))
                     continue
-                m = values[at[k] : at[k + 1]]
-                p, kind = m // 1024, m % 4
-                a = np.where(kind == FULL, np.maximum(p - reach, 0), p)
-                b = np.minimum(np.where(kind == FULL, p + length, p + m // 4 % 256 - 1 + length), n)
-                cover = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
-                spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-                out.append((n, int(cover.sum()), spans, np.frombuffer(raw, np.uint8)[~cover].tobytes()))
+                a, b = _spans(_starts(*(batch.column(name)[k].values.to_numpy() for name, _ in MARK_FIELDS[1:])), length)
+                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)]))
+                out.append((len(raw), int((b - a).sum()), len(a), kept))
             c = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], [doc_id, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(gone, "uid", "left").select("id", "text", "marks", "copy").mapInArrow(remove, f"{doc_id} long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(gone, "uid", "left").mapInArrow(remove, f"{doc_id} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

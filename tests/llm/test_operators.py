@@ -456,12 +456,55 @@ def brute_passages(docs, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batches,length,gram", [(1, 50, 24), (3, 50, 24), (6, 20, 8)])
-def test_repeated_passages(spark, odd, batches, length, gram):
-    for docs, df in ((noisy(80), None), ([(i, t) for i, t, _ in ODD], odd)):
+@pytest.mark.parametrize("batches,length,gram,slice_bytes", [(1, 50, 16, 400_000), (None, 50, 16, 700), (7, 20, 8, 300), (3, 50, 24, 400_000)])
+def test_repeated_passages(spark, odd, monkeypatch, batches, length, gram, slice_bytes):
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_bytes)  # texts are cut into pieces, too
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 500)
+    hot = "This very passage stands in a third of all the documents, word for word. "
+    many = [(i, f"{t[:40]} {hot}{t[40:]}" if i % 3 == 0 else t) for i, t in noisy(150)]
+    many += [(200 + i, "ab" * (60 + 20 * i) + "tail") for i in range(5)] + [(300 + i, "abcdefghijklmnopqrstuvw" * 30 + str(i)) for i in range(4)]
+    for docs, df in ((many, None), ([(i, t) for i, t, _ in ODD], odd)):
         df = df if df is not None else spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
         got = suffix_dedup.repeated_passages(df, length, gram, batches).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute_passages(docs, length)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_runs")]
+
+
+def test_suffix_order_is_byte_order():
+    r = np.random.default_rng(1)
+    ctx = r.integers(97, 100, (4000, 32)).astype(np.uint8)
+    ctx[2000:] = ctx[r.integers(0, 300, 2000)]
+    order, new_gram, new = suffix_dedup.suffix_order(ctx, 8)
+    rows = [bytes(x) for x in ctx[order]]
+    assert rows == sorted(bytes(x) for x in ctx)
+    assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+    assert new_gram.tolist() == [i == 0 or rows[i][:8] != rows[i - 1][:8] for i in range(len(rows))]
+
+
+def test_strings_of_one_hash_are_told_apart(monkeypatch):
+    docs = noisy(60)
+    data, offs = kernel.as_bytes(pa.array([t for _, t in docs]))
+    doc, _, _, ctx = suffix_dedup.anchors(data, offs, 50, 16)
+    order, new_gram, new = suffix_dedup.suffix_order(ctx, 16)
+    group, keep = np.cumsum(new_gram)[new] - 1, order[new]
+    want = suffix_dedup.repeated_strings(ctx[keep], group, doc[keep], 50, 56)
+    assert want.any()
+    monkeypatch.setattr(kernel, "mix", lambda h: h & np.uint64(3))
+    assert suffix_dedup.repeated_strings(ctx[keep], group, doc[keep], 50, 56).tolist() == want.tolist()
+
+
+def test_levels_merge_geometrically(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"word{(i * 7 + k) % 900}" for k in range(40))) for i in range(160)], "uid long, text string").withColumn("id", F.col("uid"))
+    family = suffix_dedup.SuffixIndexFamily(Workspace(spark, "family"), 8)
+    shapes = []
+    for k in range(5):
+        family.add(df.filter((F.col("id") >= 32 * k) & (F.col("id") < 32 * k + 32)), True)
+        shapes.append([run is not None for run in family.levels])
+    assert shapes == [[True], [False, True], [True, True], [False, False, True], [True, False, True]]
+    blob = family.levels[2][1].select("run").first().run
+    rows = [bytes(x) for x in suffix_dedup._unpack_run(blob, sum(suffix_dedup._widths(50, 16)))]
+    assert len(rows) > 1 and rows == sorted(set(rows))
+    family.close()
 
 
 def test_repeated_passages_of_nothing(none):
