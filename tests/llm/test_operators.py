@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on odd, repeated and missing rows."""
 
+import datetime
 import hashlib
 import itertools
 import math
@@ -299,9 +300,14 @@ def test_mix(spark, odd, none):
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    assert all(abs(taken[s] - target[s]) <= 4 * mixing.BLOCK_WORDS for s in size)
+    slots = sorted((r.first_slot, r.source or "") for r in got if r.taken)
+    assert slots[0][0] < 8 and len({s for _, s in slots[: len(slots) // 3]}) == len(size)  # all sources come early, not one after the other
+    other = {r.doc_id: r.taken for r in mixing.mix(df, step=0.5).collect()}
+    assert any(other[r.doc_id] != r.taken for r in got)  # another sequence draws other blocks
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     assert sum(len(words(r.text)) for r in mixing.mixed_documents(odd).collect()) > 0
+    assert Counter(r.doc_id for r in mixing.mixed_documents(df).collect()) == Counter(r.doc_id for r in mixing.mixed_documents(df, in_order=True).collect())
 
 
 # 7
@@ -338,11 +344,61 @@ def test_secrets_of_letters_only(spark):
         assert got[n].text.removesuffix(" ends") == got[10 + n].text.removesuffix(" and 7")
 
 
-def test_permutation_is_one(spark):
-    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
-    assert df.select(pii.permute_string(F.col("s"), 10, F.lit("t"), "k").alias("p")).distinct().count() == 1000
-    days = spark.range(pii.DATE_A * pii.DATE_B).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("s")).filter("crc32(s) % 8 = 0")
-    assert days.select(pii.pseudonym(F.col("s"), "k").alias("p")).distinct().count() == days.count()
+def test_permutations_of_whole_formats(spark):
+    """Every value of a format has its own pseudonym, in the same format."""
+    three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
+    assert three.select(pii.permute_string(F.col("s"), 10, F.lit("t"), "k").alias("p")).distinct().count() == 1000
+    day = F.date_add(F.lit("1999-06-15").cast("date"), F.col("id").cast("int"))
+    days = spark.range(4 * 366).select(F.explode(F.array(*[F.date_format(day, form) for form in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")])).alias("s")).distinct()
+    phones = spark.range(3000).select(F.format_string("%03d-%03d-%04d", F.col("id") * 7 % 1000, F.col("id") * 13 % 1000, F.col("id") % 10).alias("s")).distinct()
+    secrets = spark.createDataFrame([(f"password={x}",) for x in ("Abcdefg1", "abcdefg1", "aBcdefg1", "ABCDEFG1", "abcdefgh", "deadbeef", "zzzzzzz1", "12345678")], "s string")
+    mails = spark.createDataFrame([(f"{x}@h.org",) for x in ("a.b", "A.b", "ab", "a_b", "a1", "1a", "x" * 30)], "s string")
+    for table in (days, phones, secrets, mails):
+        got = pii.pseudonymize(table.coalesce(4), "k", text="s", doc_id="s").collect()
+        assert len({r.text for r in got}) == len(got) == table.count()
+    kind = lambda s: (int(s[:2]) > 12, int(s[3:5]) > 12) if "/" in s else "iso"
+    for r in pii.pseudonymize(days, "k", text="s", doc_id="s").collect():
+        assert kind(r.s) == kind(r.text)
+
+
+def feistel(a, b, size_a, size_b, tweak, key):
+    noise = lambda i, x, size: int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16) % size
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + noise(i, b, size_a)) % size_a
+        else:
+            b = (b + noise(i, a, size_b)) % size_b
+    return a, b
+
+
+def test_pseudonyms_against_plain_python(spark):
+    ips = ["10.0.0.1", "255.255.255.255", "1.2.3.4"]
+    dates = ["2024-02-29", "1900-01-01", "13/02/2003", "02/13/2003", "02/03/2003"]
+    got = {r.s: r.text for r in pii.pseudonymize(spark.createDataFrame([(x,) for x in ips + dates], "s string"), "k", text="s", doc_id="s").collect()}
+    for x in ips:
+        o = [int(v) for v in x.split(".")]
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4", "k")
+        assert got[x] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    first = datetime.date(1900, 1, 1)
+    for x in dates:
+        p = [int(v) for v in re.split("[/-]", x)]
+        day = datetime.date(*p) if "-" in x else datetime.date(p[2], p[0], p[1]) if p[1] > 12 else datetime.date(p[2], p[1], p[0])
+        inside = (lambda d: True) if "-" in x else (lambda d: d.day > 12) if day.day > 12 else (lambda d: d.day <= 12)
+        while True:
+            n = (day - first).days if x else 0
+            a, b = feistel(n // 268, n % 268, 272, 268, "date", "k")
+            day = first + datetime.timedelta(a * 268 + b)
+            if inside(day):
+                break
+        assert got[x] == day.strftime("%Y-%m-%d" if "-" in x else "%m/%d/%Y" if p[1] > 12 else "%d/%m/%Y")
+
+
+def test_pseudonyms_take_the_session_key(spark, tmp_path):
+    spark.createDataFrame([(1, "at 10.1.2.3 now")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one = pii.op7_pii_pseudonyms(spark, str(tmp_path)).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    assert pii.op7_pii_pseudonyms(spark, str(tmp_path)).first().text != one
+    spark.conf.unset(pii.KEY_SETTING)
 
 
 # 8
