@@ -1,9 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
-A run holds (h1, h2, n_docs) for one batch, sorted by hash. When a level has
-``fanout`` runs they are merged into one run of the next level, so a corpus of B
-batches keeps O(log B) runs. Stripping a batch merge-joins its lines with the
-runs: the lines whose key reached ``min_docs`` documents go, the others stay.
+A run holds (h1, h2, n_docs), sorted by hash, in a table bucketed by hash: joins
+with it are merge joins that move and sort only the other side. There are two
+families of runs. Counting runs hold the keys seen in fewer than ``min_docs``
+documents so far; settled runs hold the keys that reached them. A new batch counts
+its keys, merge-anti-joins the settled runs (their keys need no more counting), merge-joins
+the counting runs for the sums, settles what now is common, and adds the other
+keys as its own run. When a level has ``fanout`` runs they are merged into
+one of the next level, without a shuffle, so B batches leave O(log B) runs.
 
 Defined results: a null or empty text is one empty line; keys shorter than
 ``min_chars`` code points never count; every row is one document, also when rows
@@ -13,6 +17,8 @@ table. Columns besides id and text are not read, so their names can't clash.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,46 +43,97 @@ def hashed(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
-class LineRuns:
-    """The levelled index. add() takes in a batch, strip() removes common lines."""
+# One file holds each bucket of a run, written in order; this lets Spark rely on it.
+READ_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_runs(spark):
+    before = spark.conf.get(READ_SORTED, "false")
+    spark.conf.set(READ_SORTED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(READ_SORTED, before)
 
-    def __init__(self, spark, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, text: str = "text", doc_id: str = "doc_id"):
-        self.min_docs, self.min_chars, self.fanout = min_docs, min_chars, fanout
-        self.text, self.doc_id = text, doc_id
-        self.space = Workspace(spark, "lines")
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.written = 0
 
-    def _run(self, df: DataFrame, level: int) -> tuple[str, DataFrame]:
-        name = f"level{level}-run{self.written}"
-        self.written += 1
-        return name, self.space.save(df.sortWithinPartitions("h1", "h2"), name)
+class SortedRuns:
+    """One family of levelled runs of (h1, h2, n_docs), of which no key is in two runs of settled keys."""
 
-    def _put(self, run: tuple[str, DataFrame], level: int) -> None:
+    def __init__(self, space: Workspace, name: str, fanout: int):
+        self.space, self.name, self.fanout = space, name, fanout
+        self.parts = int(space.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+
+    def tables(self) -> list[DataFrame]:
+        return [self.space.spark.table(t) for level in self.levels for t in level]
+
+    def put(self, df: DataFrame, level: int = 0) -> None:
+        table = f"{self.name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(self.parts, "h1", "h2").sortBy("h1", "h2").option("path", self.space.path(table)).saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = self._run(self._merged([df for _, df in old]), level + 1)
-            for name, _ in old:
-                self.space.drop(name)
-            self._put(merged, level + 1)
+            self.put(reduce(self._merge, [self.space.spark.table(t) for t in old]), level + 1)
+            self._free(old)
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two sorted runs to one: a full merge join on the hash."""
+        b = b.withColumnRenamed("n_docs", "more")
+        return a.join(b.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
 
-    def add(self, batch: DataFrame) -> None:
-        """A run of the batch: in how many documents each key is. A key counts once per document, in the row."""
+    def _free(self, tables: list[str]) -> None:
+        for t in tables:
+            self.space.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.space.drop(t)
+
+    def close(self) -> None:
+        self._free([t for level in self.levels for t in level])
+        self.levels = []
+
+
+class LineRuns:
+    """The levelled index. add() takes in a batch, strip() removes common lines, close() frees the runs."""
+
+    def __init__(self, spark, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, text: str = "text", doc_id: str = "doc_id"):
+        self.min_docs, self.min_chars = min_docs, min_chars
+        self.text, self.doc_id = text, doc_id
+        self.space = Workspace(spark, "lines")
+        self.counting, self.settled = SortedRuns(self.space, "line_counts", fanout), SortedRuns(self.space, "line_common", fanout)
+        self.added = 0
+
+    def counted(self, batch: DataFrame) -> DataFrame:
+        """In how many of the batch's documents each unsettled key is, and in how many so far."""
         keys = F.array_distinct(F.transform(split_lines(F.col(self.text)), line_key))
         long_enough = batch.select(F.explode(keys).alias("key")).filter(F.char_length("key") >= self.min_chars)
         run = long_enough.select(*hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        self._put(self._run(run, 0), 0)
+        for table in self.settled.tables():
+            run = run.join(table.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        total = F.col("n_docs")
+        for i, table in enumerate(self.counting.tables()):
+            run = run.join(table.select("h1", "h2", F.col("n_docs").alias(f"n{i}")).hint("merge"), ["h1", "h2"], "left")
+            total = total + F.coalesce(f"n{i}", F.lit(0))
+        return run.select("h1", "h2", "n_docs", total.alias("so_far"))
+
+    def add(self, batch: DataFrame) -> None:
+        """Merge a batch with the runs and add its own. A key counts once per document, in the row."""
+        with sorted_runs(self.space.spark):
+            name = f"batch-{self.added}"
+            self.added += 1
+            run = self.space.save(self.counted(batch), name)
+            self.settled.put(run.filter(F.col("so_far") >= self.min_docs).select("h1", "h2", F.col("so_far").alias("n_docs")))
+            self.counting.put(run.filter(F.col("so_far") < self.min_docs).select("h1", "h2", "n_docs"))
+            self.space.drop(name)
 
     def common(self) -> DataFrame:
-        runs = [df for level in self.levels for _, df in level]
-        return self._merged(runs).filter(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        return reduce(DataFrame.unionAll, [t.select("h1", "h2") for t in self.settled.tables()])
+
+    def close(self) -> None:
+        self.counting.close()
+        self.settled.close()
 
     def strip(self, docs: DataFrame) -> DataFrame:
         """Per document: id, text (lines that stay, joined by newline), n_lines, n_dropped.
@@ -85,7 +142,7 @@ class LineRuns:
         key in a third of all documents makes one skewed join partition, which
         adaptive execution splits. The text moves once, to meet its positions.
         """
-        common = self.space.save(self.common(), f"common-{self.written}")
+        common = self.space.save(self.common(), f"common-{self.added}")
         rows = docs.select(F.col(self.doc_id).alias("id"), split_lines(F.col(self.text)).alias("lines"), F.xxhash64(self.text).alias("th"))
         lines = rows.select("id", "th", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= self.min_chars)
         hits = (
@@ -125,7 +182,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
     for batch in id_batches(docs, batches):
         runs.add(batch)
-    return runs.strip(docs)
+    stripped = runs.strip(docs)
+    runs.close()
+    return stripped
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
