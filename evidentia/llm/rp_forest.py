@@ -5,14 +5,18 @@ projection; vectors near a split go to both sides. Vectors of one label that
 share a leaf in some tree are compared exactly, in double precision, and linked
 pairs are united.
 
-The medians come from a sample of at most ``SAMPLE`` vectors; every vector is
-put into the trees. Equal vectors are one class and never expanded into pairs. A
-leaf larger than ``LEAF_BLOCK`` is compared as pairs of blocks, so none is cut short.
+The medians come from a sample of about ``SAMPLE`` vectors of each length, picked
+by hash; every vector is put into the trees. Equal vectors are one class and never
+expanded into pairs. A leaf larger than ``LEAF_BLOCK`` is compared as pairs of
+blocks, so none is cut short. Pairs are not written: a task counts each vector's links and
+returns the edges of a spanning forest. A pair that meets in several leaves counts
+in the first one that its vectors share.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, and vectors without a label, link with nothing; vectors of other
-lengths don't compare; rows that repeat an id are further vectors; an empty
-table gives an empty table. Other columns are not read.
+components, and vectors without a label or id, link with nothing; vectors of other
+lengths don't compare; rows that repeat an id are further vectors, each by itself;
+a label can be of any type that groups; an empty table gives an empty table. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import kernel
 from .components import connected_components
 from .runs import by_sorted_key, key_changes
 from .workspace import Workspace
@@ -29,23 +34,23 @@ TREES, LEAF, SPILL, SAMPLE, LEAF_BLOCK, SEED = 8, 128, 0.5, 20_000, 4096, 7
 SAMPLE_LEAF = 16  # below this many sampled vectors a node splits at its level's overall median
 
 
-def usable(batches):
-    """Rows with a usable vector: id, label, dimension, float32 bytes."""
-    for batch in batches:
-        vectors = batch.column("v")
-        ids, labels, out = batch.column("id"), batch.column("label"), []
-        for i, x in enumerate(vectors):
-            if not x.is_valid or not labels[i].is_valid:
-                continue
-            v = np.array(x.values.to_numpy(zero_copy_only=False), np.float32) if not x.values.null_count else np.zeros(0, np.float32)
-            if len(v) and np.isfinite(v).all() and v.any():
-                out.append((i, len(v), (v + np.float32(0)).tobytes()))  # -0 becomes 0: equal vectors have equal bytes
-        at = pa.array([o[0] for o in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.take(at), labels.take(at), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["id", "label", "dim", "v"])
+def usable(kind):
+    """Rows with their vector's length and bytes; an unusable vector has neither."""
+
+    def work(batches):
+        for batch in batches:
+            vectors, out = batch.column("v"), []
+            for x in vectors:
+                v = np.array(x.values.to_numpy(zero_copy_only=False), kind) if x.is_valid and not x.values.null_count else np.zeros(0, kind)
+                good = len(v) and np.isfinite(v).all() and v.any()
+                out.append((len(v), (v + kind(0)).tobytes()) if good else (None, None))  # -0 becomes 0: equal vectors have equal bytes
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["id", "label", "dim", "v"])
+
+    return work
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+def unit(raw: list[bytes], kind) -> np.ndarray:
+    m = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     m /= np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
@@ -89,28 +94,68 @@ class Forest:
             yield t, row, node
 
 
+def _linked(m: np.ndarray, copies: np.ndarray, block: np.ndarray, leaves: np.ndarray, leaf: int, cosine: float):
+    """(links of each row, edges of a spanning forest) among the vectors of one leaf, or of two of its blocks.
+
+    A pair counts here unless its vectors share an earlier leaf. Rows of a leaf
+    in several blocks count as pairs across blocks only, or within one.
+    """
+    n = len(m)
+    links, parent, edges = np.zeros(n, np.int64), np.arange(n), []
+    across = block.min() != block.max()
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(0, n, 512):
+        x, y = np.nonzero(m[i : i + 512] @ m[i:].T >= cosine)
+        x, y = x + i, y + i
+        keep = (y > x) & ((block[x] != block[y]) if across else True)
+        x, y = x[keep], y[keep]
+        for k in range(0, len(x), 20_000):
+            p, q = x[k : k + 20_000], y[k : k + 20_000]
+            mine = np.ones(len(p), bool)
+            for c in range(leaves.shape[1]):  # leaves in the order of all vectors; 0 pads
+                own = leaves[p, c]
+                mine &= ~((own != 0) & (own < leaf) & (leaves[q] == own[:, None]).any(axis=1))
+            np.add.at(links, p[mine], copies[q[mine]])
+            np.add.at(links, q[mine], copies[p[mine]])
+            for a, b in zip(p[mine].tolist(), q[mine].tolist()):
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    edges.append((a, b))
+    return links, np.array(edges, np.int64).reshape(-1, 2)
+
+
 def near_duplicates(table: DataFrame, cosine: float = 0.93, trees: int = TREES, leaf: int = LEAF, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
     space = Workspace(spark, "forest")
-    rows = table.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
-    good = rows.filter("id is not null").mapInArrow(usable, "id long, label long, dim int, v binary")
-    good = space.save(good.select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")), "good")
+    kind = np.float32 if table.schema[vector].dataType.elementType.simpleString() == "float" else np.float64  # bytes as they are; all sums are in double precision
+    label_type = table.schema[label].dataType.simpleString()
+    rows = table.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<float>" if kind is np.float32 else "array<double>").alias("v"))
+    seen = rows.mapInArrow(usable(kind), f"id long, label {label_type}, dim int, v binary")
+    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("dim").isNotNull()
+    seen = space.save(seen.select("id", "label", "dim", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), fit.alias("fit")), "seen")
+    good = seen.filter("fit")
     key = ["label", "h1", "h2"]
     classes = space.save(good.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    heads = good.join(classes.withColumnRenamed("rep", "id"), ["id", *key], "left_semi").dropDuplicates(["id", *key])
+    heads = good.join(classes.withColumnRenamed("rep", "id"), ["id", *key], "left_semi").dropDuplicates(["id", *key]).drop("fit")
     heads = space.save(heads.join(classes.select(*key, "copies"), key).withColumn("hid", F.monotonically_increasing_id()), "heads")
 
-    sizes = heads.groupBy("label", "dim").count().agg(F.max("count"), F.sum("count")).first()
-    most, total = sizes[0] or 0, sizes[1] or 0
-    depth = max(0, int(np.ceil(np.log2(max(most, 1) / leaf)))) if most > leaf else 0
+    # A forest for each vector length that fills more than a leaf.
     forests = {}
-    dims = [r.dim for r in heads.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()]
-    for dim in dims:  # vectors of a rarer length share one leaf, cut into blocks
-        share = min(1.0, SAMPLE / max(total, 1))
-        picked = heads.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("h1"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("v").limit(SAMPLE).collect() if depth else []
-        sample = unit([bytes(r.v) for r in picked]) if picked else np.zeros((0, dim))
-        forests[dim] = Forest(sample, depth if len(sample) else 0, trees if depth else 1, SPILL * np.sqrt((2 - 2 * cosine) / dim))
+    sizes = heads.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("total"))
+    for r in sizes.filter(F.col("most") > leaf).toLocalIterator():
+        share = int(min(1.0, SAMPLE / r.total) * (1 << 30))
+        picked = heads.filter((F.col("dim") == r.dim) & (F.pmod(F.xxhash64(F.lit(SEED), "h1", "h2"), F.lit(1 << 30)) < share)).select("v").toPandas()  # about SAMPLE rows
+        sample = unit(sorted(bytes(v) for v in picked.v), kind) if len(picked) else np.zeros((0, r.dim))
+        depth = int(np.ceil(np.log2(r.most / leaf))) if len(sample) else 0
+        forests[r.dim] = Forest(sample, depth, trees, SPILL * np.sqrt((2 - 2 * cosine) / r.dim))
 
     def place(batches):
         for batch in batches:
@@ -119,38 +164,45 @@ def near_duplicates(table: DataFrame, cosine: float = 0.93, trees: int = TREES,
                 at = np.flatnonzero(dim == d)
                 part = batch.take(pa.array(at))
                 forest = forests.get(int(d))
-                m = unit(part.column("v").to_pylist())
-                for t, row, node in forest.leaves(m) if forest else [(0, np.arange(len(at)), np.zeros(len(at), np.int64))]:
-                    yield pa.RecordBatch.from_arrays([part.column("label").take(pa.array(row)), part.column("dim").take(pa.array(row)), pa.array(np.full(len(row), t, np.int32)), pa.array(node), part.column("hid").take(pa.array(row))], ["label", "dim", "tree", "leaf", "hid"])
-
-    placed = space.save(heads.select("label", "dim", "v", "hid").mapInArrow(place, "label long, dim int, tree int, leaf long, hid long"), "placed")
-    leaf_key = ["label", "dim", "tree", "leaf"]
-    blocks = placed.groupBy(*leaf_key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / LEAF_BLOCK).cast("int"))
-    dealt = placed.join(blocks, leaf_key).withColumn("own", F.pmod(F.xxhash64("hid"), F.col("blocks")).cast("int"))
+                found = list(forest.leaves(unit(part.column("v").to_pylist(), kind))) if forest else [(0, np.arange(len(at)), np.zeros(len(at), np.int64))]
+                row = np.concatenate([x for _, x, _ in found])
+                leaves = np.concatenate([(np.int64(t) << 48) + node + 1 for t, _, node in found])  # ordered, and none is 0
+                order = np.lexsort((leaves, row))
+                offs = np.searchsorted(row[order], np.arange(len(at) + 1))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "dim", "v", "copies", "hid")] + [kernel.lists(leaves[order], offs)], ["label", "dim", "v", "copies", "hid", "leaves"])
+
+    placed = space.save(heads.select("label", "dim", "v", "copies", "hid").mapInArrow(place, f"label {label_type}, dim int, v binary, copies long, hid long, leaves array<long>"), "placed")
+    leaf_key = ["label", "dim", "leaf"]
+    entries = placed.select("label", "dim", "hid", F.explode("leaves").alias("leaf"))
+    blocks = entries.groupBy(*leaf_key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / LEAF_BLOCK).cast("int"))
+    dealt = entries.join(blocks, leaf_key).withColumn("block", F.pmod(F.xxhash64("hid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hid", F.xxhash64(*leaf_key, F.least("own", "other"), F.greatest("own", "other")).alias("route")).distinct().join(heads.select("hid", "v"), "hid")
+    dealt = dealt.select("hid", "leaf", "block", F.xxhash64(*leaf_key, F.least("block", "other"), F.greatest("block", "other")).alias("route"), (F.col("block") != F.col("other")).alias("mixed"))
+    dealt = dealt.join(placed.select("hid", "v", "copies", "leaves"), "hid")
 
     def compare(t: pa.Table):
-        route, hid, raw = t.column("route").to_numpy(), t.column("hid").to_numpy(), t.column("v").to_pylist()
-        at = key_changes(route)
+        route, hid, raw, copies, block, leaf_no, mixed = (t.column(c).to_numpy() if c != "v" else t.column(c).to_pylist() for c in ("route", "hid", "v", "copies", "block", "leaf", "mixed"))
+        lists = t.column("leaves").combine_chunks()
+        at, offs, flat = key_changes(route), lists.offsets.to_numpy(), lists.values.to_numpy()
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            m, own = unit(raw[a:b]), hid[a:b]
-            for i in range(0, len(m), 512):
-                x, y = np.nonzero(m[i : i + 512] @ m[i:].T >= cosine)
-                keep = y > x
-                p, q = own[i + x[keep]], own[i + y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-
-    links = space.save(by_sorted_key(dealt, "route", ["hid"], compare, "a long, b long").distinct(), "links")
-    both = links.union(links.select("b", "a")).toDF("hid", "other")
-    counts = heads.select(F.col("hid").alias("other"), "copies")
-    linked = both.join(counts, "other").groupBy("hid").agg(F.sum("copies").alias("others"))
+            if mixed[a] and len(np.unique(block[a:b])) < 2:
+                continue  # one of the two blocks is empty
+            lengths = np.diff(offs[a : b + 1])
+            own = np.zeros((b - a, int(lengths.max())), np.int64)
+            own[np.arange(own.shape[1]) < lengths[:, None]] = flat[offs[a] : offs[b]]
+            links, edges = _linked(unit(raw[a:b], kind), copies[a:b], block[a:b], own, leaf_no[a], cosine)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hid[a:b][some], hid[a:b][edges[:, 0]]])), pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)])), pa.array(np.concatenate([np.full(len(some), -1), hid[a:b][edges[:, 1]]]))], ["hid", "links", "other"])
+
+    found = space.save(by_sorted_key(dealt, "route", ["hid"], compare, "hid long, links long, other long"), "found")
+    linked = found.filter("other = -1").groupBy("hid").agg(F.sum("links").alias("others"))
     names = heads.select("hid", "id")
-    edges = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = found.filter("other <> -1").select("hid", "other")
+    edges = edges.join(names.toDF("hid", "x"), "hid").join(names.toDF("other", "y"), "other").select(F.col("x").alias("a"), F.col("y").alias("b"))
     root = connected_components(edges, space, "linked")
     per_class = heads.join(linked, "hid", "left").join(root, "id", "left").select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     own = good.select("id", *key).join(per_class, key).select("id", "n_links", "component_id")
-    bad = rows.select("id").join(good.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    bad = seen.filter("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return own.unionByName(bad).select(F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
