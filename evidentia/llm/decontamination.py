@@ -1,13 +1,16 @@
 """Benchmark decontamination by greedy string tiling (running Karp-Rabin).
 
-A document and a test item that share a seed of ``SEED_WORDS`` words are
-compared: the longest common run of words that is not yet marked on either side
-is marked as a tile, again and again, down to runs of ``TILE_WORDS``. The share of
-the item's words under tiles is its coverage, wherever and in whatever order the
-tiles lie in the document, so reordered passages count too.
-
-The seeds of the test items go to all tasks in blocks of at most ``BLOCK_WORDS``
-words; a larger benchmark takes several passes over the documents.
+A document and a test item are compared: the longest common run of words that is
+not yet marked on either side is marked as a tile, again and again, down to runs
+of ``TILE_WORDS``. The share of the item's words under tiles is its coverage,
+wherever and in whatever order the tiles lie in the document, so reordered
+passages count too.
+
+Seeds are all runs of ``TILE_WORDS`` words of the items. A tile of n words holds n - 2
+seeds, a third of n at least, so a document that has fewer of an item's seeds
+than a third of the words to cover can't cover it; all others are tiled: no
+pair is lost. The seeds go to all tasks in blocks of at most ``BLOCK_WORDS`` words, one
+block in the driver at a time; a larger benchmark takes several passes.
 
 Defined results: words are lower-cased, outer ASCII punctuation off; null or
 empty texts on either side match nothing; items shorter than a seed are their
@@ -17,6 +20,8 @@ items; empty tables give no rows. Columns besides ids and texts are not read.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +33,7 @@ from . import kernel
 from .toxicity import PUNCTUATION
 
 U = np.uint64
-SEED_WORDS, TILE_WORDS, COVERAGE, BLOCK_WORDS = 5, 3, 0.8, 2_000_000
+TILE_WORDS, COVERAGE, BLOCK_WORDS = 3, 0.8, 2_000_000
 FOUND = "doc_id {}, item_id {}, n_tiles int, covered_words int, item_words int, coverage double"
 
 
@@ -70,25 +75,33 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = TILE_WORDS) -> list[tu
                         n += 1
                     if n >= size:
                         matches.append((n, p, q))
-        for n, p, q in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            while n >= size and not (d_free[p : p + n].all() and i_free[q : q + n].all()):  # a longer tile took a part
-                taken = np.flatnonzero(~(d_free[p : p + n] & i_free[q : q + n]))
-                left, right = int(taken[0]), n - int(taken[-1]) - 1
-                p, q, n = (p, q, left) if left >= right else (p + n - right, q + n - right, right)
-            if n >= size:
-                d_free[p : p + n] = i_free[q : q + n] = False
-                found.append((p, q, n))
+        # The longest first; what is left of a match on both sides of a longer tile waits for its turn.
+        heap = [(-n, p, q) for n, p, q in matches]
+        heapq.heapify(heap)
+        while heap:
+            n, p, q = heapq.heappop(heap)
+            free = d_free[p : p - n] & i_free[q : q - n]
+            if free.all():
+                d_free[p : p - n] = i_free[q : q - n] = False
+                found.append((p, q, -n))
+                continue
+            cut = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for a, b in zip(cut[::2].tolist(), cut[1::2].tolist()):
+                if b - a >= size:
+                    heapq.heappush(heap, (a - b, p + a, q + a))
         if size == least:
             break
         size = max(least, size // 2)
     return found
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[Searcher]:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Searcher]:
+    """Searchers of BLOCK_WORDS words each, or a little more, one after the other."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     blocks = int((items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0) // BLOCK_WORDS) + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [Searcher(items.filter(block == k).toPandas()) for k in range(blocks)]  # BLOCK_WORDS words each, or a little more
+    for k in range(blocks):
+        yield Searcher(items.filter(block == k).toPandas())
 
 
 class Searcher:
@@ -98,32 +111,55 @@ class Searcher:
         self.names = items.item_id.tolist()
         w, at = word_ids(*kernel.as_bytes(pa.array(items.text.tolist(), pa.string())))
         self.sequences = [w[a:b] for a, b in zip(at[:-1], at[1:])]
-        seeds = [kernel.ngram_hashes(s, min(SEED_WORDS, len(s))) if len(s) else s for s in self.sequences]
+        self.words = np.array([len(s) for s in self.sequences], np.int64)
+        seeds = [kernel.ngram_hashes(s, min(TILE_WORDS, len(s))) if len(s) else s for s in self.sequences]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]).astype(np.int64)
         seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.owner = seed[order], owner[order]
-        self.lengths = sorted({min(SEED_WORDS, len(s)) for s in self.sequences if len(s)})
+        self.seed, back = np.unique(seed, return_inverse=True)
+        # How often each item has each seed: a document's seeds count in the item with their number of places.
+        pair, times = np.unique(back.astype(np.int64) * max(len(seeds), 1) + owner, return_counts=True)
+        self.owner, self.times = pair % max(len(seeds), 1), times
+        self.at = np.searchsorted(pair // max(len(seeds), 1), np.arange(len(self.seed) + 1))
+        self.lengths = sorted({min(TILE_WORDS, len(s)) for s in self.sequences if len(s)})
 
     def found(self, column: pa.Array, coverage: float):
         """(row, item number, tiles) of the texts that cover an item."""
         data, offs = kernel.as_bytes(column)
+        least = np.where(self.words < TILE_WORDS, 1, np.ceil(coverage * self.words / TILE_WORDS - 1e-9))
         for i, j in kernel.slices(offs) if len(self.seed) else ():
             w, at = word_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            pairs = set()
+            hits = []
             for n in self.lengths:
                 h = kernel.ngram_hashes(w, n)
                 lo = np.minimum(np.searchsorted(self.seed, h), len(self.seed) - 1)
                 hit = np.flatnonzero(self.seed[lo] == h)
                 doc = np.searchsorted(at, hit, "right") - 1
                 whole = hit + n <= at[doc + 1]  # not across two texts
-                for d, a, b in set(zip(doc[whole].tolist(), lo[hit][whole].tolist(), np.searchsorted(self.seed, h[hit][whole], "right").tolist())):
-                    pairs.update((d, k) for k in self.owner[a:b].tolist())
-            for d, k in sorted(pairs):
-                item = self.sequences[k]
-                tiled = tiles(w[at[d] : at[d + 1]], item, min(TILE_WORDS, len(item)))
-                if sum(n for _, _, n in tiled) >= coverage * len(item):
-                    yield i + d, k, tiled
+                hits.append(doc[whole] * len(self.seed) + lo[hit][whole])
+            hits = np.unique(np.concatenate(hits))  # each seed once per document
+            for d0, d1 in self._portions(hits, j - i):
+                part = hits[d0:d1]
+                doc, seed = part // len(self.seed), part % len(self.seed)
+                size = self.at[seed + 1] - self.at[seed]
+                place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - self.at[seed], size)
+                pair, back = np.unique(np.repeat(doc, size) * len(self.names) + self.owner[place], return_inverse=True)
+                enough = np.bincount(back, self.times[place], len(pair)) >= least[pair % len(self.names)]
+                for d, k in zip((pair[enough] // len(self.names)).tolist(), (pair[enough] % len(self.names)).tolist()):
+                    item = self.sequences[k]
+                    tiled = tiles(w[at[d] : at[d + 1]], item, min(TILE_WORDS, len(item)))
+                    if sum(n for _, _, n in tiled) >= coverage * len(item):
+                        yield i + d, k, tiled
+
+    def _portions(self, hits: np.ndarray, docs: int):
+        """Ranges of hits of whole documents that make about a million (document, item) pairs each."""
+        seed = hits % len(self.seed)
+        upto = np.concatenate([[0], np.cumsum(self.at[seed + 1] - self.at[seed])])
+        edge = np.searchsorted(hits, np.arange(docs + 1) * len(self.seed))
+        a = 0
+        while a < docs:
+            b = max(a + 1, int(np.searchsorted(upto[edge], upto[edge[a]] + 1_000_000, "right")) - 1)
+            yield int(edge[a]), int(edge[min(b, docs)])
+            a = b
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
