@@ -19,6 +19,8 @@ table. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,9 +31,9 @@ from .workspace import Workspace
 U = np.uint64
 FREQUENT = 1 << 18
 EM_ROUNDS = 4
-LONGEST_PIECE = 16  # bytes
 CELLS = 1 << 20  # bytes of words that go through the lattice at once
-KEPT_LONGEST = 256  # the edges of longer words are made twice instead of kept
+LONG_WORD = 256  # bytes: longer words go through on their own, in stretches of STRETCH bytes
+STRETCH = 1 << 16
 SLICE = 4_000_000
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -46,7 +48,7 @@ def vocabulary_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST_PIECE and b" " not in piece[1:] and not any(65 <= c <= 90 for c in piece):
+        if b" " not in piece[1:] and not any(65 <= c <= 90 for c in piece):
             found[piece] = 1.0 / (100.0 - model.get_score(i))
     pieces = sorted(found)
     p = np.array([found[x] for x in pieces])
@@ -70,20 +72,65 @@ class Lattice:
         order = np.argsort(np.array(hashes, np.uint64))
         self.hashes, self.ids = np.array(hashes, np.uint64)[order], order
         self.logp = np.log(np.maximum(p, 1e-300))
+        self.longest = max(map(len, pieces))
 
-    def edges(self, m: np.ndarray, last_first: bool = False):
-        """(from, to, which words, piece numbers) for words of one length, as rows of bytes; by rising or falling start."""
+    def edges(self, m: np.ndarray):
+        """(from, to, which words, piece numbers) for words of one length, as rows of bytes, by rising start."""
         n, length = m.shape
-        for i in reversed(range(length)) if last_first else range(length):
+        for i in range(length):
             h = np.zeros(n, np.uint64)
-            for j in range(i, min(length, i + LONGEST_PIECE)):
+            for j in range(i, min(length, i + self.longest)):
                 h = _extend(h, m[:, j])
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 rows = np.flatnonzero(self.hashes[at] == h)
                 if len(rows):
                     yield i, j + 1, rows, self.ids[at[rows]]
 
+    def long_edges(self, word: np.ndarray, a: int, b: int):
+        """(from, to, piece numbers) of one word's pieces that start in a .. b-1, by rising start."""
+        found, h = [], np.zeros(b - a, np.uint64)
+        for size in range(1, self.longest + 1):
+            n = min(b, len(word) - size + 1) - a
+            if n <= 0:
+                break
+            h = _extend(h[:n], word[a + size - 1 : a + size - 1 + n])
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == h)
+            found.append((hit + a, hit + a + size, self.ids[at[hit]]))
+        start, end, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], ids[order]
+
+    def long_forward(self, word: np.ndarray) -> np.ndarray:
+        """Log sums over all segmentations up to each place of one word: linear in its length."""
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0] = 0.0
+        for a in range(0, len(word), STRETCH):
+            start, end, ids = self.long_edges(word, a, min(a + STRETCH, len(word)))
+            for i, j, p in zip(start.tolist(), end.tolist(), self.logp[ids].tolist()):
+                alpha[j] = _log_add(alpha[j], alpha[i] + p)
+        return np.array(alpha)
+
+    def long_expected(self, word: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one word."""
+        alpha, out = self.long_forward(word), np.zeros(len(self.logp))
+        beta = [-math.inf] * (len(word) + 1)
+        beta[len(word)] = 0.0
+        for a in range((len(word) - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            start, end, ids = self.long_edges(word, a, min(a + STRETCH, len(word)))
+            for i, j, p in zip(reversed(start.tolist()), reversed(end.tolist()), reversed(self.logp[ids].tolist())):
+                beta[i] = _log_add(beta[i], beta[j] + p)
+            np.add.at(out, ids, np.exp(alpha[start] + self.logp[ids] + np.array([beta[j] for j in end.tolist()]) - alpha[-1]))
+        return out
+
     def forward(self, m: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Log sums over all segmentations of each word."""
+        n, length = m.shape
+        if length > LONG_WORD:
+            return np.array([self.long_forward(w)[-1] for w in m])
+        return self._alpha(m, keep)[length]
+
+    def _alpha(self, m: np.ndarray, keep: list | None = None) -> np.ndarray:
         n, length = m.shape
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0.0
@@ -93,21 +140,30 @@ class Lattice:
                 keep.append((i, j, rows, ids))
         return alpha
 
-    def expected(self, m: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece."""
-        kept: list | None = [] if m.shape[1] <= KEPT_LONGEST else None
-        alpha = self.forward(m, kept)
+    def expected(self, m: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, each word counted once."""
+        if m.shape[1] > LONG_WORD:
+            return sum(self.long_expected(w) for w in m)
+        kept: list = []
+        alpha = self._alpha(m, kept)
         length, n = m.shape[1], len(m)
         beta = np.full((length + 1, n), -np.inf)
         beta[length] = 0.0
         out = np.zeros(len(self.logp))
-        for i, j, rows, ids in reversed(kept) if kept is not None else self.edges(m, last_first=True):  # by falling start: what follows j is complete
+        for i, j, rows, ids in reversed(kept):  # by falling start: what follows j is complete
             after = beta[j, rows] + self.logp[ids]
             beta[i, rows] = np.logaddexp(beta[i, rows], after)
-            np.add.at(out, ids, weight[rows] * np.exp(alpha[i, rows] + after - alpha[length, rows]))
+            np.add.at(out, ids, np.exp(alpha[i, rows] + after - alpha[length, rows]))
         return out
 
 
+def _log_add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def _by_length(column: pa.Array):
     """(rows, byte matrix) per word length; a space stands before each word."""
     data = column.cast(pa.large_binary())
@@ -172,7 +228,7 @@ def lm_scores(docs: DataFrame, held_out, vocabulary: str, doc_id: str = "doc_id"
             out = np.zeros(len(lattice.logp))
             for batch in batches:
                 for at, m in _by_length(batch.column("word")):  # each distinct word counts once: the pieces are for new words
-                    out += lattice.expected(m, np.ones(len(at)))
+                    out += lattice.expected(m)
             used = np.flatnonzero(out > 0)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], ["piece", "uses"])
 
@@ -192,7 +248,7 @@ def lm_scores(docs: DataFrame, held_out, vocabulary: str, doc_id: str = "doc_id"
             with np.errstate(divide="ignore"):
                 whole = np.log(c * (1 - unseen) / max(n, 1))
             for at, m in _by_length(batch.column("word")):
-                out[at] = np.logaddexp(whole[at], by_pieces + lattice.forward(m)[m.shape[1]])
+                out[at] = np.logaddexp(whole[at], by_pieces + lattice.forward(m))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("c_all"), pa.array(out / np.log(10))], ["h", "c", "c_all", "logp"])
 
     types = space.save(types.mapInArrow(score, "h long, c long, c_all long, logp double"), "scored")
