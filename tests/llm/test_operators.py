@@ -89,17 +89,53 @@ def test_tiles_find_reordered_passages():
         assert doc[p : p + n].tolist() == item[q : q + n].tolist()
 
 
-def test_tiles_never_overlap_and_match_naive_greedy():
+def naive_tiles(a, b, least=3):
+    """Greedy string tiling by its definition: the longest unmarked match first, then the next, of equal ones the first."""
+    ma, mb, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for q in range(len(b)):
+                n = 0
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n] and not ma[p + n] and not mb[q + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < least:
+            return out
+        ma[p : p + n] = mb[q : q + n] = [True] * n
+        out.append((p, q, n))
+
+
+def test_tiles_are_those_of_naive_greedy_tiling():
     r = random.Random(3)
-    for _ in range(60):
-        a, b = [r.randrange(6) for _ in range(r.randrange(1, 40))], [r.randrange(6) for _ in range(r.randrange(1, 25))]
-        got = decontamination.tiles(np.array(a, np.uint64), np.array(b, np.uint64))
-        da, db = [i for p, _, n in got for i in range(p, p + n)], [i for _, q, n in got for i in range(q, q + n)]
-        assert len(da) == len(set(da)) and len(db) == len(set(db))
-        ma, mb = set(da), set(db)  # nothing of the least length is left
-        for p in range(len(a) - 2):
-            for q in range(len(b) - 2):
-                assert not (a[p : p + 3] == b[q : q + 3] and not ma & set(range(p, p + 3)) and not mb & set(range(q, q + 3)))
+    for _ in range(300):
+        k = r.choice([3, 6, 12])
+        a, b = [r.randrange(k) for _ in range(r.randrange(1, 45))], [r.randrange(k) for _ in range(r.randrange(1, 25))]
+        assert decontamination.tiles(np.array(a, np.uint64), np.array(b, np.uint64)) == naive_tiles(a, b)
+
+
+def test_decontamination_against_tiling_every_pair(spark):
+    """No pair is lost to the seeds: items broken into pieces of three words and more, in any order."""
+    r = random.Random(12)
+    items = [(k, [f"i{k if r.random() < 0.7 else 0}w{r.randrange(40)}" for _ in range(r.choice([2, 3, 5, 9, 20, 40]))]) for k in range(40)]
+    docs = []
+    for i in range(200):
+        w = list(r.choice(items)[1])
+        cuts = sorted(r.sample(range(len(w) + 1), min(len(w), r.randrange(1, 8))))
+        parts = [w[x:y] for x, y in zip([0, *cuts], [*cuts, len(w)])]
+        r.shuffle(parts)
+        docs.append((i, [x for part in parts for x in [*part, f"n{r.randrange(900)}"]]))
+    got = decontamination.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    want = {}
+    for i, d in docs:
+        for k, w in items:
+            tiled = naive_tiles(d, w, min(3, len(w))) if set(d) & set(w) else []
+            covered = sum(n for _, _, n in tiled)
+            if covered and covered >= 0.8 * len(w):
+                want[i, k] = (len(tiled), covered)
+    assert {(x.doc_id, x.item_id): (x.n_tiles, x.covered_words) for x in got.collect()} == want and len(want) > 60
 
 
 def test_decontamination(spark, odd, none):
@@ -144,6 +180,23 @@ def test_line_dedup(spark, odd, batches, fanout):
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=str) == brute_lines(docs, 2)
 
 
+def test_batches_merge_join_sorted_runs(spark):
+    """A batch meets the runs in merge joins: neither moved nor sorted again, and settled keys are anti-joined."""
+    df = spark.createDataFrame(noisy(120), "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, min_docs=3)
+    parts = line_dedup.id_batches(df, 4)
+    for batch in parts[:3]:
+        runs.add(batch)
+    assert [len(level) for level in runs.counting.levels] == [1, 1] and runs.common().count() > 0
+    with line_dedup.sorted_runs(spark):
+        plan = runs.counted(parts[3])._jdf.queryExecution().executedPlan().toString()
+        merged = runs.counting._merge(*runs.counting.tables())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and plan.count("LeftAnti") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert "SortMergeJoin" in merged and "Exchange" not in merged and "Sort [" not in merged
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
+
+
 def test_line_dedup_of_nothing(none):
     assert line_dedup.line_dedup(none).count() == 0
 
@@ -274,6 +327,24 @@ def test_embeddings(spark, monkeypatch):
     assert rp_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_other_types(spark):
+    rows = [(1, [1e300, 1e300], "a"), (2, [1e300, 1e300], "a"), (3, [2e-300, 2e-300], "a"), (4, [1.0, -1.0], "a"), (5, [1e300, 1e300], "b"), (6, [1.0, 1.0 + 1e-12], "a"), (7, [float("inf"), 1.0], "a"), (7, [1.0, 1.0], "a"), (None, [1.0, 1.0], "a")]
+    got = rp_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 4, 1, False), (7, 0, 7, True), (7, 4, 1, False), (None, 0, None, True)], key=str)
+
+
+def test_pairs_count_once_whatever_leaves_they_share(spark, monkeypatch):
+    """A large cluster that meets in all trees, in leaves cut into blocks."""
+    r = np.random.default_rng(8)
+    base = r.standard_normal(24)
+    rows = [(i, [float(np.float32(x)) for x in base + r.standard_normal(24) * 0.05], 1) for i in range(150)] + [(200 + i, [float(np.float32(x)) for x in r.standard_normal(24)], 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    for block in (4096, 20):
+        monkeypatch.setattr(rp_forest, "LEAF_BLOCK", block)
+        got = {x.vec_id: x.n_links for x in rp_forest.near_duplicates(df, leaf=32, trees=6).collect()}
+        assert sum(got[i] for i in range(150)) >= 0.999 * 150 * 149 and max(got.values()) <= 149
+
+
 # 6
 
 
@@ -415,8 +486,8 @@ def test_lattice_is_the_sum_over_segmentations():
 
     for w in (b" abc", b" a", b" cab", b" abcab"):
         m = np.frombuffer(w, np.uint8)[None]
-        assert lattice.forward(m)[len(w), 0] == pytest.approx(math.log(total(w)))
-        used = lattice.expected(m, np.ones(1))
+        assert lattice.forward(m)[0] == pytest.approx(math.log(total(w)))
+        used = lattice.expected(m)
         assert sum(u * len(x) for u, x in zip(used, pieces)) == pytest.approx(len(w))
 
 
@@ -441,13 +512,47 @@ def test_long_words_adapt_the_pieces(spark, monkeypatch):
     assert got[0] > plain[0] + 0.5
 
 
-def test_expectations_of_long_words_are_the_same_unkept(monkeypatch):
-    pieces = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"bc"]
-    lattice = lattice_lm.Lattice(pieces, np.full(7, 1 / 7))
+def test_long_words_go_through_in_stretches(monkeypatch):
+    pieces = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"bc", b"abcababca"]
+    lattice = lattice_lm.Lattice(pieces, np.full(8, 1 / 8))
     m = np.frombuffer(b" " + b"abcab" * 8, np.uint8)[None].repeat(2, axis=0)
-    kept = lattice.expected(m, np.ones(2))
-    monkeypatch.setattr(lattice_lm, "KEPT_LONGEST", 3)
-    assert lattice.expected(m, np.ones(2)) == pytest.approx(kept)
+    whole, used = lattice.forward(m), lattice.expected(m)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 3)
+    monkeypatch.setattr(lattice_lm, "STRETCH", 7)
+    assert lattice.forward(m) == pytest.approx(whole) and lattice.expected(m) == pytest.approx(used)
+
+
+def test_score_against_every_segmentation(spark, monkeypatch):
+    """The whole score by its definition: counts, EM over the distinct training words, all segmentations one by one."""
+    pieces = [b" ", *(bytes([b]) for b in b"abc"), b" a", b"ab", b"bc", b" ca"]
+    first = np.array([0.1, 0.1, 0.1, 0.1, 0.2, 0.15, 0.15, 0.1])
+    monkeypatch.setattr(lattice_lm, "vocabulary_pieces", lambda path: (pieces, first))
+    monkeypatch.setattr(lattice_lm, "FREQUENT", 3)
+    r = random.Random(4)
+    docs = [(i, " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(8)))) for i in range(40)]
+    held = {i for i, _ in docs if i % 4 == 1}
+    c = Counter(w for i, t in docs if i not in held for w in words(t))
+    ends = len(docs) - len(held)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    p = dict(zip(pieces, first))
+
+    def ways(w):
+        return [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in p for rest in ways(w[k:])] if w else [[]]
+
+    for _ in range(2):
+        uses = dict.fromkeys(pieces, 0.01)
+        for w in c:
+            every = [(s, math.prod(p[x] for x in s)) for s in ways(b" " + w.encode())]
+            for s, q in every:
+                for x in s:
+                    uses[x] += q / sum(y for _, y in every)
+        p = {x: u / sum(uses.values()) for x, u in uses.items()}
+    new = sum(k == 1 for k in c.values()) / n
+    p_end = (ends + 0.5) / (n + 0.5 * (v + 1))
+    word = lambda w: c[w] * (1 - new) / n + new * (1 - p_end) * sum(math.prod(p[x] for x in s) for s in ways(b" " + w.encode()))
+    got = lattice_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 4 == 1, "", em_rounds=2).collect()
+    for x in got:
+        assert x.score == pytest.approx(sum(math.log10(word(w)) for w in words(dict(docs)[x.doc_id])) + math.log10(p_end), abs=1e-4)
 
 
 def test_scores(spark, odd, none, monkeypatch):
