@@ -150,10 +150,14 @@ def suffix_order(ctx: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np
     return order, new_gram, new
 
 
+def _zstd(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
 def _pack(fields, columns: dict, ctx: np.ndarray | None = None) -> bytes:
     raw = b"".join(np.ascontiguousarray(columns[name], kind).tobytes() for name, kind in fields) + (ctx.tobytes() if ctx is not None else b"")
     n = len(columns[fields[0][0]])
-    return np.array([n, len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    return np.array([n, len(raw)], np.int64).tobytes() + _zstd(raw)
 
 
 def _unpack(fields, blobs: list, width: int = 0) -> tuple[dict, np.ndarray]:
