@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import STOPWORDS
+from ..operators.quotes import documents_per_quote
 from ..operators.retrieval import DENSE_THRESHOLD, SPARSE_THRESHOLD, cosine, dense_search, fuse, hashed, postings, sparse_search, top_k, with_parents
 from ..sources.views import Tables
 from .registry import query
 
-STOP = "('a','an','the','and','or','but','if','while','of','at','by','for','with','about','against','between','into','through','during','before','after','above','below','to','from','up','down','in','out','on','off','over','under','again','further','then','once','here','there','all','any','both','each','few','more','most','other','some','such','no','nor','not','only','own','same','so','than','too','very','s','t','can','will','just','don','should','now','is','are','was','were','be','been','being','have','has','had','do','does','did','doing','this','that','these','those','i','you','he','she','it','we','they','what','which','who','whom','as')"
+STOP = "(" + ",".join(f"'{w}'" for w in STOPWORDS) + ")"
 TOKENS = f"tok AS (SELECT document_id AS chunk_id, t AS token, count(*) AS f FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM v_corpus) WHERE t NOT IN {STOP} GROUP BY 1, 2), idx AS (SELECT chunk_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS weight FROM tok)"
 QTOK = f"qt AS (SELECT item_id AS query_id, t AS token, count(*) AS f FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE t NOT IN {STOP} GROUP BY 1, 2), qidx AS (SELECT query_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS qw FROM qt)"
 SPARSE = "sp AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(weight * qw AS DECIMAL(38,12))) AS DOUBLE), 6) AS score FROM idx JOIN qidx USING (token) GROUP BY 1, 2), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 20)"
@@ -112,23 +114,10 @@ def quote_sparse(spark, d):
 
 @query("quote_verbatim", "SELECT b.item_id AS quote_id, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def quote_verbatim(spark, d):
-    """Documents that hold a quote verbatim: candidates by the hash of whole inner words, then contains().
-
-    The first and last word of a quote may be parts of a document's words, the ones between can't. Quotes with fewer than
-    four words between are a query set that meets all documents.
-    """
+    """In how many documents a quote stands as it is, wherever it begins or ends."""
     t = Tables(spark, d)
-    lead = 4
-    q = t.raw("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    parts = F.split("quote", r"\s+", -1)
-    q = q.withColumn("short", F.size(parts) < lead + 2)
-    seeded = q.filter(~F.col("short")).withColumn("seed", F.xxhash64(F.array_join(F.slice(parts, 2, lead), " ")))
-    words = F.split(F.col("text"), r"\s+", -1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - lead + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, lead), " "))))
-    seeds = t.raw("documents").select("doc_id", F.explode(grams).alias("seed")).join(seeded.select("seed", "quote_id"), "seed").select("doc_id", "quote_id").distinct()
-    found = seeds.join(seeded.select("quote_id", "quote"), "quote_id").join(t.raw("documents").select("doc_id", "text"), "doc_id").filter(F.contains("text", "quote")).select("quote_id")
-    everywhere = t.raw("documents").select("text").join(q.filter("short").select("quote_id", "quote"), F.contains("text", "quote")).select("quote_id")
-    counts = found.unionAll(everywhere).groupBy("quote_id").agg(F.count("*").alias("n"))
+    q = t.raw("benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    counts = documents_per_quote(q, t.raw("documents"), "quote_id", "text", "text")
     return q.select("quote_id").join(counts, "quote_id", "left").select("quote_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_documents"))
 
 
@@ -138,14 +127,21 @@ def quote_semantic(spark, d):
     return best.select("quote_id", (F.col("score") >= DENSE_THRESHOLD).alias("paraphrase"))
 
 
-@query("hallucination_cascade", f"""WITH {TOKENS}, {QTOK}, {SPARSE}, e AS (SELECT query_id FROM sparse WHERE rank = 1 AND score >= 60),
-    p AS (SELECT q.chunk_id FROM v_vectors q, v_vectors v WHERE q.chunk_id < 40 AND v.chunk_id <> q.chunk_id GROUP BY 1 HAVING max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92)
-    SELECT item_id AS quote_id, CASE WHEN item_id IN (SELECT query_id FROM e) THEN 'exact' WHEN item_id IN (SELECT chunk_id FROM p) THEN 'paraphrase' ELSE 'hallucinated' END AS status FROM benchmark""")
-def hallucination_cascade(spark, d):
-    """Stage two sees only what stage one missed; what both miss is hallucinated."""
+CASCADE = f"""{TOKENS}, {QTOK}, {SPARSE},
+    vbt AS (SELECT DISTINCT item_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+    par AS (SELECT q.chunk_id FROM v_vectors q, v_vectors v WHERE q.chunk_id IN (SELECT item_id FROM benchmark) AND v.chunk_id <> q.chunk_id GROUP BY 1 HAVING max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92),
+    qst AS (SELECT item_id AS quote_id, CASE WHEN item_id % 2 = 0 AND item_id IN (SELECT query_id FROM sparse WHERE rank = 1 AND score >= 0.5) THEN 'exact' WHEN item_id IN (SELECT item_id FROM vbt) THEN 'exact' WHEN item_id IN (SELECT chunk_id FROM par) THEN 'paraphrase' ELSE 'hallucinated' END AS status FROM benchmark)"""
+
+
+def quote_status(spark, d):
+    """(quote_id, status). Stage one: the best sparse hit from 0.5 on, for the even items; the odd ones must stand verbatim in a document.
+
+    Stage two, the nearest vector, sees only what stage one missed; what both miss is hallucinated.
+    """
     t = Tables(spark, d)
     quotes = t.raw("benchmark").select(F.col("item_id").alias("quote_id"))
-    exact = sparse_search(*_sparse_parts(t), 1).filter("score >= 60").select(F.col("query_id").alias("quote_id"))
+    sparse = sparse_search(*_sparse_parts(t), 1).filter((F.col("score") >= SPARSE_THRESHOLD) & (F.col("query_id") % 2 == 0)).select(F.col("query_id").alias("quote_id"))
+    exact = sparse.union(quote_verbatim(spark, d).filter("n_documents > 0").select("quote_id")).distinct()
     missed = quotes.join(exact, "quote_id", "left_anti")
     v = t.vectors()
     q = v.join(missed.select(F.col("quote_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
@@ -153,6 +149,26 @@ def hallucination_cascade(spark, d):
     return quotes.join(exact.withColumn("e", F.lit(True)), "quote_id", "left").join(near.withColumn("p", F.lit(True)), "quote_id", "left").select("quote_id", F.when(F.col("e"), "exact").when(F.col("p"), "paraphrase").otherwise("hallucinated").alias("status"))
 
 
+@query("hallucination_cascade", f"WITH {CASCADE} SELECT quote_id, status FROM qst")
+def hallucination_cascade(spark, d):
+    return quote_status(spark, d)
+
+
+@query("hallucination_rate", f"WITH {CASCADE} SELECT count(*) AS n, coalesce(sum(CASE WHEN status = 'hallucinated' THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0), 0.0::DOUBLE) AS rate FROM qst")
+def hallucination_rate(spark, d):
+    s = quote_status(spark, d)
+    return s.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.count_if(F.col("status") == "hallucinated").cast("double"), F.count("*")), F.lit(0.0)).alias("rate"))
+
+
+@query("quote_audit_rows", f"""WITH {CASCADE} SELECT quote_id, CASE status WHEN 'hallucinated' THEN 'hallucination_detected' ELSE 'paraphrase_warning' END AS action, '{{"quote":"' || regexp_replace(b.text, '["\\\\\n\r\t]', ' ', 'g') || '"}}' AS log_metadata
+    FROM qst JOIN benchmark b ON b.item_id = qst.quote_id WHERE status <> 'exact'""")
+def quote_audit_rows(spark, d):
+    """The audit trail's new rows: one per hallucinated or paraphrased quote."""
+    text = Tables(spark, d).raw("benchmark").select(F.col("item_id").alias("quote_id"), F.regexp_replace("text", '["\\\\\n\r\t]', " ").alias("quote"))
+    action = F.when(F.col("status") == "hallucinated", "hallucination_detected").otherwise("paraphrase_warning")
+    return quote_status(spark, d).filter("status <> 'exact'").join(text, "quote_id").select("quote_id", action.alias("action"), F.to_json(F.struct("quote")).alias("log_metadata"))
+
+
 @query("vector_norms", "SELECT chunk_id, round(list_cosine_similarity(vector, vector), 6) AS self_similarity FROM v_vectors")
 def vector_norms(spark, d):
     return Tables(spark, d).vectors().select("chunk_id", F.round(cosine(F.col("vector"), F.col("vector")), 6).alias("self_similarity"))

@@ -34,12 +34,6 @@ def eval_report_aggregate(spark, d, answers=Tables.answers):
     return _cases(spark, d, answers).agg(F.count("*").alias("n"), F.avg(F.when(passed, 1.0).otherwise(0.0)).alias("pass_rate"), F.round(F.avg("coverage"), 9).alias("avg_coverage"))
 
 
-@query("hallucination_rate", "SELECT source, coalesce(sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 0), 0.0::DOUBLE) AS rate FROM documents GROUP BY 1")
-def hallucination_rate(spark, d):
-    bad, all_ = F.count_if(F.col("doc_id") % 7 == 0), F.count_if(F.col("doc_id") % 2 == 0)
-    return Tables(spark, d).raw("documents").groupBy("source").agg(F.coalesce(F.try_divide(bad.cast("double"), all_), F.lit(0.0)).alias("rate"))
-
-
 @query("eval_gate", f"SELECT avg(coverage) >= 0.95 AS coverage_ok, avg(CASE WHEN starts AND answers THEN 1.0 ELSE 0.0 END) >= 1.0 AS pass_ok FROM ({CASES})", whole=Tables.whole_answers)
 def eval_gate(spark, d, answers=Tables.answers):
     return _cases(spark, d, answers).agg((F.avg("coverage") >= 0.95).alias("coverage_ok"), (F.avg(F.when(F.col("starts") & F.col("answers"), 1.0).otherwise(0.0)) >= 1.0).alias("pass_ok"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 class Tables:
@@ -82,6 +82,63 @@ class Tables:
         body = F.concat(F.lit("### Q1: Business\n"), one, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), cite, spec, F.lit("\n\n### Q5: Type\n"), F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents."))
         return d.select(F.col("doc_id").alias("output_id"), F.col("source").alias("coverage_id"), body.alias("content"))
 
+    def _body(self):
+        """A document's whole text on one line, without double quotes."""
+        return F.regexp_replace(F.coalesce("text", F.lit("")), '["\\r\\n]+', " ")
+
+    def reports(self) -> DataFrame:
+        """Quarterly updates made from whole texts: three sections, and a summary in which every fourth report lacks a verdict."""
+        d, i = self.raw("documents"), F.col("doc_id")
+        pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (i % n + 1).cast("int"))
+        cite = F.concat(F.lit(" [doc_"), i.cast("string"), F.lit(", "), F.coalesce("source", F.lit("web")), F.lit(']: "as reported in filing '), i.cast("string"), F.lit('"'))
+        content = F.concat(
+            F.lit("## SECTION 1: Guidance\n"), self._body(), F.when(i % 2 == 0, cite).otherwise(""),
+            F.lit("\n\n## SECTION 2: Results\nRevenue increased to "), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" million."), F.when(i % 3 == 0, cite).otherwise(""),
+            F.lit("\n\n## SECTION 3: Outlook\n"), F.when(i % 5 == 0, "Not found in uploaded documents.").otherwise("Margins declined over time."),
+            F.lit("\n\n## FINAL SUMMARY\nExecution vs expectations: "), pick(3, "Improving", "Stable", "deteriorating"),
+            pick(4, "\nManagement credibility: Strong", "\nManagement credibility: Mixed", "\nmanagement credibility: weak", ""), F.lit("\nBusiness momentum vs last year: "), pick(2, "Better", "Same"),
+        )
+        return d.select(i.alias("output_id"), (i % 50).alias("coverage_id"), content.alias("content"))
+
+    def primers(self) -> DataFrame:
+        """Industry primers of six numbered sections and five bullets; some lack one of them."""
+        d, i = self.raw("documents"), F.col("doc_id")
+        cite = F.concat(F.lit(' [web, https://example.com, 2024]: "as reported by source '), i.cast("string"), F.lit('"'))
+        heads = ("Market", "Players", "Rules", "Technology", "Economics")
+        short = F.concat(*[F.lit(f"\n\n## {k}. {h}\nShort and plain.") for k, h in enumerate(heads, 2)])
+        bullets = F.lit("\n- engine\n- lever\n- constraint\n- risk")
+        content = F.concat(F.lit("## 1. Overview\n"), self._body(), F.when(i % 2 == 0, cite).otherwise(""), F.when(i % 4 == 3, F.regexp_replace(short, r"\n\n## 6\. Economics\nShort and plain\.", "")).otherwise(short), F.lit("\n\n## Investor Synthesis"), bullets, F.when(i % 3 != 0, "\n- winners").otherwise(""))
+        return d.select(i.alias("industry_id"), content.alias("content"))
+
+    def cases(self) -> DataFrame:
+        """Outputs under evaluation, by suite; every 29th failed to run. Each second one cites a benchmark item."""
+        d, i = self.raw("documents"), F.col("doc_id")
+        cite = F.concat(F.lit(" [item_"), (i % 40).cast("string"), F.lit(", "), F.coalesce("source", F.lit("web")), F.lit(']: "as reported in filing '), i.cast("string"), F.lit('"'))
+        content = F.concat(
+            F.lit("### Q1: Business\n"), self._body(), F.lit("\n\n### Q2: Numbers\nRevenue increased to "), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" million."), F.when(i % 2 == 0, cite).otherwise(""),
+            F.lit("\n\n### Q3: Margin\n"), F.when(i % 5 == 0, "Not found in uploaded documents.").otherwise("Gross margin was 41% of sales."),
+            F.lit("\n\n### Q5: Type\n"), F.when(i % 4 == 0, "Fast Grower").otherwise("Stalwart"), F.lit("\n\n"), (i % 7).cast("string"), F.lit(" KPI value(s) upserted"),
+        )
+        return d.select(i.alias("case_id"), (i % 3).cast("int").alias("suite"), F.when(i % 29 != 0, content).alias("content"))
+
+    def cells(self) -> DataFrame:
+        """Tables of orders as cells, as a layout model returns them; some cells and page numbers are missing."""
+        x = self.raw("lineitem").join(self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("document_id")), "l_orderkey")
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        x = x.select("document_id", F.col("l_orderkey").alias("table_id"), F.row_number().over(w).alias("row"), F.concat(F.lit(" line "), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("a"), F.col("l_quantity").cast("long").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
+        cell = lambda row, col, value, column_header, row_header: F.struct(row.alias("row"), F.lit(col).alias("col"), value.alias("value"), F.lit(column_header).alias("column_header"), F.lit(row_header).alias("row_header"))
+        body = x.select("document_id", "table_id", F.explode(F.array(cell(F.col("row"), 0, F.col("a"), False, True), cell(F.col("row"), 1, F.col("b"), False, False), cell(F.col("row"), 2, F.col("c"), False, False))).alias("x"))
+        top = x.filter("row = 1").select("document_id", "table_id", F.explode(F.array(*[cell(F.lit(0), k, F.lit(v), True, False) for k, v in enumerate(("Item", " Quantity", "Flag "))])).alias("x"))
+        page = F.when(F.col("table_id") % 5 != 0, F.col("table_id") % 7 + 1)
+        return body.unionByName(top).select("document_id", "table_id", page.alias("page_no"), "x.*").filter((F.col("table_id") + F.col("row") * 3 + F.col("col")) % 11 != 0)
+
+    def page_blocks(self) -> DataFrame:
+        """Text blocks of the pages that the tables stand on: captions, sentences, and the cells' own texts."""
+        o = self.raw("orders")
+        k = F.col("o_orderkey")
+        text = F.when(k % 4 == 0, F.concat(F.lit(" Table of order "), k.cast("string"))).when(k % 4 == 1, F.lit("17")).when(k % 4 == 2, "It ends here.").otherwise("Item")
+        return o.select(F.col("o_custkey").alias("document_id"), (k % 7 + 1).alias("page_number"), k.alias("seq"), text.alias("text"))
+
     def whole_answers(self) -> DataFrame:
         """As answers(), but from all of each text: a paragraph per sentence or line, and on even ids every second one cites itself in full."""
         d = self.raw("documents")
@@ -128,6 +185,27 @@ VIEWS = {
         || CASE WHEN doc_id % 2 = 0 THEN ' [doc_' || doc_id || ', ' || source || ']: "' || regexp_replace(left(text, 60), '[\\n"]', ' ', 'g') || '"' ELSE '' END
         || CASE WHEN doc_id % 5 = 0 THEN ' We expect growth to continue. This suggests strength.' ELSE '' END
         || chr(10) || chr(10) || '### Q5: Type' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Fast Grower' WHEN 1 THEN 'Stalwart' ELSE 'Not found in uploaded documents.' END AS content FROM documents""",
+    "v_reports": """SELECT doc_id AS output_id, doc_id % 50 AS coverage_id,
+        '## SECTION 1: Guidance' || chr(10) || regexp_replace(coalesce(text, ''), '["\\r\\n]+', ' ', 'g') || CASE WHEN doc_id % 2 = 0 THEN ' [doc_' || doc_id || ', ' || coalesce(source, 'web') || ']: "as reported in filing ' || doc_id || '"' ELSE '' END
+        || chr(10) || chr(10) || '## SECTION 2: Results' || chr(10) || 'Revenue increased to ' || coalesce(n_chars, 0) || ' million.' || CASE WHEN doc_id % 3 = 0 THEN ' [doc_' || doc_id || ', ' || coalesce(source, 'web') || ']: "as reported in filing ' || doc_id || '"' ELSE '' END
+        || chr(10) || chr(10) || '## SECTION 3: Outlook' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'Not found in uploaded documents.' ELSE 'Margins declined over time.' END
+        || chr(10) || chr(10) || '## FINAL SUMMARY' || chr(10) || 'Execution vs expectations: ' || CASE doc_id % 3 WHEN 0 THEN 'Improving' WHEN 1 THEN 'Stable' ELSE 'deteriorating' END
+        || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Management credibility: Strong' WHEN 1 THEN chr(10) || 'Management credibility: Mixed' WHEN 2 THEN chr(10) || 'management credibility: weak' ELSE '' END
+        || chr(10) || 'Business momentum vs last year: ' || CASE doc_id % 2 WHEN 0 THEN 'Better' ELSE 'Same' END AS content FROM documents""",
+    "v_primers": """SELECT doc_id AS industry_id, '## 1. Overview' || chr(10) || regexp_replace(coalesce(text, ''), '["\\r\\n]+', ' ', 'g') || CASE WHEN doc_id % 2 = 0 THEN ' [web, https://example.com, 2024]: "as reported by source ' || doc_id || '"' ELSE '' END
+        || list_aggregate(list_transform(CASE WHEN doc_id % 4 = 3 THEN ['2. Market', '3. Players', '4. Rules', '5. Technology'] ELSE ['2. Market', '3. Players', '4. Rules', '5. Technology', '6. Economics'] END, lambda h: chr(10) || chr(10) || '## ' || h || chr(10) || 'Short and plain.'), 'string_agg', '')
+        || chr(10) || chr(10) || '## Investor Synthesis' || chr(10) || '- engine' || chr(10) || '- lever' || chr(10) || '- constraint' || chr(10) || '- risk' || CASE WHEN doc_id % 3 <> 0 THEN chr(10) || '- winners' ELSE '' END AS content FROM documents""",
+    "v_cases": """SELECT doc_id AS case_id, CAST(doc_id % 3 AS INTEGER) AS suite, CASE WHEN doc_id % 29 <> 0 THEN
+        '### Q1: Business' || chr(10) || regexp_replace(coalesce(text, ''), '["\\r\\n]+', ' ', 'g') || chr(10) || chr(10) || '### Q2: Numbers' || chr(10) || 'Revenue increased to ' || coalesce(n_chars, 0) || ' million.'
+        || CASE WHEN doc_id % 2 = 0 THEN ' [item_' || doc_id % 40 || ', ' || coalesce(source, 'web') || ']: "as reported in filing ' || doc_id || '"' ELSE '' END
+        || chr(10) || chr(10) || '### Q3: Margin' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'Not found in uploaded documents.' ELSE 'Gross margin was 41% of sales.' END
+        || chr(10) || chr(10) || '### Q5: Type' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'Fast Grower' ELSE 'Stalwart' END || chr(10) || chr(10) || doc_id % 7 || ' KPI value(s) upserted' END AS content FROM documents""",
+    "v_cells": """SELECT document_id, table_id, CASE WHEN table_id % 5 <> 0 THEN table_id % 7 + 1 END AS page_no, row, col, value, row = 0 AS column_header, row > 0 AND col = 0 AS row_header FROM (
+        SELECT o_custkey AS document_id, l_orderkey AS table_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row,
+            unnest([0, 1, 2]) AS col, unnest([' line ' || l_linenumber || ' ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), l_returnflag]) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        UNION ALL SELECT DISTINCT o_custkey, l_orderkey, 0, unnest([0, 1, 2]), unnest(['Item', ' Quantity', 'Flag ']) FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+        WHERE (table_id + row * 3 + col) % 11 <> 0""",
+    "v_page_blocks": """SELECT o_custkey AS document_id, o_orderkey % 7 + 1 AS page_number, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN ' Table of order ' || o_orderkey WHEN 1 THEN '17' WHEN 2 THEN 'It ends here.' ELSE 'Item' END AS text FROM orders""",
 }
 
 
