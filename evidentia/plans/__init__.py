@@ -1,4 +1,4 @@
 """Registered queries, by area."""
 
-from . import evaluation, finance, ingestion, kpis, layout, mutations, relational, retrieval, rules, streams, texts, usage  # noqa: F401
+from . import evaluation, finance, ingestion, kpis, layout, mutations, parsers, relational, retrieval, rules, streams, texts, usage  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -17,7 +17,7 @@ def kpi_period_change(spark, d):
     return change(Tables(spark, d).series(), ["coverage_id", "kpi_name", "period_type"], [F.col("year"), F.col("quarter")]).select("coverage_id", "kpi_name", "period", "value", "prior_value", "change_pct")
 
 
-@query("kpi_true_yoy", f"WITH s AS (SELECT a.*, b.value AS p FROM v_series a LEFT JOIN v_series b ON a.coverage_id = b.coverage_id AND a.kpi_name = b.kpi_name AND a.period_type = b.period_type AND a.quarter = b.quarter AND a.year = b.year + 1) SELECT coverage_id, kpi_name, period, {PCT} AS yoy_pct FROM s")
+@query("kpi_true_yoy", f"WITH s AS (SELECT *, first(value) OVER (PARTITION BY coverage_id, kpi_name, period_type, quarter ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM v_series) SELECT coverage_id, kpi_name, period, {PCT} AS yoy_pct FROM s")
 def kpi_true_yoy(spark, d):
     """The same quarter a year before: a RANGE of exactly one year back in the window, no self join."""
     from ..functions.finance import percent_change
@@ -45,17 +45,6 @@ def kpi_last6_chrono(spark, d):
     return last.groupBy("coverage_id", "kpi_name").agg(F.array_join(F.transform(values, lambda x: F.round(x["value"] * 100).cast("long").cast("string")), ",").alias("cents"))
 
 
-@query("kpi_narrative_divergence", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY extracted_at DESC, obs DESC) AS rn FROM v_kpis),
-    f AS (SELECT coverage_id, kpi_name, count(*) AS n, arg_min(value, (extracted_at, obs)) AS first_value, arg_max(value, (extracted_at, obs)) AS last_value FROM r WHERE rn <= 6 GROUP BY 1, 2)
-    SELECT coverage_id, kpi_name, first_value, last_value, n >= 2 AND last_value < first_value AND coverage_id % 2 = 0 AS diverges FROM f""")
-def kpi_narrative_divergence(spark, d):
-    at = F.struct("extracted_at", "obs")
-    last = first_per(Tables(spark, d).kpis(), ["coverage_id", "kpi_name"], F.desc("extracted_at"), F.desc("obs"), n=6)
-    f = last.groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n"), F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
-    positive = F.col("coverage_id") % 2 == 0
-    return f.select("coverage_id", "kpi_name", "first_value", "last_value", ((F.col("n") >= 2) & (F.col("last_value") < F.col("first_value")) & positive).alias("diverges"))
-
-
 @query("kpi_restatements", """WITH r AS (SELECT *, lag(value) OVER (PARTITION BY coverage_id, kpi_name, year, quarter ORDER BY extracted_at, obs) AS p FROM v_kpis)
     SELECT coverage_id, kpi_name, year, quarter, obs, value, p IS NOT NULL AS is_restated FROM r WHERE p IS NULL OR abs(value - p) >= 0.000001""")
 def kpi_restatements(spark, d):
@@ -111,7 +100,25 @@ def inbox_newest_200(spark, d):
     return first_per(Tables(spark, d).audit(), ["tenant_id"], F.desc("created_at"), F.desc("id"), n=200).select("tenant_id", "id")
 
 
-@query("excuse_phrase_frequency", "SELECT kpi_name, count(*) AS n, count(DISTINCT year * 10 + quarter) AS n_periods FROM v_kpis WHERE value < 5000 GROUP BY 1")
-def excuse_phrase_frequency(spark, d):
-    k = Tables(spark, d).kpis().filter("value < 5000")
-    return k.groupBy("kpi_name").agg(F.count("*").alias("n"), F.count_distinct(F.col("year") * 10 + F.col("quarter")).alias("n_periods"))
+LINE = "'- ' || kpi_name || ': FY' || py || ' -> FY' || year || ': ' || CASE WHEN tenths IS NULL THEN 'n/a' ELSE CASE WHEN tenths < 0 THEN '-' ELSE '+' END || abs(tenths) // 10 || '.' || abs(tenths) % 10 || '%' END"
+
+
+@query("kpi_yoy_lines", f"""WITH r AS (SELECT *, lag(value) OVER w AS p, lag(year) OVER w AS py, row_number() OVER (PARTITION BY coverage_id, kpi_name ORDER BY year DESC) AS rn FROM v_series WHERE period_type = 'annual' WINDOW w AS (PARTITION BY coverage_id, kpi_name ORDER BY year)),
+    t AS (SELECT *, CAST(floor({PCT} * 10 + 0.5::DOUBLE) AS BIGINT) AS tenths FROM r WHERE rn = 1 AND p IS NOT NULL) SELECT coverage_id, string_agg({LINE}, chr(10) ORDER BY kpi_name) AS lines, count(*) AS n FROM t GROUP BY 1""")
+def kpi_yoy_lines(spark, d):
+    """The update's summary: a line per KPI with its change over the year before, signed, to a tenth of a per cent."""
+    keys = ["coverage_id", "kpi_name"]
+    s = Tables(spark, d).series().filter("period_type = 'annual'").withColumn("py", F.lag("year").over(Window.partitionBy(*keys).orderBy("year")))
+    a = first_per(change(s, keys, [F.col("year")]), keys, F.desc("year")).filter("prior_value is not null")
+    x = F.floor(F.col("change_pct") * 10 + 0.5).cast("long")
+    shown = F.when(x.isNull(), "n/a").otherwise(F.concat(F.when(x < 0, "-").otherwise("+"), F.expr("cast(abs(x) div 10 as string)"), F.lit("."), F.expr("cast(abs(x) % 10 as string)"), F.lit("%")))
+    line = F.concat(F.lit("- "), "kpi_name", F.lit(": FY"), F.col("py").cast("string"), F.lit(" -> FY"), F.col("year").cast("string"), F.lit(": "), shown)
+    lines = F.array_sort(F.collect_list(F.struct("kpi_name", "line")))
+    return a.withColumn("x", x).withColumn("line", line).groupBy("coverage_id").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("lines"), F.count("*").alias("n"))
+
+
+@query("kpi_report_tables", "SELECT coverage_id, kpi_name, string_agg(period, ',' ORDER BY period) AS periods, count(*) AS n FROM v_series GROUP BY 1, 2")
+def kpi_report_tables(spark, d):
+    """A report's KPI tables: rows in the order of the period's text."""
+    s = Tables(spark, d).series().groupBy("coverage_id", "kpi_name")
+    return s.agg(F.array_join(F.array_sort(F.collect_list("period")), ",").alias("periods"), F.count("*").alias("n"))
