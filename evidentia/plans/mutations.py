@@ -21,12 +21,6 @@ def set_wanted_intersect(spark, d):
     return Tables(spark, d).filings().select("filing_type").intersect(wanted)
 
 
-@query("set_ranked_union", "SELECT doc_id, 'dense' AS list FROM documents WHERE doc_id < 20 UNION ALL SELECT doc_id, 'sparse' FROM documents WHERE doc_id BETWEEN 10 AND 29")
-def set_ranked_union(spark, d):
-    docs = Tables(spark, d).raw("documents").select("doc_id")
-    return docs.filter("doc_id < 20").withColumn("list", F.lit("dense")).unionByName(docs.filter("doc_id between 10 and 29").withColumn("list", F.lit("sparse")))
-
-
 @query("upsert_kpi_idempotent", """WITH s AS (SELECT * FROM v_kpis UNION ALL SELECT * FROM v_kpis),
     r AS (SELECT *, lag(value) OVER (PARTITION BY coverage_id, kpi_name, year, quarter ORDER BY extracted_at, obs) AS p FROM s)
     SELECT coverage_id, kpi_name, count(*) AS n_rows, count(*) FILTER (WHERE p IS NOT NULL) AS n_restated FROM r WHERE p IS NULL OR abs(value - p) >= 0.000001 GROUP BY 1, 2""")

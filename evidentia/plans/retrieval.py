@@ -71,6 +71,13 @@ def rrf_fusion(spark, d):
     return fuse([_dense(t), sparse_search(*_sparse_parts(t), 20)]).select("query_id", "chunk_id", "score")
 
 
+@query("set_ranked_union", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE} SELECT query_id, chunk_id, rank, 'dense' AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank, 'sparse' FROM sparse")
+def set_ranked_union(spark, d):
+    t = Tables(spark, d)
+    part = lambda df, name: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("list"))
+    return part(_dense(t), "dense").unionByName(part(sparse_search(*_sparse_parts(t), 20), "sparse"))
+
+
 @query("join_fusion_full_outer", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, b.rank AS sparse_rank FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id")
 def join_fusion_full_outer(spark, d):
     t = Tables(spark, d)

@@ -109,8 +109,8 @@ def audit_latest_per_tenant(spark, d):
     return first_per(Tables(spark, d).audit(), ["tenant_id"], F.desc("created_at"), F.desc("id")).select("tenant_id", "id", "created_at")
 
 
-@query("audit_window_365", "SELECT tenant_id, count(*) AS n FROM v_audit WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY GROUP BY 1")
+@query("audit_window_365", "SELECT tenant_id, count(*) AS n FROM v_audit WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 365 DAY GROUP BY 1")
 def audit_window_365(spark, d):
     """The look-back predicate, with now pinned; it reaches the scan as a pushed filter."""
-    log = Tables(spark, d).audit().filter(F.col("created_at") >= F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL 10 DAYS"))
+    log = Tables(spark, d).audit().filter(F.col("created_at") >= F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL 365 DAYS"))
     return log.groupBy("tenant_id").agg(F.count("*").alias("n"))
