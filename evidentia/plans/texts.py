@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import citation as C, text as X
-from ..functions.finance import let
 from ..sources.views import Tables
 from .registry import query
 
@@ -21,9 +20,9 @@ def cover(claims: str) -> str:
     return f"CASE WHEN len({claims}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({claims}, lambda p: regexp_matches(p, {CITE})))::DOUBLE / len({claims}) END"
 
 
-@query("split_paragraphs", rf"SELECT output_id, len(list_filter(string_split_regex(content, '\n\s*\n'), lambda p: trim(p) <> '')) AS n FROM v_answers", whole=Tables.whole_answers)
-def split_paragraphs(spark, d, answers=Tables.answers):
-    return answers(Tables(spark, d)).select("output_id", F.size(X.paragraphs(F.col("content"))).cast("long").alias("n"))
+@query("split_paragraphs", rf"SELECT output_id, len(list_filter(string_split_regex(content, '\n\s*\n'), lambda p: trim(p) <> '')) AS n FROM v_answers")
+def split_paragraphs(spark, d):
+    return Tables(spark, d).answers().select("output_id", F.size(X.paragraphs(F.col("content"))).cast("long").alias("n"))
 
 
 @query("split_sentences", rf"SELECT document_id, len(string_split_regex(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS n FROM v_corpus")
@@ -36,90 +35,92 @@ def token_estimate(spark, d):
     return Tables(spark, d).corpus().select("document_id", X.token_estimate(F.col("content")).cast("long").alias("tokens"))
 
 
-@query("citations_extract", f"SELECT output_id, regexp_extract(content, {CITE}, 1) AS doc, regexp_extract(content, {CITE}, 2) AS section, regexp_extract(content, {CITE}, 3) AS quote FROM v_answers WHERE regexp_matches(content, {CITE})", whole=Tables.whole_answers)
-def citations_extract(spark, d, answers=Tables.answers):
-    c = answers(Tables(spark, d)).select("output_id", F.explode(C.citations(F.col("content"))).alias("c"))
+@query("citations_extract", f"SELECT output_id, unnest(regexp_extract_all(content, {CITE}, 1)) AS doc, unnest(regexp_extract_all(content, {CITE}, 2)) AS section, unnest(regexp_extract_all(content, {CITE}, 3)) AS quote FROM v_answers")
+def citations_extract(spark, d):
+    c = Tables(spark, d).answers().select("output_id", F.explode(C.citations(F.col("content"))).alias("c"))
     return c.select("output_id", "c.doc", "c.section", "c.quote")
 
 
-@query("citations_malformed", r"""SELECT output_id, len(list_filter(regexp_extract_all(replace(content, ']: "', '] : "') || ' Form: "short one"', '\[?[^\[\]\n]{1,80}\]?:\s*"[^"]{5,}"'), lambda a: NOT regexp_full_match(a, '\[([^\]]+),\s*([^\]]+)\]:\s*"([^"]{10,})"'))) AS n FROM v_answers""", whole=Tables.whole_answers)
-def citations_malformed(spark, d, answers=Tables.answers):
+@query("citations_malformed", r"""SELECT output_id, len(list_filter(regexp_extract_all(replace(content, ']: "', '] : "') || ' Form: "short one"', '\[?[^\[\]\n]{1,80}\]?:\s*"[^"]{5,}"'), lambda a: NOT regexp_full_match(a, '\[([^\]]+),\s*([^\]]+)\]:\s*"([^"]{10,})"'))) AS n FROM v_answers""")
+def citations_malformed(spark, d):
     bad = F.concat(F.replace("content", F.lit(']: "'), F.lit('] : "')), F.lit(' Form: "short one"'))
-    return answers(Tables(spark, d)).select("output_id", F.size(C.malformed(bad)).cast("long").alias("n"))
+    return Tables(spark, d).answers().select("output_id", F.size(C.malformed(bad)).cast("long").alias("n"))
 
 
-@query("citation_coverage_gate", f"SELECT output_id, {cover(CLAIMS)} AS coverage FROM v_answers", whole=Tables.whole_answers)
-def citation_coverage_gate(spark, d, answers=Tables.answers):
-    return answers(Tables(spark, d)).select("output_id", C.coverage(F.col("content")).alias("coverage"))
+@query("citation_coverage_gate", f"SELECT output_id, {cover(CLAIMS)} AS coverage FROM v_answers")
+def citation_coverage_gate(spark, d):
+    return Tables(spark, d).answers().select("output_id", C.coverage(F.col("content")).alias("coverage"))
 
 
-@query("citation_coverage_digits", f"SELECT output_id, {cover(DIGITS)} AS coverage FROM v_answers", whole=Tables.whole_answers)
-def citation_coverage_digits(spark, d, answers=Tables.answers):
-    return answers(Tables(spark, d)).select("output_id", C.coverage(F.col("content"), verbs=False).alias("coverage"))
+@query("citation_coverage_digits", f"SELECT output_id, {cover(DIGITS)} AS coverage FROM v_answers")
+def citation_coverage_digits(spark, d):
+    return Tables(spark, d).answers().select("output_id", C.coverage(F.col("content"), verbs=False).alias("coverage"))
 
 
-@query("unsourced_numbers", rf"WITH s AS (SELECT output_id, {SENTENCES} AS s FROM v_answers) SELECT output_id, CAST(list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN NOT regexp_matches(s[i] || ' ' || coalesce(s[i + 1], ''), {CITE}) THEN len(regexp_extract_all(s[i], '\b\d+ million\b')) ELSE 0 END)) AS BIGINT) AS n FROM s", whole=Tables.whole_answers)
-def unsourced_numbers(spark, d, answers=Tables.answers):
-    a = answers(Tables(spark, d))
+@query("unsourced_numbers", rf"WITH s AS (SELECT output_id, {SENTENCES} AS s FROM v_answers) SELECT output_id, CAST(list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN NOT regexp_matches(s[i] || ' ' || coalesce(s[i + 1], ''), {CITE}) THEN len(regexp_extract_all(s[i], '\b\d+ million\b')) ELSE 0 END)) AS BIGINT) AS n FROM s")
+def unsourced_numbers(spark, d):
+    a = Tables(spark, d).answers()
     return a.select("output_id", F.size(F.filter(C.unsourced_numbers(F.col("content"), C.ALL), lambda x: x.rlike("million"))).cast("long").alias("n"))
 
 
-@query("speculation", rf"SELECT output_id, len(list_filter({SENTENCES}, lambda s: regexp_matches(s, '(?i)\b(?:will\s+(?:grow|increase|decrease|improve|expand|reach)|expects?\s+to|expected\s+to|is\s+expected\s+to|analysts\s+predict|forecasts?|projects?)\b') AND NOT regexp_matches(s, {CITE}))) AS n FROM (SELECT output_id, replace(content, 'We expect growth', 'Management expects to see growth') AS content FROM v_answers)", whole=Tables.whole_answers)
-def speculation(spark, d, answers=Tables.answers):
-    a = answers(Tables(spark, d)).withColumn("content", F.replace("content", F.lit("We expect growth"), F.lit("Management expects to see growth")))
+@query("speculation", rf"SELECT output_id, len(list_filter({SENTENCES}, lambda s: regexp_matches(s, '(?i)\b(?:will\s+(?:grow|increase|decrease|improve|expand|reach)|expects?\s+to|expected\s+to|is\s+expected\s+to|analysts\s+predict|forecasts?|projects?)\b') AND NOT regexp_matches(s, {CITE}))) AS n FROM (SELECT output_id, replace(content, 'We expect growth', 'Management expects to see growth') AS content FROM v_answers)")
+def speculation(spark, d):
+    a = Tables(spark, d).answers().withColumn("content", F.replace("content", F.lit("We expect growth"), F.lit("Management expects to see growth")))
     return a.select("output_id", F.size(C.speculation(F.col("content"), C.ALL)).cast("long").alias("n"))
 
 
-@query("inference_labels", rf"SELECT output_id, len(list_filter({SENTENCES}, lambda s: regexp_matches(s, '(?i)\b(?:appears?\s+to|seems?\s+to|likely|probably|presumably|suggests?\s+that|implies?\s+that)\b') AND NOT regexp_matches(s, '(?i)\(inferred from'))) AS n FROM (SELECT output_id, replace(content, 'This suggests strength', 'This likely holds') AS content FROM v_answers)", whole=Tables.whole_answers)
-def inference_labels(spark, d, answers=Tables.answers):
-    a = answers(Tables(spark, d)).withColumn("content", F.replace("content", F.lit("This suggests strength"), F.lit("This likely holds")))
+@query("inference_labels", rf"SELECT output_id, len(list_filter({SENTENCES}, lambda s: regexp_matches(s, '(?i)\b(?:appears?\s+to|seems?\s+to|likely|probably|presumably|suggests?\s+that|implies?\s+that)\b') AND NOT regexp_matches(s, '(?i)\(inferred from'))) AS n FROM (SELECT output_id, replace(content, 'This suggests strength', 'This likely holds') AS content FROM v_answers)")
+def inference_labels(spark, d):
+    a = Tables(spark, d).answers().withColumn("content", F.replace("content", F.lit("This suggests strength"), F.lit("This likely holds")))
     return a.select("output_id", F.size(C.unlabelled_inference(F.col("content"), C.ALL)).cast("long").alias("n"))
 
 
-@query("enforcer_verdict", f"SELECT output_id, CASE WHEN {cover(CLAIMS)} >= 0.95 THEN 'approved' WHEN {cover(DIGITS)} >= 0.8 THEN 'partial' ELSE 'failed' END AS status FROM v_answers", whole=Tables.whole_answers)
-def enforcer_verdict(spark, d, answers=Tables.answers):
+@query("enforcer_verdict", f"SELECT output_id, CASE WHEN {cover(CLAIMS)} >= 0.95 THEN 'approved' WHEN {cover(DIGITS)} >= 0.8 THEN 'partial' ELSE 'failed' END AS status FROM v_answers")
+def enforcer_verdict(spark, d):
     t = F.col("content")
-    return answers(Tables(spark, d)).select("output_id", C.verdict(C.coverage(t) >= C.APPROVED_FROM, C.coverage(t, verbs=False)).alias("status"))
+    return Tables(spark, d).answers().select("output_id", C.verdict(C.coverage(t) >= C.APPROVED_FROM, C.coverage(t, verbs=False)).alias("status"))
 
 
-@query("retry_prompt", whole=Tables.whole_answers)
-def retry_prompt(spark, d, answers=Tables.answers):
+@query("retry_prompt")
+def retry_prompt(spark, d):
     """Failed checks and their first three items, as the instruction for a retry."""
     t = F.col("content")
     part = lambda name, items: F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(items, 1, 3), "; ")))
     low = F.when(C.coverage(t) < C.APPROVED_FROM, F.lit("citation_coverage: cite every claim"))
-    return answers(Tables(spark, d)).select("output_id", F.concat_ws("\n", low, part("quote_format", C.malformed(t)), part("unsourced_numbers", C.unsourced_numbers(t)), part("speculation", C.speculation(t)), part("inference", C.unlabelled_inference(t))).alias("prompt"))
+    return Tables(spark, d).answers().select("output_id", F.concat_ws("\n", low, part("quote_format", C.malformed(t)), part("unsourced_numbers", C.unsourced_numbers(t)), part("speculation", C.speculation(t)), part("inference", C.unlabelled_inference(t))).alias("prompt"))
 
 
-@query("qblocks_parse", r"SELECT output_id, CAST(regexp_extract(b, '^### Q(\d+): ([^\n]+)', 1) AS INTEGER) AS number, regexp_extract(b, '^### Q(\d+): ([^\n]+)', 2) AS title FROM (SELECT output_id, unnest(string_split_regex(regexp_replace(content, '(^|\n)(### Q)', chr(1) || '\2', 'g'), chr(1))) AS b FROM v_answers) WHERE b LIKE '### Q%'", whole=Tables.whole_answers)
-def qblocks_parse(spark, d, answers=Tables.answers):
-    blocks = answers(Tables(spark, d)).select("output_id", F.explode(F.split("content", r"(?m)^(?=### Q\d+: )", -1)).alias("b")).filter("b like '### Q%'")
+@query("qblocks_parse", r"SELECT output_id, CAST(regexp_extract(b, '^### Q(\d+): ([^\n]+)', 1) AS INTEGER) AS number, regexp_extract(b, '^### Q(\d+): ([^\n]+)', 2) AS title FROM (SELECT output_id, unnest(string_split_regex(regexp_replace(content, '(^|\n)(### Q)', chr(1) || '\2', 'g'), chr(1))) AS b FROM v_answers) WHERE b LIKE '### Q%'")
+def qblocks_parse(spark, d):
+    blocks = Tables(spark, d).answers().select("output_id", F.explode(F.split("content", r"(?m)^(?=### Q\d+: )", -1)).alias("b")).filter("b like '### Q%'")
     head = r"^### Q(\d+): (.+)"
     return blocks.select("output_id", F.regexp_extract("b", head, 1).cast("int").alias("number"), F.regexp_extract("b", head, 2).alias("title"))
 
 
-@query("not_found_items", r"SELECT output_id, len(regexp_extract_all(content, '(?i)[^.\n]*not found in uploaded documents\.?')) AS n FROM v_answers", whole=Tables.whole_answers)
-def not_found_items(spark, d, answers=Tables.answers):
-    return answers(Tables(spark, d)).select("output_id", F.size(F.regexp_extract_all("content", F.lit(r"(?i)[^.\n]*not found in uploaded documents\.?"), F.lit(0))).cast("long").alias("n"))
+@query("not_found_items", r"SELECT output_id, len(regexp_extract_all(content, '(?i)[^.\n]*not found in uploaded documents\.?')) AS n FROM v_answers")
+def not_found_items(spark, d):
+    return Tables(spark, d).answers().select("output_id", F.size(F.filter(F.split(F.lower("content"), r"[.\n]", -1), lambda s: s.contains("not found in uploaded documents"))).cast("long").alias("n"))
 
 
-@query("company_type", "SELECT output_id, CASE WHEN contains(lower(content), 'slow grower') THEN 'slow grower' WHEN contains(lower(content), 'stalwart') THEN 'stalwart' WHEN contains(lower(content), 'fast grower') THEN 'fast grower' END AS company_type FROM v_answers", whole=Tables.whole_answers)
-def company_type(spark, d, answers=Tables.answers):
+@query("company_type", "SELECT output_id, CASE WHEN contains(lower(content), 'slow grower') THEN 'slow grower' WHEN contains(lower(content), 'stalwart') THEN 'stalwart' WHEN contains(lower(content), 'fast grower') THEN 'fast grower' WHEN contains(lower(content), 'cyclical') THEN 'cyclical' WHEN contains(lower(content), 'turnaround') THEN 'turnaround' WHEN contains(lower(content), 'asset play') THEN 'asset play' END AS company_type FROM v_answers")
+def company_type(spark, d):
     t, out = F.lower("content"), F.lit(None).cast("string")
     for phrase in reversed(("slow grower", "stalwart", "fast grower", "cyclical", "turnaround", "asset play")):
         out = F.when(t.contains(phrase), phrase).otherwise(out)
-    return answers(Tables(spark, d)).select("output_id", out.alias("company_type"))
+    return Tables(spark, d).answers().select("output_id", out.alias("company_type"))
 
 
-@query("footnote_render", f"SELECT output_id, regexp_replace(content, {CITE}, '[^1]') AS body FROM v_answers", whole=Tables.whole_answers)
-def footnote_render(spark, d, answers=Tables.answers):
-    """Citations become numbered marks, in order of first appearance."""
+FOOTNOTES = f"""SELECT output_id, list_aggregate(list_transform(parts, lambda p, i: p || CASE WHEN i <= len(marks) THEN '[^' || list_position(firsts, marks[i]) || ']' ELSE '' END), 'string_agg', '') AS body FROM (
+    SELECT *, list_filter(marks, lambda m, i: list_position(marks, m) = i) AS firsts FROM (SELECT output_id, string_split_regex(content, {CITE}) AS parts, regexp_extract_all(content, {CITE}) AS marks FROM v_answers))"""
 
-    def number(t):
-        marks = F.array_distinct(F.regexp_extract_all(t, F.lit(C.CITATION), F.lit(0)))
-        return F.aggregate(F.transform(marks, lambda m, i: F.struct(m.alias("m"), (i + 1).cast("string").alias("n"))), t, lambda acc, x: F.replace(acc, x["m"], F.concat(F.lit("[^"), x["n"], F.lit("]"))))
 
-    return answers(Tables(spark, d)).select("output_id", let(F.col("content"), number).alias("body"))
+@query("footnote_render", FOOTNOTES)
+def footnote_render(spark, d):
+    """Citations become numbered marks, in order of first appearance; the text is cut at its citations once."""
+    a = Tables(spark, d).answers().select("output_id", F.split("content", C.CITATION, -1).alias("parts"), F.regexp_extract_all("content", F.lit(C.CITATION), F.lit(0)).alias("marks"))
+    a = a.withColumn("firsts", F.array_distinct("marks"))
+    mark = lambda i: F.when(i < F.size("marks"), F.concat(F.lit("[^"), F.array_position("firsts", F.get("marks", i)).cast("string"), F.lit("]"))).otherwise("")
+    return a.select("output_id", F.array_join(F.transform("parts", lambda p, i: F.concat(p, mark(i))), "").alias("body"))
 
 
 @query("json_fence_parse", "SELECT output_id, output_id AS kpi FROM v_answers")
@@ -130,11 +131,10 @@ def json_fence_parse(spark, d):
     return Tables(spark, d).answers().select("output_id", F.from_json(inner, "kpi long")["kpi"].alias("kpi"))
 
 
-@query("evidence_context", "SELECT coverage_id, string_agg('[doc_' || output_id || ', ' || coverage_id || ']: \"' || replace(left(content, 40), chr(10), ' ') || '\"', chr(10) ORDER BY output_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY coverage_id ORDER BY output_id) AS rn FROM v_answers) WHERE rn <= 5 GROUP BY 1", whole=Tables.whole_answers)
-def evidence_context(spark, d, answers=Tables.answers):
+@query("evidence_context", "SELECT coverage_id, string_agg('[doc_' || output_id || ', ' || coverage_id || ']: \"' || replace(content, chr(10), ' ') || '\"', chr(10) ORDER BY output_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY coverage_id ORDER BY output_id) AS rn FROM v_answers) WHERE rn <= 5 GROUP BY 1")
+def evidence_context(spark, d):
     from ..operators.frames import first_per
 
-    best = first_per(answers(Tables(spark, d)), ["coverage_id"], F.col("output_id"), n=5)
-    passage = F.left("content", F.lit(40)) if answers is Tables.answers else F.col("content")  # the twin's short form
-    line = F.concat(F.lit("[doc_"), F.col("output_id").cast("string"), F.lit(", "), "coverage_id", F.lit(']: "'), F.replace(passage, F.lit("\n"), F.lit(" ")), F.lit('"'))
+    best = first_per(Tables(spark, d).answers(), ["coverage_id"], F.col("output_id"), n=5)
+    line = F.concat(F.lit("[doc_"), F.col("output_id").cast("string"), F.lit(", "), "coverage_id", F.lit(']: "'), F.replace("content", F.lit("\n"), F.lit(" ")), F.lit('"'))
     return best.select("coverage_id", F.struct("output_id", line.alias("line")).alias("x")).groupBy("coverage_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("context"))

@@ -73,13 +73,18 @@ class Tables:
         return self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("industry_id"))
 
     def answers(self) -> DataFrame:
-        """Markdown answers made from documents: question blocks, claims, citations on even ids."""
+        """Markdown answers made from whole documents: a paragraph per sentence or line; on even ids every second one cites itself in full."""
         d = self.raw("documents")
-        one = F.regexp_replace(F.left("text", F.lit(120)), "[\\n\"]", " ")
-        cite = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit(", "), F.col("source"), F.lit("]: \""), F.regexp_replace(F.left("text", F.lit(60)), "[\\n\"]", " "), F.lit("\""))).otherwise("")
-        number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Revenue increased to "), F.col("n_chars").cast("string"), F.lit(" million.")))
+        parts = F.transform(F.split(F.replace("text", F.lit('"'), F.lit(" ")), r"\n|(?<=[.!?])\s+", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+        d = d.withColumn("parts", F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>")))
+        even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+        cite = lambda p: F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit(", "), F.coalesce("source", F.lit("unknown")), F.lit(']: "'), p, F.lit('"'))
+        paragraphs = F.array_join(F.transform("parts", lambda p, i: F.when(even & (i % 2 == 0), F.concat(p, cite(p))).otherwise(p)), "\n\n")
+        number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Revenue increased to "), F.coalesce(F.col("n_chars"), F.lit(0)).cast("string"), F.lit(" million.")))
+        last = F.when(even & (F.size("parts") > 0), cite(F.get("parts", F.size("parts") - 1))).otherwise("")
         spec = F.when(F.col("doc_id") % 5 == 0, F.lit(" We expect growth to continue. This suggests strength.")).otherwise("")
-        body = F.concat(F.lit("### Q1: Business\n"), one, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), cite, spec, F.lit("\n\n### Q5: Type\n"), F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents."))
+        kind = F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents.")
+        body = F.concat(F.lit("### Q1: Business\n"), paragraphs, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), last, spec, F.lit("\n\n### Q5: Type\n"), kind)
         return d.select(F.col("doc_id").alias("output_id"), F.col("source").alias("coverage_id"), body.alias("content"))
 
     def _body(self):
@@ -139,21 +144,6 @@ class Tables:
         text = F.when(k % 4 == 0, F.concat(F.lit(" Table of order "), k.cast("string"))).when(k % 4 == 1, F.lit("17")).when(k % 4 == 2, "It ends here.").otherwise("Item")
         return o.select(F.col("o_custkey").alias("document_id"), (k % 7 + 1).alias("page_number"), k.alias("seq"), text.alias("text"))
 
-    def whole_answers(self) -> DataFrame:
-        """As answers(), but from all of each text: a paragraph per sentence or line, and on even ids every second one cites itself in full."""
-        d = self.raw("documents")
-        parts = F.transform(F.split(F.replace("text", F.lit('"'), F.lit(" ")), r"\n|(?<=[.!?])\s+", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-        d = d.withColumn("parts", F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>")))
-        even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-        cite = lambda p: F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit(", "), F.coalesce("source", F.lit("unknown")), F.lit(']: "'), p, F.lit('"'))
-        paragraphs = F.array_join(F.transform("parts", lambda p, i: F.when(even & (i % 2 == 0), F.concat(p, cite(p))).otherwise(p)), "\n\n")
-        number = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Revenue increased to "), F.coalesce(F.col("n_chars"), F.lit(0)).cast("string"), F.lit(" million.")))
-        last = F.when(even & (F.size("parts") > 0), cite(F.get("parts", F.size("parts") - 1))).otherwise("")
-        spec = F.when(F.col("doc_id") % 5 == 0, F.lit(" We expect growth to continue. This suggests strength.")).otherwise("")
-        kind = F.when(F.col("doc_id") % 4 == 0, "Fast Grower").when(F.col("doc_id") % 4 == 1, "Stalwart").otherwise("Not found in uploaded documents.")
-        body = F.concat(F.lit("### Q1: Business\n"), paragraphs, F.lit("\n\n### Q2: Numbers\n"), F.coalesce(number, F.lit("Margins declined over time.")), last, spec, F.lit("\n\n### Q5: Type\n"), kind)
-        return d.select(F.col("doc_id").alias("output_id"), F.col("source").alias("coverage_id"), body.alias("content"))
-
 
 VIEWS = {
     "v_tenants": "SELECT r_regionkey AS tenant_id, r_name AS tenant_name, CAST(1000 * (r_regionkey + 1) AS DOUBLE) AS alert_threshold FROM region",
@@ -179,12 +169,14 @@ VIEWS = {
     "v_task_events": """SELECT user_id AS task_id, CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'chunk' WHEN 'signup' THEN 'citation_found' WHEN 'purchase' THEN 'complete' ELSE 'error' END AS type, ts, event_id, value FROM events""",
     "v_corpus": "SELECT doc_id AS document_id, source AS coverage_id, CAST(doc_id % 5 AS INTEGER) AS tenant_id, text AS content, lang AS section, n_chars FROM documents",
     "v_vectors": "SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS vector, label AS industry_id FROM embeddings",
-    "v_answers": """SELECT doc_id AS output_id, source AS coverage_id,
-        '### Q1: Business' || chr(10) || regexp_replace(left(text, 120), '[\\n"]', ' ', 'g') || chr(10) || chr(10) || '### Q2: Numbers' || chr(10)
-        || CASE WHEN doc_id % 3 = 0 THEN 'Revenue increased to ' || n_chars || ' million.' ELSE 'Margins declined over time.' END
-        || CASE WHEN doc_id % 2 = 0 THEN ' [doc_' || doc_id || ', ' || source || ']: "' || regexp_replace(left(text, 60), '[\\n"]', ' ', 'g') || '"' ELSE '' END
+    "v_answers": """SELECT doc_id AS output_id, source AS coverage_id, '### Q1: Business' || chr(10)
+        || array_to_string(list_transform(parts, lambda p, i: CASE WHEN doc_id % 2 = 0 AND i % 2 = 1 THEN p || cite || p || '"' ELSE p END), chr(10) || chr(10)) || chr(10) || chr(10) || '### Q2: Numbers' || chr(10)
+        || CASE WHEN doc_id % 3 = 0 THEN 'Revenue increased to ' || coalesce(n_chars, 0) || ' million.' ELSE 'Margins declined over time.' END
+        || CASE WHEN doc_id % 2 = 0 AND len(parts) > 0 THEN cite || parts[len(parts)] || '"' ELSE '' END
         || CASE WHEN doc_id % 5 = 0 THEN ' We expect growth to continue. This suggests strength.' ELSE '' END
-        || chr(10) || chr(10) || '### Q5: Type' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Fast Grower' WHEN 1 THEN 'Stalwart' ELSE 'Not found in uploaded documents.' END AS content FROM documents""",
+        || chr(10) || chr(10) || '### Q5: Type' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Fast Grower' WHEN 1 THEN 'Stalwart' ELSE 'Not found in uploaded documents.' END AS content
+        FROM (SELECT doc_id, source, n_chars, ' [doc_' || doc_id || ', ' || coalesce(source, 'unknown') || ']: "' AS cite,
+            list_filter(list_transform(string_split(regexp_replace(replace(coalesce(text, ''), '"', ' '), '([.!?])\\s+|\\n', '\\1' || chr(10), 'g'), chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS parts FROM documents)""",
     "v_reports": """SELECT doc_id AS output_id, doc_id % 50 AS coverage_id,
         '## SECTION 1: Guidance' || chr(10) || regexp_replace(coalesce(text, ''), '["\\r\\n]+', ' ', 'g') || CASE WHEN doc_id % 2 = 0 THEN ' [doc_' || doc_id || ', ' || coalesce(source, 'web') || ']: "as reported in filing ' || doc_id || '"' ELSE '' END
         || chr(10) || chr(10) || '## SECTION 2: Results' || chr(10) || 'Revenue increased to ' || coalesce(n_chars, 0) || ' million.' || CASE WHEN doc_id % 3 = 0 THEN ' [doc_' || doc_id || ', ' || coalesce(source, 'web') || ']: "as reported in filing ' || doc_id || '"' ELSE '' END
