@@ -32,6 +32,8 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same: list[str]
     The query set goes to all tasks in blocks of a checked size; the vectors never
     move. ``same`` names columns that must agree.
     """
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    queries, vectors = queries.withColumn("query_norm", norm("query_vector")), vectors.withColumn("norm", norm("vector"))  # once a row, not once a pair
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
@@ -40,7 +42,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same: list[str]
         q = F.broadcast(queries.filter(block == i))  # about QUERY_BLOCK rows
         cond = [q[c] == vectors[c] for c in same]
         pairs = vectors.join(q, reduce(Column.__and__, cond) if cond else F.lit(True))
-        scored = pairs.select(q["query_id"], vectors["chunk_id"], F.round(cosine(F.col("query_vector"), F.col("vector")), 9).alias("score"))
+        scored = pairs.select(q["query_id"], vectors["chunk_id"], F.round(dot(F.col("query_vector"), F.col("vector")) / (F.col("query_norm") * F.col("norm")), 9).alias("score"))
         return top_k(scored, "query_id", "score", "chunk_id", k)
 
     return reduce(DataFrame.unionAll, [one(i) for i in range(blocks)])

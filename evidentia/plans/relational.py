@@ -129,13 +129,16 @@ def url_allowlist(spark, d):
 LISTED = "SELECT o_custkey % 50 AS company, o_orderkey AS accession, CAST(o_orderdate AS DATE) AS filed, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS report, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-Q' ELSE '8-K' END AS form FROM orders"
 
 
+LISTING_PAGE = 10_000  # accession numbers a page covers: no JSON grows with the table
+
+
 def _listings(spark, d):
-    """Struct-of-arrays JSON per company, as a filing index serves it."""
+    """Struct-of-arrays JSON as a filing index serves it: per company and page of at most LISTING_PAGE filings."""
     o = Tables(spark, d).raw("orders")
     form = F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").when(F.col("o_orderpriority") == "2-HIGH", "10-Q").otherwise("8-K")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    o = o.select((F.col("o_custkey") % 50).alias("company"), F.struct(F.col("o_orderkey").alias("a"), form.alias("f"), day.alias("d"), F.when(F.col("o_orderkey") % 7 != 0, day).otherwise("").alias("r")).alias("x"))
-    g = o.groupBy("company").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    o = o.select((F.col("o_custkey") % 50).alias("company"), F.struct(F.col("o_orderkey").alias("a"), form.alias("f"), day.alias("d"), F.when(F.col("o_orderkey") % 7 != 0, day).otherwise("").alias("r")).alias("x"), F.floor(F.col("o_orderkey") / LISTING_PAGE).alias("page"))
+    g = o.groupBy("company", "page").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pick = lambda f: F.transform("xs", lambda x: x[f].cast("string"))
     return g.select("company", F.to_json(F.struct(F.struct(F.struct(pick("f").alias("form"), pick("a").alias("accessionNumber"), pick("d").alias("filingDate"), pick("r").alias("reportDate"), F.transform("xs", lambda x: F.lit("main.htm")).alias("primaryDocument")).alias("recent")).alias("filings"))).alias("json"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.views import Tables
-from ..streaming.tasks import cut_safe, fold, sessions, terminal_state, windowed_counts
+from ..streaming.tasks import fold, safe_pieces, sessions, terminal_state, windowed_counts
 from .registry import query
 
 
@@ -36,18 +36,7 @@ def session_window_query(spark, d):
 
 @query("citation_safe_chunks")
 def citation_safe_chunks(spark, d):
-    """Batch form: a conversation's turns as the chunks of one task; its state is one buffer."""
-    import pandas as pd
-
+    """Batch form: a conversation's turns as the chunks of one task, walked in order; its state is one buffer."""
     turns = Tables(spark, d).raw("conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), "text")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out, task = "", [], int(pdf.task_id.iloc[0])
-        texts = pdf.sort_values("seq").text.tolist()
-        for i, text in enumerate(texts):
-            ready, held = cut_safe(held + (text or ""), i + 1 == len(texts))
-            if ready:
-                out.append((task, len(out), ready))
-        return pd.DataFrame(out, columns=["task_id", "pos", "text"])
-
-    return turns.groupBy("task_id").applyInPandas(run, "task_id long, pos long, text string")
+    turns = turns.repartition("task_id").sortWithinPartitions("task_id", "seq", "text")
+    return turns.mapInArrow(safe_pieces, "task_id long, pos long, text string")

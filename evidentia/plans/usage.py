@@ -48,16 +48,23 @@ def usage_grouping_sets(spark, d):
     return _log(spark, d).groupingSets(sets, "tenant_id", "month", "model", "coverage_id").agg(F.sum("tokens_used").cast("long").alias("tokens")).select("tenant_id", "month", "model", "coverage_id", "tokens")
 
 
+COVERAGE_PAGE, RANK_BUCKETS = 10_000, 1000
+
+
 @query("usage_nested_per_tenant")
 def usage_nested_per_tenant(spark, d):
-    """One row per tenant with its months, models and coverages; empty lists without usage."""
+    """One row per tenant with its months, models and coverages; empty lists without usage.
+
+    Months and models are few. Coverages grow with the table: further pages of them are further rows of the tenant.
+    """
     t, log = Tables(spark, d), _log(spark, d)
-    nest = lambda df, cols, name: df.groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    months = nest(rollup(log, ["tenant_id", "month"]), ["month", "cost_usd"], "months")
-    models = nest(rollup(log, ["tenant_id", "model"]), ["model", "tokens", "cost_usd"], "models")
-    covered = nest(rollup(log.filter("coverage_id is not null"), ["tenant_id", "coverage_id"]), ["coverage_id", "tokens", "cost_usd"], "coverages")
+    nest = lambda df, keys, cols, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    months = nest(rollup(log, ["tenant_id", "month"]), ["tenant_id"], ["month", "cost_usd"], "months")
+    models = nest(rollup(log, ["tenant_id", "model"]), ["tenant_id"], ["model", "tokens", "cost_usd"], "models")
+    covered = rollup(log.filter("coverage_id is not null"), ["tenant_id", "coverage_id"]).withColumn("page", F.floor(F.col("coverage_id") / COVERAGE_PAGE))
+    covered = nest(covered, ["tenant_id", "page"], ["coverage_id", "tokens", "cost_usd"], "coverages")
     out = t.tenants().join(months, "tenant_id", "left").join(models, "tenant_id", "left").join(covered, "tenant_id", "left")
-    return out.select("tenant_id", "tenant_name", *[F.coalesce(c, F.array()).alias(c) for c in ("months", "models", "coverages")])
+    return out.select("tenant_id", "tenant_name", F.coalesce("page", F.lit(0)).alias("page"), *[F.coalesce(c, F.array()).alias(c) for c in ("months", "models", "coverages")])
 
 
 @query("usage_over_threshold", f"""WITH m AS (SELECT tenant_id, strftime(created_at, '%Y-%m') AS month, {COST_SQL} AS c FROM {PRICED} GROUP BY 1, 2),
@@ -91,12 +98,19 @@ def topk_cost(spark, d):
 @query("latency_p95_nearest_rank", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_type, value AS p95 FROM r WHERE rn = least(n - 1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT)) + 1""")
 def latency_p95_nearest_rank(spark, d):
-    """Exact: values are counted first, so no group is ever sorted whole in one array."""
-    e = Tables(spark, d).raw("events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    """Exact: the values' range is cut into buckets, whose counts tell the one that holds the rank; only its values are ranked."""
+    e = Tables(spark, d).raw("events").filter("value is not null").select("event_type", "value")
+    ends = e.groupBy(F.col("event_type").alias("type")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    placed = e.join(ends, F.col("event_type").eqNullSafe(F.col("type"))).select("event_type", "value", "n", F.floor(share * RANK_BUCKETS).alias("bucket"))
     w = Window.partitionBy("event_type")
-    e = e.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1
-    return e.filter((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select("event_type", F.col("value").alias("p95"))
+    counts = placed.groupBy("event_type", "n", "bucket").agg(F.count("*").alias("c"))  # at most RANK_BUCKETS + 1 rows a type
+    counts = counts.withColumn("upto", F.sum("c").over(w.orderBy("bucket"))).filter((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at))
+    wanted = counts.select(F.col("event_type").alias("type"), F.col("bucket").alias("held"), (at - F.col("upto") + F.col("c")).alias("rank"))
+    inside = placed.join(wanted, F.col("event_type").eqNullSafe(F.col("type")) & (F.col("bucket") == F.col("held"))).groupBy("event_type", "value", "rank").agg(F.count("*").alias("c"))
+    inside = inside.withColumn("upto", F.sum("c").over(w.orderBy("value")))
+    return inside.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select("event_type", F.col("value").alias("p95"))
 
 
 @query("audit_distinct_months", "SELECT DISTINCT strftime(created_at, '%Y-%m') AS month FROM v_audit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TERMINAL = ("complete", "error", "partial")
@@ -38,21 +39,62 @@ def cut_safe(text: str, done: bool) -> tuple[str, str]:
     return (text, "") if whole else (text[:open_], tail)
 
 
-def safe_chunks(stream: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
-    """Streaming (task_id, seq, text, done) to (task_id, text) pieces that never split a citation."""
+def safe_chunks(stream: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """Streaming (task_id, seq, text, done) to (task_id, text) pieces that never split a citation.
+
+    A task's buffer is dropped when the task is done; one that hears nothing for ``idle`` gives out what it holds.
+    """
 
     def step(key, batches, state):
         held = state.get[0] if state.exists else ""
-        out = []
+        out, done = [], state.hasTimedOut
+        if done and held:
+            out, held = [held], ""
         for pdf in batches:
             for text, done in pdf.sort_values("seq")[["text", "done"]].itertuples(index=False):
                 ready, held = cut_safe(held + (text or ""), bool(done))
                 if ready:
                     out.append(ready)
-        state.update((held,))
+        if done:
+            state.remove()
+        else:
+            state.update((held,))
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({"task_id": [key[0]] * len(out), "text": out})
 
-    return stream.groupBy("task_id").applyInPandasWithState(step, "task_id long, text string", "held string", "append", timeout)
+    return stream.groupBy("task_id").applyInPandasWithState(step, "task_id long, text string", "held string", "append", "ProcessingTimeTimeout")
+
+
+def safe_pieces(batches):
+    """Batch form of safe_chunks: sorted (task_id, seq, text) batches to (task_id, pos, text), one turn and one buffer in memory.
+
+    A task's last text closes it. Tasks may span batches; texts that are missing add nothing.
+    """
+    out, last, held, pos = [], None, "", 0
+
+    def cut(done: bool) -> None:
+        nonlocal held, pos
+        ready, held = cut_safe(held + (last[1] or ""), done)
+        if ready:
+            out.append((last[0], pos, ready))
+            pos += 1
+
+    def flush() -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int64(), pa.string()))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["task_id", "pos", "text"])
+
+    for batch in batches:
+        for task, text in zip(batch.column("task_id").to_pylist(), batch.column("text").to_pylist()):
+            if last is not None:
+                cut(task != last[0])
+                if task != last[0]:
+                    held, pos = "", 0
+            last = (task, text)
+        yield flush()
+    if last is not None:
+        cut(True)
+    yield flush()
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from evidentia.functions.period import normalize_period
 from evidentia.operators.chunking import children, parent_texts, windows
 from evidentia.operators.retrieval import dense_search, fuse
 from evidentia.scope import TenantScope
-from evidentia.streaming.tasks import cut_safe, safe_chunks, windowed_counts
+from evidentia.streaming.tasks import cut_safe, safe_chunks, safe_pieces, windowed_counts
 
 # Built from the rules: an amount, its sign, currency and scale, and what they mean together.
 AMOUNTS = (7.25, 318.0, 0.75)
@@ -115,6 +116,19 @@ def test_stream_of_chunks_keeps_all_text(spark, tmp_path):
         assert "".join(pieces) == text and all(p.count("[") == p.count("]") for p in pieces)
 
 
+def test_pieces_of_sorted_turns_whatever_the_batches():
+    text = "".join(f'Claim {i} [doc_{i}, mda]: "a quote long enough {i}". ' for i in range(40))
+    rows = [(t, text[k : k + 17] if t < 3 else None) for t in (1, 2, 3) for k in range(0, len(text), 17)] + [(4, "tail"), (None, "lost"), (None, " task")]
+    for step in (1, 5, 1000):
+        batches = [pa.RecordBatch.from_pylist(rows_, pa.schema([("task_id", pa.int64()), ("text", pa.string())])) for rows_ in ([{"task_id": t, "text": x} for t, x in rows[i : i + step]] for i in range(0, len(rows), step))]
+        got = [r for b in safe_pieces(iter(batches)) for r in b.to_pylist()]
+        for t, want in ((1, text), (2, text), (3, ""), (4, "tail"), (None, "lost task")):
+            pieces = [r["text"] for r in got if r["task_id"] == t]
+            assert "".join(pieces) == want and [r["pos"] for r in got if r["task_id"] == t] == list(range(len(pieces)))
+            assert all(p.count("[") == p.count("]") for p in pieces)
+    assert [b.num_rows for b in safe_pieces(iter([]))] == [0]
+
+
 def test_windows_stream_equals_batch(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"))
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
