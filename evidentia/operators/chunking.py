@@ -64,6 +64,18 @@ def children(parents: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(F.col("k").alias(key), "child", "content", "char_start", "char_end", token_estimate(F.col("content")).alias("token_estimate"))
 
 
+def child_counts(parents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n): how many children each parent has, from its sentences' token counts alone; no text goes to Python."""
+    rows = parents.select(F.col(key).alias("k"), F.transform(chunk_sentences(F.col(text)), token_estimate).alias("n"))
+
+    def count(batches):
+        for batch in batches:
+            n = [sum(1 for _ in windows(tokens or [])) for tokens in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["k", "n"])
+
+    return rows.mapInArrow(count, f"k {parents.schema[key].dataType.simpleString()}, n long").withColumnRenamed("k", key)
+
+
 def grid_markdown(rows: Column) -> Column:
     """array<array<string>> to a pipe table: the first row is the header, others padded or cut to its width."""
 

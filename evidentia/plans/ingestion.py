@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.text import block_kind, section_of
-from ..operators.chunking import children, grid_json, grid_markdown, parent_texts
+from ..operators.chunking import child_counts, children, grid_json, grid_markdown, parent_texts
 from ..sources.views import Tables
 from .registry import query
 
@@ -78,7 +78,8 @@ def chunk_offsets(spark, d):
 
 @query("chunk_searchable_count")
 def chunk_searchable_count(spark, d):
-    return children(_parents(spark, d), "chunk_id", "content").groupBy((F.col("chunk_id") / 10000).cast("long").alias("document_id")).agg(F.count("*").alias("n_searchable"))
+    counts = child_counts(_parents(spark, d).select("document_id", "content"), "document_id", "content")
+    return counts.groupBy("document_id").agg(F.sum("n").alias("n_searchable"))
 
 
 def _grid(spark, d):

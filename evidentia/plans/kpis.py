@@ -52,11 +52,12 @@ def kpi_restatements(spark, d):
     return out.select("coverage_id", "kpi_name", "year", "quarter", "obs", "value", "is_restated")
 
 
-@query("kpi_groups_nested")
+@query("kpi_groups_nested", """SELECT coverage_id, kpi_name, count(*) AS n, '[' || string_agg('{"year":' || year || ',"quarter":' || quarter || ',"period":"' || period || '","value":"' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '"}', ',' ORDER BY year, quarter) || ']' AS points
+    FROM v_series GROUP BY 1, 2""")
 def kpi_groups_nested(spark, d):
-    """Per coverage and KPI, its points in order of year and quarter."""
-    s = Tables(spark, d).series()
-    points = F.array_sort(F.collect_list(F.struct("year", "quarter", "period", "value")))
+    """Per coverage and KPI, its points in order of year and quarter, as the JSON that a client gets; a point per quarter and year bounds it."""
+    s = Tables(spark, d).series().withColumn("value", F.col("value").cast("decimal(18,2)").cast("string"))
+    points = F.to_json(F.array_sort(F.collect_list(F.struct("year", "quarter", "period", "value"))))
     return s.groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n"), points.alias("points"))
 
 

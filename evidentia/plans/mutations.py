@@ -54,11 +54,12 @@ def cascade_delete(spark, d):
     return t.raw("lineitem").join(filings, "l_orderkey", "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("credibility_history_map")
+@query("credibility_history_map", """WITH q AS (SELECT coverage_id, kpi_name, 'Q' || quarter || ' ' || year AS q, arg_max(value, (extracted_at, obs)) AS v FROM v_kpis GROUP BY 1, 2, 3)
+    SELECT coverage_id, kpi_name, '{' || string_agg('"' || q || '":"' || CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR) || '"', ',' ORDER BY q) || '}' AS history FROM q GROUP BY 1, 2""")
 def credibility_history_map(spark, d):
     """Per coverage and KPI a map quarter -> value of the latest observation."""
     k = Tables(spark, d).kpis()
-    q = k.groupBy("coverage_id", "kpi_name", F.format_string("Q%d %d", "quarter", "year").alias("q")).agg(F.max_by("value", F.struct("extracted_at", "obs")).alias("v"))
+    q = k.groupBy("coverage_id", "kpi_name", F.format_string("Q%d %d", "quarter", "year").alias("q")).agg(F.max_by("value", F.struct("extracted_at", "obs")).cast("decimal(18,2)").cast("string").alias("v"))
     return q.groupBy("coverage_id", "kpi_name").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("q", "v"))))).alias("history"))
 
 

@@ -112,7 +112,10 @@ def json_path_distinct(spark, d):
     return Tables(spark, d).raw("events").select(F.get_json_object("props", "$.k").try_cast("long").alias("k")).distinct()
 
 
-@query("html_text_5000")
+PAGE_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')"""
+
+
+@query("html_text_5000", f"SELECT page_id, left({PAGE_TEXT}, 5000) AS text FROM pages")
 def html_text_5000(spark, d):
     return Tables(spark, d).raw("pages").select("page_id", F.left(page_text(F.col("html")), F.lit(5000)).alias("text"))
 

@@ -49,22 +49,36 @@ def usage_grouping_sets(spark, d):
 
 
 COVERAGE_PAGE, RANK_BUCKETS = 10_000, 1000
-
-
-@query("usage_nested_per_tenant")
+JSON_COST = "CAST(CAST(cost_usd AS DECIMAL(18,2)) AS VARCHAR)"
+NESTED = f"""WITH p AS (SELECT * FROM {PRICED}),
+    m AS (SELECT tenant_id, strftime(created_at, '%Y-%m') AS month, {COST_SQL} AS cost_usd FROM p GROUP BY 1, 2),
+    o AS (SELECT tenant_id, model, CAST(sum(tokens_used) AS BIGINT) AS tokens, {COST_SQL} AS cost_usd FROM p GROUP BY 1, 2),
+    c AS (SELECT tenant_id, coverage_id, CAST(sum(tokens_used) AS BIGINT) AS tokens, {COST_SQL} AS cost_usd FROM p WHERE coverage_id IS NOT NULL GROUP BY 1, 2),
+    ms AS (SELECT tenant_id, '[' || string_agg('{{"month":"' || month || '","cost_usd":"' || {JSON_COST} || '"}}', ',' ORDER BY month) || ']' AS months FROM m GROUP BY 1),
+    os AS (SELECT tenant_id, '[' || string_agg('{{"model":"' || model || '","tokens":' || tokens || ',"cost_usd":"' || {JSON_COST} || '"}}', ',' ORDER BY model) || ']' AS models FROM o GROUP BY 1),
+    cs AS (SELECT tenant_id, coverage_id // {COVERAGE_PAGE} AS page, '[' || string_agg('{{"coverage_id":' || coverage_id || ',"tokens":' || tokens || ',"cost_usd":"' || {JSON_COST} || '"}}', ',' ORDER BY coverage_id) || ']' AS coverages FROM c GROUP BY 1, 2)
+    SELECT t.tenant_id, tenant_name, coalesce(page, 0) AS page, coalesce(months, '[]') AS months, coalesce(models, '[]') AS models, coalesce(coverages, '[]') AS coverages
+    FROM v_tenants t LEFT JOIN ms ON ms.tenant_id = t.tenant_id LEFT JOIN os ON os.tenant_id = t.tenant_id LEFT JOIN cs ON cs.tenant_id = t.tenant_id"""
+
+
+@query("usage_nested_per_tenant", NESTED)
 def usage_nested_per_tenant(spark, d):
-    """One row per tenant with its months, models and coverages; empty lists without usage.
+    """One row per tenant with its months, models and coverages as the JSON a client gets; empty lists without usage.
 
     Months and models are few. Coverages grow with the table: further pages of them are further rows of the tenant.
     """
     t, log = Tables(spark, d), _log(spark, d)
-    nest = lambda df, keys, cols, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    months = nest(rollup(log, ["tenant_id", "month"]), ["tenant_id"], ["month", "cost_usd"], "months")
-    models = nest(rollup(log, ["tenant_id", "model"]), ["tenant_id"], ["model", "tokens", "cost_usd"], "models")
+
+    def nest(df, keys, cols, name):
+        row = F.struct(*cols, F.col("cost_usd").cast("decimal(18,2)").cast("string").alias("cost_usd"))
+        return df.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(row))).alias(name))
+
+    months = nest(rollup(log, ["tenant_id", "month"]), ["tenant_id"], ["month"], "months")
+    models = nest(rollup(log, ["tenant_id", "model"]), ["tenant_id"], ["model", "tokens"], "models")
     covered = rollup(log.filter("coverage_id is not null"), ["tenant_id", "coverage_id"]).withColumn("page", F.floor(F.col("coverage_id") / COVERAGE_PAGE))
-    covered = nest(covered, ["tenant_id", "page"], ["coverage_id", "tokens", "cost_usd"], "coverages")
+    covered = nest(covered, ["tenant_id", "page"], ["coverage_id", "tokens"], "coverages")
     out = t.tenants().join(months, "tenant_id", "left").join(models, "tenant_id", "left").join(covered, "tenant_id", "left")
-    return out.select("tenant_id", "tenant_name", F.coalesce("page", F.lit(0)).alias("page"), *[F.coalesce(c, F.array()).alias(c) for c in ("months", "models", "coverages")])
+    return out.select("tenant_id", "tenant_name", F.coalesce("page", F.lit(0)).alias("page"), *[F.coalesce(c, F.lit("[]")).alias(c) for c in ("months", "models", "coverages")])
 
 
 @query("usage_over_threshold", f"""WITH m AS (SELECT tenant_id, strftime(created_at, '%Y-%m') AS month, {COST_SQL} AS c FROM {PRICED} GROUP BY 1, 2),
