@@ -6,10 +6,15 @@
    shingles that are frequent somewhere last (a fixed-size Bloom filter of them
    goes to all tasks; what it holds changes the work, never the result).
 3. The classes that share such a shingle form a group. Pairs of small groups are
-   compared by their bitmaps; large groups by dual traversal of a signature tree.
+   compared by their bitmaps; larger groups by dual traversal of a signature tree.
    What may be similar is connected into candidate components.
 4. Each candidate component gets its full sets once, and a tree traversal with
-   exact overlaps finds the links. Large components are cut into pairs of blocks.
+   exact overlaps finds the links.
+5. No task holds a group beyond two blocks. Members of such a group are first
+   compared exactly with a few pivots; those linked through pivots are one label.
+   Then size bands, labels and hashes cut it into cells, and pairs of cells are
+   compared, save cells of one label: their members are linked already. So a group
+   of n near copies costs about n comparisons, not n squared. Components likewise.
 
 Defined results: null, empty or blank texts have an empty set, linked with
 nothing; fewer than n words are one shingle; rows that repeat an id are one
@@ -20,6 +25,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +42,8 @@ U = np.uint64
 BLOOM_BITS = 1 << 22  # the filter of frequent shingles: 512 KB, whatever the input
 OFTEN_IN_SLICE, OFTEN = 6, 32  # frequent: this often in 1 MB of text, and in all such slices together
 SMALL_GROUP = 8
-GROUP_BLOCK = 2048  # larger groups and components are worked off as pairs of such blocks
+GROUP_BLOCK = 2048  # groups beyond two, and components beyond one, of such blocks are cut into cells of this size
+PIVOTS = 3  # members of a group's size band that all others of the band are first compared with
 BLOCK_BYTES = 32 << 20
 SKETCH = "id long, n int, d1 long, d2 long, keys array<long>, bits binary"
 
@@ -104,11 +111,25 @@ def needed_share(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _groups(table: pa.Table, percent: int):
-    """Sorted (key, id, n) rows to pairs of small groups (gid null) and members of large ones (gid, a)."""
+PAIR, MEMBER, LARGE = 0, 1, 2
+
+
+def _rows(kind: int, gid, a, b) -> pa.RecordBatch:
+    column = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.asarray(x, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), column(gid), column(a), column(b)], ["kind", "gid", "a", "b"])
+
+
+def _large(table: pa.Table):
+    """Pieces of a large group as they are: (key, id, size)."""
+    yield _rows(LARGE, *(table.column(c).to_numpy() for c in ("key", "id", "n")))
+
+
+def _groups(table: pa.Table, percent: int, most: int | None = None):
+    """Sorted (key, id, n) rows to pairs of small groups (a, b), members of larger ones (gid, a), and what is cut into cells later (key, a, size)."""
     key, doc, size = (table.column(c).to_numpy() for c in ("key", "id", "n"))
     at = key_changes(key)
     lengths = np.diff(at)
+    most = most or 2 * GROUP_BLOCK
     pa_, pb, gids, members = [], [], [], []
     for g in range(2, SMALL_GROUP + 1):
         rows = at[:-1][lengths == g][:, None] + np.arange(g)
@@ -118,33 +139,45 @@ def _groups(table: pa.Table, percent: int):
             pa_.append(np.minimum(doc[a][ok], doc[b][ok]))
             pb.append(np.maximum(doc[a][ok], doc[b][ok]))
     seen = set()
-    for k in np.flatnonzero(lengths > SMALL_GROUP):
-        rows = np.arange(at[k], at[k + 1])
-        rows = rows[np.lexsort((doc[rows], size[rows]))]
-        blocks = [rows[i : i + GROUP_BLOCK] for i in range(0, len(rows), GROUP_BLOCK)] if len(rows) > 2 * GROUP_BLOCK else [rows]
-        covered = np.zeros(len(blocks), bool)
-        for i, x in enumerate(blocks):
-            met = []
-            for j in range(i + 1, len(blocks)):
-                if 100 * size[x[-1]] < percent * size[blocks[j][0]]:
-                    break  # sorted by size: no later block is near enough
-                met.append(np.concatenate([x, blocks[j]]))
-                covered[[i, j]] = True
-            if not covered[i]:
-                met.append(x)  # no neighbour is near enough: its own pairs are compared nowhere else
-            for part in met:
-                m = np.sort(doc[part])
-                gid = int(kernel.mix(kernel.mix(m.view(np.uint64)) + np.arange(len(m)).astype(np.uint64)).sum()) >> 1
-                if gid not in seen:  # near copies share many shingles, and so form one group many times
-                    seen.add(gid)
-                    gids.append(np.full(len(m), gid))
-                    members.append(m)
+    for k in np.flatnonzero(lengths > min(SMALL_GROUP, most)):
+        rows = slice(at[k], at[k + 1])
+        if lengths[k] > most:
+            yield _rows(LARGE, key[rows], doc[rows], size[rows])
+            continue
+        m = np.sort(doc[rows])
+        gid = int(kernel.mix(kernel.mix(m.view(np.uint64)) + np.arange(len(m)).astype(np.uint64)).sum()) >> 1
+        if gid not in seen:  # near copies share many shingles, and so form one group many times
+            seen.add(gid)
+            gids.append(np.full(len(m), gid))
+            members.append(m)
     if pa_:
         pairs = np.unique(np.stack([np.concatenate(pa_), np.concatenate(pb)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], ["gid", "a", "b"])
+        yield _rows(PAIR, None, pairs[0], pairs[1])
     if gids:
-        g, m = np.concatenate(gids), np.concatenate(members)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.nulls(len(m), pa.int64())], ["gid", "a", "b"])
+        yield _rows(MEMBER, np.concatenate(gids), np.concatenate(members), None)
+
+
+def _band(percent: int) -> F.Column:
+    """Sizes whose ratio allows a link lie in one band or in neighbouring ones."""
+    width = max(math.log(100 / percent), 0.01) * 1.0001
+    return F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+
+
+def cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(gid, id, n, label) to (gid, id): rows of a group share a new, bounded group if their sizes allow a link and they aren't of one label (-1: none)."""
+    rows = rows.select(F.col("gid").alias("g"), "id", "n", "label", _band(percent).alias("band"))
+    count = rows.groupBy("g", "band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    # Labels with few rows in a band don't get cells of their own.
+    count = count.withColumn("cell", F.when(F.col("c") * 2 >= GROUP_BLOCK, F.col("label")).otherwise(F.lit(-1).cast("long")))
+    parts = count.groupBy("g", "band", "cell").agg(F.greatest(F.ceil(F.sum("c") / GROUP_BLOCK), F.ceil(F.sum("s") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    names = count.select("g", "band", "label", "cell").join(parts, ["g", "band", "cell"])
+    dealt = rows.join(names, ["g", "band", "label"]).select("g", "band", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    all_cells = parts.select("g", "band", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("g", F.struct("band", "cell", "part").alias("x"))
+    near = ((F.col("y.band") == F.col("x.band")) & (F.col("x") <= F.col("y"))) | (F.col("y.band") == F.col("x.band") + 1)
+    open_ = (F.col("x.cell") == -1) | (F.col("x.cell") != F.col("y.cell"))
+    pairs = all_cells.join(all_cells.withColumnRenamed("x", "y"), "g").filter(near & open_)
+    pairs = pairs.select("g", F.xxhash64("g", "x", "y").alias("gid"), F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).select("g", "gid", "z.*")
+    return pairs.join(dealt, ["g", "band", "cell", "part"]).select("gid", "id")
 
 
 def _edges(a, b) -> pa.RecordBatch:
@@ -185,6 +218,15 @@ def _tree_edges(percent: int):
     return work
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    p = np.searchsorted(y, x)
+    p[p == len(y)] = 0
+    common = int((y[p] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _exact_edges(percent: int):
     def work(table: pa.Table):
         key, doc = table.column("route").to_numpy(), table.column("id").to_numpy()
@@ -194,14 +236,7 @@ def _exact_edges(percent: int):
             sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(s, e)]
             sizes = np.array([len(x) for x in sets], np.int64)
 
-            def similar(i, j):
-                x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-                p = np.searchsorted(y, x)
-                p[p == len(y)] = 0
-                common = int((y[p] == x).sum())
-                return 100 * common >= percent * (len(x) + len(y) - common)
-
-            found = forest([bitmap(x).tobytes() for x in sets], sizes, percent, similar)
+            found = forest([bitmap(x).tobytes() for x in sets], sizes, percent, lambda i, j: _linked(sets[i], sets[j], percent))
             if found:
                 x, y = np.array(found).T
                 yield _edges(doc[s:e][x], doc[s:e][y])
@@ -209,6 +244,35 @@ def _exact_edges(percent: int):
     return work
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """(id, tokens) of the wanted (id, doc, d1): their texts are read again, once each."""
+
+    def tokens(batches):
+        for batch, i, sets in _sets(batches, "text", n):
+            d1 = np.array([int(kernel.mix(s).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(sets)), pa.array(d1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "tokens"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted.select("doc").distinct(), "doc", "left_semi")
+    sets = texts.mapInArrow(tokens, "doc long, d1 long, tokens binary").dropDuplicates(["doc", "d1"])
+    return wanted.join(sets, ["doc", "d1"]).select("id", "tokens")
+
+
+def pivot_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links (a, b) of the members of large groups (gid, id, n) with a few members of their size band."""
+    rows = large.withColumn("band", _band(percent))
+    pivots = rows.groupBy("gid", "band").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)])).alias("p"))
+    pairs = rows.join(pivots, ["gid", "band"]).select("id", F.explode("p").alias("p")).filter("id <> p").distinct()
+    pairs = pairs.join(sets, "id").join(sets.toDF("p", "pivot"), "p").select(F.col("id").alias("a"), F.col("p").alias("b"), "tokens", "pivot")
+
+    def check(batches):
+        view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        for batch in batches:
+            ok = np.array([_linked(view(x), view(y), percent) for x, y in zip(batch.column("tokens"), batch.column("pivot"))], bool)
+            yield _edges(batch.column("a").to_numpy()[ok], batch.column("b").to_numpy()[ok])
+
+    return pairs.mapInArrow(check, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
@@ -222,33 +286,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     heads = space.save(heads.withColumn("hid", F.monotonically_increasing_id()), "heads")  # ids may repeat with other texts
 
     routed = heads.select(F.explode("keys").alias("key"), F.col("hid").alias("id"), "n")
-    groups = space.save(by_sorted_key(routed, "key", ["id"], lambda t: _groups(t, percent), "gid long, a long, b long"), "groups")
+    most = 2 * GROUP_BLOCK
+    groups = by_sorted_key(routed, "key", ["id"], lambda t: _groups(t, percent, most), "kind int, gid long, a long, b long", most=most, hot=_large)
+    groups = space.save(groups, "groups")
+    members = groups.filter(F.col("kind") == MEMBER).select("gid", "a")
+    large = groups.filter(F.col("kind") == LARGE).select("gid", F.col("a").alias("id"), F.col("b").alias("n"))
+    named = heads.select(F.col("hid").alias("id"), F.col("id").alias("doc"), "d1", "n")
+    links = label = spark.createDataFrame([], "a long, b long")
+    if not large.isEmpty():
+        sets = space.save(full_sets(docs, named.join(large.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1"), n, doc_id, text), "large-sets")
+        links = space.save(pivot_links(large, sets, percent), "pivot-links")
+        label = space.save(connected_components(links, space, "pivots"), "labels")
+        marked = large.join(label.withColumnRenamed("root", "label"), "id", "left").fillna(-1, ["label"])
+        members = members.unionByName(cells(marked, percent).withColumnRenamed("id", "a"))
+    label = label.toDF("id", "label")
+
     bits = heads.select("hid", "n", "bits")
-    pairs = groups.filter("gid is null").select("a", "b").distinct()
+    pairs = groups.filter(F.col("kind") == PAIR).select("a", "b").distinct()
     pairs = pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
-    members = groups.filter("gid is not null").select("gid", "a").distinct().join(bits.toDF("a", "n", "bits"), "a")
+    members = members.distinct().join(bits.toDF("a", "n", "bits"), "a")
     maybe = _near_pairs(pairs, percent).unionByName(by_sorted_key(members.select("gid", "a", "n", "bits"), "gid", ["a"], _tree_edges(percent), "a long, b long"))
     maybe = space.save(maybe, "maybe")
     near = space.save(connected_components(maybe, space, "near"), "near")
 
-    # Full sets of the documents in candidate components, once each; components beyond a block as pairs of blocks.
-    inside = near.join(heads.select(F.col("hid").alias("id"), F.col("id").alias("doc"), "d1", "d2", "n"), "id")
-    load = inside.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    routes = inside.join(load, "root").select("id", "doc", "d1", "d2", "root", "blocks", block.alias("own"), other.alias("other"))
-    routes = routes.select("id", "doc", "d1", "d2", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("route"), "own", "other", "blocks")
-    wanted = inside.select("doc", "d1", "d2", "id")
-
-    def tokens(batches):
-        for batch, i, sets in _sets(batches, "text", n):
-            d1 = np.array([int(kernel.mix(s).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(sets)), pa.array(d1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "tokens"])
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted.select("doc").distinct(), "doc", "left_semi")
-    sets = texts.mapInArrow(tokens, "doc long, d1 long, tokens binary").dropDuplicates(["doc", "d1"])
-    dealt = routes.select("id", "doc", "d1", "route").distinct().join(sets, ["doc", "d1"]).select("route", "id", "tokens")
-    links = space.save(by_sorted_key(dealt, "route", ["id"], _exact_edges(percent), "a long, b long"), "links")
+    # Full sets of the documents in candidate components, once each; a component beyond a block goes in pairs of cells.
+    load = near.join(named.select("id", "n"), "id").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    wide = space.save(load.filter((F.col("c") > GROUP_BLOCK) | (F.col("s") * 8 > BLOCK_BYTES)).select("root"), "wide")
+    routes = near.select(F.col("root").alias("route"), "id")
+    if not wide.isEmpty():
+        inside = near.join(wide, "root", "left_semi").join(named.select("id", "n"), "id").join(label, "id", "left").fillna(-1, ["label"])
+        routes = near.join(wide, "root", "left_anti").select(F.col("root").alias("route"), "id").unionByName(cells(inside.withColumnRenamed("root", "gid"), percent).withColumnRenamed("gid", "route"))
+    sets = full_sets(docs, near.select("id").join(named.select("id", "doc", "d1"), "id"), n, doc_id, text)
+    found = by_sorted_key(routes.join(sets, "id").select("route", "id", "tokens"), "route", ["id"], _exact_edges(percent), "a long, b long")
+    links = space.save(found.unionByName(links), "links")
 
     # Links join classes; ids that repeat join classes too.
     names = heads.select("hid", F.col("id").alias("rep"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontamination, kernel, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, signature_tree, suffix_dedup, token_files, toxicity
+from evidentia.llm import decontamination, kernel, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, runs, signature_tree, suffix_dedup, token_files, toxicity
 from evidentia.llm.components import connected_components
 from evidentia.llm.shipping import ship
 from evidentia.llm.workspace import Workspace
@@ -260,18 +260,60 @@ def test_jaccard(spark, odd, monkeypatch, n, percent, small, block):
 
 
 @pytest.mark.parametrize("sizes", [[10] * 4 + [100] * 6, [10] * 8 + [100] * 4, [10] * 4 + [100] * 4 + [1000] * 4, [10] * 12, [10] * 3 + [100] * 9, [10] * 9])
-def test_blocks_of_large_groups_cover_all_near_sizes(monkeypatch, sizes):
+def test_cells_of_large_groups_cover_all_near_sizes(spark, monkeypatch, sizes):
     monkeypatch.setattr(ngram_jaccard, "GROUP_BLOCK", 4)
     n = len(sizes)
-    groups = {}
+    rows = {}
     for batch in ngram_jaccard._groups(pa.table({"key": np.zeros(n, np.int64), "id": np.arange(n), "n": np.array(sizes, np.int32)}), 85):
         for r in batch.to_pylist():
-            groups.setdefault(r["gid"], set()).add(r["a"])
-    assert all(len(m) <= 9 for m in groups.values())
-    for a in range(n):
-        for b in range(a):
-            if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]):
-                assert any({a, b} <= m for m in groups.values())
+            assert r["kind"] == ngram_jaccard.LARGE and r["b"] == sizes[r["a"]]
+            rows[r["a"]] = (r["gid"], r["a"], r["b"])
+    assert len(rows) == n
+    for labels in ([-1] * n, [5] * n, [5 if i % 3 else -1 for i in range(n)]):
+        df = spark.createDataFrame([(*rows[i], labels[i]) for i in range(n)], "gid long, id long, n long, label long")
+        groups = {}
+        for r in ngram_jaccard.cells(df, 85).collect():
+            groups.setdefault(r.gid, set()).add(r.id)
+        for a in range(n):
+            for b in range(a):
+                if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]) and (labels[a] == -1 or labels[a] != labels[b]):
+                    assert any({a, b} <= m for m in groups.values())
+        if labels == [5] * n and min(Counter(sizes).values()) > 1:
+            assert not groups  # all linked already
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_hot_keys_come_in_pieces(size):
+    keys = [1] * 2 + [2] * 9 + [3] + [4] * 5 + [5] * 8
+    batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + size], "v": list(range(len(keys)))[i : i + size]}) for i in range(0, len(keys), size)]
+    whole, pieces = [], []
+    for table, hot in runs.whole_keys(iter(batches), "k", 4):
+        (pieces if hot else whole).append(table.column("k").to_pylist())
+    seen = [k for t in whole + pieces for k in t]
+    assert sorted(seen) == keys
+    for k in set(keys):  # a key is whole in one table, or all of it is in pieces
+        homes = [t for t in whole if k in t]
+        assert len(homes) <= 1 and (not homes or homes[0].count(k) == keys.count(k))
+        assert homes or keys.count(k) > 4
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch, block):
+    """Near copies beyond all blocks, some of them far from the pivots, beside others that share their shingles."""
+    monkeypatch.setattr(ngram_jaccard, "GROUP_BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "OFTEN_IN_SLICE", 2)
+    monkeypatch.setattr(ngram_jaccard, "OFTEN", 2)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for i in range(140):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = f"x{r.randrange(40)}"
+        docs.append((i, " ".join(w[: r.choice([60, 60, 58, 45, 20])])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = ngram_jaccard.jaccard_components(df, 4, 85).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_jaccard(docs, 4, 85)
 
 
 def test_jaccard_keeps_one_of_each_group(spark, odd, none):
