@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import byte_bpe, decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, pii, rp_forest, suffix_dedup, token_files, toxicity
+from . import byte_bpe, decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, ngram_resampling, pii, rp_forest, suffix_dedup, token_files, toxicity
 from .shipping import ship
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_lattice_lm": lattice_lm.op8_lattice_lm,
     "op9_toxicity": toxicity.op9_toxicity,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op11_importance_resampling": ngram_resampling.op11_importance_resampling,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
@@ -39,4 +40,5 @@ ORACLES = {
     "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     "op5_embedding_forest": rp_forest.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
+    "op11_importance_resampling": ngram_resampling.ORACLE,
 }
