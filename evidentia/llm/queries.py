@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import byte_bpe, decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, ngram_resampling, pii, rp_forest, suffix_dedup, token_files, toxicity
+from . import byte_bpe, decontamination, lattice_lm, line_dedup, mixing, ngram_jaccard, ngram_resampling, pii, rp_forest, spelling_variants, suffix_dedup, token_files, toxicity
 from .shipping import ship
 
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op11_importance_resampling": ngram_resampling.op11_importance_resampling,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
@@ -41,4 +42,5 @@ ORACLES = {
     "op5_embedding_forest": rp_forest.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op11_importance_resampling": ngram_resampling.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
 }
