@@ -106,10 +106,14 @@ class LineRuns:
         self.added = 0
 
     def counted(self, batch: DataFrame) -> DataFrame:
-        """In how many of the batch's documents each unsettled key is, and in how many so far."""
+        """In how many of the batch's documents each unsettled key is, and in how many so far.
+
+        The counts are written before they meet the runs: else the anti-joins would be pushed below the
+        count, and every line of the batch, not every key, would be moved and sorted.
+        """
         keys = F.array_distinct(F.transform(split_lines(F.col(self.text)), line_key))
         long_enough = batch.select(F.explode(keys).alias("key")).filter(F.char_length("key") >= self.min_chars)
-        run = long_enough.select(*hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+        run = self.space.save(long_enough.select(*hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n_docs")), f"counts-{self.added}")
         for table in self.settled.tables():
             run = run.join(table.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         total = F.col("n_docs")
@@ -122,8 +126,9 @@ class LineRuns:
         """Merge a batch with the runs and add its own. A key counts once per document, in the row."""
         with sorted_runs(self.space.spark):
             name = f"batch-{self.added}"
-            self.added += 1
             run = self.space.save(self.counted(batch), name)
+            self.space.drop(f"counts-{self.added}")
+            self.added += 1
             self.settled.put(run.filter(F.col("so_far") >= self.min_docs).select("h1", "h2", F.col("so_far").alias("n_docs")))
             self.counting.put(run.filter(F.col("so_far") < self.min_docs).select("h1", "h2", "n_docs"))
             self.space.drop(name)
@@ -165,7 +170,9 @@ class LineRuns:
 
 
 def id_batches(docs: DataFrame, n: int, doc_id: str = "doc_id") -> list[DataFrame]:
-    """n batches by ranges of an integer id, so a batch's scan skips the other row groups."""
+    """n batches by ranges of an integer id, so a batch's scan skips the other row groups; by the hash of any other id."""
+    if docs.schema[doc_id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return [docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(n)) == i) for i in range(n)]
     lo, hi = docs.agg(F.min(doc_id), F.max(doc_id)).first()
     if lo is None or n <= 1:
         return [docs]

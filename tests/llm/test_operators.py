@@ -197,6 +197,15 @@ def test_batches_merge_join_sorted_runs(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
 
 
+def test_line_dedup_with_text_ids(spark):
+    """Ids of any type: batches go by their hash."""
+    rows = [(f"d{i}", t) for i, t in noisy(60)] + [(None, "one\ntwo")]
+    with_text, with_number = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([(int(i[1:]) if i else None, t) for i, t in rows], "doc_id long, text string")
+    got = [(r.doc_id, r.text, r.n_dropped) for r in line_dedup.line_dedup(with_text, min_docs=3).collect()]
+    want = [(None if r.doc_id is None else f"d{r.doc_id}", r.text, r.n_dropped) for r in line_dedup.line_dedup(with_number, min_docs=3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_line_dedup_of_nothing(none):
     assert line_dedup.line_dedup(none).count() == 0
 
