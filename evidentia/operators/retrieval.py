@@ -1,4 +1,4 @@
-"""Hybrid retrieval: dense and sparse top-k per query, rank fusion, reranking, parents."""
+"""Hybrid retrieval: scores, postings, rank fusion, reranking, parents; scan_search.py has the searches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import index_tokens, term_weight
 
 RRF_K, BUCKETS, DENSE_THRESHOLD, SPARSE_THRESHOLD = 60, 30000, 0.92, 0.5
-QUERY_BLOCK = 2000  # queries that go to all tasks at a time
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,28 +25,6 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, same: list[str] = []) -> DataFrame:
-    """Exact nearest vectors of a stated query set (query_id, query_vector) against all vectors.
-
-    The query set goes to all tasks in blocks of a checked size; the vectors never
-    move. ``same`` names columns that must agree.
-    """
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    queries, vectors = queries.withColumn("query_norm", norm("query_vector")), vectors.withColumn("norm", norm("vector"))  # once a row, not once a pair
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-
-    def one(i: int) -> DataFrame:
-        q = F.broadcast(queries.filter(block == i))  # about QUERY_BLOCK rows
-        cond = [q[c] == vectors[c] for c in same]
-        pairs = vectors.join(q, reduce(Column.__and__, cond) if cond else F.lit(True))
-        scored = pairs.select(q["query_id"], vectors["chunk_id"], F.round(dot(F.col("query_vector"), F.col("vector")) / (F.col("query_norm") * F.col("norm")), 9).alias("score"))
-        return top_k(scored, "query_id", "score", "chunk_id", k)
-
-    return reduce(DataFrame.unionAll, [one(i) for i in range(blocks)])
-
-
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, weight): one row per distinct token of a text."""
     return df.select(key, F.explode(index_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(term_weight(F.count("*")).alias("weight"))
@@ -59,13 +36,6 @@ def hashed(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key, bucket.alias("bucket")).agg(F.sum("weight").alias("weight"))
 
 
-def sparse_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Dot products over shared tokens. queries: (query_id, token, weight); index: (chunk_id, token, weight)."""
-    hits = index.join(queries.select("query_id", "token", F.col("weight").alias("qw")), "token")
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum((F.col("weight") * F.col("qw")).cast("decimal(38,12)")).cast("double"), 6).alias("score"))
-    return top_k(scored, "query_id", "score", "chunk_id", k)
-
-
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists: sum of 1 / (k + rank). Ties: the earlier list, then its rank."""
     rows = reduce(DataFrame.unionByName, [df.select("query_id", "chunk_id", "rank", F.lit(i).alias("list")) for i, df in enumerate(lists)])

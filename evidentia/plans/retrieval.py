@@ -6,26 +6,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
 from ..operators.quotes import documents_per_quote
-from ..operators.retrieval import DENSE_THRESHOLD, SPARSE_THRESHOLD, cosine, dense_search, fuse, hashed, postings, sparse_search, top_k, with_parents
+from ..operators.retrieval import DENSE_THRESHOLD, SPARSE_THRESHOLD, cosine, fuse, hashed, postings, top_k, with_parents
+from ..operators.scan_search import dense_scan, sparse_scan
 from ..sources.views import Tables
 from .registry import query
 
 STOP = "(" + ",".join(f"'{w}'" for w in STOPWORDS) + ")"
 TOKENS = f"tok AS (SELECT document_id AS chunk_id, t AS token, count(*) AS f FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM v_corpus) WHERE t NOT IN {STOP} GROUP BY 1, 2), idx AS (SELECT chunk_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS weight FROM tok)"
-QTOK = f"qt AS (SELECT item_id AS query_id, t AS token, count(*) AS f FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) WHERE t NOT IN {STOP} GROUP BY 1, 2), qidx AS (SELECT query_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS qw FROM qt)"
+QTOK = "qidx AS (SELECT chunk_id AS query_id, token, weight AS qw FROM idx WHERE chunk_id % 20 = 0)"
+QUOTES = f"qidx AS (SELECT query_id, token, f * 2.5::DOUBLE / (f + 1.5::DOUBLE) AS qw FROM (SELECT quote_id AS query_id, t AS token, count(*) AS f FROM (SELECT quote_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM v_quotes) WHERE t NOT IN {STOP} GROUP BY 1, 2))"
 SPARSE = "sp AS (SELECT query_id, chunk_id, round(CAST(sum(CAST(weight * qw AS DECIMAL(38,12))) AS DOUBLE), 6) AS score FROM idx JOIN qidx USING (token) GROUP BY 1, 2), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 20)"
 DENSE = "dn AS (SELECT q.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(q.vector, v.vector), 9) AS score FROM v_vectors v, v_vectors q WHERE q.chunk_id % 20 = 0), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 20)"
+HYBRID = DENSE.replace("FROM v_vectors v, v_vectors q WHERE", "FROM v_vectors v, v_vectors q WHERE v.chunk_id IN (SELECT document_id FROM v_corpus) AND q.chunk_id IN (SELECT document_id FROM v_corpus) AND")
+BOTH = SPARSE.replace("FROM idx JOIN qidx USING (token)", "FROM idx JOIN qidx USING (token) WHERE chunk_id IN (SELECT chunk_id FROM v_vectors) AND query_id IN (SELECT chunk_id FROM v_vectors)")
 
 
-def _dense(t: Tables, k: int = 20, same: list[str] = []):
+def _queries(v, *more: str):
+    return v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), *more)
+
+
+def _dense(t: Tables, k: int = 20, same: str | None = None):
     v = t.vectors()
-    q = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"), *same)
-    return dense_search(q, v, k, same)
+    return dense_scan(_queries(v, *([same] if same else [])), v, k, same)
+
+
+def _texts(t: Tables):
+    return t.corpus().select(F.col("document_id").alias("chunk_id"), "content")
+
+
+def _sparse(t: Tables, k: int = 20, only=None):
+    texts = _texts(t) if only is None else _texts(t).join(only, "chunk_id", "left_semi")
+    return sparse_scan(texts.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("text")), texts, k)
 
 
-def _sparse_parts(t: Tables):
-    index = postings(t.corpus().withColumnRenamed("document_id", "chunk_id"), "chunk_id", "content")
-    return postings(t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text"), index
+def _lists(t: Tables):
+    """The dense and the sparse list of the same queries over the same chunks: those that have a vector and a text."""
+    v = t.vectors().join(t.corpus().select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return dense_scan(_queries(v), v, 20), _sparse(t, only=t.vectors().select("chunk_id"))
 
 
 @query("dense_topk", f"WITH {DENSE} SELECT query_id, chunk_id, rank FROM dense")
@@ -35,7 +52,7 @@ def dense_topk(spark, d):
 
 @query("industry_dense_search", "WITH x AS (SELECT q.chunk_id AS query_id, v.chunk_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 9) DESC, v.chunk_id) AS rank FROM v_vectors v JOIN v_vectors q ON q.industry_id = v.industry_id WHERE q.chunk_id % 20 = 0) SELECT query_id, chunk_id, rank FROM x WHERE rank <= 8")
 def industry_dense_search(spark, d):
-    return _dense(Tables(spark, d), 8, ["industry_id"]).select("query_id", "chunk_id", "rank")
+    return _dense(Tables(spark, d), 8, "industry_id").select("query_id", "chunk_id", "rank")
 
 
 @query("tokenize_bm25", f"SELECT document_id, count(*) FILTER (WHERE t NOT IN {STOP}) AS n_tokens FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM v_corpus) GROUP BY 1")
@@ -47,46 +64,44 @@ def tokenize_bm25(spark, d):
 
 @query("sparse_tf_tokens", f"WITH {TOKENS} SELECT token, count(*) AS df, round(CAST(sum(CAST(weight AS DECIMAL(38,12))) AS DOUBLE), 6) AS weight FROM idx GROUP BY 1")
 def sparse_tf_tokens(spark, d):
-    _, index = _sparse_parts(Tables(spark, d))
+    index = postings(_texts(Tables(spark, d)), "chunk_id", "content")
     return index.groupBy("token").agg(F.count("*").alias("df"), F.round(F.sum(F.col("weight").cast("decimal(38,12)")).cast("double"), 6).alias("weight"))
 
 
 @query("sparse_tf_hashed")
 def sparse_tf_hashed(spark, d):
-    _, index = _sparse_parts(Tables(spark, d))
+    index = postings(_texts(Tables(spark, d)), "chunk_id", "content")
     return hashed(index, "chunk_id").groupBy("bucket").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query("sparse_topk", f"WITH {TOKENS}, {QTOK}, {SPARSE} SELECT query_id, chunk_id, rank FROM sparse")
 def sparse_topk(spark, d):
-    return sparse_search(*_sparse_parts(Tables(spark, d)), 20).select("query_id", "chunk_id", "rank")
+    return _sparse(Tables(spark, d)).select("query_id", "chunk_id", "rank")
 
 
 FUSED = "f AS (SELECT query_id, chunk_id, round(coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (WHERE list = 0), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (WHERE list = 1), 0), 9) AS score FROM (SELECT query_id, chunk_id, rank, 0 AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sparse) GROUP BY 1, 2)"
 
 
-@query("rrf_fusion", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE}, {FUSED} SELECT query_id, chunk_id, score FROM f")
+@query("rrf_fusion", f"WITH {HYBRID}, {TOKENS}, {QTOK}, {BOTH}, {FUSED} SELECT query_id, chunk_id, score FROM f")
 def rrf_fusion(spark, d):
-    t = Tables(spark, d)
-    return fuse([_dense(t), sparse_search(*_sparse_parts(t), 20)]).select("query_id", "chunk_id", "score")
+    return fuse(list(_lists(Tables(spark, d)))).select("query_id", "chunk_id", "score")
 
 
-@query("set_ranked_union", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE} SELECT query_id, chunk_id, rank, 'dense' AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank, 'sparse' FROM sparse")
+@query("set_ranked_union", f"WITH {HYBRID}, {TOKENS}, {QTOK}, {BOTH} SELECT query_id, chunk_id, rank, 'dense' AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank, 'sparse' FROM sparse")
 def set_ranked_union(spark, d):
-    t = Tables(spark, d)
     part = lambda df, name: df.select("query_id", "chunk_id", "rank", F.lit(name).alias("list"))
-    return part(_dense(t), "dense").unionByName(part(sparse_search(*_sparse_parts(t), 20), "sparse"))
+    dense, sparse = _lists(Tables(spark, d))
+    return part(dense, "dense").unionByName(part(sparse, "sparse"))
 
 
-@query("join_fusion_full_outer", f"WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, b.rank AS sparse_rank FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id")
+@query("join_fusion_full_outer", f"WITH {HYBRID}, {TOKENS}, {QTOK}, {BOTH} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, b.rank AS sparse_rank FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id")
 def join_fusion_full_outer(spark, d):
-    t = Tables(spark, d)
-    a = _dense(t).select("query_id", "chunk_id", F.col("rank").alias("dense_rank"))
-    b = sparse_search(*_sparse_parts(t), 20).select("query_id", "chunk_id", F.col("rank").alias("sparse_rank"))
+    dense, sparse = _lists(Tables(spark, d))
+    a, b = (x.select("query_id", "chunk_id", F.col("rank").alias(name)) for x, name in ((dense, "dense_rank"), (sparse, "sparse_rank")))
     return a.join(b, ["query_id", "chunk_id"], "full")
 
 
-@query("hybrid_search", f"""WITH {DENSE}, {TOKENS}, {QTOK}, {SPARSE}, {FUSED},
+@query("hybrid_search", f"""WITH {HYBRID}, {TOKENS}, {QTOK}, {BOTH}, {FUSED},
     r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM f),
     p AS (SELECT r.query_id, r.chunk_id, c.n_chars FROM r LEFT JOIN v_corpus c ON c.document_id = r.chunk_id WHERE rn <= 20),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, chunk_id) AS rank FROM p)
@@ -94,9 +109,9 @@ def join_fusion_full_outer(spark, d):
 def hybrid_search(spark, d):
     """Dense and sparse lists, fusion, top 20, parents, and a reranker column (here the parent's length), top 8."""
     t = Tables(spark, d)
-    best = top_k(fuse([_dense(t), sparse_search(*_sparse_parts(t), 20)]), "query_id", "score", "chunk_id", 20).drop("rank")
+    best = top_k(fuse(list(_lists(t))), "query_id", "score", "chunk_id", 20).drop("rank")
     parents = t.corpus().select(F.col("document_id").alias("chunk_id"), "n_chars")
-    return top_k(with_parents(best, parents, "chunk_id").withColumn("n_chars", F.col("n_chars")), "query_id", "n_chars", "chunk_id", 8).select("query_id", "chunk_id", "n_chars", "rank")
+    return top_k(with_parents(best, parents, "chunk_id"), "query_id", "n_chars", "chunk_id", 8).select("query_id", "chunk_id", "n_chars", "rank")
 
 
 @query("join_parent_hydration", "SELECT v.chunk_id, c.n_chars AS parent_chars FROM v_vectors v LEFT JOIN v_corpus c ON c.document_id = v.chunk_id")
@@ -111,12 +126,16 @@ def rrf_rank(spark, d):
     return top_k(v.withColumn("score", F.col("vec_id")), "label", "score", "vec_id", 1 << 30).select("label", "vec_id", "rank")
 
 
-@query("quote_sparse", f"WITH {TOKENS}, {QTOK}, {SPARSE} SELECT b.item_id AS quote_id, coalesce(s.score >= 0.5, false) AS found FROM benchmark b LEFT JOIN sparse s ON s.query_id = b.item_id AND s.rank = 1")
+def _best_hit(t: Tables):
+    """Each quote's best sparse score."""
+    quotes = t.quotes()
+    return quotes.select("quote_id").join(sparse_scan(quotes.select(F.col("quote_id").alias("query_id"), "text"), _texts(t), 1).select(F.col("query_id").alias("quote_id"), "score"), "quote_id", "left")
+
+
+@query("quote_sparse", f"WITH {TOKENS}, {QUOTES}, {SPARSE} SELECT b.quote_id, coalesce(s.score >= 0.5, false) AS found FROM v_quotes b LEFT JOIN sparse s ON s.query_id = b.quote_id AND s.rank = 1")
 def quote_sparse(spark, d):
-    """Stage one as the reference has it: the best sparse hit from 0.5 on, so one shared word is enough."""
-    t = Tables(spark, d)
-    best = sparse_search(*_sparse_parts(t), 1).select(F.col("query_id").alias("quote_id"), "score")
-    return t.raw("benchmark").select(F.col("item_id").alias("quote_id")).join(best, "quote_id", "left").select("quote_id", F.coalesce(F.col("score") >= SPARSE_THRESHOLD, F.lit(False)).alias("found"))
+    """Stage one: the best sparse hit from 0.5 on, so one shared word is enough (the sum is not normalised)."""
+    return _best_hit(Tables(spark, d)).select("quote_id", F.coalesce(F.col("score") >= SPARSE_THRESHOLD, F.lit(False)).alias("found"))
 
 
 @query("quote_verbatim", "SELECT b.item_id AS quote_id, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
@@ -134,26 +153,22 @@ def quote_semantic(spark, d):
     return best.select("quote_id", (F.col("score") >= DENSE_THRESHOLD).alias("paraphrase"))
 
 
-CASCADE = f"""{TOKENS}, {QTOK}, {SPARSE},
-    vbt AS (SELECT DISTINCT item_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
-    par AS (SELECT q.chunk_id FROM v_vectors q, v_vectors v WHERE q.chunk_id IN (SELECT item_id FROM benchmark) AND v.chunk_id <> q.chunk_id GROUP BY 1 HAVING max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92),
-    qst AS (SELECT item_id AS quote_id, CASE WHEN item_id % 2 = 0 AND item_id IN (SELECT query_id FROM sparse WHERE rank = 1 AND score >= 0.5) THEN 'exact' WHEN item_id IN (SELECT item_id FROM vbt) THEN 'exact' WHEN item_id IN (SELECT chunk_id FROM par) THEN 'paraphrase' ELSE 'hallucinated' END AS status FROM benchmark)"""
+CASCADE = f"""{TOKENS}, {QUOTES}, {SPARSE},
+    par AS (SELECT q.chunk_id FROM v_vectors q, v_vectors v WHERE q.chunk_id IN (SELECT quote_id FROM v_quotes) AND v.chunk_id <> q.chunk_id GROUP BY 1 HAVING max(round(list_cosine_similarity(q.vector, v.vector), 9)) >= 0.92),
+    qst AS (SELECT quote_id, CASE WHEN quote_id IN (SELECT query_id FROM sparse WHERE rank = 1 AND score >= 0.5) THEN 'exact' WHEN quote_id IN (SELECT chunk_id FROM par) THEN 'paraphrase' ELSE 'hallucinated' END AS status FROM v_quotes)"""
 
 
 def quote_status(spark, d):
-    """(quote_id, status). Stage one: the best sparse hit from 0.5 on, for the even items; the odd ones must stand verbatim in a document.
+    """(quote_id, status) by one cascade for all quotes. Stage one: the best sparse hit from 0.5 on.
 
     Stage two, the nearest vector, sees only what stage one missed; what both miss is hallucinated.
     """
     t = Tables(spark, d)
-    quotes = t.raw("benchmark").select(F.col("item_id").alias("quote_id"))
-    sparse = sparse_search(*_sparse_parts(t), 1).filter((F.col("score") >= SPARSE_THRESHOLD) & (F.col("query_id") % 2 == 0)).select(F.col("query_id").alias("quote_id"))
-    exact = sparse.union(quote_verbatim(spark, d).filter("n_documents > 0").select("quote_id")).distinct()
-    missed = quotes.join(exact, "quote_id", "left_anti")
+    hits = _best_hit(t).select("quote_id", F.coalesce(F.col("score") >= SPARSE_THRESHOLD, F.lit(False)).alias("e"))
     v = t.vectors()
-    q = v.join(missed.select(F.col("quote_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    near = dense_search(q, v, 2).filter(f"query_id <> chunk_id and score >= {DENSE_THRESHOLD}").select(F.col("query_id").alias("quote_id")).distinct()
-    return quotes.join(exact.withColumn("e", F.lit(True)), "quote_id", "left").join(near.withColumn("p", F.lit(True)), "quote_id", "left").select("quote_id", F.when(F.col("e"), "exact").when(F.col("p"), "paraphrase").otherwise("hallucinated").alias("status"))
+    q = v.join(hits.filter("not e").select(F.col("quote_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    near = dense_scan(q, v, 2).filter(f"query_id <> chunk_id and score >= {DENSE_THRESHOLD}").select(F.col("query_id").alias("quote_id"), F.lit(True).alias("p")).distinct()
+    return hits.join(near, "quote_id", "left").select("quote_id", F.when(F.col("e"), "exact").when(F.col("p"), "paraphrase").otherwise("hallucinated").alias("status"))
 
 
 @query("hallucination_cascade", f"WITH {CASCADE} SELECT quote_id, status FROM qst")
@@ -167,11 +182,11 @@ def hallucination_rate(spark, d):
     return s.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.count_if(F.col("status") == "hallucinated").cast("double"), F.count("*")), F.lit(0.0)).alias("rate"))
 
 
-@query("quote_audit_rows", f"""WITH {CASCADE} SELECT quote_id, CASE status WHEN 'hallucinated' THEN 'hallucination_detected' ELSE 'paraphrase_warning' END AS action, '{{"quote":"' || regexp_replace(b.text, '["\\\\\n\r\t]', ' ', 'g') || '"}}' AS log_metadata
-    FROM qst JOIN benchmark b ON b.item_id = qst.quote_id WHERE status <> 'exact'""")
+@query("quote_audit_rows", f"""WITH {CASCADE} SELECT qst.quote_id, CASE status WHEN 'hallucinated' THEN 'hallucination_detected' ELSE 'paraphrase_warning' END AS action, '{{"quote":"' || regexp_replace(b.text, '["\\\\\n\r\t]', ' ', 'g') || '"}}' AS log_metadata
+    FROM qst JOIN v_quotes b ON b.quote_id = qst.quote_id WHERE status <> 'exact'""")
 def quote_audit_rows(spark, d):
     """The audit trail's new rows: one per hallucinated or paraphrased quote."""
-    text = Tables(spark, d).raw("benchmark").select(F.col("item_id").alias("quote_id"), F.regexp_replace("text", '["\\\\\n\r\t]', " ").alias("quote"))
+    text = Tables(spark, d).quotes().select("quote_id", F.regexp_replace("text", '["\\\\\n\r\t]', " ").alias("quote"))
     action = F.when(F.col("status") == "hallucinated", "hallucination_detected").otherwise("paraphrase_warning")
     return quote_status(spark, d).filter("status <> 'exact'").join(text, "quote_id").select("quote_id", action.alias("action"), F.to_json(F.struct("quote")).alias("log_metadata"))
 

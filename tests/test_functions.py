@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.finance import normalize_value, scan_spans
 from evidentia.functions.period import normalize_period
 from evidentia.operators.chunking import children, parent_texts, windows
-from evidentia.operators.retrieval import dense_search, fuse
+from evidentia.operators.retrieval import fuse
 from evidentia.scope import TenantScope
 from evidentia.streaming.tasks import cut_safe, safe_chunks, safe_pieces, windowed_counts
 
@@ -79,13 +79,6 @@ def test_scope_must_be_named(spark):
     assert TenantScope(1, "c").searchable(df, F.col("section") == "mda").count() == 1
 
 
-def test_dense_search_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("evidentia.operators.retrieval.QUERY_BLOCK", 2)
-    v = spark.createDataFrame([(i, [float(i % 7) + 1, float(i % 5) + 1]) for i in range(40)], "chunk_id long, vector array<double>")
-    q = v.filter("chunk_id < 7").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    got = dense_search(q, v, 3)
-    assert got.count() == 21 and got.select("query_id").distinct().count() == 7
-
 
 def test_fusion_prefers_what_both_lists_have(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, chunk_id string, rank int")
