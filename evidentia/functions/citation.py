@@ -41,9 +41,7 @@ def claim_paragraphs(text: Column, verbs: bool = True) -> Column:
 
 def coverage(text: Column, verbs: bool = True) -> Column:
     """Share of claim paragraphs with a citation; 1 without claims."""
-    claims = claim_paragraphs(text, verbs)
-    cited = F.filter(claims, has_citation)
-    return F.when(F.size(claims) == 0, 1.0).otherwise(F.size(cited) / F.size(claims))
+    return let(claim_paragraphs(text, verbs), lambda claims: F.when(F.size(claims) == 0, 1.0).otherwise(F.size(F.filter(claims, has_citation)) / F.size(claims)))  # split once a text
 
 
 def unsourced_numbers(text: Column, most: int = 5) -> Column:

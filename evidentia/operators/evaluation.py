@@ -11,7 +11,8 @@ from ..functions.text import sentences, word_count
 # A percentage, and the line that counts upserted KPIs.
 PERCENT = r"\d+(?:\.\d+)?\s*%"
 UPSERTED = r"(\d+)\s+KPI value\(s\) upserted"
-SKIP, EXECUTION = "skip_citation_checks", "execution"
+SKIP, EXECUTION, MOST_HALLUCINATIONS = "skip_citation_checks", "execution", "max_hallucinations"
+PATTERNS = ("must_contain_regex", "citation_format")  # rules whose argument is a pattern
 
 
 def _blocks(t: Column) -> Column:
@@ -41,21 +42,35 @@ def _holds(t: Column, arg: Column, num: Column) -> dict[str, Column]:
     }
 
 
+def broken_patterns(rules: DataFrame) -> list[tuple[str, str]]:
+    """(pattern, error) of the rules' arguments that are no pattern. The rules are a stated set; its distinct patterns are compiled once in the driver."""
+    compile_ = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
+    out = []
+    for row in rules.filter(F.col("kind").isin(*PATTERNS) & F.col("arg").isNotNull()).select("arg").distinct().toLocalIterator():
+        try:
+            compile_(row.arg)
+        except Exception as e:
+            out.append((row.arg, str(getattr(e, "java_exception", e)).split("\n")[0]))
+    return out
+
+
 def run_checks(cases: DataFrame, rules: DataFrame) -> DataFrame:
-    """(case_id, kind, arg, num, passed). cases: (case_id, suite, content); rules: (suite, kind, arg, num).
+    """(case_id, kind, arg, num, passed, error). cases: (case_id, suite, content); rules: (suite, kind, arg, num).
 
     A case without content failed to run: that is its only check. In a suite with
-    SKIP only the opening is checked. The rules are a small table that Spark
-    broadcasts by its size; a text is evaluated where it lies.
+    SKIP only the opening is checked. A rule whose pattern is broken fails its own check, with the
+    error, and no other. The rules are a small table that Spark broadcasts by its size; a text is evaluated where it lies.
     """
+    broken = rules.sparkSession.createDataFrame(broken_patterns(rules), "arg string, error string")
+    rules = rules.filter(F.col("kind") != MOST_HALLUCINATIONS).join(broken.withColumnRenamed("arg", "bad"), F.col("kind").isin(*PATTERNS) & (F.col("arg") == F.col("bad")), "left").withColumn("used", F.when(F.col("bad").isNull(), F.col("arg")))
     brief = rules.groupBy("suite").agg(F.bool_or(F.col("kind") == SKIP).alias("brief"))
     wanted = rules.join(brief, "suite").filter((F.col("kind") != SKIP) & (~F.col("brief") | (F.col("kind") == "must_start_with")))
-    failed = cases.filter("content is null").select("case_id", F.lit(EXECUTION).alias("kind"), F.lit(None).cast("string").alias("arg"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("passed"))
+    failed = cases.filter("content is null").select("case_id", F.lit(EXECUTION).alias("kind"), F.lit(None).cast("string").alias("arg"), F.lit(None).cast("double").alias("num"), F.lit(False).alias("passed"), F.lit("the case failed to run").alias("error"))
     verdict = F.lit(None).cast("boolean")
-    for kind, holds in _holds(F.col("content"), F.col("arg"), F.col("num")).items():
+    for kind, holds in _holds(F.col("content"), F.col("used"), F.col("num")).items():
         verdict = F.when(F.col("kind") == kind, holds).otherwise(verdict)
-    ran = cases.filter("content is not null").join(wanted.select("suite", "kind", "arg", "num"), "suite")
-    return ran.select("case_id", "kind", "arg", "num", verdict.alias("passed")).unionByName(failed)
+    ran = cases.filter("content is not null").join(wanted.select("suite", "kind", "arg", "num", "used", "error"), "suite")
+    return ran.select("case_id", "kind", "arg", "num", F.when(F.col("error").isNull(), verdict).otherwise(False).alias("passed"), "error").unionByName(failed)
 
 
 def score_citations(cases: DataFrame, status: DataFrame) -> DataFrame:
@@ -66,9 +81,11 @@ def score_citations(cases: DataFrame, status: DataFrame) -> DataFrame:
     return cases.select("case_id").join(counts, "case_id", "left").select("case_id", zero("h", "hallucinations"), zero("p", "paraphrases"), zero("n", "citations"))
 
 
-def case_results(checks: DataFrame, triples: DataFrame, most: int = 0) -> DataFrame:
-    """(case_id, passed, n_failed): all checks hold and no more than ``most`` citations are hallucinated."""
+def case_results(checks: DataFrame, triples: DataFrame, cases: DataFrame, rules: DataFrame) -> DataFrame:
+    """(case_id, passed, n_failed): all checks hold, and no more citations are hallucinated than the case's suite allows (0 without such a rule)."""
+    limit = rules.filter(F.col("kind") == MOST_HALLUCINATIONS).groupBy("suite").agg(F.max("num").alias("most"))
+    limits = cases.select("case_id", "suite").join(limit, "suite", "left").select("case_id", F.coalesce("most", F.lit(0.0)).alias("most"))
     per = checks.groupBy("case_id").agg(F.count_if(~F.col("passed")).alias("bad"))
-    bad = F.coalesce("bad", F.lit(0)) + (F.col("hallucinations") > most).cast("int")
-    return triples.join(per, "case_id", "left").select("case_id", (bad == 0).alias("passed"), bad.cast("long").alias("n_failed"))
+    bad = F.coalesce("bad", F.lit(0)) + (F.col("hallucinations") > F.col("most")).cast("int")
+    return triples.join(per, "case_id", "left").join(limits, "case_id").select("case_id", (bad == 0).alias("passed"), bad.cast("long").alias("n_failed"))
 

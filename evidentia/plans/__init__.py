@@ -1,4 +1,4 @@
 """Registered queries, by area."""
 
-from . import evaluation, finance, ingestion, kpis, layout, mutations, parsers, relational, retrieval, rules, stores, streams, texts, usage, workflow  # noqa: F401
+from . import evaluation, finance, ingestion, kpis, layout, mutations, parsers, relational, retrieval, rules, service, stores, streams, texts, usage, workflow  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -237,9 +237,12 @@ def word_count_query(spark, d):
     return Tables(spark, d).corpus().select("document_id", word_count(F.col("content")).cast("long").alias("n_words"))
 
 
-@query("median_font", "SELECT coverage_id, median(n_chars) AS median_size, max(n_chars) AS max_size FROM v_corpus GROUP BY 1")
+@query("median_font", "SELECT o_custkey AS document_id, o_orderkey % 7 + 1 AS page_number, median(6 + floor(o_totalprice) % 18) AS median_size, max(6 + floor(o_totalprice) % 18) AS max_size FROM orders GROUP BY 1, 2")
 def median_font(spark, d):
-    return Tables(spark, d).corpus().groupBy("coverage_id").agg(F.median("n_chars").alias("median_size"), F.max("n_chars").alias("max_size"))
+    """Per page the median (mean of the two middles) and the largest of its blocks' font sizes."""
+    size = 6 + F.floor("o_totalprice").cast("double") % 18
+    blocks = Tables(spark, d).raw("orders").select(F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 7 + 1).alias("page_number"), size.alias("size"))
+    return blocks.groupBy("document_id", "page_number").agg(F.median("size").alias("median_size"), F.max("size").alias("max_size"))
 
 
 @query("hydrate_notes_default", "SELECT c.coverage_id, coalesce(n.text, '') AS note FROM v_coverages c LEFT JOIN (SELECT item_id, text FROM benchmark) n ON n.item_id = c.coverage_id")

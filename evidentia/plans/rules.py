@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.citation import coverage
 from ..functions.text import word_count
 from ..sources.views import Tables
+from ..streaming.stateful import tasks_after
+from .layout import PAGES, page_text_coverage
 from .registry import query
-from .texts import CLAIMS, cover
+from .texts import CLAIMS, VERDICT, cover, verdicts
 
 CASES = f"""SELECT output_id, content, content LIKE '### Q1:%' AS starts, contains(content, '### Q2: ') AND contains(content, '### Q5: ') AS answers,
     contains(lower(content), 'not found') AS not_found, NOT contains(lower(content), 'guaranteed') AS clean, {cover(CLAIMS)} AS coverage,
@@ -63,12 +65,22 @@ def workflow_route(spark, d):
     return _ready(spark, d).select("coverage_id", route.alias("next_step"))
 
 
-@query("quality_gate", "SELECT doc_id, CASE WHEN least(n_chars / 2000.0, 1.0) < 0.5 THEN 'review_needed' ELSE 'indexed' END AS ingest_status FROM documents")
+@query("quality_gate", f"WITH {PAGES} SELECT doc_id, CASE WHEN round(length(text) / (area / 100), 9) < 0.5 THEN 'review_needed' ELSE 'indexed' END AS ingest_status FROM pg")
 def quality_gate(spark, d):
-    return Tables(spark, d).raw("documents").select("doc_id", F.when(F.least(F.col("n_chars") / 2000.0, F.lit(1.0)) < 0.5, "review_needed").otherwise("indexed").alias("ingest_status"))
+    """Pages whose text covers less than half of what their area could hold are for review."""
+    return page_text_coverage(spark, d).select("doc_id", F.when(F.col("coverage") < 0.5, "review_needed").otherwise("indexed").alias("ingest_status"))
 
 
-@query("retry_decision", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'complete' WHEN event_id % 4 < 3 THEN 'retry' ELSE 'failed' END AS outcome FROM events")
+TASKS = f"vd AS ({VERDICT}), tk AS (SELECT output_id // 4 AS task_id, min(CASE WHEN status = 'approved' THEN output_id % 4 + 1 END) AS ok, max(output_id % 4 + 1) AS n, max(CASE WHEN output_id % 4 = 3 THEN cover END) AS cover FROM vd GROUP BY 1)"
+
+
+def attempts(spark, d):
+    """(task_id, attempt, verdict, cover): four neighbouring answers are a task's attempts, judged by the enforcer."""
+    i = F.col("output_id")
+    return verdicts(spark, d).select(F.floor(i / 4).alias("task_id"), (i % 4 + 1).alias("attempt"), F.col("status").alias("verdict"), "cover")
+
+
+@query("retry_decision", f"WITH {TASKS} SELECT task_id, CASE WHEN ok IS NOT NULL THEN 'complete' WHEN n < 4 THEN 'waiting' WHEN cover >= 0.8 THEN 'partial' ELSE 'failed' END AS status, coalesce(ok - 1, least(n, 3)) AS retry_count FROM tk")
 def retry_decision(spark, d):
-    tries = F.col("event_id") % 4
-    return Tables(spark, d).raw("events").select("event_id", F.when(F.col("event_type") != "error", "complete").when(tries < 3, "retry").otherwise("failed").alias("outcome"))
+    """A task's state after its attempts: three more after a rejected one, then partial or failed."""
+    return tasks_after(attempts(spark, d)).select("task_id", "status", "retry_count")

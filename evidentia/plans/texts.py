@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import citation as C, text as X
+from ..functions.finance import let
 from ..sources.views import Tables
 from .registry import query
 
@@ -75,10 +76,19 @@ def inference_labels(spark, d):
     return a.select("output_id", F.size(C.unlabelled_inference(F.col("content"), C.ALL)).cast("long").alias("n"))
 
 
-@query("enforcer_verdict", f"SELECT output_id, CASE WHEN {cover(CLAIMS)} >= 0.95 THEN 'approved' WHEN {cover(DIGITS)} >= 0.8 THEN 'partial' ELSE 'failed' END AS status FROM v_answers")
+VERDICT = f"SELECT output_id, CASE WHEN {cover(CLAIMS)} >= 0.95 THEN 'approved' WHEN {cover(DIGITS)} >= 0.8 THEN 'partial' ELSE 'failed' END AS status, {cover(DIGITS)} AS cover FROM v_answers"
+
+
+def verdicts(spark, d):
+    """(output_id, status, cover): the enforcer's verdict on each answer; the answer is built once."""
+    covers = let(F.col("content"), lambda t: F.struct(C.coverage(t).alias("every"), C.coverage(t, verbs=False).alias("digits")))
+    a = Tables(spark, d).answers().select("output_id", covers.alias("c"))
+    return a.select("output_id", C.verdict(F.col("c.every") >= C.APPROVED_FROM, F.col("c.digits")).alias("status"), F.col("c.digits").alias("cover"))
+
+
+@query("enforcer_verdict", f"SELECT output_id, status FROM ({VERDICT})")
 def enforcer_verdict(spark, d):
-    t = F.col("content")
-    return Tables(spark, d).answers().select("output_id", C.verdict(C.coverage(t) >= C.APPROVED_FROM, C.coverage(t, verbs=False)).alias("status"))
+    return verdicts(spark, d).select("output_id", "status")
 
 
 @query("retry_prompt")

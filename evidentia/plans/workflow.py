@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.text import slug, word_count
 from ..operators.frames import first_per
+from ..sources.reports import read_manifest, read_vocabulary, write_manifests, write_vocabulary
+from ..sources.shared import shared_folder
 from ..sources.views import Tables
 from .registry import query
+from .texts import VERDICT, verdicts
 
 
 @query("cik_lookup", "SELECT upper(c_name) AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer")
@@ -28,24 +31,25 @@ def fetch_filing(spark, d, year: int = 1997):
     return first_per(f.filter(match), ["coverage_id", "filing_type"], F.desc("filed_date"), F.desc("document_id")).select("coverage_id", "filing_type", "document_id", "period")
 
 
-VOCABULARY = {"algeria": ["reserves", "production"], "brazil": ["store_count"], "japan": ["net_interest_margin", "loan_growth", "deposits"]}
-WORDS = ", ".join(f"('{k}', '{v}')" for k, vs in VOCABULARY.items() for v in vs)
-
-
-@query("kpi_vocabulary", f"SELECT i.industry_id, coalesce(v.kpi, 'revenue') AS kpi FROM v_industries i LEFT JOIN (VALUES {WORDS}) AS v(industry, kpi) ON v.industry = lower(i.name)")
+@query("kpi_vocabulary", """SELECT i.industry_id, coalesce(v.kpi, 'revenue') AS kpi FROM v_industries i LEFT JOIN (SELECT DISTINCT c_nationkey, lower(c_mktsegment) || '_sales' AS kpi FROM customer WHERE c_nationkey % 3 <> 0) v ON v.c_nationkey = i.industry_id""")
 def kpi_vocabulary(spark, d):
-    """An industry's KPIs by its key; industries that the vocabulary doesn't know have the default."""
-    rows = spark.createDataFrame([(k, v) for k, vs in VOCABULARY.items() for v in vs], "industry string, kpi string")
-    i = Tables(spark, d).industries().select("industry_id", slug(F.col("name")).alias("industry"))
-    return i.join(rows, "industry", "left").select("industry_id", F.coalesce("kpi", F.lit("revenue")).alias("kpi"))
+    """An industry's KPIs from a YAML vocabulary (here made from the markets of its coverages); industries that it lacks have the default."""
+    t = Tables(spark, d)
+    i = t.industries().select("industry_id", slug(F.col("name")).alias("industry"))
+    kpis = t.raw("customer").select(F.col("c_nationkey").alias("industry_id"), F.concat(F.lower("c_mktsegment"), F.lit("_sales")).alias("kpi")).filter("industry_id % 3 <> 0").distinct()
+    path = shared_folder(spark, "vocabulary")
+    write_vocabulary(kpis.join(i, "industry_id").select("industry", "kpi"), path)
+    return i.join(read_vocabulary(spark, path), "industry", "left").select("industry_id", F.coalesce("kpi", F.lit("revenue")).alias("kpi"))
 
 
 @query("case_resolution", "SELECT p.page_id, c.coverage_id, c.coverage_id IS NULL AS missing FROM (SELECT page_id, 'label_' || page_id % 400 AS label FROM pages) p LEFT JOIN (SELECT coverage_id, 'label_' || coverage_id AS label FROM v_coverages WHERE coverage_id % 3 <> 0) c ON c.label = p.label")
 def case_resolution(spark, d):
-    """Labels of cases against a manifest; a label that it lacks is an error of its case."""
+    """Labels of cases against the manifests' JSON; a label that they lack is an error of its case."""
     t = Tables(spark, d)
-    manifest = t.coverages().filter("coverage_id % 3 <> 0").select("coverage_id", F.concat(F.lit("label_"), F.col("coverage_id").cast("string")).alias("label"))
+    path = shared_folder(spark, "manifests")
+    write_manifests(t.coverages().filter("coverage_id % 3 <> 0").select(F.concat(F.lit("label_"), F.col("coverage_id").cast("string")).alias("label"), "coverage_id"), path)
     cases = t.raw("pages").select("page_id", F.concat(F.lit("label_"), (F.col("page_id") % 400).cast("string")).alias("label"))
+    manifest = read_manifest(spark, path).select("label", F.col("coverage_id").cast("long").alias("coverage_id"))
     return cases.join(manifest, "label", "left").select("page_id", "coverage_id", F.col("coverage_id").isNull().alias("missing"))
 
 
@@ -71,9 +75,10 @@ def _status(i):
     return F.element_at(F.array(*[F.lit(x) for x in ("approved", "partial", "failed", "pending")]), (i % 4 + 1).cast("int"))
 
 
-@query("terminal_event", f"SELECT doc_id, CASE WHEN {STATUS} IN ('partial', 'failed') THEN 'partial' ELSE 'complete' END AS event FROM documents")
+@query("terminal_event", f"SELECT output_id AS doc_id, CASE WHEN status IN ('partial', 'failed') THEN 'partial' ELSE 'complete' END AS event FROM ({VERDICT})")
 def terminal_event(spark, d):
-    return Tables(spark, d).raw("documents").select("doc_id", F.when(_status(F.col("doc_id")).isin("partial", "failed"), "partial").otherwise("complete").alias("event"))
+    """What a task's stream ends with, by the enforcer's verdict on its output."""
+    return verdicts(spark, d).select(F.col("output_id").alias("doc_id"), F.when(F.col("status").isin("partial", "failed"), "partial").otherwise("complete").alias("event"))
 
 
 @query("object_paths", "SELECT doc_id, 'chunks_' || doc_id % 5 AS collection, 'tenant_' || doc_id % 5 AS bucket, 'raw/' || doc_id || '.pdf' AS object_key, doc_id % 3 = 0 AS own FROM documents")
@@ -159,14 +164,20 @@ def state_lists_concat(spark, d):
     return o.agg(F.concat(keys(0), keys(1)).alias("m")).select("coverage_id", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("messages"))
 
 
-@query("settings_merge", """SELECT tenant_id, '{"alert_threshold_usd":' || CASE WHEN tenant_id % 2 = 0 THEN '50' ELSE '10' END || ',"locale":"en"}' AS settings FROM v_tenants""")
+@query("settings_merge", """SELECT tenant_id, '{"alert_threshold_usd":"' || CASE WHEN tenant_id % 2 = 0 THEN CAST(alert_threshold AS INTEGER) + n ELSE CAST(alert_threshold AS INTEGER) END || '","locale":"' || CASE WHEN tenant_id % 3 = 0 THEN lower(tenant_name) ELSE 'en' END || '"' || CASE WHEN tenant_id % 2 = 0 THEN ',"users":"' || n || '"' ELSE '' END || '}' AS settings
+    FROM v_tenants JOIN (SELECT tenant_id, count(*) AS n FROM v_coverages GROUP BY 1) USING (tenant_id)""")
 def settings_merge(spark, d):
-    """One field of a tenant's settings changes, the others stay: of equal keys the right side's value wins."""
-    t = Tables(spark, d).tenants()
-    old = F.create_map(F.lit("alert_threshold_usd"), F.lit(10), F.lit("locale"), F.lit(None).cast("int"))
-    new = F.when(F.col("tenant_id") % 2 == 0, F.create_map(F.lit("alert_threshold_usd"), F.lit(50))).otherwise(F.create_map().cast("map<string,int>"))
-    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
-    return t.select("tenant_id", F.to_json(F.struct(F.try_element_at(merged, F.lit("alert_threshold_usd")).alias("alert_threshold_usd"), F.lit("en").alias("locale"))).alias("settings"))
+    """The changed fields of a tenant's settings over the old ones: of equal keys the right side's value wins, the others stay, new ones come."""
+    t = Tables(spark, d)
+    n = t.coverages().groupBy("tenant_id").agg(F.count("*").alias("n"))
+    limit, text = F.col("alert_threshold").cast("int"), lambda c: c.cast("string")
+    old = F.create_map(F.lit("alert_threshold_usd"), text(limit), F.lit("locale"), F.lit("en"))
+    none = F.create_map().cast("map<string,string>")
+    change = F.when(F.col("tenant_id") % 2 == 0, F.create_map(F.lit("alert_threshold_usd"), text(limit + F.col("n")), F.lit("users"), text(F.col("n")))).otherwise(none)
+    place = F.when(F.col("tenant_id") % 3 == 0, F.create_map(F.lit("locale"), F.lower("tenant_name"))).otherwise(none)
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    merged = over(over(old, change), place)
+    return t.tenants().join(n, "tenant_id").select("tenant_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged)))).alias("settings"))
 
 
 @query("get_or_create_industry", """WITH asked AS (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN 'NEW ' || c_mktsegment ELSE n_name END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -199,11 +210,9 @@ def task_enqueue(spark, d):
     return f.select("document_id", "coverage_id", F.concat_ws(".", F.lit("kpi_tracker"), F.lit("update_kpis")).alias("task_type"), F.lit("queued").alias("status"))
 
 
-@query("validation_state", f"WITH {OUTPUTS} SELECT output_id, status = 'approved' AS approved_by_enforcer, status AS enforcer_status, output_id % 3 + CASE WHEN status = 'approved' THEN 0 ELSE 1 END AS retry_count FROM ot")
+@query("validation_state", f"SELECT output_id, status = 'approved' AS approved_by_enforcer, status AS enforcer_status, count(CASE WHEN status <> 'approved' THEN 1 END) OVER (PARTITION BY output_id // 4 ORDER BY output_id) AS retry_count FROM ({VERDICT})")
 def validation_state(spark, d):
-    """The enforcer's result folded into an output's state; a rejection counts as a retry."""
-    state = F.struct((F.col("output_id") % 3).alias("retry_count"), F.lit("pending").alias("enforcer_status")).alias("state")
-    o = _outputs(spark, d).select("output_id", "status", state)
-    ok = F.col("status") == "approved"
-    state = F.col("state").withField("enforcer_status", F.col("status")).withField("approved_by_enforcer", ok).withField("retry_count", F.col("state.retry_count") + F.when(ok, 0).otherwise(1))
-    return o.select("output_id", state.alias("s")).select("output_id", "s.approved_by_enforcer", "s.enforcer_status", "s.retry_count")
+    """The enforcer's result folded into the task's state after each attempt; a rejection counts as a retry."""
+    so_far = Window.partitionBy(F.floor(F.col("output_id") / 4)).orderBy("output_id")
+    return verdicts(spark, d).select("output_id", (F.col("status") == "approved").alias("approved_by_enforcer"), F.col("status").alias("enforcer_status"), F.count_if(F.col("status") != "approved").over(so_far).alias("retry_count"))
+
