@@ -4,9 +4,10 @@ Slot i of the mix gets the point frac(i * golden ratio); the point's place in th
 cumulative target weights names the slot's source, and the slot's rank among the
 slots of its source names the block it takes. A source is a shuffled stream of
 words, repeated as often as it may be and cut into blocks of ``BLOCK_WORDS`` words.
-The blocks that slots name are taken, no others: joining slots with the blocks
-that a document overlaps gives the words the mix takes of it, and where. The
-sequence's low discrepancy brings each source within a few blocks of its target.
+Joining slots with the blocks that a document overlaps gives the words the mix takes
+of it, and where. The sequence's low discrepancy brings each source within a few blocks of its target;
+closing slots behind the schedule's last one give what a source still lacks, and the source's last block is cut where
+its target is reached, so a source of a few words gets its share too.
 
 Defined results: a null text has size 0; the null source is a source and comes
 last; a source or table without words has target 0 and takes nothing; every row
@@ -93,10 +94,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     slots = space.save(slots, "slots")
     drawn = slots.groupBy("place").agg(F.count("*").alias("n_slots"))
     named = spark.createDataFrame(list(enumerate(names)), "place int, name string")
-    # A source gives a block for each of its slots, until every document has been taken ``most`` times.
-    limit = F.least(F.coalesce("n_slots", F.lit(0)) * block_words, F.floor(F.col("source_size") * float(most))).cast("long")
+    # A source gives its target in whole words, and no document more than ``most`` times.
+    limit = F.least(F.round("target"), F.floor(F.col("source_size") * float(most))).cast("long")
     plan = shares.join(named, F.col("source").eqNullSafe(F.col("name")), "left").join(drawn, "place", "left")
-    plan = space.save(plan.select(F.col("source").alias("p_source"), "source_size", "target", "place", limit.alias("limit")), "plan")
+    plan = space.save(plan.select(F.col("source").alias("p_source"), "source_size", "target", "place", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), limit.alias("limit")), "plan")
+    closing = plan.filter(F.col("limit") > F.col("n_slots") * block_words).withColumn("rank", F.explode(F.sequence("n_slots", F.expr(f"(limit - 1) div {block_words}"))))
+    slots = slots.unionByName(closing.select("place", (n + F.col("place") + (F.col("rank") - F.col("n_slots")) * len(names)).alias("slot"), "rank"))
 
     inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = doc.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.count("*").over(inside))
@@ -158,8 +161,10 @@ h AS (SELECT list(hi ORDER BY hi) AS his FROM e),
 y AS (SELECT slot, least(len(list_filter(his, lambda v: v <= point)), len(his) - 1) AS place FROM x, h),
 z AS (SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM y),
 k AS (SELECT place, count(*) AS n_slots FROM z GROUP BY place),
-q AS (SELECT t.*, e.place, CAST(least(coalesce(k.n_slots, 0) * 64, 2 * t.source_size) AS BIGINT) AS lim
+q AS (SELECT t.*, e.place, coalesce(k.n_slots, 0) AS n_slots, CAST(least(round(target), 2 * t.source_size) AS BIGINT) AS lim
       FROM t LEFT JOIN (SELECT source, row_number() OVER (ORDER BY hi) - 1 AS place FROM e) e ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.place = e.place),
+c AS (SELECT place, unnest(range(n_slots, (lim - 1) // 64 + 1)) AS rank, n_slots FROM q WHERE lim > n_slots * 64),
+j AS (SELECT place, slot, rank FROM z UNION ALL SELECT place, (SELECT max(slot) + 1 FROM n) + place + (rank - n_slots) * (SELECT count(*) FROM e), rank FROM c),
 p AS (
   SELECT d.doc_id, d.size, q.source_size, q.target, q.place, q.lim,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.m, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS lo
@@ -167,6 +172,6 @@ p AS (
 r AS (SELECT *, greatest(0, least(lo + size, lim) - lo) AS one, greatest(0, least(source_size + lo + size, lim) - source_size - lo) AS two FROM p)
 SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, least(a.first, b.first) AS first_slot
 FROM r
-LEFT JOIN LATERAL (SELECT min(slot) AS first FROM z WHERE z.place = r.place AND one > 0 AND z.rank = lo // 64) a ON true
-LEFT JOIN LATERAL (SELECT min(slot) AS first FROM z WHERE z.place = r.place AND two > 0 AND z.rank = (source_size + lo) // 64) b ON true
+LEFT JOIN LATERAL (SELECT min(slot) AS first FROM j WHERE j.place = r.place AND one > 0 AND j.rank = lo // 64) a ON true
+LEFT JOIN LATERAL (SELECT min(slot) AS first FROM j WHERE j.place = r.place AND two > 0 AND j.rank = (source_size + lo) // 64) b ON true
 """

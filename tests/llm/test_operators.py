@@ -422,16 +422,29 @@ def test_mix(spark, odd, none):
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 4 * mixing.BLOCK_WORDS for s in size)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
     slots = sorted((r.first_slot, r.source or "") for r in got if r.taken)
     assert slots[0][0] < 8 and len({s for _, s in slots[: len(slots) // 3]}) == len(size)  # all sources come early, not one after the other
-    other = {r.doc_id: r.taken for r in mixing.mix(df, step=0.5).collect()}
-    assert any(other[r.doc_id] != r.taken for r in got)  # another sequence draws other blocks
+    other = {r.doc_id: r.first_slot for r in mixing.mix(df, step=0.5).collect()}
+    assert any(other[r.doc_id] != r.first_slot for r in got)  # another sequence draws the blocks in another order
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     assert sum(len(words(r.text)) for r in mixing.mixed_documents(odd).collect()) > 0
     assert Counter(r.doc_id for r in mixing.mixed_documents(df).collect()) == Counter(r.doc_id for r in mixing.mixed_documents(df, in_order=True).collect())
 
 
+@pytest.mark.parametrize("sizes", [[20, 20], [1, 3, 150], [120 + 6 * i for i in range(12)]])
+def test_small_sources_get_their_share(spark, sizes):
+    """Sources of less than a block, or of a few: what they are taken comes within a word of the target."""
+    docs = [(10 * k + i, "w " * (n // 2 if i else n - n // 2), f"s{k:02d}") for k, n in enumerate(sizes) for i in range(2)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size and (r.taken == 0) == (r.first_slot is None)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and sum(taken.values()) > 1.4 * sum(sizes)
+
+
 # 7
 
 
