@@ -10,7 +10,8 @@ by hash; every vector is put into the trees. Equal vectors are one class and nev
 expanded into pairs. A leaf larger than ``LEAF_BLOCK`` is compared as pairs of
 blocks, so none is cut short. Pairs are not written: a task counts each vector's links and
 returns the edges of a spanning forest. A pair that meets in several leaves counts
-in the first one that its vectors share.
+in the first one that its vectors share: the leaves of linked vectors are found again from the vectors, so an entry of a leaf
+holds a vector and a few numbers, whatever the depth.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label or id, link with nothing; vectors of other
@@ -31,6 +32,7 @@ from .runs import by_sorted_key, key_changes
 from .workspace import Workspace
 
 TREES, LEAF, SPILL, SAMPLE, LEAF_BLOCK, SEED = 8, 128, 0.5, 20_000, 4096, 7
+PAIRS = 200_000  # pairs whose leaves are found again at a time
 SAMPLE_LEAF = 16  # below this many sampled vectors a node splits at its level's overall median
 
 
@@ -94,41 +96,65 @@ class Forest:
             yield t, row, node
 
 
-def _linked(m: np.ndarray, copies: np.ndarray, block: np.ndarray, leaves: np.ndarray, leaf: int, cosine: float):
-    """(links of each row, edges of a spanning forest) among the vectors of one leaf, or of two of its blocks.
+def _pairs(m: np.ndarray, block: np.ndarray, cosine: float):
+    """(x, y), x < y, of the linked rows of one leaf, or across two of its blocks, a few thousand rows at a time."""
+    across = block.min() != block.max()
+    for i in range(0, len(m), 512):
+        x, y = np.nonzero(m[i : i + 512] @ m[i:].T >= cosine)
+        x, y = x + i, y + i
+        keep = (y > x) & ((block[x] != block[y]) if across else True)
+        yield x[keep], y[keep]
 
-    A pair counts here unless its vectors share an earlier leaf. Rows of a leaf
-    in several blocks count as pairs across blocks only, or within one.
+
+class Links:
+    """Links of a table's rows and the edges of a spanning forest, from pairs in leaves.
+
+    A pair counts in its leaf unless its vectors share an earlier one. leaves_of(rows) gives the rows' leaves, in rows that 0
+    pads; it is asked for many pairs at once.
     """
-    n = len(m)
-    links, parent, edges = np.zeros(n, np.int64), np.arange(n), []
-    across = block.min() != block.max()
 
-    def root(i):
+    def __init__(self, copies: np.ndarray, leaf: np.ndarray, leaves_of):
+        self.copies, self.leaf, self.leaves_of = copies, leaf, leaves_of
+        self.links, self.parent, self.edges = np.zeros(len(copies), np.int64), list(range(len(copies))), []
+        self.waiting, self.size = [], 0
+
+    def _root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    for i in range(0, n, 512):
-        x, y = np.nonzero(m[i : i + 512] @ m[i:].T >= cosine)
-        x, y = x + i, y + i
-        keep = (y > x) & ((block[x] != block[y]) if across else True)
-        x, y = x[keep], y[keep]
-        for k in range(0, len(x), 20_000):
-            p, q = x[k : k + 20_000], y[k : k + 20_000]
-            mine = np.ones(len(p), bool)
-            for c in range(leaves.shape[1]):  # leaves in the order of all vectors; 0 pads
-                own = leaves[p, c]
-                mine &= ~((own != 0) & (own < leaf) & (leaves[q] == own[:, None]).any(axis=1))
-            np.add.at(links, p[mine], copies[q[mine]])
-            np.add.at(links, q[mine], copies[p[mine]])
-            for a, b in zip(p[mine].tolist(), q[mine].tolist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    edges.append((a, b))
-    return links, np.array(edges, np.int64).reshape(-1, 2)
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        for k in range(0, len(p), PAIRS):
+            self.waiting.append((p[k : k + PAIRS], q[k : k + PAIRS]))
+            self.size += len(self.waiting[-1][0])
+            if self.size >= PAIRS:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.size:
+            return
+        p, q = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.size = [], 0
+        rows, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+        leaves, front, rear = self.leaves_of(rows), back[: len(p)], back[len(p) :]
+        for k in range(0, len(p), 20_000):
+            x, y = p[k : k + 20_000], q[k : k + 20_000]
+            ours, theirs = leaves[front[k : k + 20_000]], leaves[rear[k : k + 20_000]]
+            mine = np.ones(len(x), bool)
+            for c in range(leaves.shape[1]):  # leaves are in the order of all vectors
+                own = ours[:, c]
+                at = np.flatnonzero((own != 0) & (own < self.leaf[x]) & mine)
+                mine[at[(theirs[at] == own[at, None]).any(axis=1)]] = False
+            x, y = x[mine], y[mine]
+            np.add.at(self.links, x, self.copies[y])
+            np.add.at(self.links, y, self.copies[x])
+            for a, b in zip(x.tolist(), y.tolist()):
+                a_root, b_root = self._root(a), self._root(b)
+                if a_root != b_root:
+                    self.parent[max(a_root, b_root)] = min(a_root, b_root)
+                    self.edges.append((a, b))
 
 
 def near_duplicates(table: DataFrame, cosine: float = 0.93, trees: int = TREES, leaf: int = LEAF, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -157,42 +183,58 @@ def near_duplicates(table: DataFrame, cosine: float = 0.93, trees: int = TREES,
         depth = int(np.ceil(np.log2(r.most / leaf))) if len(sample) else 0
         forests[r.dim] = Forest(sample, depth, trees, SPILL * np.sqrt((2 - 2 * cosine) / r.dim))
 
+    def leaf_lists(forest: Forest | None, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat leaves of the vectors in the order of vectors and leaves, and each vector's place; 0 is no leaf."""
+        found = list(forest.leaves(m)) if forest else [(0, np.arange(len(m)), np.zeros(len(m), np.int64))]
+        row = np.concatenate([x for _, x, _ in found])
+        leaves = np.concatenate([(np.int64(t) << 48) + node + 1 for t, _, node in found])
+        order = np.lexsort((leaves, row))
+        return leaves[order], np.searchsorted(row[order], np.arange(len(m) + 1))
+
+    def padded(forest: Forest | None, m: np.ndarray) -> np.ndarray:
+        flat, offs = leaf_lists(forest, m)
+        lengths = np.diff(offs)
+        out = np.zeros((len(m), int(lengths.max(initial=0))), np.int64)
+        out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+        return out
+
     def place(batches):
         for batch in batches:
             dim = batch.column("dim").to_numpy()
             for d in np.unique(dim):
-                at = np.flatnonzero(dim == d)
-                part = batch.take(pa.array(at))
-                forest = forests.get(int(d))
-                found = list(forest.leaves(unit(part.column("v").to_pylist(), kind))) if forest else [(0, np.arange(len(at)), np.zeros(len(at), np.int64))]
-                row = np.concatenate([x for _, x, _ in found])
-                leaves = np.concatenate([(np.int64(t) << 48) + node + 1 for t, _, node in found])  # ordered, and none is 0
-                order = np.lexsort((leaves, row))
-                offs = np.searchsorted(row[order], np.arange(len(at) + 1))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "dim", "v", "copies", "hid")] + [kernel.lists(leaves[order], offs)], ["label", "dim", "v", "copies", "hid", "leaves"])
-
-    placed = space.save(heads.select("label", "dim", "v", "copies", "hid").mapInArrow(place, f"label {label_type}, dim int, v binary, copies long, hid long, leaves array<long>"), "placed")
+                part = batch.take(pa.array(np.flatnonzero(dim == d)))
+                flat, offs = leaf_lists(forests.get(int(d)), unit(part.column("v").to_pylist(), kind))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "dim", "hid")] + [kernel.lists(flat, offs)], ["label", "dim", "hid", "leaves"])
+
+    placed = space.save(heads.select("label", "dim", "hid", "v").mapInArrow(place, f"label {label_type}, dim int, hid long, leaves array<long>"), "placed")
     leaf_key = ["label", "dim", "leaf"]
     entries = placed.select("label", "dim", "hid", F.explode("leaves").alias("leaf"))
     blocks = entries.groupBy(*leaf_key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / LEAF_BLOCK).cast("int"))
     dealt = entries.join(blocks, leaf_key).withColumn("block", F.pmod(F.xxhash64("hid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hid", "leaf", "block", F.xxhash64(*leaf_key, F.least("block", "other"), F.greatest("block", "other")).alias("route"), (F.col("block") != F.col("other")).alias("mixed"))
-    dealt = dealt.join(placed.select("hid", "v", "copies", "leaves"), "hid")
+    dealt = dealt.join(heads.select("hid", "dim", "v", "copies"), "hid")
 
     def compare(t: pa.Table):
-        route, hid, raw, copies, block, leaf_no, mixed = (t.column(c).to_numpy() if c != "v" else t.column(c).to_pylist() for c in ("route", "hid", "v", "copies", "block", "leaf", "mixed"))
-        lists = t.column("leaves").combine_chunks()
-        at, offs, flat = key_changes(route), lists.offsets.to_numpy(), lists.values.to_numpy()
+        route, hid, copies, block, leaf_no, mixed, dim = (t.column(c).to_numpy() for c in ("route", "hid", "copies", "block", "leaf", "mixed", "dim"))
+        raw = t.column("v").to_pylist()
+
+        def leaves_of(rows: np.ndarray) -> np.ndarray:
+            parts = [(at, padded(forests.get(int(d)), unit([raw[i] for i in rows[at]], kind))) for d in np.unique(dim[rows]) for at in [np.flatnonzero(dim[rows] == d)]]
+            out = np.zeros((len(rows), max(x.shape[1] for _, x in parts)), np.int64)
+            for at, x in parts:
+                out[at, : x.shape[1]] = x
+            return out
+
+        links, at = Links(copies, leaf_no, leaves_of), key_changes(route)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if mixed[a] and len(np.unique(block[a:b])) < 2:
                 continue  # one of the two blocks is empty
-            lengths = np.diff(offs[a : b + 1])
-            own = np.zeros((b - a, int(lengths.max())), np.int64)
-            own[np.arange(own.shape[1]) < lengths[:, None]] = flat[offs[a] : offs[b]]
-            links, edges = _linked(unit(raw[a:b], kind), copies[a:b], block[a:b], own, leaf_no[a], cosine)
-            some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hid[a:b][some], hid[a:b][edges[:, 0]]])), pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)])), pa.array(np.concatenate([np.full(len(some), -1), hid[a:b][edges[:, 1]]]))], ["hid", "links", "other"])
+            for x, y in _pairs(unit(raw[a:b], kind), block[a:b], cosine):
+                links.add(x + a, y + a)
+        links.settle()
+        some, edges = np.flatnonzero(links.links), np.array(links.edges, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hid[some], hid[edges[:, 0]]])), pa.array(np.concatenate([links.links[some], np.zeros(len(edges), np.int64)])), pa.array(np.concatenate([np.full(len(some), -1), hid[edges[:, 1]]]))], ["hid", "links", "other"])
 
     found = space.save(by_sorted_key(dealt, "route", ["hid"], compare, "hid long, links long, other long"), "found")
     linked = found.filter("other = -1").groupBy("hid").agg(F.sum("links").alias("others"))

@@ -3,12 +3,13 @@
 Documents are dealt by ranges of their id and sorted, so file k holds smaller ids
 than file k + 1 and a reader can skip files, stripes and row groups by id. Each
 row holds its start within its file; a small table of files holds each file's
-start in the whole stream. Stripes are read in parallel.
+start in the whole stream and its range of ids, and is written once, beside the files: a read of few documents touches that table and
+the stripes that their ids' statistics and Bloom filters leave. Stripes are read in parallel.
 
 Chunks of text (white space and the word after it) encode independently of each
 other with a byte-level vocabulary, so a task encodes each distinct chunk once
-and looks the others up; a text with other white space than ASCII's is encoded
-whole.
+and looks the others up by hash, comparing their bytes; a text with other white space than ASCII's, or with a chunk whose hash another
+chunk has, is encoded whole.
 
 Defined results: a null or empty text has only the end id; rows with equal ids
 stay, ordered by their text; null ids come first; an empty table gives no rows.
@@ -35,6 +36,18 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def unlike(a: np.ndarray, a_start: np.ndarray, a_length: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_length: np.ndarray) -> np.ndarray:
+    """Which spans of bytes differ."""
+    out = a_length != b_length
+    n = np.where(out, 0, a_length)
+    first = np.cumsum(n) - n
+    inside = np.arange(int(n.sum()), dtype=np.int32)
+    differ = np.flatnonzero(a[np.repeat((a_start - first).astype(np.int32), n) + inside] != b[np.repeat((b_start - first).astype(np.int32), n) + inside])
+    if len(differ):
+        out[np.searchsorted(first + n, differ, "right")] = True
+    return out
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk with a bounded memory of chunks."""
 
@@ -53,6 +66,8 @@ class ChunkEncoder:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's place
         self.ids, self.size = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.raw, self.raw_size = np.zeros(1 << 16, np.uint8), 0  # the chunks' bytes
+        self.raw_starts, self.raw_lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
         """Encode chunks and remember them; the places they get."""
@@ -83,16 +98,23 @@ class ChunkEncoder:
         self.starts = np.concatenate([self.starts, self.size + np.cumsum(length) - length])
         self.lengths = np.concatenate([self.lengths, length])
         self.size += len(flat)
+        sizes = np.array([len(texts[k]) for k in order])
+        while self.raw_size + sizes.sum() > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_size : self.raw_size + sizes.sum()] = np.frombuffer(b"".join(texts[k] for k in order), np.uint8)
+        self.raw_starts = np.concatenate([self.raw_starts, self.raw_size + np.cumsum(sizes) - sizes])
+        self.raw_lengths = np.concatenate([self.raw_lengths, sizes])
+        self.raw_size += int(sizes.sum())
         places = np.empty(len(texts), np.int64)
         places[order] = np.arange(n, n + len(texts))
         at = np.searchsorted(self.known, hashes)
         self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, places)
         return places
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and offsets of the texts, without end ids."""
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids and offsets of the texts, without end ids, and the texts whose ids are wrong, since two chunks had one hash."""
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
         blank = kernel.SPACE[data]
         cut = np.zeros(len(data), bool)  # a chunk begins at a text, and where white space begins
         cut[1:] = blank[1:] & ~blank[:-1]
@@ -112,20 +134,21 @@ class ChunkEncoder:
             raw, w = data.tobytes(), where[~found]
             slots[~found] = self._learn(hashes[~found], [raw[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())])
         slot = slots[back]
+        wrong = np.flatnonzero(unlike(data, start, end - start, self.raw, self.raw_starts[slot], self.raw_lengths[slot]))
         lengths = self.lengths[slot]
         stop = np.cumsum(lengths)
         total = int(stop[-1])
         ids = self.ids[np.arange(total) - np.repeat(stop - lengths - self.starts[slot], lengths)]
         at = np.searchsorted(start, offs)
-        return ids, np.concatenate([[0], stop])[at]
+        return ids, np.concatenate([[0], stop])[at], np.unique(np.searchsorted(at, wrong, "right") - 1)
 
     def encode_texts(self, column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         data, offs = kernel.as_bytes(column)
         for i, j in kernel.slices(offs, 500_000):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            ids, to = self.encode(part, at)
-            odd = {}
+            ids, to, wrong = self.encode(part, at)
+            odd = {k: np.array(self.tokenizer.encode(column[i + k].as_py(), add_special_tokens=False).ids, np.int32) for k in wrong.tolist()}
             if part.max(initial=0) >= 0xC2 or np.any((part >= 0x1C) & (part < 0x20)):
                 for k in range(i, j):
                     text = column[k].as_py() or ""
@@ -166,15 +189,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 at += int(stop[-1])
 
     rows.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
+    written = docs.sparkSession.read.schema(SCHEMA).orc(path)
+    files = written.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files.select(F.col("part").alias("file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n", "first_id", "last_id").write.mode("overwrite").parquet(files_path(path))
+
+
+def files_path(path: str) -> str:
+    """Where the table of files lies: a row per file with its start, size and range of ids."""
+    return f"{path.rstrip('/')}-files"
+
+
+def _based(spark, rows: DataFrame, path: str) -> DataFrame:
+    files = spark.read.schema("file int, base long").parquet(files_path(path))
+    return rows.join(files, F.col("part") == F.col("file")).withColumn("start", F.col("base") + F.col("local_start"))
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids. Filters on doc_id prune files, stripes and row groups."""
-    rows = spark.read.schema(SCHEMA).orc(path)
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    files = files.select(F.col("part").alias("file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(files, F.col("part") == F.col("file")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    """doc_id, start, n_tokens, ids. Filters on doc_id prune files, stripes and row groups; no other row of the files is read."""
+    return _based(spark, spark.read.schema(SCHEMA).orc(path), path).select("doc_id", "start", "n_tokens", "ids")
 
 
 def token_digests(spark, path: str) -> DataFrame:
@@ -190,10 +223,7 @@ def token_digests(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("local_start"), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
     read = rows.mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(F.col("part").alias("file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return read.join(files, F.col("part") == F.col("file")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return _based(spark, read, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def vocabulary_path(name: str) -> str:

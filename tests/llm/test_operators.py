@@ -244,6 +244,46 @@ def test_chunk_encoder_equals_tokenizer():
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    """With hashes of six bits nearly all chunks collide; the ids stay right, in a text, between texts and against remembered chunks."""
+    exact = kernel.span_hashes
+    monkeypatch.setattr(kernel, "span_hashes", lambda data, start, end: exact(data, start, end) & np.uint64(63))
+    e = token_files.ChunkEncoder(token_files.vocabulary_path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) + r.choice("xyz") for _ in range(r.randrange(9))) for _ in range(300)]
+    for part in (texts[:100], texts[100:], ["", *texts]):
+        for t, ids in zip(part, e.encode_texts(pa.array(part))):
+            assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def plan_nodes(node):
+    name = node.getClass().getSimpleName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+    children = node.children()
+    yield node
+    for child in [*below, *(children.apply(i) for i in range(children.size()))]:
+        yield from plan_nodes(child)
+
+
+def test_a_point_read_skips_stripes(spark):
+    """One scan of the files, with the filter pushed; it gives a row group's rows, not the file's. The stripes hold Bloom filters of doc_id."""
+    path = Workspace(spark, "t").path("orc")
+    docs = spark.range(20_000).selectExpr("id * 7 AS doc_id", "concat('word ', id) AS text").coalesce(2)
+    token_files.write_token_files(docs, path, token_files.vocabulary_path("byte_bpe_50k.json"))
+    df = token_files.read_token_files(spark, path).filter("doc_id = 70007")
+    assert [(r.doc_id, r.start) for r in df.collect()] == [(r.doc_id, r.start) for r in token_files.read_token_files(spark, path).collect() if r.doc_id == 70007]
+    scans = [n for n in plan_nodes(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "FileSourceScanExec" and "orc" in n.simpleString(200)]
+    assert len(scans) == 1 and "EqualTo(doc_id,70007)" in scans[0].simpleString(200)
+    assert 1 <= scans[0].metrics().apply("numOutputRows").value() <= 2000
+    assert token_files.read_token_files(spark, path).filter("doc_id = 70008").count() == 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in spark.read.orc(path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        kinds = {(footer.getStreams(i).getKind().toString(), footer.getStreams(i).getColumn()) for i in range(footer.getStreamsCount())}
+        assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds
+
+
 # 4
 
 
@@ -384,6 +424,22 @@ def test_embeddings_of_other_types(spark):
     assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 4, 1, False), (7, 0, 7, True), (7, 4, 1, False), (None, 0, None, True)], key=str)
 
 
+@pytest.mark.parametrize("n", [900, 2700])
+def test_recall_of_deep_trees(spark, n):
+    """Planted near copies under trees of eight levels and more: at least nine of ten links are found, none is invented."""
+    r = np.random.default_rng(n)
+    base = r.standard_normal((n // 3, 24))
+    v = np.concatenate([base, base + 0.12 * r.standard_normal(base.shape), base + 0.2 * r.standard_normal(base.shape)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(4)
+    leaf = 3
+    assert math.ceil(math.log2(n / leaf)) >= 8
+    m = v.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (m @ m.T >= 0.93).sum(axis=1) - 1
+    got = {x.vec_id: x.n_links for x in rp_forest.near_duplicates(rows, leaf=leaf).collect()}
+    assert all(got[i] <= w for i, w in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum() > 500
+
+
 def test_pairs_count_once_whatever_leaves_they_share(spark, monkeypatch):
     """A large cluster that meets in all trees, in leaves cut into blocks."""
     r = np.random.default_rng(8)
@@ -528,6 +584,20 @@ def test_pseudonyms_against_plain_python(spark):
         assert got[x] == day.strftime("%Y-%m-%d" if "-" in x else "%m/%d/%Y" if p[1] > 12 else "%d/%m/%Y")
 
 
+def test_dates_of_all_years_numbers_and_spellings_of_secrets(spark):
+    """Earlier and later dates move too, each to its own; numbers that nobody was given stay; more spellings of secrets are found."""
+    far = spark.range(3000).select(F.date_format(F.date_add(F.lit("0001-01-01").cast("date"), (F.col("id") * 1217).cast("int")), "yyyy-MM-dd").alias("s")).unionAll(spark.range(1500).select(F.date_format(F.date_add(F.lit("1850-01-01").cast("date"), (F.col("id") * 11).cast("int")), "dd/MM/yyyy").alias("s"))).distinct()
+    rows = pii.pseudonymize(far.coalesce(4), "k", text="s", doc_id="s").collect()
+    assert len({r.text for r in rows}) == len(rows) and sum(r.s == r.text for r in rows) < 5
+    in_window = lambda s: "1900" <= (s[:4] if "-" in s else s[-4:]) and datetime.date.fromisoformat(s if "-" in s else "-".join(reversed(s.split("/")))) < datetime.date(1900, 1, 1) + datetime.timedelta(272 * 268)
+    assert all(in_window(r.s) == in_window(r.text) for r in rows if "-" in r.s or int(r.s[:2]) <= 12 or int(r.s[3:5]) <= 12)
+    text = lambda x: pii.pseudonymize(spark.createDataFrame([(x,)], "s string"), "k", text="s", doc_id="s").first().text
+    for x in ("1899-12-31", "1850-05-06", "2105-01-01", 'token="Abcdefg1"', "TOKEN = 'abcdefg12'", "api_key=abcdefg12", "Pwd = abcdefg12", "987-65-4321", "666-12-3456"):
+        assert text(x) != x, x
+    for x in ("000-12-3456", "123-00-4567", "123-45-0000", "tokens=few", "the password is secret", "10000-01-01"):
+        assert text(x) == x, x
+
+
 def test_pseudonyms_take_the_session_key(spark, tmp_path):
     spark.createDataFrame([(1, "at 10.1.2.3 now")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     one = pii.op7_pii_pseudonyms(spark, str(tmp_path)).first().text
@@ -639,6 +709,62 @@ def test_scores(spark, odd, none, monkeypatch):
 # 9
 
 
+def plain_ftrl(rows):
+    """FTRL-proximal as written in its paper, one coordinate at a time, and the bias set where the kinds part best."""
+    T = toxicity
+    times = Counter(i for at, _ in rows for i in at)
+    rows = [([i for i in at if times[i] >= T.MIN_DOCS], y) for at, y in rows]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == T.PLACES else T.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    rng = np.random.default_rng(T.SEED)
+    for _ in range(T.EPOCHS):
+        for k in rng.permutation(len(rows)):
+            at, y = rows[k]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / T.ALPHA * w[i]
+                n[i] += g * g
+    margins = sorted((sum(weight(i) for i in at), k) for k, (at, _) in enumerate(rows))
+    wrong = [sum(rows[k][1] == 1 for _, k in margins[:c]) + sum(rows[k][1] == 0 for _, k in margins[c:]) for c in range(len(rows) + 1)]
+    c = wrong.index(min(wrong))
+    out = {i: weight(i) for i in n}
+    out[T.PLACES] -= (margins[max(c - 1, 0)][0] + margins[min(c, len(rows) - 1)][0]) / 2
+    return {i: w for i, w in out.items() if w}
+
+
+def test_weights_are_those_of_plain_ftrl(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 3.0)
+    r = random.Random(12)
+    rows = []
+    for k in range(150):
+        y = r.randrange(2)
+        at = sorted({r.randrange(40) + (25 if y else 0) for _ in range(r.randint(1, 12))})
+        rows.append((np.array([*at, toxicity.PLACES]), y))
+    at, w = toxicity.fit(rows)
+    want = plain_ftrl([(a.tolist(), y) for a, y in rows])
+    assert 5 < len(want) < 66 and dict(zip(at.tolist(), w.tolist())) == pytest.approx(want, abs=1e-9)
+
+
+def test_long_texts_score_as_short_slices(spark, monkeypatch):
+    """Scores don't depend on how texts are cut into slices, and a sample above the bound keeps to it."""
+    docs = [(i, " ".join(["bad awful"] * 40 if i % 2 else ["good fine"] * 40) + f" w{i % 7}") for i in range(60)] + [(60, "bad awful good fine " * 2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    whole = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    monkeypatch.setattr(kernel, "SLICE_BYTES", 500)
+    monkeypatch.setattr(kernel.slices, "__defaults__", (500,))
+    assert {r.doc_id: r.score for r in toxicity.score(df, model).collect()} == pytest.approx(whole)
+    assert whole[1] > 0.5 > whole[2]
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20)
+    assert toxicity.train(df, labels).count() > 0
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     r = random.Random(6)
     pool = [f"w{i}" for i in range(400)]
