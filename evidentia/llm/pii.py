@@ -10,7 +10,7 @@ Kinds: e-mail local parts, phone numbers, card numbers (Luhn), IPv4 addresses,
 social security numbers, dates, access keys, and values of password and token.
 
 Defined results: a null text stays null; what doesn't validate (a wrong check
-digit, an octet over 255, a 13th month) stays as it is; rows that repeat are
+digit, an octet over 255, a 13th month, a social security number with a part of zeros) stays as it is; rows that repeat are
 treated alike; an empty table gives an empty table. Other columns are not read.
 Each format is permuted within itself, so different values have different
 pseudonyms: dates by what a reader can tell of their form, strings by the places
@@ -19,6 +19,7 @@ of their digits, small and large letters.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 KEY_SETTING, KEY = "spark.evidentia.pii.key", "change-me"  # where a session names its secret; without one, the tests' key
 WALKS = 96  # a subset of at least 0.36 of its set: (1 - 0.36) ** 96 < 10 ** -18
-DATE_FROM, DATE_A, DATE_B = "1900-01-01", 272, 268  # dates from 1900-01-01 on, DATE_A * DATE_B days
+DATE_FROM, DATE_A, DATE_B = "1900-01-01", 272, 268  # dates from 1900-01-01 on, DATE_A * DATE_B days: they stay among themselves
+FIRST_DATE, DATES, ALL_A, ALL_B = "0001-01-01", 3_652_059, 1912, 1911  # all dates of four-digit years; ALL_A * ALL_B is a little more
 
 # The forms of the values that are looked for. Lookbehinds keep the scan linear.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -36,8 +38,8 @@ IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
 ACCESS_KEY = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
-SECRET = r"(?:(?<=password=)|(?<=token = \"))[A-Za-z0-9]{8,}+"
-MAY_HOLD = r'[0-9@]|AKIA|password=|token = "'  # without one of these no form matches
+SECRET = r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) ?= ?[\"']?)(?<![A-Za-z0-9])[A-Za-z0-9]{8,}+"
+MAY_HOLD = r"(?i)[0-9@]|AKIA|password|passwd|pwd|secret|token|api[_-]?key"  # without one of these no form matches
 ANY = "|".join([EMAIL, ACCESS_KEY, SECRET, DATE, SSN, IPV4, PHONE, CARD])
 
 
@@ -182,24 +184,46 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Forms stay apart: yyyy-MM-dd; and, of nn/nn/yyyy, those with a day over 12 first, second, or in neither place (read dd/MM)."""
-    start = F.lit(DATE_FROM).cast("date")
-
-    def move(n):
-        out = feistel(F.floor(n / DATE_B), F.pmod(n, _long(DATE_B)), _long(DATE_A), _long(DATE_B), F.lit("date"), key)
-        return out["a"] * DATE_B + out["b"]
-
-    def moved(day, form, inside=None):
-        n = F.datediff(day, start).cast("long")
-        date = lambda x: F.date_add(start, x.cast("int"))
-        there = move(n) if inside is None else walk(n, move, lambda x: inside(F.dayofmonth(date(x))))
-        return F.when((n >= 0) & (n < DATE_A * DATE_B), F.date_format(date(there), form))
+    """Forms stay apart: yyyy-MM-dd; and, of nn/nn/yyyy, those with a day over 12 first, second, or in neither place (read dd/MM).
 
+    Dates of the window from DATE_FROM stay among themselves, and so do the earlier and later ones.
+    """
+    first, shift, size = F.lit(FIRST_DATE).cast("date"), (datetime.date.fromisoformat(DATE_FROM) - datetime.date(1, 1, 1)).days, DATE_A * DATE_B
     x, y, z = (F.regexp_extract(m, r"^(\d+)[/-](\d+)[/-](\d+)$", i) for i in (1, 2, 3))
     to_date = lambda year, month, day: F.concat_ws("-", year, month, day).try_cast("date")
-    over, upto = lambda d: d > 12, lambda d: d <= 12
-    slash = F.when(x.cast("int") > 12, moved(to_date(z, y, x), "dd/MM/yyyy", over)).when(y.cast("int") > 12, moved(to_date(z, x, y), "MM/dd/yyyy", over)).otherwise(moved(to_date(z, y, x), "dd/MM/yyyy", upto))
-    return F.coalesce(F.when(m.contains("-"), moved(to_date(x, y, z), "yyyy-MM-dd")).otherwise(slash), m)
+    kind = F.when(m.contains("-"), 0).when(x.cast("int") > 12, 1).when(y.cast("int") > 12, 2).otherwise(3)
+    day = F.when(m.contains("-"), to_date(x, y, z)).when((x.cast("int") <= 12) & (y.cast("int") > 12), to_date(z, x, y)).otherwise(to_date(z, y, x))
+    read = F.struct(F.datediff(day, first).cast("long").alias("n"), kind.alias("kind"))
+
+    def moved(d):
+        date = lambda n: F.date_add(first, n.cast("int"))
+
+        def suits(n):
+            of_month = F.dayofmonth(date(n))
+            return (d["kind"] == 0) | F.when(d["kind"] == 3, of_month <= 12).otherwise(of_month > 12)
+
+        def near(n):
+            out = feistel(F.floor((n - shift) / DATE_B), F.pmod(n - shift, _long(DATE_B)), _long(DATE_A), _long(DATE_B), F.lit("date"), key)
+            return out["a"] * DATE_B + out["b"] + shift
+
+        def far(n):
+            out = feistel(F.floor(n / ALL_B), F.pmod(n, _long(ALL_B)), _long(ALL_A), _long(ALL_B), F.lit("far date"), key)
+            return out["a"] * ALL_B + out["b"]
+
+        in_window = lambda n: (n >= shift) & (n < shift + size)
+        there = F.when(in_window(d["n"]), walk(d["n"], near, suits)).otherwise(walk(d["n"], far, lambda n: F.when((n < DATES) & ~in_window(n), suits(n)).otherwise(False)))
+        return F.struct(date(there).alias("date"), d["kind"].alias("kind"))
+
+    form = lambda r: F.when(r["kind"] == 0, F.date_format(r["date"], "yyyy-MM-dd")).when(r["kind"] == 2, F.date_format(r["date"], "MM/dd/yyyy")).otherwise(F.date_format(r["date"], "dd/MM/yyyy"))
+    valid = lambda d: (d["n"] >= 0) & (d["n"] < DATES)
+    new = F.transform(F.transform(F.filter(F.array(read), valid), moved), form)
+    return F.coalesce(F.get(new, F.lit(0)), m)
+
+
+def _ssn(m: Column, digits: Column, key: str) -> Column:
+    """Numbers with a part of zeros only were never given out, and stay; areas of 9.. are taxpayer numbers."""
+    given = lambda d: ~d.rlike("^000|^...00|0000$")
+    return F.when(given(digits), refill(m, walk(digits, lambda d: permute_string(d, 10, F.lit("ssn"), key), given), "[0-9]")).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -214,7 +238,7 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(m.contains("@"), _email(m, key))
         .when(is_(r"AKIA[0-9A-Z]{16}"), F.concat(F.lit("AKIA"), F.upper(permute_string(F.lower(F.substring(m, 5, 16)), 36, F.lit("access"), key))))
         .when(is_(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"), _date(m, key))
-        .when(is_(r"\d{3}-\d{2}-\d{4}"), refill(m, permute_string(digits_only, 10, F.lit("ssn"), key), "[0-9]"))
+        .when(is_(r"\d{3}-\d{2}-\d{4}"), _ssn(m, digits_only, key))
         .when(is_(r"\d{1,3}(?:\.\d{1,3}){3}"), _ipv4(m, key))
         .when(is_(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), _phone(m, key))
         .when(is_(r"\d(?:[ -]?\d){12,18}"), _card(m, key))
@@ -235,5 +259,13 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", doc_id: st
     return rows.select(F.col("__id").alias(doc_id), F.when(F.size("__m") > 0, joined).otherwise(t).alias("text"), F.coalesce(changed, F.lit(0)).alias("n_values"))
 
 
+def session_key(spark) -> str:
+    """The session's secret. Only a local session, as in tests, may go without one: it gets a fixed key that is no secret."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_SETTING}")
+    return key or KEY
+
+
 def op7_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_SETTING, KEY))
+    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
