@@ -13,6 +13,8 @@ class Workspace:
 
     The folder lies in spark.checkpoint.dir, which all executors share. Only a
     local-mode session without that setting falls back to a temporary folder.
+    close() deletes the folder; results that still read it last as long as the
+    application, whose end deletes it otherwise.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -23,6 +25,13 @@ class Workspace:
             base = tempfile.mkdtemp(prefix="evidentia-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = self._at(self.root)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
+
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -37,9 +46,15 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Free a table that no live DataFrame reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Free all tables, when no result is read any more."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self._at(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of stages that nothing refers to any more."""

@@ -387,6 +387,17 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_workspaces_close(spark):
+    from pathlib import Path
+
+    space = Workspace(spark, "closing")
+    space.save(spark.range(3), "a")
+    folder = Path(space.root.removeprefix("file://"))
+    assert (folder / "a").exists()
+    space.close()
+    assert not folder.exists()
+
+
 # 5
 
 
