@@ -2,6 +2,11 @@
 
 Each stage gets the rows its predecessor kept and returns the columns of
 documents; the last one returns what the token files hold.
+
+Defined results, as its operators have them: null and empty texts are documents (never toxic by their words, near to
+nothing, without words in the mix, so they end there); of equal documents the smallest id stays, and rows without an id
+are near to nothing; rows that repeat an id are documents each; columns besides doc_id, text and source pass through
+all stages but the last (names that begin with two underscores are the stages' own); an empty table gives an empty table.
 """
 
 from __future__ import annotations
