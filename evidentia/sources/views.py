@@ -16,6 +16,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """The documents for work that is heavy per row: a table of fewer files than cores is dealt out, since its scan has few tasks."""
+        d, cores = self.raw("documents"), self.spark.sparkContext.defaultParallelism
+        return d.repartition(cores, "doc_id") if len(d.inputFiles()) < cores else d
+
     def tenants(self) -> DataFrame:
         return self.raw("region").select(F.col("r_regionkey").alias("tenant_id"), F.col("r_name").alias("tenant_name"), (F.lit(1000) * (F.col("r_regionkey") + 1)).cast("double").alias("alert_threshold"))
 
@@ -78,7 +83,7 @@ class Tables:
 
     def answers(self) -> DataFrame:
         """Markdown answers made from whole documents: a paragraph per sentence or line; on even ids every second one cites itself in full."""
-        d = self.raw("documents")
+        d = self.documents()
         parts = F.transform(F.split(F.replace("text", F.lit('"'), F.lit(" ")), r"\n|(?<=[.!?])\s+", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
         d = d.withColumn("parts", F.coalesce(F.filter(parts, lambda p: p != ""), F.array().cast("array<string>")))
         even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
@@ -97,7 +102,7 @@ class Tables:
 
     def reports(self) -> DataFrame:
         """Quarterly updates made from whole texts: three sections, and a summary in which every fourth report lacks a verdict."""
-        d, i = self.raw("documents"), F.col("doc_id")
+        d, i = self.documents(), F.col("doc_id")
         pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (i % n + 1).cast("int"))
         cite = F.concat(F.lit(" [doc_"), i.cast("string"), F.lit(", "), F.coalesce("source", F.lit("web")), F.lit(']: "as reported in filing '), i.cast("string"), F.lit('"'))
         content = F.concat(
@@ -111,7 +116,7 @@ class Tables:
 
     def primers(self) -> DataFrame:
         """Industry primers of six numbered sections and five bullets; some lack one of them."""
-        d, i = self.raw("documents"), F.col("doc_id")
+        d, i = self.documents(), F.col("doc_id")
         cite = F.concat(F.lit(' [web, https://example.com, 2024]: "as reported by source '), i.cast("string"), F.lit('"'))
         heads = ("Market", "Players", "Rules", "Technology", "Economics")
         short = F.concat(*[F.lit(f"\n\n## {k}. {h}\nShort and plain.") for k, h in enumerate(heads, 2)])
@@ -121,7 +126,7 @@ class Tables:
 
     def cases(self) -> DataFrame:
         """Outputs under evaluation, by suite; every 29th failed to run. Each second one cites a benchmark item."""
-        d, i = self.raw("documents"), F.col("doc_id")
+        d, i = self.documents(), F.col("doc_id")
         cite = F.concat(F.lit(" [item_"), (i % 40).cast("string"), F.lit(", "), F.coalesce("source", F.lit("web")), F.lit(']: "as reported in filing '), i.cast("string"), F.lit('"'))
         content = F.concat(
             F.lit("### Q1: Business\n"), self._body(), F.lit("\n\n### Q2: Numbers\nRevenue increased to "), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" million."), F.when(i % 2 == 0, cite).otherwise(""),
