@@ -1,6 +1,7 @@
 """Golden cases of the scalar functions, chunk invariants, scope guards, and streams against their batch form."""
 
 import math
+import time
 
 import pyarrow as pa
 import pytest
@@ -101,8 +102,11 @@ def test_stream_of_chunks_keeps_all_text(spark, tmp_path):
     rows = [(t, i, text[k : k + 17], k + 17 >= len(text)) for t in (1, 2) for i, k in enumerate(range(0, len(text), 17))]
     spark.createDataFrame(rows, "task_id long, seq int, text string, done boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("task_id long, seq int, text string, done boolean").parquet(str(tmp_path / "in"))
-    q = safe_chunks(stream).writeStream.format("memory").queryName("safe").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
+    q = safe_chunks(stream).writeStream.format("memory").queryName("safe").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 100
+    while not ((p := q.lastProgress) and p["numInputRows"] == 0 and p["batchId"] > 0) and time.time() < until and q.isActive:
+        time.sleep(0.1)  # with timeouts a stream runs batches without data: the first of them shows that all is read
+    q.stop()
     got = spark.sql("select task_id, text from safe").collect()
     for t in (1, 2):
         pieces = [r.text for r in got if r.task_id == t]
