@@ -36,16 +36,16 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def unlike(a: np.ndarray, a_start: np.ndarray, a_length: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_length: np.ndarray) -> np.ndarray:
-    """Which spans of bytes differ."""
-    out = a_length != b_length
-    n = np.where(out, 0, a_length)
-    first = np.cumsum(n) - n
-    inside = np.arange(int(n.sum()), dtype=np.int32)
-    differ = np.flatnonzero(a[np.repeat((a_start - first).astype(np.int32), n) + inside] != b[np.repeat((b_start - first).astype(np.int32), n) + inside])
-    if len(differ):
-        out[np.searchsorted(first + n, differ, "right")] = True
-    return out
+def unlike(data: np.ndarray, start: np.ndarray, end: np.ndarray, raw: np.ndarray, raw_start: np.ndarray, raw_length: np.ndarray) -> np.ndarray:
+    """Numbers of the chunks that differ from their remembered bytes. Chunks lie end to end, so the text is read in order."""
+    length = end - start
+    others = np.flatnonzero(raw_length != length)
+    at = np.repeat((raw_start - start).astype(np.int32), length)
+    at += np.arange(len(data), dtype=np.int32)
+    if len(others):
+        np.minimum(at, len(raw) - 1, out=at)
+    differ = np.flatnonzero(raw[at] != data)
+    return np.union1d(others, np.searchsorted(start, differ, "right") - 1) if len(differ) else others
 
 
 class ChunkEncoder:
@@ -134,7 +134,7 @@ class ChunkEncoder:
             raw, w = data.tobytes(), where[~found]
             slots[~found] = self._learn(hashes[~found], [raw[a:b] for a, b in zip(start[w].tolist(), end[w].tolist())])
         slot = slots[back]
-        wrong = np.flatnonzero(unlike(data, start, end - start, self.raw, self.raw_starts[slot], self.raw_lengths[slot]))
+        wrong = unlike(data, start, end, self.raw, self.raw_starts[slot], self.raw_lengths[slot])
         lengths = self.lengths[slot]
         stop = np.cumsum(lengths)
         total = int(stop[-1])
