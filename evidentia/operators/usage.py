@@ -23,7 +23,12 @@ def cost(tokens: Column, model: Column) -> Column:
     return (tokens.cast("decimal(20,0)") * price(model)).cast("double") / 1_000_000
 
 
+def cents(usd: Column) -> Column:
+    """Rounded to two places as the twins do it: what hundred times the double comes to, halves to even."""
+    return F.rint(usd * 100) / 100
+
+
 def rollup(log: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens and cost by keys: integer sums per model class first, prices afterwards."""
     spend = F.sum(F.col("tokens_used").cast("decimal(20,0)") * price(F.col("model")))
-    return log.groupBy(*keys).agg(F.sum("tokens_used").cast("long").alias("tokens"), F.bround(spend.cast("double") / 1_000_000, 2).alias("cost_usd"))
+    return log.groupBy(*keys).agg(F.sum("tokens_used").cast("long").alias("tokens"), cents(spend.cast("double") / 1_000_000).alias("cost_usd"))
