@@ -12,6 +12,7 @@ from ..functions.finance import let
 from ..functions.text import chunk_sentences, paragraphs, token_estimate
 
 PARENT_TOKENS, CHILD_TOKENS, OVERLAP_TOKENS = 2000, 200, 20
+SLICE_BYTES = 1 << 20
 
 
 def parent_texts(text: Column, limit: int = PARENT_TOKENS) -> Column:
@@ -40,13 +41,21 @@ def windows(tokens: list[int], limit: int = CHILD_TOKENS, overlap: int = OVERLAP
         start = max(start + 1, bisect_right(upto, upto[end] - overlap) - 1)
 
 
+def _slices(batches):
+    """Rows by SLICE_BYTES of Arrow data, or one alone: texts are Python objects a slice at a time, however large Spark's batches are."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def children(parents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, child, content, char_start, char_end, token_estimate) of every parent's text."""
     rows = parents.select(F.col(key).alias("k"), F.col(text).alias("t"), chunk_sentences(F.col(text)).alias("s"))
     rows = rows.withColumn("n", F.transform("s", token_estimate))
 
     def split(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for k, t, s, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 at, places = 0, []
@@ -69,7 +78,7 @@ def child_counts(parents: DataFrame, key: str, text: str) -> DataFrame:
     rows = parents.select(F.col(key).alias("k"), F.transform(chunk_sentences(F.col(text)), token_estimate).alias("n"))
 
     def count(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             n = [sum(1 for _ in windows(tokens or [])) for tokens in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["k", "n"])
 
