@@ -45,6 +45,7 @@ SMALL_GROUP = 8
 GROUP_BLOCK = 2048  # groups beyond two, and components beyond one, of such blocks are cut into cells of this size
 PIVOTS = 3  # members of a group's size band that all others of the band are first compared with
 BLOCK_BYTES = 32 << 20
+BROADCAST_ROWS = 1 << 19  # wanted documents that go to all tasks; more are dealt out with the texts
 SKETCH = "id long, n int, d1 long, d2 long, keys array<long>, bits binary"
 
 
@@ -89,7 +90,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, ofte
         bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for batch, i, sets in _sets(batches, "text", n):
             size = np.array([len(s) for s in sets], np.int32)
-            d1 = np.array([int(kernel.mix(s).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            d1 = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([int(np.bitwise_xor.reduce(kernel.mix(s * U(0xA24BAED4963EE407)))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             keys, lengths, maps = [], [0], []
             for s in sets:
@@ -244,25 +245,47 @@ def _exact_edges(percent: int):
     return work
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(id, tokens) of the wanted (id, doc, d1): their texts are read again, once each."""
+def _digest(s: np.ndarray) -> int:
+    return int(kernel.mix(s).sum()) if len(s) else 0
 
-    def tokens(batches):
-        for batch, i, sets in _sets(batches, "text", n):
-            d1 = np.array([int(kernel.mix(s).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, len(sets)), pa.array(d1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "tokens"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted.select("doc").distinct(), "doc", "left_semi")
-    sets = texts.mapInArrow(tokens, "doc long, d1 long, tokens binary").dropDuplicates(["doc", "d1"])
-    return wanted.join(sets, ["doc", "d1"]).select("id", "tokens")
+def with_texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of the saved table wanted (doc, d1, ...) with the texts of their ids. No text is sorted, and none moves for few rows."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted.hint("broadcast" if few else "shuffle_hash"), "doc")
+
 
+def _own_sets(batches, n: int, names: list[str]):
+    """(names, id, tokens) of the rows whose text is the wanted one; of rows in a row with the same names and id the first."""
+    last = None
+    for batch, i, sets in _sets(batches, "text", n):
+        want = batch.column("d1").slice(i, len(sets)).to_numpy()
+        at = np.flatnonzero(np.array([_digest(s) for s in sets], np.uint64).view(np.int64) == want)
+        part = batch.select([*names, "id"]).slice(i, len(sets))
+        rows = list(zip(*(part.column(c).take(pa.array(at)).to_pylist() for c in [*names, "id"])))
+        new = [k for k, row in enumerate(rows) if row != (rows[k - 1] if k else last)]
+        last = rows[-1] if rows else last
+        at = at[new]
+        yield pa.RecordBatch.from_arrays([*part.take(pa.array(at)).columns, pa.array([sets[k].tobytes() for k in at], pa.binary())], [*names, "id", "tokens"])
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """(id, tokens) of the saved (id, doc, d1): their texts are read again."""
+    found = with_texts(docs, wanted, doc_id, text).select("id", "d1", "text").mapInArrow(lambda batches: _own_sets(batches, n, []), "id long, tokens binary")
+    return found.dropDuplicates(["id"])
 
-def pivot_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact links (a, b) of the members of large groups (gid, id, n) with a few members of their size band."""
+
+def pivot_pairs(large: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of large groups (gid, id, n) with a few members of their size band, where the bitmaps allow a link."""
     rows = large.withColumn("band", _band(percent))
     pivots = rows.groupBy("gid", "band").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)])).alias("p"))
-    pairs = rows.join(pivots, ["gid", "band"]).select("id", F.explode("p").alias("p")).filter("id <> p").distinct()
-    pairs = pairs.join(sets, "id").join(sets.toDF("p", "pivot"), "p").select(F.col("id").alias("a"), F.col("p").alias("b"), "tokens", "pivot")
+    pairs = rows.join(pivots, ["gid", "band"]).select(F.col("id").alias("a"), F.explode("p").alias("b")).filter("a <> b").distinct()
+    return _near_pairs(pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b"), percent)
+
+
+def pivot_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    pairs = pairs.join(sets.toDF("a", "tokens"), "a").join(sets.toDF("b", "pivot"), "b")
 
     def check(batches):
         view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
@@ -284,41 +307,54 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     classes = space.save(sketch.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     heads = sketch.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"])
     heads = space.save(heads.withColumn("hid", F.monotonically_increasing_id()), "heads")  # ids may repeat with other texts
+    sketch = space.save(sketch.select("id", "n", "d1", "d2"), "rows")
+    space.drop("sketch")
+    space.release()
 
     routed = heads.select(F.explode("keys").alias("key"), F.col("hid").alias("id"), "n")
     most = 2 * GROUP_BLOCK
     groups = by_sorted_key(routed, "key", ["id"], lambda t: _groups(t, percent, most), "kind int, gid long, a long, b long", most=most, hot=_large)
     groups = space.save(groups, "groups")
+    heads = space.save(heads.drop("keys"), "named-heads")
+    space.drop("heads")
+    space.release()
+    bits = heads.select("hid", "n", "bits")
     members = groups.filter(F.col("kind") == MEMBER).select("gid", "a")
     large = groups.filter(F.col("kind") == LARGE).select("gid", F.col("a").alias("id"), F.col("b").alias("n"))
     named = heads.select(F.col("hid").alias("id"), F.col("id").alias("doc"), "d1", "n")
     links = label = spark.createDataFrame([], "a long, b long")
     if not large.isEmpty():
-        sets = space.save(full_sets(docs, named.join(large.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1"), n, doc_id, text), "large-sets")
-        links = space.save(pivot_links(large, sets, percent), "pivot-links")
+        pairs = space.save(pivot_pairs(large, bits, percent), "pivot-pairs")
+        wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "doc", "d1")
+        sets = space.save(full_sets(docs, space.save(wanted, "large-wanted"), n, doc_id, text), "large-sets")
+        links = space.save(pivot_links(pairs, sets, percent), "pivot-links")
+        space.drop("large-sets")
+        space.release()
         label = space.save(connected_components(links, space, "pivots"), "labels")
         marked = large.join(label.withColumnRenamed("root", "label"), "id", "left").fillna(-1, ["label"])
         members = members.unionByName(cells(marked, percent).withColumnRenamed("id", "a"))
     label = label.toDF("id", "label")
 
-    bits = heads.select("hid", "n", "bits")
     pairs = groups.filter(F.col("kind") == PAIR).select("a", "b").distinct()
     pairs = pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
     members = members.distinct().join(bits.toDF("a", "n", "bits"), "a")
     maybe = _near_pairs(pairs, percent).unionByName(by_sorted_key(members.select("gid", "a", "n", "bits"), "gid", ["a"], _tree_edges(percent), "a long, b long"))
     maybe = space.save(maybe, "maybe")
+    space.release()
     near = space.save(connected_components(maybe, space, "near"), "near")
 
-    # Full sets of the documents in candidate components, once each; a component beyond a block goes in pairs of cells.
+    # The texts of the documents in candidate components move, which are smaller than their sets; a component beyond a block goes in pairs of cells.
     load = near.join(named.select("id", "n"), "id").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     wide = space.save(load.filter((F.col("c") > GROUP_BLOCK) | (F.col("s") * 8 > BLOCK_BYTES)).select("root"), "wide")
     routes = near.select(F.col("root").alias("route"), "id")
     if not wide.isEmpty():
         inside = near.join(wide, "root", "left_semi").join(named.select("id", "n"), "id").join(label, "id", "left").fillna(-1, ["label"])
         routes = near.join(wide, "root", "left_anti").select(F.col("root").alias("route"), "id").unionByName(cells(inside.withColumnRenamed("root", "gid"), percent).withColumnRenamed("gid", "route"))
-    sets = full_sets(docs, near.select("id").join(named.select("id", "doc", "d1"), "id"), n, doc_id, text)
-    found = by_sorted_key(routes.join(sets, "id").select("route", "id", "tokens"), "route", ["id"], _exact_edges(percent), "a long, b long")
+    wanted = space.save(routes.join(named.select("id", "doc", "d1"), "id").select("route", "id", "doc", "d1"), "wanted")
+    texts = with_texts(docs, wanted, doc_id, text).select("route", "id", "d1", "text")
+    found = by_sorted_key(texts, "route", ["id"], _exact_edges(percent), "a long, b long", prepare=lambda batches: _own_sets(batches, n, ["route"]))
     links = space.save(found.unionByName(links), "links")
+    space.release()
 
     # Links join classes; ids that repeat join classes too.
     names = heads.select("hid", F.col("id").alias("rep"))

@@ -54,12 +54,15 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, most: int | None = N
         yield pa.Table.from_batches(kept), False
 
 
-def by_sorted_key(df: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None, most: int | None = None, hot: Callable[[pa.Table], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
-    """work() gets tables of whole keys in ascending order of the (non-null integer) key; hot() gets pieces of a key of more than ``most`` rows."""
+def by_sorted_key(df: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None, most: int | None = None, hot: Callable[[pa.Table], Iterator[pa.RecordBatch]] | None = None, prepare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """work() gets tables of whole keys in ascending order of the (non-null integer) key; hot() gets pieces of a key of more than ``most`` rows.
+
+    prepare() turns the sorted batches into others that are sorted by the key too.
+    """
     dealt = df.repartition(parts, key) if parts else df.repartition(key)
 
     def run(batches):
-        for table, piece in whole_keys(batches, key, most):
+        for table, piece in whole_keys(prepare(batches) if prepare else batches, key, most):
             yield from (hot if piece else work)(table)
         trim()
 
