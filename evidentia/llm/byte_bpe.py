@@ -3,7 +3,7 @@
 Encoding: each text falls into chunks (white space and what follows it), which the
 vocabulary's pattern splits into words without regard to their neighbours. A worker
 remembers chunks and words; words it has not met go to DuckDB as token-position
-rows. There a recursive query joins each row and its right neighbour with the merge
+rows, each with one number for its word and place, by which they are sorted. There a recursive query joins each row and its right neighbour with the merge
 table and contracts every word's leftmost pair of minimum rank, all words at
 once, until no word has a pair left. A word that is itself a token is that token.
 Decoding joins (document, place, id) rows with the vocabulary and concatenates the
@@ -34,25 +34,25 @@ from . import kernel
 from .token_files import vocabulary_path
 
 LONG_WORD = 256  # bytes: longer words don't go through the recursion
-RECURSION_ROWS = 1 << 22  # rows that one recursive query may leave
+RECURSION_ROWS = 1 << 21  # rows that one recursive query may leave
 CACHE = 300_000  # chunks and words that a worker remembers anew before it lets go of those it has not met since
 STRETCH = 1 << 22  # characters, or ids, that go through at once
-STEP = 1 << 20  # more than the bytes of a word: a pair's key is rank * STEP + place
+STEP = 1 << 20  # more than the bytes of a word and than all ranks: a pair's key is rank * STEP + place, a row's spot word * STEP + place
 
 ENCODE = """
-WITH RECURSIVE step(round, word, place, token) AS (
-  SELECT 0, word, place, token FROM words
+WITH RECURSIVE step(round, spot, token) AS (
+  SELECT 0, word::BIGINT * {step} + place, token FROM words
   UNION ALL
-  (WITH pair AS (SELECT *, lead(token) OVER near AS next, lag(place) OVER near AS before
-                 FROM step WINDOW near AS (PARTITION BY word ORDER BY place)),
-        best AS (SELECT word, min(merged::BIGINT * {step} + place) AS best
-                 FROM pair JOIN merges ON merges.l = pair.token AND merges.r = pair.next GROUP BY word)
-   SELECT round + 1, word, place, CASE WHEN place = best % {step} THEN (best // {step})::INT ELSE token END
-   FROM pair JOIN best USING (word) WHERE before IS DISTINCT FROM best % {step}))
-SELECT word, list(token ORDER BY place) AS ids FROM step
-WHERE (word, round) IN (SELECT word, max(round) FROM step GROUP BY word) GROUP BY word ORDER BY word
+  (WITH pair AS (SELECT *, lead(token) OVER near AS next, lead(spot) OVER near AS after, lag(spot) OVER near AS before
+                 FROM step WINDOW near AS (ORDER BY spot)),
+        best AS (SELECT spot // {step} AS word, min(merged::BIGINT * {step} + spot % {step}) AS best
+                 FROM pair JOIN merges ON merges.pair = token::BIGINT * {step} + next WHERE after // {step} = spot // {step} GROUP BY 1)
+   SELECT round + 1, spot, CASE WHEN spot % {step} = best % {step} THEN (best // {step})::INT ELSE token END
+   FROM pair JOIN best ON best.word = spot // {step} WHERE before IS DISTINCT FROM word * {step} + best % {step}))
+SELECT spot // {step} AS word, list(token ORDER BY spot) AS ids FROM step
+WHERE (spot // {step}, round) IN (SELECT spot // {step}, max(round) FROM step GROUP BY 1) GROUP BY 1 ORDER BY 1
 """.format(step=STEP)
-DECODE = "SELECT doc, string_agg(piece, '' ORDER BY place) AS text FROM tokens JOIN vocab USING (token) GROUP BY doc ORDER BY doc"
+DECODE = "SELECT doc, array_to_string(list(piece ORDER BY place), '') AS text FROM tokens JOIN vocab USING (token) GROUP BY doc ORDER BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,6 +85,8 @@ class BytePairs:
         self.pattern = regex.compile(pattern)
         self.blanks_meet, self.chunk, self.cut = regex.compile(r"\s "), regex.compile(r"\s*\S+|\s+"), regex.compile(r"\S(?= )")
         self.differ = class_differences()
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.letters_stay = r" ?\p{L}+" in pattern.split("|") and all(self.pattern.findall(x + letters) == [x + letters] for x in ("", " "))
         self.as_other = dict.fromkeys(map(ord, self.differ), "!")  # neither letter, digit nor space
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.size = max(self.ranks.values()) + 1
@@ -96,7 +98,7 @@ class BytePairs:
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs)) if pairs else [pa.array([], pa.int32())] * 3
         # A byte is the character of its number, since only text can be aggregated in order.
         pieces = pa.array([w.decode("latin-1") for w in self.ranks])
-        for name, table in (("merges", pa.table({"l": left, "r": right, "merged": merged})), ("vocab", pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))):
+        for name, table in (("merges", pa.table({"pair": left.cast(pa.int64()).to_numpy() * STEP + right.to_numpy(), "merged": merged})), ("vocab", pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
@@ -141,9 +143,9 @@ class BytePairs:
             if raw in self.packed:
                 self.known[w] = self.packed[raw]
             else:
-                missing.append((len(raw), raw, w))
-        missing.sort()  # words of one length end in the same round
-        length = np.array([n for n, _, _ in missing], np.int64)
+                missing.append((raw, w))
+        missing.sort(key=lambda x: len(x[0]))  # words of one length end in the same round
+        length = np.array([len(raw) for raw, _ in missing], np.int64)
         rows = np.cumsum(length * length // 2 + 1)
         short, a = int(np.searchsorted(length, LONG_WORD, "right")), 0
         while a < short:
@@ -151,12 +153,12 @@ class BytePairs:
             n = length[a:b]
             word = np.repeat(np.arange(b - a, dtype=np.int32), n)
             place = np.arange(len(word)) - (np.cumsum(n) - n)[word]
-            token = self.first[np.frombuffer(b"".join(raw for _, raw, _ in missing[a:b]), np.uint8)]
+            token = self.first[np.frombuffer(b"".join(raw for raw, _ in missing[a:b]), np.uint8)]
             ids = self._query(ENCODE, "words", pa.table({"word": word, "place": place.astype(np.int32), "token": token})).column("ids").combine_chunks()
             flat, offs = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-            self.known.update((w, flat[i:j]) for (_, _, w), i, j in zip(missing[a:b], offs, offs[1:]))
+            self.known.update((w, flat[i:j]) for (_, w), i, j in zip(missing[a:b], offs, offs[1:]))
             a = b
-        self.known.update((w, self.contract_long(raw)) for _, raw, w in missing[short:])
+        self.known.update((w, self.contract_long(raw)) for raw, w in missing[short:])
 
     def _split(self, chunk: str) -> list[str]:
         if chunk.isascii() or self.differ.isdisjoint(chunk):
@@ -164,8 +166,9 @@ class BytePairs:
         return [chunk[m.start() : m.end()] for m in self.pattern.finditer(chunk.translate(self.as_other))]
 
     def _learn(self, chunks: set[str]) -> None:
-        split = {c: self._split(c) for c in chunks}
-        self._learn_words({w for ws in split.values() for w in ws if w not in self.known})
+        plain = {c for c in chunks if c.isascii() and c.removeprefix(" ").isalpha()} if self.letters_stay else set()
+        split = {c: self._split(c) for c in chunks - plain}
+        self._learn_words(plain.union(w for ws in split.values() for w in ws if w not in self.known))
         self.known.update((c, b"".join(map(self.known.__getitem__, ws))) for c, ws in split.items() if len(ws) != 1)
 
     def _chunks(self, text: str) -> list[str]:
