@@ -12,6 +12,7 @@ from ..sources.views import Tables
 from ..streaming.sweep import FilingSweep
 from .registry import query
 
+ROWS_A_BUCKET = 500_000  # of the observations: a task sorts and writes one bucket
 SERIES = ["coverage_id", "kpi_name", "year", "quarter"]
 
 
@@ -30,10 +31,10 @@ def stored_notes_upsert(spark, d):
 def stored_kpi_upserts(spark, d):
     """Observations extracted before 1995, the later ones, and these once more: the replay changes nothing."""
     k = Tables(spark, d).kpis().select(*SERIES, "value", "extracted_at", "obs", F.lit(None).cast("boolean").alias("is_restated"), F.lit(None).cast("double").alias("prior_value"))
-    table = KeyedTable.create(spark, shared_folder(spark, "kpis"), k.schema, ["coverage_id", "kpi_name"])
+    table = KeyedTable.create(spark, shared_folder(spark, "kpis"), k.schema, ["coverage_id", "kpi_name"], max(16, -(-Tables(spark, d).raw("lineitem").count() // ROWS_A_BUCKET)))
     early = F.col("extracted_at") < F.lit("1995-01-01").cast("date")
     for number, batch in ((0, k.filter(early)), (1, k.filter(~early)), (1, k.filter(~early))):
-        table.rewrite(batch, lambda current, new: restate(current, new, SERIES, ["extracted_at", "obs"]), txn=("kpis", number))
+        table.rewrite(batch, lambda current, new: restate(current, new, SERIES, ["extracted_at", "obs"], parts=table.buckets), txn=("kpis", number))
     return table.read().groupBy("coverage_id", "kpi_name").agg(F.count("*").alias("n_rows"), F.count_if("is_restated").alias("n_restated"))
 
 

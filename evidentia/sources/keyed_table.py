@@ -82,7 +82,7 @@ class KeyedTable:
                 touched, rows = found
                 name = f"v{new['version']:012d}-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()[:8]}"
                 rows = rows.withColumn(BUCKET, self._bucket())
-                rows.repartition(min(len(touched), self.buckets) or 1, BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{name}")
+                rows.repartitionById(self.buckets, F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{name}")
                 there = {int(x.partition("=")[2]) for x in self.folder.names(name) if x.startswith(f"{BUCKET}=")}
                 if not there <= set(touched):
                     raise RuntimeError("a write left its buckets")
@@ -143,15 +143,17 @@ class KeyedTable:
             self.folder.delete(f"manifests/{n}")
 
 
-def restate(current: DataFrame, new: DataFrame, keys: list[str], order: list[str], value: str = "value", tolerance: float = 1e-6) -> DataFrame:
+def restate(current: DataFrame, new: DataFrame, keys: list[str], order: list[str], value: str = "value", tolerance: float = 1e-6, parts: int | None = None) -> DataFrame:
     """For KeyedTable.rewrite: observations of a series, kept where they differ from the one kept or seen before.
 
     A first observation is inserted, an equal one (within ``tolerance``) changes nothing, another one is
-    inserted as restated, with its predecessor's value. Rows that are there keep what they say.
+    inserted as restated, with its predecessor's value. Rows that are there keep what they say. With ``parts`` the series are
+    dealt out in so many parts, as a table whose buckets follow its size has them.
     """
     from pyspark.sql import Window
 
     both = current.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    both = both.repartition(parts, *keys) if parts else both
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy("_new", *order))
     rows = both.withColumn("_before", before).filter(~F.col("_new") | F.col("_before").isNull() | (F.abs(F.col(value) - F.col("_before")) >= tolerance))
     return rows.withColumn("is_restated", F.when(F.col("_new"), F.col("_before").isNotNull()).otherwise(F.col("is_restated"))).withColumn("prior_value", F.when(F.col("_new"), F.col("_before")).otherwise(F.col("prior_value")))
