@@ -26,8 +26,8 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, weight): one row per distinct token of a text."""
-    return df.select(key, F.explode(index_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(term_weight(F.count("*")).alias("weight"))
+    """(key, token, weight): one row per distinct token of a text. Texts are dealt out by key, which is less than their tokens would be; these are counted where they lie."""
+    return df.select(key, text).repartition(key).select(key, F.explode(index_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(term_weight(F.count("*")).alias("weight"))
 
 
 def hashed(index: DataFrame, key: str) -> DataFrame:
