@@ -32,14 +32,20 @@ def _headers(cells):
     return g.select("table_id", pick(F.col("top"), F.lit(0), F.col("n")).alias("column_headers"), pick(F.col("left"), F.lit(1), F.col("m")).alias("row_headers"))
 
 
-def _captions(spark, d, cells):
-    """The last block of the table's page that isn't one of its cells, if it is short and no sentence."""
-    tables = cells.select("document_id", "table_id", "page_number").distinct()
+def _candidates(spark, d, cells):
+    """(table_id, places, c): the last block of a table's page that isn't one of its cells. A table's cells are gathered once, and blocks meet that one row."""
+    tables = cells.groupBy("table_id").agg(F.collect_set(F.struct("document_id", "page_number")).alias("places"), F.collect_set("value").alias("values"))
+    tables = tables.select("table_id", "values", F.explode("places").alias("p")).select("table_id", "values", "p.*")
     blocks = Tables(spark, d).page_blocks().withColumn("text", strip(F.col("text"))).filter("text <> ''")
-    near = tables.join(blocks, ["document_id", "page_number"]).join(cells.select("table_id", F.col("value").alias("text")), ["table_id", "text"], "left_anti")
-    last = near.groupBy("table_id").agg(F.max_by("text", "seq").alias("c"))
+    other = ~F.array_contains("values", F.col("text"))
+    near = tables.join(blocks, ["document_id", "page_number"], "left").withColumn("place", F.struct("document_id", "page_number"))
+    return near.groupBy("table_id").agg(F.collect_set("place").alias("places"), F.max_by(F.when(other, F.col("text")), F.when(other, F.col("seq"))).alias("c"))
+
+
+def _captions(spark, d, cells):
+    """A table's candidate, if it is short and no sentence: one row per place of a table."""
     fits = (F.char_length("c") < CAPTION_LENGTH) & ~F.col("c").endswith(".")
-    return tables.select("table_id").join(last, "table_id", "left").select("table_id", F.when(fits, F.col("c")).alias("caption"))
+    return _candidates(spark, d, cells).select("table_id", F.when(fits, F.col("c")).alias("caption"), F.explode("places")).select("table_id", "caption")
 
 
 @query("table_cells", f"WITH {CELLS} SELECT * FROM cl")
@@ -65,11 +71,7 @@ def table_caption(spark, d):
 
 @query("caption_candidates", f"WITH {CELLS}, {CAPTIONS} SELECT table_id, c AS candidate FROM cap")
 def caption_candidates(spark, d):
-    cells = _cells(spark, d)
-    tables = cells.select("document_id", "table_id", "page_number").distinct()
-    blocks = Tables(spark, d).page_blocks().withColumn("text", strip(F.col("text"))).filter("text <> ''")
-    near = tables.join(blocks, ["document_id", "page_number"]).join(cells.select("table_id", F.col("value").alias("text")), ["table_id", "text"], "left_anti")
-    return near.groupBy("table_id").agg(F.max_by("text", "seq").alias("candidate"))
+    return _candidates(spark, d, _cells(spark, d)).filter("c is not null").select("table_id", F.col("c").alias("candidate"))
 
 
 @query("chunk_table_render", f"""WITH {CELLS}, {CAPTIONS}, g AS (SELECT table_id, row, list_transform([0, 1, 2], lambda c: coalesce(list_filter(list({{'c': col, 'v': value}}), lambda x: x.c = c)[1].v, '')) AS v FROM cl GROUP BY 1, 2),
@@ -78,9 +80,9 @@ def caption_candidates(spark, d):
 def chunk_table_render(spark, d):
     """A table's chunk: its caption and its whole grid, for tables that have a header row."""
     cells = _cells(spark, d)
-    rows = cells.groupBy("table_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
-    fill = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    grids = rows.select("table_id", F.struct("row", fill.alias("v")).alias("r")).groupBy("table_id").agg(F.array_sort(F.collect_list("r")).alias("rows")).filter(F.col("rows")[0]["row"] == 0)
+    value = lambda i: F.coalesce(F.max(F.when(F.col("col") == i, F.col("value"))), F.lit(""))
+    rows = cells.groupBy("table_id", "row").agg(F.array(*map(value, range(3))).alias("v"))
+    grids = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "v"))).alias("rows")).filter(F.col("rows")[0]["row"] == 0)
     md = grids.select("table_id", grid_markdown(F.transform("rows", lambda r: r["v"])).alias("md"))
     return md.join(_captions(spark, d, cells), "table_id").select("table_id", F.concat(F.lit("TABLE: "), F.coalesce("caption", F.lit("Untitled")), F.lit("\n\n"), "md").alias("content"))
 
