@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 QUERY_BYTES = 32 << 20  # queries that go to all tasks at a time, with what a worker holds for them
+BATCH_BYTES = 4 << 20  # rows that reach a worker at a time
 BLOCK_DOCS = 1024  # documents of a tile
 TILE_QUERIES = 512  # queries of a tile of vectors
 TILE_POSTINGS = 1 << 19
@@ -67,6 +68,11 @@ def _best_of_tasks(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], I
     return top_k(rows.mapInArrow(work, "query_id long, chunk_id long, score double"), "query_id", "score", "chunk_id", k)
 
 
+def _small_batches(df: DataFrame) -> None:
+    """Spark's own batches are up to 64 MB, as large as the tables' partitions let them be."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def held_for(k: int) -> int:
     """Bytes that a worker needs for a query's k best, while they are sorted too."""
     return 48 * k
@@ -108,6 +114,7 @@ def dense_scan(queries: DataFrame, vectors: DataFrame, k: int, same: str | None
     queries: (query_id, query_vector[, same]), vectors: (chunk_id, vector[, same]), with integer ids. Vectors that are
     null, zero or not finite, or of another length than most of their batch, are no one's neighbour. ``same`` must agree, and null agrees with nothing.
     """
+    _small_batches(vectors)
     columns = ["chunk_id", "vector"] + ([same] if same else [])
 
     def one(block: list) -> DataFrame:
@@ -168,6 +175,7 @@ def sparse_scan(queries: DataFrame, texts: DataFrame, k: int, query: str = "text
     """
     from ..functions.text import index_tokens
 
+    _small_batches(texts)
     asked = queries.select("query_id", index_tokens(F.col(query)).alias("tokens")).filter("size(tokens) > 0")
     rows = texts.select("chunk_id", index_tokens(F.col(text)).alias("tokens"))
 
