@@ -3,8 +3,8 @@
 Centroids and code words are trained on a bounded sample that a hash picks (SAMPLE vectors); every vector is assigned to
 its list and coded where it lies. The index is a Parquet table partitioned by list, dealt by ranges of (list, hash), so a
 large list is several files and tasks. A search names its lists before it reads: the scan prunes the others.
-Per query each task keeps the best candidates by their codes; the best of all tasks meet their vectors again, and
-exact cosines decide.
+Queries go out in blocks of bounded size. Per query each task keeps the best candidates by their codes; the best of all
+tasks meet their vectors again, and exact cosines decide.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import Folder
 from .retrieval import cosine, top_k
-from .scan_search import Best, _best_of_tasks, _blocks, matrix, unit
+from .scan_search import BLOCK_DOCS, TILE_QUERIES, Best, _blocks, _small_batches, held_for, matrix, unit
 
 SAMPLE = 20_000
 MOST_LISTS = 4096
@@ -63,6 +63,7 @@ class VectorIndex:
     def build(cls, vectors: DataFrame, path: str, lists: int | None = None, parts: int = 8, words: int = 256) -> VectorIndex:
         """vectors: (chunk_id, vector), integer ids. Vectors that are null, zero, not finite or of an unusual length aren't indexed."""
         spark = vectors.sparkSession
+        _small_batches(vectors)
         n = vectors.count()
         share = min(1.0, SAMPLE / max(n, 1))
         picked = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vector").limit(2 * SAMPLE)
@@ -104,13 +105,18 @@ class VectorIndex:
 
     def candidates(self, block: list, k: int, probes: int) -> DataFrame:
         """(query_id, chunk_id, score by codes, rank) of the k best in the probed lists."""
+        return top_k(self.scored(block, k, probes), "query_id", "score", "chunk_id", k)
+
+    def scored(self, block: list, k: int, probes: int) -> DataFrame:
+        """(query_id, chunk_id, score by codes): each task's k best of each query. Tasks get the block's vectors and work out what the code words give a query for a tile of queries at a time."""
         names = np.array([r.query_id for r in block], np.int64)
         at, q = matrix(pa.array([r.query_vector for r in block], pa.list_(pa.float64())))
         names, q = names[at], unit(q)
         lists = self.probed(q, probes) if len(q) else np.zeros((0, 1), np.int64)
-        asks = {int(x): np.flatnonzero((lists == x).any(axis=1)) for x in np.unique(lists)}
-        base = q @ self.centres.T
-        tables = [q[:, a:b] @ w.T for (a, b), w in zip(zip(self.cuts, self.cuts[1:]), self.words)]  # queries by code words
+        asking = np.argsort(lists, axis=None, kind="stable")
+        numbers, first = np.unique(lists.ravel()[asking], return_index=True)
+        asking, first = asking // lists.shape[1], np.append(first, len(asking))
+        centres, parts = self.centres, [(slice(a, b), w.T) for (a, b), w in zip(zip(self.cuts, self.cuts[1:]), self.words)]
 
         def work(batches):
             best = Best(len(names), k)
@@ -119,20 +125,35 @@ class VectorIndex:
                 if not len(ids):
                     continue
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-                for x in np.unique(where).tolist():
-                    asked, rows = asks.get(x, []), np.flatnonzero(where == x)
-                    if len(asked):
-                        score = base[asked, x][:, None] + sum(t[asked][:, codes[rows, i]] for i, t in enumerate(tables))
-                        best.add(np.repeat(asked, len(rows)), score.ravel(), np.tile(ids[rows], len(asked)))
+                found, there, _ = np.intersect1d(numbers, where, return_indices=True)
+                for x, i in zip(found.tolist(), there.tolist()):
+                    asked, rows = asking[first[i] : first[i + 1]], np.flatnonzero(where == x)
+                    for a in range(0, len(asked), TILE_QUERIES):
+                        tile(asked[a : a + TILE_QUERIES], x, ids[rows], codes[rows], best)
             yield best.batch(names)
 
-        return _best_of_tasks(self.rows(sorted(asks)), work, k)
+        def tile(asked, x, ids, codes, best):
+            base, tables = q[asked] @ centres[x], [q[asked, cut] @ w for cut, w in parts]  # queries by code words
+            for a in range(0, len(ids), BLOCK_DOCS):
+                some = codes[a : a + BLOCK_DOCS]
+                score = base[:, None] + sum(t[:, some[:, i]] for i, t in enumerate(tables))
+                at_q, row = np.nonzero(score >= best.least[asked][:, None])
+                best.add(asked[at_q], score[at_q, row], ids[a + row])
+
+        every = len(numbers) == len(self.centres)
+        rows = self.rows(None if every else numbers.tolist())
+        # Lists are many small files: a task takes its share of them, one after the other.
+        return rows.coalesce(2 * self.spark.sparkContext.defaultParallelism).mapInArrow(work, "query_id long, chunk_id long, score double")
 
     def search(self, queries: DataFrame, vectors: DataFrame, k: int, probes: int = 32, recheck: int = 20) -> DataFrame:
         """(query_id, chunk_id, score, rank): the k nearest by exact cosine among ``recheck`` * k candidates.
 
-        queries: (query_id, query_vector); vectors: the indexed table, read again for the candidates only.
+        queries: (query_id, query_vector); vectors: the indexed table, read again for the candidates only. A block counts what a worker
+        holds for a query: its vector, its lists and its best candidates.
         """
-        found = reduce(DataFrame.unionAll, [self.candidates(b, recheck * k, probes) for b in _blocks(queries, lambda r: 8 * len(r.query_vector or []) + 64)])
+        _small_batches(vectors)
+        most = recheck * k
+        blocks = _blocks(queries, lambda r: 8 * len(r.query_vector or []) + 64 + 8 * probes + held_for(most))
+        found = top_k(reduce(DataFrame.unionAll, [self.scored(b, most, probes) for b in blocks]), "query_id", "score", "chunk_id", most)
         pairs = found.select("query_id", "chunk_id").join(vectors.select("chunk_id", "vector"), "chunk_id").join(queries.select("query_id", "query_vector"), "query_id")
         return top_k(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 9).alias("score")), "query_id", "score", "chunk_id", k)
